@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import table, written
-from docloom.llm.textblock import Block, spans, strings
+from docloom.llm.textblock import Block, mix, spans, strings
 
 SEGMENTS, MOST = 8, 3
 #: A bucket of more fingerprints is dealt out as pairs of blocks of about this many.
@@ -85,96 +85,75 @@ def chained(x: np.ndarray) -> np.ndarray:
     return ok
 
 
-def find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
-def bucket_links(fp: np.ndarray, side: np.ndarray, start: int) -> list[tuple[int, int]]:
-    """(fingerprint, least fingerprint of its group) for groups that links join in one bucket; rows of side 0 meet those of side 1, or each other where no row has side 1."""
-    n = len(fp)
-    rot = rotated(fp, np.full(n, start))
-    parent = np.arange(n)
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side) if side.any() else np.arange(n)
-    for at in range(0, len(left), 256):
-        rows = left[at : at + 256]
-        x = rot[rows, None] ^ rot[None, right]
-        i, j = np.nonzero(np.bitwise_count(x & np.uint64((1 << 40) - 1)) <= 1)
-        keep = rows[i] < right[j] if len(right) == n else rows[i] != right[j]
-        i, j = i[keep], j[keep]
-        good = chained(x[i, j])
-        for a, b in zip(rows[i[good]].tolist(), right[j[good]].tolist(), strict=True):
-            ra, rb = find(parent, a), find(parent, b)
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-    root = np.array([find(parent, i) for i in range(n)])
-    least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, root, fp.view(np.int64))
-    out = least[root]
-    moved = out != fp.view(np.int64)
-    return list(zip(fp.view(np.int64)[moved].tolist(), out[moved].tolist(), strict=True))
-
-
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b) with a > b: a forest that joins exactly the distinct fingerprints `fp` that chains of links of at most MOST bits join.
-
-    Each fingerprint goes to 16 buckets by key, which are compared in numpy, sorted by key inside partitions. A bucket above BLOCK_ROWS is dealt out as pairs of its blocks, so that no
-    task holds more than two blocks of it; every pair of its rows still meets. A bucket's links come out as a star to
-    the least fingerprint of each joined group, so what is sent grows with rows and not with pairs.
+def bucket_links(fp: np.ndarray, node: np.ndarray, start: int) -> list[tuple[int, int]]:
+    """Links (node, node) of a spanning forest of one bucket: breadth first, each row compared with all that are not yet reached."""
+    rot = rotated(fp, np.full(len(fp), start))
+    left, out = np.arange(len(fp)), []
+    while len(left):
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            i = reached.pop()
+            x = rot[left] ^ rot[i]
+            hit = np.bitwise_count(x & np.uint64((1 << 40) - 1)) <= 1
+            hit[hit] = chained(x[hit])
+            new = left[hit]
+            out += [(int(node[i]), n) for n in node[new].tolist()]
+            reached += new.tolist()
+            left = left[~hit]
+    return out
+
+
+def links(prints: DataFrame) -> DataFrame:
+    """(a, b), a > b: links between nodes of `prints` (node, lane, fp) whose fingerprints of one lane differ in at most MOST bits; they join the same nodes as all such links do.
+
+    Each fingerprint goes to 16 buckets by key, which are compared in numpy, sorted by key inside partitions. A bucket
+    above BLOCK_ROWS is dealt out as pairs of its blocks, so that no task holds more than two blocks of it; every pair of
+    its rows still meets. A larger bucket's links come out as a spanning forest, so what is sent grows with rows and not
+    with pairs. Fingerprints of a lane are to be distinct unless different nodes may share one.
     """
     starts = F.explode(F.array(*(F.lit(i) for i in range(SEGMENTS)))).alias("start")
-    fp = F.col("fp")
-    rot = F.when(F.col("start") == 0, fp).otherwise(F.expr("shiftrightunsigned(fp, start * 8) | shiftleft(fp, 64 - start * 8)"))
-    whole = fps.select("fp", starts).withColumn("rot", rot)
-    # a key is the start (3 bits), the half (1), the 16 exact bits, the 12 bits of that half
-    head = F.shiftleft(F.col("start").cast("long"), 29) + F.shiftleft(F.col("rot").bitwiseAND(F.lit(0xFFFF)), 12)
+    rot = F.when(F.col("start") == 0, F.col("fp")).otherwise(F.expr("shiftrightunsigned(fp, start * 8) | shiftleft(fp, 64 - start * 8)"))
+    whole = prints.select("node", "lane", "fp", starts).withColumn("rot", rot)
+    # a key is the lane, the start (3 bits), the half (1), the 16 exact bits, the 12 bits of that half
+    head = F.shiftleft(F.col("lane").cast("long") * 8 + F.col("start"), 29) + F.shiftleft(F.col("rot").bitwiseAND(F.lit(0xFFFF)), 12)
     half = lambda i: head + i * (1 << 28) + F.shiftright("rot", 16 + 12 * i).bitwiseAND(F.lit(0xFFF))
-    keys = whole.select("fp", F.explode(F.array(half(0), half(1))).alias("key"))
+    keys = whole.select("node", "fp", F.explode(F.array(half(0), half(1))).alias("key"))
     hot = written(keys.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK_ROWS), "hot")
     dealt = (
         keys.join(hot, "key", "left")
         .withColumn("blocks", F.ceil(F.coalesce("rows", F.lit(1)) / BLOCK_ROWS).cast("int"))
-        .withColumn("mine", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
-        .select("key", "fp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        .select("key", "node", "fp", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     )
-    pairs = dealt.select("key", "fp", F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    pairs = dealt.select("key", "node", "fp", F.least("mine", "other").alias("b0"), F.greatest("mine", "other").alias("b1"))
     sorted_pairs = pairs.repartition("key", "b0", "b1").sortWithinPartitions("key", "b0", "b1", "fp")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(found):
-            a, b = (list(x) for x in zip(*found, strict=True)) if found else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        def groups(cols, bounds):
-            key, f, side, b0, b1 = cols
-            found = []
-            size = np.diff(bounds)
-            # buckets of two to eight rows: compare row i with row i + d, all buckets at once
-            small = np.repeat(size <= 8, size)
-            gid = np.repeat(np.arange(len(size)), size)
-            start = key >> 29
-            for d in range(1, 8):
-                if len(f) <= d:
-                    break
-                i = np.flatnonzero(small[:-d] & (gid[:-d] == gid[d:]))
-                if not len(i):
-                    break
-                x = rotated(f[i] ^ f[i + d], start[i])
-                good = i[chained(x)]
-                lo, hi = np.minimum(f[good].view(np.int64), f[good + d].view(np.int64)), np.maximum(f[good].view(np.int64), f[good + d].view(np.int64))
-                found += list(zip(hi.tolist(), lo.tolist(), strict=True))
-            for g in np.flatnonzero(size > 8):
-                lo, hi = bounds[g], bounds[g + 1]
-                same = b0[lo] == b1[lo]
-                found += bucket_links(f[lo:hi], np.zeros(hi - lo, int) if same else side[lo:hi], int(start[lo]))
-            return found
+    def groups(cols: list[np.ndarray], bounds: np.ndarray) -> pa.RecordBatch:
+        key, node, fp = cols[:3]
+        size = np.diff(bounds)
+        gid = np.repeat(np.arange(len(size)), size)
+        small = np.repeat(size <= 8, size)
+        start = (key >> 29) & 7
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # buckets of two to eight rows: row i and row i + d, all buckets at once
+        for d in range(1, min(8, len(fp))):
+            i = np.flatnonzero(small[:-d] & (gid[:-d] == gid[d:]))
+            good = i[chained(rotated(fp[i] ^ fp[i + d], start[i]))]
+            a.append(node[good])
+            b.append(node[good + d])
+        for g in np.flatnonzero(size > 8):
+            lo, hi = bounds[g], bounds[g + 1]
+            found = np.array(bucket_links(fp[lo:hi], node[lo:hi], int(start[lo])), np.int64).reshape(-1, 2)
+            a.append(found[:, 0])
+            b.append(found[:, 1])
+        x, y = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for batch in batches:
-            now = [batch.column(n).to_numpy() for n in ("key", "fp", "side", "b0", "b1")]
-            now[1] = now[1].astype(np.int64).view(np.uint64)
+            now = [batch.column(n).to_numpy() for n in ("key", "node", "fp", "b0", "b1")]
+            now[2] = now[2].astype(np.int64).view(np.uint64)
             cols = now if held is None else [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
             if not len(cols[0]):
                 continue
@@ -182,11 +161,11 @@ def links(fps: DataFrame) -> DataFrame:
             last = int(edge[-1]) if len(edge) else 0
             held = [c[last:] for c in cols]
             if last:
-                yield emit(groups([c[:last] for c in cols], np.concatenate([[0], edge])))
+                yield groups([c[:last] for c in cols], np.concatenate([[0], edge]))
         if held is not None and len(held[0]):
-            yield emit(groups(held, np.array([0, len(held[0])])))
+            yield groups(held, np.array([0, len(held[0])]))
 
-    return sorted_pairs.mapInArrow(compare, "a long, b long").distinct()
+    return sorted_pairs.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -223,7 +202,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_co
     """
     fps = written(fingerprints(docs, k, id_col, text_col), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(classes.select("fp")))
+    found = components(links(classes.select(F.col("fp").alias("node"), F.lit(0).alias("lane"), "fp")))
     roots = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     roots = written(roots, "classes")
     named = roots.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -231,17 +210,70 @@ def near_duplicates(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_co
     return fps.join(by_fp, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group: the row whose id is the group's component_id (of repeated ids, one row).
+#: Fingerprints of a text in `drop_near_duplicates`, each of other hashes: near copies agree to MOST bits in one of them.
+LANES = 6
+_LANE_SEEDS = mix(np.arange(1, LANES + 1, dtype=np.uint64))
+
+
+def lane_prints(words: np.ndarray) -> np.ndarray:
+    """LANES fingerprints of the words of a text, each word weighing the root of its count; 0 without words."""
+    word, count = np.unique(words, return_counts=True)
+    weight = np.round(np.sqrt(count) * 16)
+    ones = np.zeros(LANES * 64)
+    for i in range(0, len(word), 1024):
+        h = mix(word[i : i + 1024, None] ^ _LANE_SEEDS[None, :])
+        ones += weight[i : i + 1024] @ np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
+    return np.packbits(ones * 2 > weight.sum(), bitorder="little").view(np.int64)
 
-    Rows with a null id can't be named by a group and are all kept. All columns stay.
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document, that of the least id, of each group of near copies; all columns stay.
+
+    Texts whose sets of shingles of k words have a Jaccard similarity of at least `similarity` are linked, and links join
+    groups. Candidates come from LANES SimHash fingerprints of the words, linked at MOST bits through the pigeonring
+    filter; every candidate is then checked on the whole sets of shingles. Equal texts are one class and enter once.
+    Null texts count as empty, texts without words are near copies of each other, of repeated rows one stays, rows with
+    a null id can't be named and all stay, and an empty table gives an empty table.
     """
-    groups = near_duplicates(docs, k, id_col, text_col)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.col(text_col))
-    chosen = docs.join(kept, docs[id_col] == kept["doc_id"], "left_semi")
-    chosen = chosen.withColumn("_row", F.row_number().over(one)).where("_row = 1").drop("_row")
-    return chosen.unionByName(docs.where(F.col(id_col).isNull()))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    named = docs.where(F.col(id_col).isNotNull())
+    base = named.select(F.col(id_col).cast("long").alias("id"), F.sha1(text.cast("binary")).alias("h"), text.alias("text"))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = strings(batch.column(2))
+            out = [np.zeros(0, np.int64)]
+            for lo, hi in spans(offsets):
+                b = Block(data, offsets, lo, hi)
+                words = b.word_hashes()
+                out += [lane_prints(words[x:y]) for x, y in zip(b.first[:-1].tolist(), b.first[1:].tolist(), strict=True)]
+            at = np.arange(batch.num_rows + 1, dtype=np.int32) * LANES
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(out)))], ["id", "h", "lanes"])
+
+    texts = base.mapInArrow(prints, "id long, h string, lanes array<long>").groupBy("h").agg(F.min("id").alias("first"), F.first("lanes").alias("lanes"))
+    classes = written(written(texts, "texts").withColumn("node", F.monotonically_increasing_id()), "classes")
+    found = written(links(classes.select("node", F.posexplode("lanes").alias("lane", "fp"))), "candidates")
+    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
+    needed = written(classes.join(ends, "node", "left_semi").select("node", F.col("h").alias("_h"), "first"), "needed")
+    wanted = base.join(needed, (F.col("id") == F.col("first")) & (F.col("h") == F.col("_h"))).select("node", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = strings(batch.column(1))
+            for lo, hi in spans(offsets):
+                hashes, at = Block(data, offsets, lo, hi).shingles(k)
+                own = [np.unique(hashes[x:y]).view(np.int64) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(own, pa.list_(pa.int64()))], ["node", "set"])
+
+    shingles = written(wanted.mapInArrow(sets, "node long, set array<long>"), "shingles").dropDuplicates(["node"])
+    left, right = (shingles.select(F.col("node").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
+    common, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
+    alike = found.join(left, "a").join(right, "b").where((both == 0) | (common >= similarity * (both - common))).select("a", "b")
+    roots = classes.join(components(alike), "node", "left").select("h", "first", F.coalesce("root", "node").alias("root"))
+    kept = written(roots.groupBy("root").agg(F.min(F.struct("first", "h")).alias("k")).select(F.col("k.first").alias("_id"), F.col("k.h").alias("_h")), "kept")
+    hashed = named.withColumn("_sha", F.sha1(text.cast("binary"))).join(kept, (F.col(id_col) == F.col("_id")) & (F.col("_sha") == F.col("_h")), "left_semi")
+    one = hashed.withColumn("_row", F.row_number().over(Window.partitionBy(id_col, "_sha").orderBy(F.lit(0)))).where("_row = 1")
+    return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
