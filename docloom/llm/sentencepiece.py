@@ -13,23 +13,24 @@ chunks end. Characters in no piece become byte pieces.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import table, written
-from docloom.llm.textblock import mix
+from docloom.llm.textblock import mix, spans
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, LITERAL = "▁", "\ud800"  # a literal U+2581 of the text is held as a code point that no text has
 CHUNK, FAN = 16384, 64
 NEVER, UNIT = float("-inf"), 65536 << 52
-#: Words of which a worker remembers the pieces; when full, it starts afresh.
-MEMO = 400_000
+EMPTY, ODD = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0x9E3779B97F4A7C15)
 
 
 def read_vocabulary(path: str = MODEL, ranks: bool = True) -> list[tuple[str, float, str]]:
@@ -65,14 +66,20 @@ class Vocabulary:
         self.lone = min((w for p, (_, w) in self.pieces.items() if SPACE not in p[1:]), default=0) - 10 * UNIT
         self.longest = max(map(len, self.pieces), default=1)
         self.ties: list[int] = []
+        self.reach: dict[str, int] = {p[:2]: self.longest for p in self.pieces}
         # a piece that its parts beat is never used; if no other reaches over a space, words are independent
         for p in sorted((p for p in self.pieces if SPACE in p[1:]), key=len):
             own = self.pieces.pop(p)
             if self.best(p)[0] <= own[1]:
                 self.pieces[p] = own
         self.by_word = not any(SPACE in p[1:] for p in self.pieces)
+        self.reach: dict[str, int] = {}
+        for p in self.pieces:
+            self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
         self.states = self.longest
-        self.memo: dict[str, tuple[int, bytes]] = {}
+        self.quick = self.by_word and max((-w >> 52 for _, w in self.pieces.values()), default=0) < 1 << 20
+        if self.quick:
+            self.build_trie()
 
     def ids_of_lone(self, c: str) -> list[int]:
         raw = (SPACE if c == LITERAL else c).encode()
@@ -83,16 +90,16 @@ class Vocabulary:
         n = len(s)
         best, came = [NEVER] * (n + 1), [-1] * (n + 1)
         best[0] = 0
-        get, longest, ties = self.pieces.get, self.longest, self.ties
+        get, reach, ties = self.pieces.get, self.reach.get, self.ties
         if len(ties) < place + n:
-            ties += (mix(np.arange(len(ties), 2 * (place + n), dtype=np.uint64) + np.uint64(1)) >> np.uint64(32)).tolist()
+            ties += (mix(np.arange(len(ties), 2 * (place + n), dtype=np.uint64) + np.uint64(1)) >> np.uint64(33)).tolist()
         for i in range(min(stop, n)):
             at = best[i]
             if at == NEVER:
                 continue
             at += ties[place + i]
             single = False
-            for j in range(i + 1, min(n, i + longest) + 1):
+            for j in range(i + 1, min(n, i + reach(s[i : i + 2], 1)) + 1):
                 found = get(s[i:j])
                 if found is not None:
                     single |= j == i + 1
@@ -115,33 +122,137 @@ class Vocabulary:
         best, came = self.forward(s, len(s))
         return best[len(s)], self.path(s, came, len(s))
 
-    def word(self, s: str) -> tuple[int, bytes]:
-        """Score and ids (as 32-bit bytes) of a word with the space before it; remembered."""
-        found = self.memo.get(s)
-        if found is None:
-            score, ids = self.best(s)
-            found = score, np.array(ids, np.int32).tobytes()
-            if len(s) <= 64:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[s] = found
-        return found
-
-    def text(self, text: str) -> bytes:
-        """The ids of a whole text as 32-bit bytes; none for an empty one."""
-        if not text:
-            return b""
-        if SPACE in text:
-            text = text.replace(SPACE, LITERAL)
+    def build_trie(self) -> None:
+        """All prefixes of pieces as nodes; steps (node, character) in an open-addressed table of arrays."""
+        nodes, steps = {"": 0}, {}
+        for p in self.pieces:
+            for i in range(1, len(p) + 1):
+                if p[:i] not in nodes:
+                    nodes[p[:i]] = len(nodes)
+                    steps[nodes[p[: i - 1]] << 21 | ord(p[i - 1])] = nodes[p[:i]]
+        bits = max(4, (2 * len(steps)).bit_length())
+        self.shift, keys = np.uint64(64 - bits), np.array(list(steps), np.uint64)
+        slot, to = (keys * ODD) >> self.shift, np.array(list(steps.values()), np.int32)
+        self.keys, self.to, self.probes = np.full(1 << bits, EMPTY, np.uint64), np.zeros(1 << bits, np.int32), 0
+        left = np.arange(len(keys))
+        while len(left):
+            self.probes += 1
+            at = slot[left].astype(np.int64)
+            free = self.keys[at] == EMPTY
+            first = np.zeros(len(left), bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            put = free & first
+            self.keys[at[put]], self.to[at[put]] = keys[left[put]], to[left[put]]
+            left = left[~put]
+            slot[left] = (slot[left] + np.uint64(1)) & np.uint64((1 << bits) - 1)
+        self.ends, self.quick_weight = np.full(len(nodes), -1, np.int32), np.zeros(len(nodes), np.int64)
+        for p, (i, w) in self.pieces.items():
+            self.ends[nodes[p]], self.quick_weight[nodes[p]] = i, (w >> 52) << 37
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The next node, -1 where there is none."""
+        key = (node.astype(np.uint64) << np.uint64(21)) | char.astype(np.uint64)
+        at, out = ((key * ODD) >> self.shift).astype(np.int64), np.full(len(key), -1, np.int32)
+        left = np.arange(len(key))
+        for _ in range(self.probes):
+            found = self.keys[at[left]]
+            hit = found == key[left]
+            out[left[hit]] = self.to[at[left[hit]]]
+            left = left[~hit & (found != EMPTY)]
+            if not len(left):
+                break
+            at[left] = (at[left] + 1) & (len(self.keys) - 1)
+        return out
+
+    def segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Ids of words (each with the space before it) one after another, n + 1 offsets, and scores."""
+        parts, counts, scores = [], [], []
+        for i in range(0, len(words), 16384):
+            ids, count, score = self.segment_some(words[i : i + 16384])
+            parts.append(ids)
+            counts.append(count)
+            scores += score
+        return np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))]), scores
+
+    def segment_some(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """As `forward` and `path`, for many words of up to 64 characters at once: by start of piece, all words together."""
+        n = np.array([len(w) if self.quick and len(w) <= 64 else 0 for w in words], np.int64)
+        chars = np.frombuffer("".join(w for w, k in zip(words, n.tolist(), strict=True) if k).encode("utf-32-le", "surrogatepass"), np.uint32)
+        word = np.repeat(np.arange(len(words)), n)
+        first = np.cumsum(n) - n
+        place = np.arange(len(chars)) - np.repeat(first, n)
+        end = np.repeat(first + n, n)
+        # pieces that start at each character, found by walking the trie from all characters at once
+        live, node, depth, found = np.arange(len(chars)), np.zeros(len(chars), np.int32), 0, []
+        single = np.zeros(len(chars), bool)
+        while len(live):
+            node = self.step(node, chars[live + depth])
+            live, node, depth = live[node >= 0], node[node >= 0], depth + 1
+            hit = self.ends[node] >= 0 if len(node) else np.zeros(0, bool)
+            found.append((live[hit], np.full(int(hit.sum()), depth), node[hit]))
+            if depth == 1:
+                single[live[hit]] = True
+            more = live + depth < end[live]
+            live, node = live[more], node[more]
+        lone = np.flatnonzero(~single)
+        start = np.concatenate([lone, *(f[0] for f in found)])
+        size = np.concatenate([np.ones(len(lone), np.int64), *(f[1] for f in found)])
+        nodes = np.concatenate([np.full(len(lone), -1, np.int32), *(f[2] for f in found)])
+        weight = np.where(nodes >= 0, self.quick_weight[nodes], (self.lone >> 52) << 37) if len(start) else np.zeros(0, np.int64)
+        piece = np.where(nodes >= 0, self.ends[nodes], -1) if len(start) else np.zeros(0, np.int32)
+        order = np.argsort(place[start], kind="stable")
+        start, size, weight, piece = start[order], size[order], weight[order], piece[order]
+        cut = np.searchsorted(place[start], np.arange(65))
+        self.forward("", 0, 128)
+        slots = len(chars) + len(words)
+        best, came, by = np.full(slots, np.iinfo(np.int64).min), np.zeros(slots, np.int64), np.full(slots, -1, np.int32)
+        base = first + np.arange(len(words))
+        best[base] = 0
+        for r in range(64):
+            a, b = cut[r], cut[r + 1]
+            if a == b:
+                break
+            at = start[a:b] + word[start[a:b]]
+            to, value = at + size[a:b], best[at] + weight[a:b] + self.ties[r]
+            good = (best[at] > np.iinfo(np.int64).min) & (value > best[to])
+            best[to[good]], came[to[good]], by[to[good]] = value[good], at[good], piece[a:b][good]
+        # backwards, all words together
+        now, who, steps = (base + n)[n > 0], np.flatnonzero(n > 0), []
+        total = best[base + n]
+        while len(now):
+            steps.append((who, by[now]))
+            now = came[now]
+            on = now > base[who]
+            now, who = now[on], who[on]
+        count = np.zeros(len(words), np.int64)
+        for w, _ in steps:
+            count[w] += 1
+        slow = n == 0
+        for w, ids in steps:
+            slow[w[ids < 0]] = True
+        scores = [((t >> 37) << 52) + (t & ((1 << 37) - 1)) for t in total.tolist()]
+        kept = {}
+        for i in np.flatnonzero(slow).tolist():
+            scores[i], kept[i] = self.best(words[i])
+            count[i] = len(kept[i])
+        offset = np.cumsum(count) - count
+        out = np.zeros(int(count.sum()), np.int32)
+        for k, (w, ids) in enumerate(steps):
+            ok = ~slow[w]
+            out[offset[w[ok]] + count[w[ok]] - 1 - k] = ids[ok]
+        for i, ids in kept.items():
+            out[offset[i] : offset[i] + len(ids)] = ids
+        return out, count, scores
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of whole texts; none for an empty one."""
+        texts = [t.replace(SPACE, LITERAL) if SPACE in t else t for t in texts]
         if not self.by_word:
-            return np.array(self.best(SPACE + text.replace(" ", SPACE))[1], np.int32).tobytes()
-        word = self.word
-        memo = self.memo
-        out = []
-        for w in text.split(" "):
-            found = memo.get(SPACE + w)
-            out.append((found or word(SPACE + w))[1])
-        return b"".join(out)
+            return [np.array(self.best(SPACE + t.replace(" ", SPACE))[1] if t else [], np.int32) for t in texts]
+        known: dict[str, int] = {}
+        which = [[known.setdefault(w, len(known)) for w in t.split(" ")] if t else [] for t in texts]
+        ids, at, _ = self.segment([SPACE + w for w in known])
+        return [gathered(ids, at, np.array(w, np.int64)) for w in which]
 
     def split(self, s: str, size: int) -> tuple[int, list[str], int]:
         """First and last place in a chunk that every segmentation cuts at, and the words between; -1 if there is none."""
@@ -160,7 +271,7 @@ class Vocabulary:
         if first >= 0:
             best, _ = self.forward(s[last:], size - last)
             tail = [best[size - last + j] if size - last + j < len(best) else NEVER for j in range(k)]
-            middle = sum(self.word(w)[0] for w in words)
+            middle = sum(self.segment(words)[2])
             for i in range(min(k, first + 1)):
                 head = self.forward(s[i:first], first - i, place + i)[0][first - i]
                 out[i] = [head + middle + t for t in tail]
@@ -172,21 +283,32 @@ class Vocabulary:
                         out[i, j] = best[size - i + j]
         return out
 
-    def between(self, s: str, size: int, place: int, entry: int, leave: int) -> bytes:
+    def between(self, s: str, size: int, place: int, entry: int, leave: int) -> np.ndarray:
         """Ids of the best way through a chunk from one state to another."""
         first, words, last = self.split(s, size)
         if first < 0:
             part = s[entry:]
-            return np.array(self.path(part, self.forward(part, size - entry, place + entry)[1], size - entry + leave), np.int32).tobytes()
+            return np.array(self.path(part, self.forward(part, size - entry, place + entry)[1], size - entry + leave), np.int32)
         head, tail = s[entry:first], s[last:]
         a = self.path(head, self.forward(head, len(head), place + entry)[1], len(head))
         b = self.path(tail, self.forward(tail, size - last)[1], size - last + leave)
-        return b"".join([np.array(a, np.int32).tobytes(), *(self.word(w)[1] for w in words), np.array(b, np.int32).tobytes()])
+        return np.concatenate([np.array(a, np.int32), self.segment(words)[0], np.array(b, np.int32)])
 
     def piece_bytes(self) -> list[bytes]:
         return [bytes([int(p[3:5], 16)]) if k == "byte" else b"" if k == "other" else p.replace(SPACE, " ").encode() for p, _, k in self.rows]
 
 
+_HELD: dict[tuple, Vocabulary] = {}
+
+
+def held(key: tuple, rows: Broadcast) -> Vocabulary:
+    """The vocabulary of this worker process, built once."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Vocabulary(rows.value)
+    return _HELD[key]
+
+
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product."""
     out = np.full((a.shape[0], b.shape[1]), NEVER, object)
@@ -241,9 +363,16 @@ def boundary_states(mats: DataFrame, states: int) -> DataFrame:
     return part.groupBy("key", "part").cogroup(edges.groupBy("key", "part")).applyInPandas(inside, "key string, chunk long, entry long, leave long")
 
 
-def as_lists(parts: list[bytes]) -> pa.Array:
-    at = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(parts), np.int32)))
+def gathered(ids: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Rows `which` of ids, cut at `at`, one after another."""
+    size = at[which + 1] - at[which]
+    begin = np.cumsum(size) - size
+    return ids[np.arange(int(size.sum())) - np.repeat(begin, size) + np.repeat(at[which], size)] if len(which) else np.zeros(0, np.int32)
+
+
+def as_lists(parts: list[np.ndarray]) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *parts])))
 
 
 def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", ids_col: str = "ids", chunk: int = CHUNK) -> DataFrame:
@@ -254,7 +383,8 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", ids_col:
     """
     spark: SparkSession = docs.sparkSession
     rows = spark.sparkContext.broadcast(read_vocabulary(path))
-    vocabulary = Vocabulary(rows.value)
+    key_of = (path, os.path.getsize(path))
+    vocabulary = held(key_of, rows)
     states, by_word = vocabulary.states, vocabulary.by_word
     chunk = max(chunk, 2 * states)
     docs = docs.drop(ids_col)
@@ -262,9 +392,11 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", ids_col:
 
     @F.arrow_udf("array<int>")
     def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        v = Vocabulary(rows.value)
+        v = held(key_of, rows)
         for texts in batches:
-            yield as_lists([v.text(t.as_py() or "") for t in texts])
+            data = texts.cast(pa.large_string()).fill_null("")
+            at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
+            yield as_lists([ids for lo, hi in spans(at, 4 << 20) for ids in v.texts(data[lo:hi].to_pylist())])
 
     small = docs.where(size <= 2 * chunk).withColumn(ids_col, whole(text_col))
 
@@ -289,13 +421,13 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", ids_col:
             yield ((SPACE if first else "") + s.replace(SPACE, LITERAL).replace(" ", SPACE)), n, place
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(rows.value)
+        v = held(key_of, rows)
         for batch in batches:
             found = [as_text(v.matrix(s, n, place)) for s, n, place in prepared(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), pa.array(found, pa.list_(pa.string()))], ["key", "chunk", "matrix"])
 
     def backtraced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(rows.value)
+        v = held(key_of, rows)
         for batch in batches:
             states_of = zip(batch.column("entry").to_pylist(), batch.column("leave").to_pylist(), strict=True)
             ids = as_lists([v.between(s, n, place, a, b) for (s, n, place), (a, b) in zip(prepared(batch), states_of, strict=True)])
@@ -319,8 +451,8 @@ def decode(df: DataFrame, path: str = MODEL, ids_col: str = "ids", out_col: str
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         get = Vocabulary(rows.value).piece_bytes().__getitem__
         for ids in batches:
-            at, flat = ids.offsets.to_numpy(), ids.values.to_numpy().tolist()
-            out = [b"".join(map(get, flat[a:b]))[1:].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            at, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+            out = [b"".join(map(get, flat[a:b].tolist()))[1:].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.array(out, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))
 
     return df.withColumn(out_col, texts(F.col(ids_col).cast("array<int>")))

@@ -55,10 +55,19 @@ def test_words_score_as_the_library_scores_them():
     letters = "abcdefghijklmnopqrstuvwxyzABCÉéüß.,!0123456789"
     words = ["".join(rng.choices(letters, k=rng.randint(1, 14))) for _ in range(3000)] + "the worthless Tokenisation of internationalisation überhaupt".split()
     for w in words:
-        ids = np.frombuffer(v.word(P.SPACE + w)[1], np.int32).tolist()
+        ids = v.best(P.SPACE + w)[1]
         other = m.nbest_encode_as_ids(P.SPACE + w, 2)[0]  # the lattice's best
         assert sum(m.get_score(i) for i in ids) == sum(m.get_score(i) for i in other), w
-        assert v.best(P.SPACE + w)[1] == ids
+
+
+def test_many_words_at_once_get_what_one_word_gets(v):
+    rng = random.Random(6)
+    letters = "abcdeilnorstuvyABCÉéüß.,!0123\n☃😀"
+    words = [P.SPACE + "".join(rng.choices(letters, k=rng.choice([0, 1, 3, 8, 15, 40, 63, 64, 90]))) for _ in range(3000)] + [P.SPACE, P.SPACE + "z" * 63]
+    ids, at, scores = v.segment(words)
+    for i, w in enumerate(words):
+        assert (scores[i], ids[at[i] : at[i + 1]].tolist()) == v.best(w), w
+    assert v.segment([])[0].tolist() == []
 
 
 def brute(v, text):
