@@ -28,28 +28,34 @@ _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,match:string>>"
 _BLOCK = 128
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def prefix_sums(lengths: Column) -> Column:
     """The sum before each element, by blocks, so that work does not grow with the square of the array."""
-    n = F.size(lengths)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), lambda b: F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)))
     add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    sums = F.transform(blocks, add)
-    before = F.aggregate(sums, F.array(F.lit(0)), lambda out, x: F.array_append(out, F.element_at(out, -1) + x))
-    return F.flatten(F.transform(blocks, lambda xs, b: F.transform(xs, lambda _, i: F.get(before, b) + add(F.slice(xs, F.lit(1), i)))))
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _BLOCK).cast("int")), lambda b: F.slice(xs, b * _BLOCK + 1, F.lit(_BLOCK)))
+    before = lambda blocks: F.aggregate(F.transform(blocks, add), F.array(F.lit(0)), lambda out, x: F.array_append(out, F.element_at(out, -1) + x))
+    inside = lambda p: F.flatten(F.transform(p["blocks"], lambda xs, b: F.transform(xs, lambda _, i: F.get(p["before"], b) + add(F.slice(xs, F.lit(1), i)))))
+    return let(lengths, lambda xs: let(cut(xs), lambda blocks: let(F.struct(blocks.alias("blocks"), before(blocks).alias("before")), inside)))
 
 
-def located(text: Column, pattern: str, kind: str, rank: int, valid) -> Column:
+def located(text: Column, pattern: str | Column, kind: str, rank: int, valid) -> Column:
     """Spans of the pattern's matches that pass `valid`, in code points."""
-    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
 
-    def build(pair: Column) -> Column:
-        m, g = pair["m"], pair["g"]
-        starts = prefix_sums(F.transform(m, lambda x, i: F.length(x) + F.length(F.get(g, i))))
-        spans = F.transform(m, lambda x, i: F.struct((F.get(starts, i) + F.length(F.get(g, i))).alias("start"), F.lit(rank).alias("rank"), (F.get(starts, i) + F.length(F.get(g, i)) + F.length(x)).alias("end"), F.lit(kind).alias("kind"), x.alias("match")))
+    def build(p: Column) -> Column:
+        at = lambda i: F.get(p["s"], i) + F.length(F.get(p["g"], i))
+        spans = F.transform(p["m"], lambda x, i: F.struct(at(i).alias("start"), F.lit(rank).alias("rank"), (at(i) + F.length(x)).alias("end"), F.lit(kind).alias("kind"), x.alias("match")))
         return F.filter(spans, lambda s: valid(s["match"]))
 
-    built = F.transform(F.array(F.struct(matches.alias("m"), gaps.alias("g"))), lambda pair: F.when(F.size(pair["m"]) > 0, build(pair)))
-    return F.coalesce(F.get(built, 0), F.array().cast(_SPAN))
+    def sized(p: Column) -> Column:
+        sums = prefix_sums(F.transform(p["m"], lambda x, i: F.length(x) + F.length(F.get(p["g"], i))))
+        return F.when(F.size(p["m"]) > 0, let(F.struct(p["m"].alias("m"), p["g"].alias("g"), sums.alias("s")), build))
+
+    return F.coalesce(let(found, sized), F.array().cast(_SPAN))
 
 
 def digits(x: Column) -> Column:
@@ -124,10 +130,11 @@ def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     hits = terms_of(plain, terms.select("term"), count).join(terms, "term").groupBy("copy").agg(F.collect_set(F.struct("term", "remove")).alias("_terms"))
     hits = written(hits, "hits")
     keyed = based.withColumn("_copy", F.xxhash64(text)).join(hits, F.col("_copy") == F.col("copy"), "left")
-    known = F.map_from_entries("_terms")
+    whole = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("_terms", lambda t: t["term"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     kept = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    mark = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.when(F.element_at(known, s["match"]), "removed").otherwise("term").alias("kind"), s["match"].alias("match"))
-    spans = F.transform(F.filter(located(text, TERM, "term", len(KINDS), lambda x: F.array_contains(F.map_keys(known), x)), kept), mark)
+    gone = lambda s: F.exists("_terms", lambda t: (t["term"] == s["match"]) & t["remove"])
+    mark = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.when(gone(s), "removed").otherwise("term").alias("kind"), s["match"].alias("match"))
+    spans = F.transform(F.filter(located(text, whole, "term", len(KINDS), lambda x: F.lit(True)), kept), mark)
     marked = F.when(F.col("_terms").isNotNull(), F.array_sort(F.concat(F.col("_base"), spans))).otherwise(F.col("_base"))
     return keyed.withColumn("_spans", marked).drop("_terms", "_copy", "copy")
 
@@ -145,14 +152,11 @@ def sanitised(text: Column, spans: Column) -> Column:
     )
     before = lambda m, i: F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0)
     label = lambda s: F.when(s["kind"] == "removed", "").otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-    built = F.transform(
-        F.array(merged),
-        lambda m: F.concat(
-            F.array_join(F.transform(m, lambda s, i: F.concat(F.substring(text, before(m, i) + 1, s["start"] - before(m, i)), label(s))), ""),
-            F.substring(text, F.get(m, F.size(m) - 1)["end"] + 1, F.length(text)),
-        ),
+    built = lambda m: F.concat(
+        F.array_join(F.transform(m, lambda s, i: F.concat(F.substring(text, before(m, i) + 1, s["start"] - before(m, i)), label(s))), ""),
+        F.substring(text, F.get(m, F.size(m) - 1)["end"] + 1, F.length(text)),
     )
-    return F.when(F.size(spans) > 0, F.get(built, 0)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(merged, built)).otherwise(text)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
