@@ -237,3 +237,59 @@ ORACLES = {
     "until_quota": """WITH n AS (SELECT doc_id, lang, coalesce(sum(CAST(n_chars > 1500 AS INT)) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents)
         SELECT doc_id, lang FROM n WHERE b < 10""",
 }
+
+
+def provider_once(spark, sf):
+    """Each different page title asked once of a stand-in provider, answers joined back, scores from 1 to 5 kept."""
+    from docloom.operators import hooks
+
+    p = read(spark, sf, "events").select("event_id", "event_type")
+    out = hooks.ask_once(p, "event_type", "answer", hooks.with_retries(lambda rows: [str(len(r)) for r in rows]))
+    return hooks.scored(out, "answer", "score").groupBy("event_type", "score").agg(F.count("*").alias("events"))
+
+
+def record_fields(spark, sf):
+    """Semesters, credit hours, headers, names and error classes from strings of the order table."""
+    from docloom.functions import records as r
+
+    o = read(spark, sf, "orders").withColumn("n", F.col("o_orderkey") % 4 + 1)
+    season = F.when(F.col("n") == 1, "1학기").when(F.col("n") == 2, "여름학기").otherwise("closed")
+    said = F.concat(F.lit("20"), F.lpad((F.col("o_orderkey") % 25).cast("string"), 2, "0"), F.lit("년 "), season)
+    body = F.concat(F.lit("priority "), "o_orderpriority")
+    return o.select(
+        "o_orderkey",
+        r.semester_of(said).alias("semester"),
+        r.credit_hours(F.concat_ws("-", F.col("n"), F.lit(2), F.lit(1)))["credits"].alias("credits"),
+        r.with_header(body, [("status", F.col("o_orderstatus")), ("priority", F.col("o_orderpriority"))]).alias("headed"),
+        r.safe_name(F.concat(F.lit(" a/b:"), F.col("o_orderkey").cast("string"), F.lit(". "))).alias("name"),
+        r.error_class(F.when(F.col("n") == 1, "Model is LOADING").when(F.col("n") == 2, "bad")).alias("error"),
+        r.question_id(F.when(F.col("n") == 3, "own"), F.col("n")).alias("question_id"),
+        r.star_rating(F.concat(F.lit("width: "), F.col("n") * 20, F.lit("%"))).alias("stars"),
+    )
+
+
+def blind_labels(spark, sf):
+    """The conversations' roles in a hashed order by conversation, labelled A, B, C."""
+    from pyspark.sql import Window
+
+    c = read(spark, sf, "conversations").select("conv_id", "role").distinct()
+    order = F.md5(F.concat(F.col("conv_id").cast("string"), F.lit(":"), "role", F.lit(":7")))
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy(order))
+    return c.select("conv_id", "role", F.substring(F.lit("ABCD"), n, F.lit(1)).alias("label"))
+
+
+def seed_spread(spark, sf):
+    """Benchmark items as seeded questions, spread evenly over 30 days."""
+    b = logs.evenly_spread(read(spark, sf, "benchmark").select("item_id"), ["item_id"], now())
+    return b.select("item_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+QUERIES |= {f.__name__: f for f in (provider_once, record_fields, blind_labels, seed_spread)}
+ORACLES |= {
+    "provider_once": "SELECT event_type, CASE WHEN length(event_type) BETWEEN 1 AND 5 THEN CAST(length(event_type) AS INT) END AS score, count(*) AS events FROM events GROUP BY 1, 2",
+    "record_fields": """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '20' || lpad(CAST(o_orderkey % 25 AS VARCHAR), 2, '0') || '-1학기' WHEN 1 THEN '20' || lpad(CAST(o_orderkey % 25 AS VARCHAR), 2, '0') || '-여름학기' END AS semester,
+        CAST(o_orderkey % 4 + 1 AS INT) AS credits, CASE WHEN contains('priority ' || o_orderpriority, o_orderstatus) THEN '' ELSE '[status: ' || o_orderstatus || ']' || chr(10) END || 'priority ' || o_orderpriority AS headed,
+        'a_b_' || o_orderkey AS name, CASE o_orderkey % 4 WHEN 0 THEN 503 WHEN 1 THEN 500 END AS error, CASE WHEN o_orderkey % 4 = 2 THEN 'own' ELSE 'Q00' || (o_orderkey % 4 + 1) END AS question_id, CAST(o_orderkey % 4 + 1 AS DOUBLE) AS stars FROM orders""",
+    "blind_labels": "SELECT conv_id, role, substr('ABCD', CAST(row_number() OVER (PARTITION BY conv_id ORDER BY md5(conv_id || ':' || role || ':7')) AS INT), 1) AS label FROM (SELECT DISTINCT conv_id, role FROM conversations)",
+    "seed_spread": "SELECT item_id, strftime(TIMESTAMP '2024-01-31' - to_hours(CAST(((row_number() OVER (ORDER BY item_id) - 1) * 720) // count(*) OVER () AS INT)), '%Y-%m-%d %H:%M:%S') AS created_at FROM benchmark",
+}
