@@ -86,3 +86,28 @@ def report(df: DataFrame, group: list[str], text: str) -> DataFrame:
     """Rows, least, greatest and mean length (one decimal), sum of lengths, different texts, by group."""
     n = F.length(text)
     return df.groupBy(*group).agg(F.count("*").alias("rows"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"), F.bround(F.avg(n), 1).alias("avg_chars"), F.sum(n).alias("total_chars"), F.countDistinct(text).alias("distinct_texts"))
+
+
+def select_courses(courses: DataFrame, selected: list[str] | None = None, include_other: bool = False, code: str = "course_code", major: str = "is_major") -> DataFrame:
+    """Major courses, or all, of the selected codes, each once; a selected code that is not there fails the job."""
+    rows = courses if include_other else courses.where(F.col(major))
+    rows = rows.dropDuplicates([code])
+    if not selected:
+        return rows
+    wanted = courses.sparkSession.createDataFrame([(c,) for c in selected], f"{code} string")
+    found = wanted.join(rows, code, "left")
+    missing = F.raise_error(F.concat(F.lit("not among the courses: "), F.col(code))).cast("boolean")
+    return found.where(F.when(F.col(major).isNull(), missing).otherwise(True))
+
+
+def repair(items: DataFrame, attachments: str, extract, rehash) -> DataFrame:
+    """items whose blank PDF texts are read again: `extract` is a Column function of an attachment, `rehash` of the repaired array.
+
+    Only items with such an attachment are touched; `repaired` counts the texts that were won.
+    """
+    blank = lambda a: F.lower(a["name"]).endswith(".pdf") & (F.trim(F.coalesce(a["text"], F.lit(""))) == "")
+    todo = items.where(F.exists(attachments, blank))
+    fixed = F.transform(F.col(attachments), lambda a: F.when(blank(a), a.withField("text", F.coalesce(extract(a), F.lit("")))).otherwise(a))
+    won = F.size(F.filter(F.arrays_zip(F.col("_new"), F.col(attachments)), lambda z: blank(z[attachments]) & (F.trim(z["_new"]["text"]) != "")))
+    out = todo.withColumn("_new", fixed).withColumn("repaired", won).withColumn("content_hash", rehash(F.col("_new")))
+    return out.withColumn(attachments, F.col("_new")).drop("_new")

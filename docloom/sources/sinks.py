@@ -46,3 +46,32 @@ def to_instruction(df: DataFrame) -> DataFrame:
     """(instruction, input, output) from any of the names that records use."""
     first = lambda *names: F.coalesce(*(F.nullif(F.col(n), F.lit("")) for n in names if n in df.columns), F.lit(""))
     return df.select(first("instruction", "question").alias("instruction"), F.lit("").alias("input"), first("output", "answer").alias("output"))
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A small report (a row, or a row for each group) as one JSON file beside its output."""
+    df.coalesce(1).write.mode("overwrite").json(path, ignoreNullFields=False)
+
+
+def write_csv(df: DataFrame, path: str, decimals: int = 4) -> None:
+    """CSV with a header and doubles at so many decimals."""
+    shown = {n: F.format_string(f"%.{decimals}f", F.col(n)) for n, t in df.dtypes if t in ("double", "float")}
+    df.withColumns({n: F.when(F.col(n).isNotNull(), c) for n, c in shown.items()}).write.mode("overwrite").csv(path, header=True)
+
+
+def copy_legacy(target: DataFrame, legacy: DataFrame | None) -> DataFrame:
+    """target, or the legacy rows with status `legacy` where it is empty and there are some."""
+    if legacy is None or not target.isEmpty():
+        return target
+    return legacy.withColumn("status", F.lit("legacy")).select(*target.columns)
+
+
+def unchanged_input(spark, path: str):
+    """A function that tells whether the files below path are still those of now: names, sizes and times, and contents by Spark."""
+
+    def state() -> set[tuple]:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        return {tuple(r) for r in files.select("path", "length", F.sha2("content", 256).alias("sha")).collect()}
+
+    before = state()
+    return lambda: state() == before

@@ -249,3 +249,64 @@ def test_rouge(spark):
     df = spark.createDataFrame([("the cat sat", "the cat sat down"), ("", "x"), ("b a", "a b")], "a string, b string")
     words, score = stats.rouge_l("a", "b")
     assert [round(r.r, 6) for r in df.withColumns(words).select(score.alias("r")).collect()] == [0.857143, 0.0, 0.5]
+
+
+def test_more_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, 0.123456, "a"), (2, None, "b")], "k int, x double, status string")
+    sinks.write_csv(df, str(tmp_path / "csv"))
+    assert sorted(r.x or "" for r in spark.read.csv(str(tmp_path / "csv"), header=True).collect()) == ["", "0.1235"]
+    sinks.write_report(df.agg(F.count("*").alias("rows"), F.lit(None).cast("string").alias("none")), str(tmp_path / "report"))
+    assert spark.read.text(str(tmp_path / "report")).first()[0] == '{"rows":2,"none":null}'
+    assert sinks.copy_legacy(df.limit(0), df).select("status").distinct().collect()[0][0] == "legacy"
+    assert sinks.copy_legacy(df, df).where("status = 'legacy'").count() == 0
+    same = sinks.unchanged_input(spark, str(tmp_path / "report"))
+    assert same()
+    sinks.write_report(df.agg(F.count("*").alias("rows")), str(tmp_path / "report"))
+    assert not same()
+
+
+def test_courses_and_repair(spark):
+    c = spark.createDataFrame([("A", True), ("A", True), ("B", False)], "course_code string, is_major boolean")
+    assert prep.select_courses(c).count() == 1 and prep.select_courses(c, include_other=True).count() == 2
+    assert prep.select_courses(c, ["A"]).count() == 1
+    with pytest.raises(Exception, match="not among"):
+        prep.select_courses(c, ["B"]).collect()
+    kind = "id int, att array<struct<name:string,text:string>>"
+    items = spark.createDataFrame([(1, [("a.pdf", ""), ("b.txt", "")]), (2, [("c.pdf", "has")])], kind)
+    r = prep.repair(items, "att", lambda a: F.concat(F.lit("text of "), a["name"]), lambda x: F.md5(F.to_json(x))).collect()
+    assert [(x.id, x.repaired, x.att[0].text, x.att[1].text) for x in r] == [(1, 1, "text of a.pdf", "")]
+
+
+def test_hooks(spark):
+    from docloom.operators import hooks
+
+    waits = []
+    calls = []
+
+    def provider(rows):
+        calls.append(len(rows))
+        if len(calls) == 1:
+            raise hooks.Overloaded
+        return [r.upper() for r in rows]
+
+    assert hooks.with_retries(provider, sleep=waits.append)(["a", "b"]) == ["A", "B"] and waits == [5.0]
+    assert hooks.with_retries(lambda rows: ["x"])(["a", "b"]) == [None, None]
+    with pytest.raises(hooks.Exhausted):
+        hooks.with_retries(lambda rows: (_ for _ in ()).throw(hooks.Exhausted()))(["a"])
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "k int, t string")
+    got = hooks.ask_once(df.where("t IS NOT NULL"), "t", "out", lambda rows: [r * 2 for r in rows]).collect()
+    assert {r.k: r.out for r in got} == {1: "aa", 2: "aa"}
+
+
+def test_record_fields(spark):
+    from docloom.functions import records as r
+
+    semesters = {"24년 1학기 수강자": "2024-1학기", "2023-2학기": "2023-2학기", "2024 fall": "2024-2학기", "none": None}
+    assert {t: one(spark, r.semester_of(F.col("t")), t=t) for t in semesters} == semesters
+    assert one(spark, r.disposition_name(F.col("t")), t="attachment; filename*=UTF-8''a%20b.pdf") == "a b.pdf"
+    assert one(spark, r.disposition_name(F.col("t")), t='attachment; filename="x.hwp"') == "x.hwp"
+    assert one(spark, r.extension(F.lit("n"), F.lit("http://h/a.PDF?x=1"), F.lit("text/html"), {"text/html": ".html"}), t="") == ".pdf"
+    assert one(spark, r.extension(F.lit("n"), F.lit("http://h/a"), F.lit("text/html; charset=x"), {"text/html": ".html"}), t="") == ".html"
+    assert one(spark, r.labelled(F.col("t"), "Room", "강의실"), t="x\n강의실: B 12 \n") == "B 12"
+    assert one(spark, r.credit_hours(F.col("t"))["lecture"], t="credit 3-2-1") == 2
+    assert one(spark, r.text_body([F.col("t")], F.create_map(F.lit("k"), F.lit("a value that is longer than twenty"))), t=" ") == "a value that is longer than twenty"
