@@ -82,30 +82,28 @@ def disclosing_terms(found: DataFrame, plain: DataFrame) -> DataFrame | None:
 
     Counts of documents are over all documents; support counts different texts, so that copies of one text are no proof.
     """
-    mention = found.select("text", F.xxhash64("text").alias("copy"), F.explode("base").alias("s"))
+    texts = found.groupBy(F.xxhash64("text").alias("copy")).agg(F.count("*").alias("rows"), F.first("text").alias("text"), F.first("base").alias("base"))
+    mention = texts.select("copy", "rows", "text", F.explode("base").alias("s"))
     entity = F.concat("s.kind", F.lit(":"), F.when(F.col("s.kind").isin("card", "phone"), digits(F.col("s.match"))).otherwise(F.lower("s.match")))
     left = F.regexp_replace(F.expr(f"substring(text, greatest(s.start - {CONTEXT}, 0) + 1, least(s.start, {CONTEXT}))"), r"(?s)^[^\x20\x09-\x0D]*+", "")
     right = F.regexp_replace(F.expr(f"substring(text, s.end + 1, {CONTEXT})"), r"(?s)[^\x20\x09-\x0D]++\z", "")
     near = F.array_distinct(F.concat(F.regexp_extract_all(left, F.lit(TERM), 0), F.regexp_extract_all(right, F.lit(TERM), 0)))
-    # one row for each text, entity and term, with the number of its copies
-    mentions = mention.select("copy", entity.alias("entity"), near.alias("near"), F.col("s.start").alias("at"))
-    met = mentions.select("copy", "entity", F.explode("near").alias("term"), "at").groupBy("copy", "entity", "term").agg(F.count("*").alias("_n"), F.countDistinct("at").alias("_m"))
-    met = met.select("entity", "term", (F.col("_n") / F.col("_m")).alias("rows"))
+    mentions = written(mention.select("copy", "rows", entity.alias("entity"), near.alias("near")), "mentions")
+    met = mentions.select("copy", "rows", "entity", F.explode("near").alias("term")).distinct()
     pairs = met.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("rows").alias("together")).where(F.col("texts") >= SUPPORT)
-    pairs = written(pairs, "pairs")
+    # a term has at least the documents in which it is near some entity: pairs that fail even so need not be counted further
+    least = met.select("copy", "rows", "term").distinct().groupBy("term").agg(F.sum("rows").alias("near_any"))
+    entities = mentions.select("copy", "rows", "entity").distinct().groupBy("entity").agg(F.sum("rows").alias("of_entity"))
+    total = plain.count()
+    disclosing = lambda n: (F.col("together") / n >= SHARE) & (F.log2(F.col("together") * total / (n * F.col("of_entity"))) >= BITS)
+    pairs = written(pairs.join(least, "term").join(entities, "entity").where(disclosing(F.col("near_any"))), "pairs")
     terms = written(pairs.select("term").distinct(), "terms")
     count = terms.count()
     if not count:
         return None
-    entities = mentions.groupBy("copy", "entity").agg((F.count("*") / F.countDistinct("at")).alias("rows")).groupBy("entity").agg(F.sum("rows").alias("of_entity"))
-    frequency = terms_of(plain, terms, count).groupBy("term").agg(F.count("*").alias("of_term"))
-    if count > BROADCAST_TERMS:
-        frequency = terms_of(plain, None, 0).groupBy("term").agg(F.count("*").alias("of_term"))
-    total = plain.count()
-    scored = pairs.join(frequency, "term").join(entities, "entity")
+    frequency = terms_of(plain, terms, count) if count <= BROADCAST_TERMS else terms_of(plain, None, 0)
+    scored = pairs.join(frequency.groupBy("term").agg(F.count("*").alias("of_term")), "term").where(disclosing(F.col("of_term")))
     share = F.col("together") / F.col("of_term")
-    bits = F.log2(F.col("together") * total / (F.col("of_term") * F.col("of_entity")))
-    scored = scored.where((share >= SHARE) & (bits >= BITS))
     return written(scored.groupBy("term").agg((F.max(share) >= REMOVE).alias("remove")), "disclosing")
 
 
@@ -182,3 +180,58 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    """The same in DuckDB: plain patterns, positions from the lengths of matches and of what stands between them."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    number = "regexp_replace(match, '[^0-9]', '', 'g')"
+    doubled = f"list_transform(range(0, length({number})), lambda j: CAST({number}[length({number}) - j] AS INT) * (1 + j % 2) - CASE WHEN j % 2 = 1 AND CAST({number}[length({number}) - j] AS INT) > 4 THEN 9 ELSE 0 END)"
+    valid = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(match, '.'), lambda p: NOT regexp_matches(p, '^0*([0-9]{1,2}|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$'))) = 0",
+        "card": f"length({number}) BETWEEN 14 AND 19 AND list_sum({doubled}) % 10 = 0",
+        "phone": f"length({number}) BETWEEN 10 AND 15",
+    }
+    sign = {"email": "'@'", "ip": "'.'", "card": "'0|1|2|3|4|5|6|7|8|9'", "phone": "'+'"}
+    total = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)"
+    place = f"{total('g[1:i]')} + {total('m[1:i-1]')}"
+    runs = r"[\p{L}\p{N}]+"
+    terms = lambda c: f"list_filter(regexp_extract_all({c}, '{runs}'), lambda w: regexp_matches(w, '^\\p{{L}}') AND length(w) >= 3)"
+    ctes = []
+    for rank, k in enumerate(KINDS):
+        where = "regexp_matches(text, '[0-9]')" if k == "card" else f"contains(text, {sign[k]})"
+        ctes.append(f"{k}_m AS (SELECT doc_id, text, regexp_extract_all(text, '{plain[k]}') AS m, string_split_regex(text, '{plain[k]}') AS g FROM d WHERE {where})")
+        ctes.append(f"{k}_s AS (SELECT doc_id, text, m, g, unnest(range(1, len(m) + 1)) AS i FROM {k}_m)")
+        ctes.append(f"{k}_b AS (SELECT doc_id, text, CAST({place} AS BIGINT) AS start, {rank} AS rank, '{k}' AS kind, m[i] AS match FROM {k}_s)")
+        ctes.append(f"{k}_v AS (SELECT *, start + length(match) AS stop FROM {k}_b WHERE {valid[k]})")
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {", ".join(ctes)},
+  b AS ({" UNION ALL ".join(f"SELECT * FROM {k}_v" for k in KINDS)}),
+  rep AS (SELECT text, count(*) AS rows, min(doc_id) AS copy FROM d WHERE doc_id IN (SELECT doc_id FROM b) GROUP BY text),
+  mention AS (SELECT copy, rows, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN {number} ELSE lower(match) END AS entity,
+    regexp_replace(substr(b.text, greatest(start - {CONTEXT}, 0) + 1, least(start, {CONTEXT})), '^[^\x20\x09-\x0D]*', '') AS l,
+    regexp_replace(substr(b.text, stop + 1, {CONTEXT}), '[^\x20\x09-\x0D]+$', '') AS r FROM b JOIN rep ON copy = doc_id),
+  met AS (SELECT DISTINCT copy, rows, entity, unnest(list_concat({terms("l")}, {terms("r")})) AS term FROM mention),
+  pairs AS (SELECT entity, term, sum(rows) AS together FROM met GROUP BY 1, 2 HAVING count(*) >= {SUPPORT}),
+  entities AS (SELECT entity, sum(rows) AS of_entity FROM (SELECT DISTINCT copy, rows, entity FROM mention) GROUP BY 1),
+  words AS (SELECT doc_id, unnest(list_distinct({terms("text")})) AS term FROM d),
+  frequency AS (SELECT term, count(*) AS of_term FROM words WHERE term IN (SELECT term FROM pairs) GROUP BY 1),
+  flagged AS (SELECT term, max(together / of_term) >= {REMOVE} AS remove FROM pairs JOIN entities USING (entity) JOIN frequency USING (term)
+    WHERE together / of_term >= {SHARE} AND log2(CAST(together AS DOUBLE) * (SELECT count(*) FROM d) / (CAST(of_term AS DOUBLE) * of_entity)) >= {BITS} GROUP BY 1),
+  hit AS (SELECT DISTINCT doc_id FROM words WHERE term IN (SELECT term FROM flagged)),
+  t_m AS (SELECT doc_id, text, regexp_extract_all(text, '{runs}') AS m, string_split_regex(text, '{runs}') AS g FROM d WHERE doc_id IN (SELECT doc_id FROM hit)),
+  t_s AS (SELECT doc_id, text, m, g, unnest(range(1, len(m) + 1)) AS i FROM t_m),
+  t_f AS (SELECT doc_id, text, CAST({place} AS BIGINT) AS start, {len(KINDS)} AS rank, CASE WHEN remove THEN 'removed' ELSE 'term' END AS kind, m[i] AS match FROM t_s JOIN flagged ON m[i] = term),
+  t AS (SELECT *, start + length(match) AS stop FROM t_f WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = t_f.doc_id AND b.start < t_f.start + length(t_f.match) AND t_f.start < b.stop)),
+  base AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS said FROM b GROUP BY 1),
+  every AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS said, count(*) FILTER (rank = {len(KINDS)}) AS n_terms FROM (SELECT * FROM b UNION ALL SELECT * FROM t) GROUP BY 1)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(base.said, '')) AS base_sha256, coalesce(every.said, '') AS spans, coalesce(n_terms, 0) AS n_terms
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)"""
+
+
+OP9_SQL = _sql()

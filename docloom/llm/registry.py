@@ -4,7 +4,7 @@ from docloom.llm.chat import OP8_SQL, op8_chat
 from docloom.llm.media import op10_media_columns
 from docloom.llm.minhash import op3_minhash
 from docloom.llm.mixing import OP6_SQL, op6_mixing
-from docloom.llm.pii import op9_pii
+from docloom.llm.pii import OP9_SQL, op9_pii
 from docloom.llm.quality import op5_quality
 from docloom.llm.sentencepiece import op4_sentencepiece
 from docloom.llm.simhash import op7_simhash
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_media_columns": op10_media_columns,
 }
-ORACLES = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op8_chat": OP8_SQL}
+ORACLES = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op8_chat": OP8_SQL, "op9_pii": OP9_SQL}

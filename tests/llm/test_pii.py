@@ -102,6 +102,21 @@ def test_disclosing_terms_against_brute_force(spark):
         P.BROADCAST_TERMS = few
 
 
+def test_sql_finds_the_same_spans(spark, tmp_path):
+    import duckdb
+
+    rows = corpus() + [t for t in texts() if t is None or len(t) < 1000]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    path = str(tmp_path / "documents.parquet")
+    df.coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    rel = con.sql(P.OP9_SQL)
+    got = P.find_pii(df)
+    assert sorted(rel.columns) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*rel.columns).collect())) == sorted(map(tuple, rel.fetchall()))
+
+
 def test_sanitise(spark):
     rows = corpus() + ["mail a@b.c, then +1 555 010 2020 and 1.2.3.4", None, "", "clean é😀 text", "é +4111 1111 1111 1111 é"]
     df = spark.createDataFrame([(i, t, "en", len(t or ""), 0) for i, t in enumerate(rows)], "doc_id long, text string, lang string, n_chars long, base int")
