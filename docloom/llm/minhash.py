@@ -64,7 +64,7 @@ def ordered_ranges(docs: DataFrame, rows_each: int) -> tuple[DataFrame, DataFram
     depth = max(4, min(16, int(np.ceil(np.log2(max(1, n) / rows_each + 1)))))
     count = (1 << depth) - 1
     shares = [(i + 1) / (count + 1) for i in range(count)]
-    bounds = docs.agg(F.percentile_approx("doc_id", shares, 100 * (count + 1)).alias("b")).first()["b"] or []
+    bounds = docs.agg(F.percentile_approx("doc_id", shares, min(100 * (count + 1), 1_000_000)).alias("b")).first()["b"] or []
     bounds = sorted(set(bounds), reverse=True)
     bounds += [-(1 << 63)] * (count - len(bounds))
     spark_bounds = F.array(*(F.lit(b) for b in bounds)) if count < 64 else F.from_json(F.lit("[" + ",".join(map(str, bounds)) + "]"), "array<bigint>")
