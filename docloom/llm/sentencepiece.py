@@ -396,7 +396,8 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", ids_col:
         for texts in batches:
             data = texts.cast(pa.large_string()).fill_null("")
             at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
-            yield as_lists([ids for lo, hi in spans(at, 4 << 20) for ids in v.texts(data[lo:hi].to_pylist())])
+            for lo, hi in spans(at, 2 << 20):
+                yield as_lists(v.texts(data[lo:hi].to_pylist()))
 
     small = docs.where(size <= 2 * chunk).withColumn(ids_col, whole(text_col))
 
@@ -450,10 +451,12 @@ def decode(df: DataFrame, path: str = MODEL, ids_col: str = "ids", out_col: str
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         get = Vocabulary(rows.value).piece_bytes().__getitem__
-        for ids in batches:
-            at, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-            out = [b"".join(map(get, flat[a:b].tolist()))[1:].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.array(out, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                ids = batch[lo : lo + 512]
+                at, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+                out = [b"".join(map(get, flat[a:b].tolist()))[1:].decode("utf-8", "replace") for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.array(out, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))
 
     return df.withColumn(out_col, texts(F.col(ids_col).cast("array<int>")))
 
