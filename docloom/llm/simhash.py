@@ -17,8 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm import setjoin
 from docloom.llm.common import table, written
-from docloom.llm.textblock import Block, mix, spans, strings
+from docloom.llm.textblock import Block, spans, strings
 
 SEGMENTS, MOST = 8, 3
 #: A bucket of more fingerprints is dealt out as pairs of blocks of about this many.
@@ -210,28 +211,12 @@ def near_duplicates(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_co
     return fps.join(by_fp, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of a text in `drop_near_duplicates`, each of other hashes: near copies agree to MOST bits in one of them.
-LANES = 6
-_LANE_SEEDS = mix(np.arange(1, LANES + 1, dtype=np.uint64))
-
-
-def lane_prints(words: np.ndarray) -> np.ndarray:
-    """LANES fingerprints of the words of a text, each word weighing the root of its count; 0 without words."""
-    word, count = np.unique(words, return_counts=True)
-    weight = np.round(np.sqrt(count) * 16)
-    ones = np.zeros(LANES * 64)
-    for i in range(0, len(word), 1024):
-        h = mix(word[i : i + 1024, None] ^ _LANE_SEEDS[None, :])
-        ones += weight[i : i + 1024] @ np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
-    return np.packbits(ones * 2 > weight.sum(), bitorder="little").view(np.int64)
-
-
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document, that of the least id, of each group of near copies; all columns stay.
 
     Texts whose sets of shingles of k words have a Jaccard similarity of at least `similarity` are linked, and links join
-    groups. Candidates come from LANES SimHash fingerprints of the words, linked at MOST bits through the pigeonring
-    filter; every candidate is then checked on the whole sets of shingles. Equal texts are one class and enter once.
+    groups. The join is exact (`setjoin`): every such pair meets in the bucket of a prefix shingle, every link is verified
+    on the whole sets, and pairs are passed over only if verified links join them already. Equal sets enter once.
     Null texts count as empty, texts without words are near copies of each other, of repeated rows one stays, rows with
     a null id can't be named and all stay, and an empty table gives an empty table.
     """
@@ -239,38 +224,18 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, i
     named = docs.where(F.col(id_col).isNotNull())
     base = named.select(F.col(id_col).cast("long").alias("id"), F.sha1(text.cast("binary")).alias("h"), text.alias("text"))
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = strings(batch.column(2))
-            out = [np.zeros(0, np.int64)]
-            for lo, hi in spans(offsets):
-                b = Block(data, offsets, lo, hi)
-                words = b.word_hashes()
-                out += [lane_prints(words[x:y]) for x, y in zip(b.first[:-1].tolist(), b.first[1:].tolist(), strict=True)]
-            at = np.arange(batch.num_rows + 1, dtype=np.int32) * LANES
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(out)))], ["id", "h", "lanes"])
-
-    texts = base.mapInArrow(prints, "id long, h string, lanes array<long>").groupBy("h").agg(F.min("id").alias("first"), F.first("lanes").alias("lanes"))
-    classes = written(written(texts, "texts").withColumn("node", F.monotonically_increasing_id()), "classes")
-    found = written(links(classes.select("node", F.posexplode("lanes").alias("lane", "fp"))), "candidates")
+    classes = setjoin.set_classes(base, k, similarity)
+    shared = written(setjoin.shared_tokens(classes), "shared")
+    first = shared.where(F.col("pos") < setjoin.FIRST)
+    plain = written(setjoin.contracting_links(first, setjoin.sets_of(base, classes, first.select("node").distinct(), k), similarity), "links")
+    found = written(setjoin.open_pairs(shared, written(components(plain), "groups"), similarity), "candidates")
     ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    needed = written(classes.join(ends, "node", "left_semi").select("node", F.col("h").alias("_h"), "first"), "needed")
-    wanted = base.join(needed, (F.col("id") == F.col("first")) & (F.col("h") == F.col("_h"))).select("node", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = strings(batch.column(1))
-            for lo, hi in spans(offsets):
-                hashes, at = Block(data, offsets, lo, hi).shingles(k)
-                own = [np.unique(hashes[x:y]).view(np.int64) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(own, pa.list_(pa.int64()))], ["node", "set"])
-
-    shingles = written(wanted.mapInArrow(sets, "node long, set array<long>"), "shingles").dropDuplicates(["node"])
+    shingles = setjoin.sets_of(base, classes, ends, k)
     left, right = (shingles.select(F.col("node").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
     common, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    alike = found.join(left, "a").join(right, "b").where((both == 0) | (common >= similarity * (both - common))).select("a", "b")
-    roots = classes.join(components(alike), "node", "left").select("h", "first", F.coalesce("root", "node").alias("root"))
-    kept = written(roots.groupBy("root").agg(F.min(F.struct("first", "h")).alias("k")).select(F.col("k.first").alias("_id"), F.col("k.h").alias("_h")), "kept")
+    alike = found.join(left, "a").join(right, "b").where(common >= similarity * (both - common)).select("a", "b")
+    roots = classes.join(components(plain.union(alike)), "node", "left").select("k", F.coalesce("root", "node").alias("root"))
+    kept = written(roots.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.id").alias("_id"), F.col("k.h").alias("_h")), "kept")
     hashed = named.withColumn("_sha", F.sha1(text.cast("binary"))).join(kept, (F.col(id_col) == F.col("_id")) & (F.col("_sha") == F.col("_h")), "left_semi")
     one = hashed.withColumn("_row", F.row_number().over(Window.partitionBy(id_col, "_sha").orderBy(F.lit(0)))).where("_row = 1")
     return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
