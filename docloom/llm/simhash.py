@@ -226,7 +226,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, i
 
     classes = setjoin.set_classes(base, k, similarity)
     shared = written(setjoin.shared_tokens(classes), "shared")
-    first = shared.where(F.col("pos") < setjoin.FIRST)
+    first = shared.where((F.col("pos") < setjoin.FIRST) & (F.col("rows") > setjoin.GROUP))
     plain = written(setjoin.contracting_links(first, setjoin.sets_of(base, classes, first.select("node").distinct(), k), similarity), "links")
     found = written(setjoin.open_pairs(shared, written(components(plain), "groups"), similarity), "candidates")
     ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()

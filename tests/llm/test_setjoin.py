@@ -55,3 +55,18 @@ def test_edited_copies_of_one_original_and_texts_of_one_bag(spark, monkeypatch,
         text = " ".join(sentences)
         rows += [(2000 + i, text), (3000 + i, text.rsplit(" ", 12)[0])]
     assert kept(spark, rows) == kept_by_brute_force(rows)
+
+
+def test_appended_truncated_and_block_edited_copies(spark):
+    rng = random.Random(6)
+    draw = lambda n: [f"v{int(rng.paretovariate(0.7))}" for _ in range(n)]
+    rows = []
+    for i in range(45):
+        n = rng.choice([100, 300, 1000])
+        words, share = draw(n), rng.uniform(0.06, 0.28)
+        m = int(n * share)
+        near = [words + draw(m), words[: n - m], words[: n // 3] + draw(m // 2) + words[n // 3 + m // 2 :]][i % 3]
+        rows += [(i, " ".join(words)), (100 + i, " ".join(near))]
+    want = kept_by_brute_force(rows)
+    assert 45 < len(want) < 90
+    assert kept(spark, rows) == want
