@@ -163,7 +163,7 @@ def pending_work(spark, sf):
 
 
 def context_rendering(spark, sf):
-    e = vectors.nearest(read(spark, sf, "embeddings"), read(spark, sf, "embeddings").where("vec_id % 50 = 0"), 3)
+    e = vectors.nearest(read(spark, sf, "embeddings"), read(spark, sf, "embeddings").where("vec_id % 20 = 0"), 3)
     hits = e.join(read(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source"), "vec_id").withColumn("kind", F.when(F.col("vec_id") % 2 == 0, "syllabus").otherwise("notice"))
     return logs.rendered_context(hits, "query_id", "rank", "kind", "text", "source").select("query_id", F.length("context").alias("chars"), F.md5("context").alias("context_hash"))
 
