@@ -1,8 +1,12 @@
 """PII: patterns find protected entities, and corpus co-occurrence finds the terms that give them away.
 
-Native: DataFrame and SQL functions only. A term near an entity (email, ip, card or phone) counts as disclosing it when the
-two meet in enough different texts, when most of the term's documents are ones where it meets the entity, and when their
-pointwise mutual information is high. Disclosing terms are generalised; those that all but name the entity are removed.
+Native: DataFrame and SQL functions only. Entities are protected as they stand and as classes: the kind (any email, ip, card
+or phone) and what an entity belongs to (mail domain, network, card issuer, country and area code). How strongly a term
+reveals an entity is estimated from all documents: with `together` documents holding both, `n` the term and a share p
+the entity, the chance of the entity given the term is q = (together + PRIOR_DOCS p) / (n + PRIOR_DOCS), shrunken towards
+p, and the term gives away log2(q / p) bits. A term discloses an entity if the two meet in SUPPORT different texts, the
+entity is likelier than not (LIKELY) and the term gives away BITS bits. It is generalised to its first letters; where those
+disclose the entity too, it is removed.
 """
 
 from __future__ import annotations
@@ -20,12 +24,15 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}+"
-#: Characters of context on either side, different texts in which a term must meet an entity, the share of the term's
-#: documents that do, bits of mutual information, the share from which a term is removed, terms that may be broadcast.
-CONTEXT, SUPPORT, SHARE, BITS, REMOVE, BROADCAST_TERMS = 64, 3, 0.8, 4.0, 0.95, 100_000
+#: A term is a run of letters and digits outside entities, of any length and script.
+TERM = r"[\p{L}\p{N}]++"
+#: Letters that a generalised term keeps, different texts in which term and entity must meet, pseudo-documents of the
+#: prior, the least chance of the entity given the term, bits given away, terms that may be broadcast.
+PREFIX, SUPPORT, PRIOR_DOCS, LIKELY, BITS, BROADCAST_TERMS = 3, 3, 2.0, 0.5, 3.0, 100_000
+#: Levels of an entity: its kind, what it belongs to, itself.
+KIND, GROUP, ITSELF = 0, 1, 2
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,match:string>>"
-_BLOCK = 128
+_BLOCK, _PIECE_BITS = 128, 10
 
 
 def let(value: Column, body) -> Column:
@@ -33,13 +40,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def prefix_sums(lengths: Column) -> Column:
-    """The sum before each element, by blocks, so that work does not grow with the square of the array."""
-    add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+def before_each(values: Column, op) -> Column:
+    """What `op` makes of 0 and all values before each one, by blocks, so that work does not grow with the square of the array."""
+    fold = lambda xs: F.aggregate(xs, F.lit(0), op)
     cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _BLOCK).cast("int")), lambda b: F.slice(xs, b * _BLOCK + 1, F.lit(_BLOCK)))
-    before = lambda blocks: F.aggregate(F.transform(blocks, add), F.array(F.lit(0)), lambda out, x: F.array_append(out, F.element_at(out, -1) + x))
-    inside = lambda p: F.flatten(F.transform(p["blocks"], lambda xs, b: F.transform(xs, lambda _, i: F.get(p["before"], b) + add(F.slice(xs, F.lit(1), i)))))
-    return let(lengths, lambda xs: let(cut(xs), lambda blocks: let(F.struct(blocks.alias("blocks"), before(blocks).alias("before")), inside)))
+    before = lambda blocks: F.aggregate(F.transform(blocks, fold), F.array(F.lit(0)), lambda out, x: F.array_append(out, op(F.element_at(out, -1), x)))
+    inside = lambda p: F.flatten(F.transform(p["blocks"], lambda xs, b: F.transform(xs, lambda _, i: op(F.get(p["before"], b), fold(F.slice(xs, F.lit(1), i))))))
+    return let(values, lambda xs: let(cut(xs), lambda blocks: let(F.struct(blocks.alias("blocks"), before(blocks).alias("before")), inside)))
 
 
 def located(text: Column, pattern: str | Column, kind: str, rank: int, valid) -> Column:
@@ -52,7 +59,7 @@ def located(text: Column, pattern: str | Column, kind: str, rank: int, valid) ->
         return F.filter(spans, lambda s: valid(s["match"]))
 
     def sized(p: Column) -> Column:
-        sums = prefix_sums(F.transform(p["m"], lambda x, i: F.length(x) + F.length(F.get(p["g"], i))))
+        sums = before_each(F.transform(p["m"], lambda x, i: F.length(x) + F.length(F.get(p["g"], i))), lambda a, x: a + x)
         return F.when(F.size(p["m"]) > 0, let(F.struct(p["m"].alias("m"), p["g"].alias("g"), sums.alias("s")), build))
 
     return F.coalesce(let(found, sized), F.array().cast(_SPAN))
@@ -72,89 +79,147 @@ SIGN = {"email": lambda t: F.contains(t, F.lit("@")), "ip": lambda t: t.rlike("[
 
 
 def base_spans(text: Column) -> Column:
-    """All base spans, kind after kind."""
+    """All base spans, by start, then kind."""
     none = F.array().cast(_SPAN)
-    return F.concat(*(F.when(SIGN[k](text), located(text, PATTERNS[k], k, i, VALID[k])).otherwise(none) for i, k in enumerate(KINDS)))
+    return F.array_sort(F.concat(*(F.when(SIGN[k](text), located(text, PATTERNS[k], k, i, VALID[k])).otherwise(none) for i, k in enumerate(KINDS))))
 
 
-def disclosing_terms(found: DataFrame, plain: DataFrame) -> DataFrame | None:
-    """(term, remove) for the corpus, from (text, base) of documents with entities and all texts; None if nothing meets often enough.
+def has_base(text: Column) -> Column:
+    """Whether there is a base span."""
+    out = F.lit(False)
+    for k in KINDS:
+        out = out | (SIGN[k](text) & F.exists(F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0)), VALID[k]))
+    return out
 
-    Counts of documents are over all documents; support counts different texts, so that copies of one text are no proof.
+
+def piece(parts: Column, lo: Column, hi: Column) -> Column:
+    """Code points lo to hi of a text that is cut in parts of 1024, without counting from the start of the text."""
+    first, stop = F.shiftright(lo, _PIECE_BITS), F.shiftright(F.greatest(hi, lo) + ((1 << _PIECE_BITS) - 1), _PIECE_BITS)
+    return F.substring(F.array_join(F.slice(parts, first + 1, stop - first), ""), lo % (1 << _PIECE_BITS) + 1, F.greatest(hi - lo, F.lit(0)))
+
+
+def rebuilt(text: Column, spans: Column, fill) -> Column:
+    """text with spans, sorted by start, replaced by fill(span, how far the spans before it reach)."""
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << _PIECE_BITS}}}"), F.lit(0))
+    reach = before_each(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+
+    def build(p: Column) -> Column:
+        each = F.transform(p["spans"], lambda s, i: F.concat(piece(p["parts"], F.get(p["reach"], i), s["start"]), fill(s, F.get(p["reach"], i))))
+        last = F.array_max(F.transform(p["spans"], lambda s: s["end"]))
+        return F.concat(F.array_join(each, ""), piece(p["parts"], last, F.length(text)))
+
+    return F.when(F.size(spans) > 0, let(F.struct(parts.alias("parts"), spans.alias("spans"), reach.alias("reach")), build)).otherwise(text)
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """text with every character of the spans blanked, so that places stay."""
+    return rebuilt(text, spans, lambda s, reach: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], reach), F.lit(0))))
+
+
+def sanitised(text: Column, spans: Column) -> Column:
+    """text with base spans replaced by <KIND>, disclosing terms by their first letters and `*`, terms to remove by nothing; overlapping spans become the first one."""
+    label = lambda s: F.when(s["kind"] == "removed", "").when(s["kind"] == "term", F.concat(F.substring(s["match"], 1, PREFIX), F.lit("*"))).otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+    return rebuilt(text, spans, lambda s, reach: F.when(s["start"] >= reach, label(s)).otherwise(""))
+
+
+def features(text: Column) -> Column:
+    """The different terms of a text and the generalised forms of them."""
+    return let(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), lambda xs: F.array_distinct(F.concat(xs, F.transform(xs, lambda x: F.concat(F.substring(x, 1, PREFIX), F.lit("*"))))))
+
+
+def protected(spans: Column) -> Column:
+    """The different (level, name) of the entities of a document."""
+
+    def levels(s: Column) -> Column:
+        own = F.when(s["kind"].isin("card", "phone"), digits(s["match"])).otherwise(F.lower(s["match"]))
+        group = F.when(s["kind"] == "email", F.substring_index(own, "@", -1)).when(s["kind"] == "ip", F.substring_index(own, ".", 2)).when(s["kind"] == "card", F.substring(own, 1, 6)).otherwise(F.substring(own, 1, 4))
+        named = {KIND: F.lit(""), GROUP: group, ITSELF: own}
+        return F.array(*(F.struct(F.lit(level).alias("level"), F.concat(s["kind"], F.lit(":"), name).alias("name")) for level, name in named.items()))
+
+    return F.array_distinct(F.flatten(F.transform(spans, levels)))
+
+
+def entity_texts(plain: DataFrame) -> DataFrame:
+    """(copy, rows, base, masked, entities, features) of each different text of `plain` (text) that has base spans; `copy` is its digest, rows are its documents."""
+    found = plain.select(F.md5("text").alias("copy"), "text", base_spans(F.col("text")).alias("base")).where(F.size("base") > 0)
+    each = found.groupBy("copy").agg(F.count("*").alias("rows"), F.first("text").alias("text"), F.first("base").alias("base"))
+    each = each.select("copy", "rows", "base", masked(F.col("text"), F.col("base")).alias("masked"), protected(F.col("base")).alias("entities"))
+    return written(each.withColumn("features", features(F.col("masked"))), "entity_texts")
+
+
+def disclosing_terms(texts: DataFrame, held: DataFrame, plain: DataFrame) -> DataFrame:
+    """(level, name, term, remove): which terms disclose which entities, by counts over all documents; support counts different texts, so that copies of one are no proof.
+
+    `texts` are those with entities, `held` (copy, level, name, of_entity) what entities they hold. A term has at least
+    the documents with entities in which it stands: pairs that fail even so need not be counted further.
     """
-    texts = found.groupBy(F.xxhash64("text").alias("copy")).agg(F.count("*").alias("rows"), F.first("text").alias("text"), F.first("base").alias("base"))
-    mention = texts.select("copy", "rows", "text", F.explode("base").alias("s"))
-    entity = F.concat("s.kind", F.lit(":"), F.when(F.col("s.kind").isin("card", "phone"), digits(F.col("s.match"))).otherwise(F.lower("s.match")))
-    left = F.regexp_replace(F.expr(f"substring(text, greatest(s.start - {CONTEXT}, 0) + 1, least(s.start, {CONTEXT}))"), r"(?s)^[^\x20\x09-\x0D]*+", "")
-    right = F.regexp_replace(F.expr(f"substring(text, s.end + 1, {CONTEXT})"), r"(?s)[^\x20\x09-\x0D]++\z", "")
-    near = F.array_distinct(F.concat(F.regexp_extract_all(left, F.lit(TERM), 0), F.regexp_extract_all(right, F.lit(TERM), 0)))
-    mentions = written(mention.select("copy", "rows", entity.alias("entity"), near.alias("near")), "mentions")
-    met = mentions.select("copy", "rows", "entity", F.explode("near").alias("term")).distinct()
-    pairs = met.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("rows").alias("together")).where(F.col("texts") >= SUPPORT)
-    # a term has at least the documents in which it is near some entity: pairs that fail even so need not be counted further
-    least = met.select("copy", "rows", "term").distinct().groupBy("term").agg(F.sum("rows").alias("near_any"))
-    entities = mentions.select("copy", "rows", "entity").distinct().groupBy("entity").agg(F.sum("rows").alias("of_entity"))
     total = plain.count()
-    disclosing = lambda n: (F.col("together") / n >= SHARE) & (F.log2(F.col("together") * total / (n * F.col("of_entity"))) >= BITS)
-    pairs = written(pairs.join(least, "term").join(entities, "entity").where(disclosing(F.col("near_any"))), "pairs")
+    prior = F.col("of_entity") / F.lit(total)
+    chance = lambda n: (F.col("together") + PRIOR_DOCS * prior) / (n + PRIOR_DOCS)
+    enough = lambda n: (chance(n) >= LIKELY) & (chance(n) >= 2.0**BITS * prior)
+    stands = texts.select("copy", "rows", F.explode("features").alias("term"))
+    met = stands.join(held, "copy").groupBy("level", "name", "of_entity", "term").agg(F.count("*").alias("texts"), F.sum("rows").alias("together"))
+    near = stands.groupBy("term").agg(F.sum("rows").alias("near"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts")
+    pairs = written(met.where(F.col("texts") >= SUPPORT).join(near, "term").where(enough(F.col("near"))), "pairs")
     terms = written(pairs.select("term").distinct(), "terms")
     count = terms.count()
-    if not count:
-        return None
-    frequency = terms_of(plain, terms, count) if count <= BROADCAST_TERMS else terms_of(plain, None, 0)
-    scored = pairs.join(frequency.groupBy("term").agg(F.count("*").alias("of_term")), "term").where(disclosing(F.col("of_term")))
-    share = F.col("together") / F.col("of_term")
-    return written(scored.groupBy("term").agg((F.max(share) >= REMOVE).alias("remove")), "disclosing")
-
-
-def terms_of(plain: DataFrame, terms: DataFrame | None, count: int) -> DataFrame:
-    """(copy, term) of each document and different term in it, of `terms` only where they are given (broadcast up to a checked number)."""
-    rows = plain.select(F.xxhash64("text").alias("copy"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), 0))).alias("term"))
-    if terms is None:
-        return rows
+    far = written(terms_of(plain.where(~has_base(F.col("text"))), terms, count).groupBy("term").agg(F.count("*").alias("far")), "frequency") if count else terms.select("term", F.lit(0).alias("far"))
+    sure = pairs.join(far, "term", "left").where(enough(F.col("near") + F.coalesce("far", F.lit(0)))).select("level", "name", "term")
+    sure = written(sure, "disclosing")
+    wide = sure.where(F.col("term").endswith("*")).select(F.col("level").alias("_l"), F.col("name").alias("_n"), F.col("term").alias("_t"))
+    own = sure.where(~F.col("term").endswith("*"))
+    same = (F.col("level") == F.col("_l")) & (F.col("name") == F.col("_n")) & (F.concat(F.substring("term", 1, PREFIX), F.lit("*")) == F.col("_t"))
+    return written(own.join(wide, same, "left").select("level", "name", "term", F.col("_t").isNotNull().alias("remove")), "actions")
+
+
+def terms_of(plain: DataFrame, terms: DataFrame, count: int) -> DataFrame:
+    """(copy, term): which of `terms` (broadcast up to a checked number) stand in each document."""
+    rows = plain.select(F.md5("text").alias("copy"), F.explode(features(F.col("text"))).alias("term"))
     return rows.join(F.broadcast(terms) if count <= BROADCAST_TERMS else terms, "term", "left_semi")
 
 
-def with_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with `_base` and `_spans`: base spans, and these with terms that disclose entities, both by start, then kind."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    plain = docs.select(text.alias("text"))
-    found = plain.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
-    terms = disclosing_terms(found, plain)
-    based = docs.withColumn("_base", F.array_sort(base_spans(text)))
-    if terms is None:
-        return based.withColumn("_spans", F.col("_base"))
-    count = terms.count()
-    hits = terms_of(plain, terms.select("term"), count).join(terms, "term").groupBy("copy").agg(F.collect_set(F.struct("term", "remove")).alias("_terms"))
-    hits = written(hits, "hits")
-    keyed = based.withColumn("_copy", F.xxhash64(text)).join(hits, F.col("_copy") == F.col("copy"), "left")
-    whole = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("_terms", lambda t: t["term"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    kept = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    gone = lambda s: F.exists("_terms", lambda t: (t["term"] == s["match"]) & t["remove"])
-    mark = lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.when(gone(s), "removed").otherwise("term").alias("kind"), s["match"].alias("match"))
-    spans = F.transform(F.filter(located(text, whole, "term", len(KINDS), lambda x: F.lit(True)), kept), mark)
-    marked = F.when(F.col("_terms").isNotNull(), F.array_sort(F.concat(F.col("_base"), spans))).otherwise(F.col("_base"))
-    return keyed.withColumn("_spans", marked).drop("_terms", "_copy", "copy")
-
-
-def joined(spans: str) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), s["start"], F.lit(":"), s["end"])), ",")
-
+def marked_texts(plain: DataFrame) -> tuple[DataFrame, bool]:
+    """(copy, base, spans) of each different text of `plain` (text) with spans, and whether some of these have no base span.
 
-def sanitised(text: Column, spans: Column) -> Column:
-    """text with spans replaced by <KIND>, disclosing terms by <TERM>, terms to remove by nothing; overlapping spans become the first one."""
-    merged = F.aggregate(
-        spans,
-        F.array().cast("array<struct<start:int,end:int,kind:string>>"),
-        lambda out, s: F.when(F.coalesce(F.get(out, F.size(out) - 1)["end"], F.lit(0)) > s["start"], F.when(F.get(out, F.size(out) - 1)["end"] >= s["end"], out).otherwise(F.array_append(F.slice(out, F.lit(1), F.size(out) - 1), F.struct(F.get(out, F.size(out) - 1)["start"].alias("start"), s["end"].alias("end"), F.get(out, F.size(out) - 1)["kind"].alias("kind"))))).otherwise(F.array_append(out, F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),
-    )
-    before = lambda m, i: F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0)
-    label = lambda s: F.when(s["kind"] == "removed", "").otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-    built = lambda m: F.concat(
-        F.array_join(F.transform(m, lambda s, i: F.concat(F.substring(text, before(m, i) + 1, s["start"] - before(m, i)), label(s))), ""),
-        F.substring(text, F.get(m, F.size(m) - 1)["end"] + 1, F.length(text)),
-    )
-    return F.when(F.size(spans) > 0, let(merged, built)).otherwise(text)
+    Terms that disclose a kind or group are spans in the documents that hold such an entity, where they tell what was
+    taken out; terms that disclose one entity are spans wherever they stand, since they name it.
+    """
+    texts = entity_texts(plain)
+    entities = texts.select("copy", "rows", F.explode("entities").alias("e")).select("copy", "rows", "e.level", "e.name")
+    often = entities.groupBy("level", "name").agg(F.count("*").alias("texts"), F.sum("rows").alias("of_entity")).where(F.col("texts") >= SUPPORT).drop("texts")
+    held = written(entities.join(often, ["level", "name"]).select("copy", "level", "name", "of_entity"), "held")
+    actions = disclosing_terms(texts, held, plain)
+    words = actions.select("term").distinct()
+    stands = texts.select("copy", F.explode("features").alias("term")).join(words, "term", "left_semi")
+    hits = stands.join(held.select("copy", "level", "name"), "copy").join(actions, ["level", "name", "term"]).select("copy", "term", "remove")
+    naming = actions.where(F.col("level") == ITSELF).groupBy("term").agg(F.max("remove").alias("remove"))
+    count = naming.count()
+    if count:
+        hits = hits.unionByName(stands.join(naming, "term").select("copy", "term", "remove"))
+        other = plain.where(~has_base(F.col("text")))
+        far = written(terms_of(other, naming.select("term"), count).distinct().join(naming, "term").select("copy", "term", "remove"), "naming")
+    listed = lambda found: found.groupBy("copy", "term").agg(F.max("remove").alias("remove")).groupBy("copy").agg(F.sort_array(F.collect_list(F.struct("remove", "term"))).alias("terms"))
+    done = texts.join(listed(hits), "copy", "left").select("copy", "base", with_terms("masked", "base").alias("spans"))
+    if count:
+        known = other.select(F.md5("text").alias("copy"), F.col("text").alias("masked")).join(listed(far), "copy").dropDuplicates(["copy"])
+        known = known.withColumn("base", F.array().cast(_SPAN))
+        done = done.unionByName(known.select("copy", "base", with_terms("masked", "base").alias("spans")))
+    return written(done, "marked"), bool(count)
+
+
+def with_terms(text_col: str, base_col: str) -> Column:
+    """base spans and the spans of `terms` (remove, term) in the masked text, by start."""
+
+    def of(remove: bool, kind: str) -> Column:
+        own = F.transform(F.filter("terms", lambda t: t["remove"] == F.lit(remove)), lambda t: t["term"])
+        pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(own, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+        return F.when(F.size(own) > 0, located(F.col(text_col), pattern, kind, len(KINDS), lambda x: F.lit(True))).otherwise(F.array().cast(_SPAN))
+
+    return F.when(F.col("terms").isNotNull(), F.array_sort(F.concat(base_col, of(False, "term"), of(True, "removed")))).otherwise(F.col(base_col))
+
+
+def joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), s["start"], F.lit(":"), s["end"])), ",")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,19 +228,37 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Null texts are empty; texts without spans have an empty list and its checksum; ids may be null or repeated; an
     empty table gives no rows; columns of other names are not read.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    n = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return with_spans(own).select("doc_id", *map(n, KINDS), F.sha2(joined("_base"), 256).alias("base_sha256"), joined("_spans").alias("spans"), (F.size("_spans") - F.size("_base")).cast("long").alias("n_terms"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    marked, _ = marked_texts(own.select("text"))
+    keyed = own.select("doc_id", F.md5("text").alias("copy")).join(marked, "copy", "left")
+    base, spans = (F.coalesce(c, F.array().cast(_SPAN)) for c in ("base", "spans"))
+    n = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return keyed.select("doc_id", *map(n, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), (F.size(spans) - F.size(base)).cast("long").alias("n_terms"))
 
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the text sanitised, and n_chars brought up to date where there is such a column; a null text stays null."""
-    done = with_spans(docs, text_col)
-    new = F.when(F.size("_spans") > 0, sanitised(F.col(text_col).cast("string"), F.col("_spans"))).otherwise(F.col(text_col))
-    done = done.withColumn(text_col, new)
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast("long"))
-    return done.select(*docs.columns)
+    """docs with the text sanitised, and n_chars brought up to date where there is such a column; a null text stays null.
+
+    Texts without spans stay as they are; texts of blanks and repeated rows are texts like any other, an empty table
+    gives an empty table, and columns may have any names. Only texts with spans are shuffled, unless terms that
+    disclose a single entity stand in others.
+    """
+    rows = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    marked, elsewhere = marked_texts(rows.select("text"))
+    spans = marked.select("copy", "spans")
+    bare = rows.where(~has_base(F.col("text")))
+    bare = bare.withColumn("copy", F.md5("text")).join(spans, "copy", "left") if elsewhere else bare.withColumn("spans", F.array().cast(_SPAN))
+    found = rows.where(has_base(F.col("text"))).withColumn("copy", F.md5("text")).join(spans, "copy", "left")
+    every = found.select("doc", "text", "spans").unionByName(bare.select("doc", "text", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans")))
+    done = every.withColumn("new", sanitised(F.col("text"), F.col("spans"))).withColumn("changed", F.size("spans") > 0)
+
+    def column(c: str) -> Column:
+        old = F.col("doc")[c]
+        if c == text_col:
+            return F.when(F.col("changed"), F.col("new")).otherwise(old.cast("string")).alias(c)
+        return (F.when(F.col("changed"), F.length("new")).otherwise(old).cast("long") if c == "n_chars" else old).alias(c)
+
+    return done.select(*map(column, docs.columns))
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
@@ -202,7 +285,8 @@ def _sql() -> str:
     total = lambda xs: f"coalesce(list_sum(list_transform({xs}, lambda x: length(x))), 0)"
     place = f"{total('g[1:i]')} + {total('m[1:i-1]')}"
     runs = r"[\p{L}\p{N}]+"
-    terms = lambda c: f"list_filter(regexp_extract_all({c}, '{runs}'), lambda w: regexp_matches(w, '^\\p{{L}}') AND length(w) >= 3)"
+    formed = f"unnest(list_distinct(list_concat(t, list_transform(t, lambda x: substr(x, 1, {PREFIX}) || '*')))) AS term"
+    chance = f"(CAST(together AS DOUBLE) + {PRIOR_DOCS} * prior) / (of_term + {PRIOR_DOCS})"
     ctes = []
     for rank, k in enumerate(KINDS):
         where = "regexp_matches(text, '[0-9]')" if k == "card" else f"contains(text, {sign[k]})"
@@ -213,23 +297,32 @@ def _sql() -> str:
     return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {", ".join(ctes)},
   b AS ({" UNION ALL ".join(f"SELECT * FROM {k}_v" for k in KINDS)}),
   rep AS (SELECT text, count(*) AS rows, min(doc_id) AS copy FROM d WHERE doc_id IN (SELECT doc_id FROM b) GROUP BY text),
-  mention AS (SELECT copy, rows, kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN {number} ELSE lower(match) END AS entity,
-    regexp_replace(substr(b.text, greatest(start - {CONTEXT}, 0) + 1, least(start, {CONTEXT})), '^[^\x20\x09-\x0D]*', '') AS l,
-    regexp_replace(substr(b.text, stop + 1, {CONTEXT}), '[^\x20\x09-\x0D]+$', '') AS r FROM b JOIN rep ON copy = doc_id),
-  met AS (SELECT DISTINCT copy, rows, entity, unnest(list_concat({terms("l")}, {terms("r")})) AS term FROM mention),
-  pairs AS (SELECT entity, term, sum(rows) AS together FROM met GROUP BY 1, 2 HAVING count(*) >= {SUPPORT}),
-  entities AS (SELECT entity, sum(rows) AS of_entity FROM (SELECT DISTINCT copy, rows, entity FROM mention) GROUP BY 1),
-  words AS (SELECT doc_id, unnest(list_distinct({terms("text")})) AS term FROM d),
-  frequency AS (SELECT term, count(*) AS of_term FROM words WHERE term IN (SELECT term FROM pairs) GROUP BY 1),
-  flagged AS (SELECT term, max(together / of_term) >= {REMOVE} AS remove FROM pairs JOIN entities USING (entity) JOIN frequency USING (term)
-    WHERE together / of_term >= {SHARE} AND log2(CAST(together AS DOUBLE) * (SELECT count(*) FROM d) / (CAST(of_term AS DOUBLE) * of_entity)) >= {BITS} GROUP BY 1),
-  hit AS (SELECT DISTINCT doc_id FROM words WHERE term IN (SELECT term FROM flagged)),
-  t_m AS (SELECT doc_id, text, regexp_extract_all(text, '{runs}') AS m, string_split_regex(text, '{runs}') AS g FROM d WHERE doc_id IN (SELECT doc_id FROM hit)),
-  t_s AS (SELECT doc_id, text, m, g, unnest(range(1, len(m) + 1)) AS i FROM t_m),
-  t_f AS (SELECT doc_id, text, CAST({place} AS BIGINT) AS start, {len(KINDS)} AS rank, CASE WHEN remove THEN 'removed' ELSE 'term' END AS kind, m[i] AS match FROM t_s JOIN flagged ON m[i] = term),
-  t AS (SELECT *, start + length(match) AS stop FROM t_f WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = t_f.doc_id AND b.start < t_f.start + length(t_f.match) AND t_f.start < b.stop)),
+  r AS (SELECT copy, b.text, start, stop, rank, coalesce(max(stop) OVER (PARTITION BY copy ORDER BY start, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM b JOIN rep ON copy = doc_id),
+  masked AS (SELECT copy, string_agg(substr(text, reach + 1, greatest(start - reach, 0)) || repeat(' ', greatest(stop - greatest(start, reach), 0)), '' ORDER BY start, rank) || substr(any_value(text), max(stop) + 1) AS text FROM r GROUP BY copy),
+  e AS (SELECT copy, rows, kind, CASE WHEN kind IN ('card', 'phone') THEN {number} ELSE lower(match) END AS own FROM b JOIN rep ON copy = doc_id),
+  c AS (SELECT DISTINCT copy, rows, {KIND} AS level, kind || ':' AS name FROM e
+    UNION ALL SELECT DISTINCT copy, rows, {GROUP}, kind || ':' || CASE kind WHEN 'email' THEN regexp_replace(own, '^.*@', '') WHEN 'ip' THEN regexp_extract(own, '^[0-9]+\.[0-9]+') WHEN 'card' THEN substr(own, 1, 6) ELSE substr(own, 1, 4) END FROM e
+    UNION ALL SELECT DISTINCT copy, rows, {ITSELF}, kind || ':' || own FROM e),
+  often AS (SELECT level, name, CAST(sum(rows) AS DOUBLE) / (SELECT count(*) FROM d) AS prior FROM c GROUP BY 1, 2 HAVING count(*) >= {SUPPORT}),
+  held AS (SELECT copy, rows, level, name, prior FROM c JOIN often USING (level, name)),
+  own AS (SELECT copy, rows, {formed} FROM (SELECT copy, rows, regexp_extract_all(masked.text, '{runs}') AS t FROM masked JOIN rep USING (copy))),
+  other AS (SELECT doc_id, {formed} FROM (SELECT doc_id, regexp_extract_all(text, '{runs}') AS t FROM d WHERE doc_id NOT IN (SELECT doc_id FROM b))),
+  pairs AS (SELECT level, name, prior, term, sum(own.rows) AS together FROM own JOIN held USING (copy) GROUP BY 1, 2, 3, 4 HAVING count(*) >= {SUPPORT}),
+  frequency AS (SELECT term, CAST(sum(n) AS DOUBLE) AS of_term FROM (SELECT term, sum(rows) AS n FROM own GROUP BY 1 UNION ALL SELECT term, count(*) FROM other GROUP BY 1) GROUP BY 1),
+  sure AS (SELECT level, name, term FROM pairs JOIN frequency USING (term) WHERE {chance} >= {LIKELY} AND {chance} >= {2.0**BITS} * prior),
+  action AS (SELECT s.level, s.name, s.term, w.term IS NOT NULL AS remove FROM sure s LEFT JOIN sure w ON s.level = w.level AND s.name = w.name AND w.term = substr(s.term, 1, {PREFIX}) || '*' WHERE NOT ends_with(s.term, '*')),
+  hit AS (SELECT copy, term, bool_or(remove) AS remove FROM (
+      SELECT copy, term, remove FROM own JOIN held USING (copy) JOIN action USING (level, name, term)
+      UNION ALL SELECT copy, term, remove FROM own JOIN action USING (term) WHERE level = {ITSELF}
+      UNION ALL SELECT doc_id, term, remove FROM other JOIN action USING (term) WHERE level = {ITSELF}) GROUP BY 1, 2),
+  m AS (SELECT copy, text FROM masked UNION ALL SELECT doc_id, text FROM d WHERE doc_id NOT IN (SELECT doc_id FROM b)),
+  t_m AS (SELECT copy, regexp_extract_all(text, '{runs}') AS m, string_split_regex(text, '{runs}') AS g FROM m WHERE copy IN (SELECT copy FROM hit)),
+  t_s AS (SELECT copy, m, g, unnest(range(1, len(m) + 1)) AS i FROM t_m),
+  t AS (SELECT t_s.copy, CAST({place} AS BIGINT) AS start, CASE WHEN remove THEN 'removed' ELSE 'term' END AS kind, m[i] AS match FROM t_s JOIN hit ON hit.copy = t_s.copy AND m[i] = term),
+  same AS (SELECT doc_id, copy FROM d JOIN rep USING (text) UNION ALL SELECT doc_id, doc_id FROM d WHERE doc_id NOT IN (SELECT doc_id FROM b)),
   base AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS said FROM b GROUP BY 1),
-  every AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS said, count(*) FILTER (rank = {len(KINDS)}) AS n_terms FROM (SELECT * FROM b UNION ALL SELECT * FROM t) GROUP BY 1)
+  spans AS (SELECT doc_id, kind, start, stop, rank FROM b UNION ALL SELECT doc_id, kind, start, start + length(match), {len(KINDS)} FROM t JOIN same USING (copy)),
+  every AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS said, count(*) FILTER (rank = {len(KINDS)}) AS n_terms FROM spans GROUP BY 1)
 SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(base.said, '')) AS base_sha256, coalesce(every.said, '') AS spans, coalesce(n_terms, 0) AS n_terms
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)"""
 
