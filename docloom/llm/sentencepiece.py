@@ -15,10 +15,12 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,6 +176,13 @@ class Vocabulary:
             scores += score
         return np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))]), scores
 
+    def segment_repeats(self, words: list[str]) -> tuple[np.ndarray, int]:
+        """Ids of words that may repeat, one after another, and the sum of their scores."""
+        known: dict[str, int] = {}
+        which = [known.setdefault(w, len(known)) for w in words]
+        ids, at, scores = self.segment(list(known))
+        return gathered(ids, at, np.array(which, np.int64)), sum(map(scores.__getitem__, which))
+
     def segment_some(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
         """As `forward` and `path`, for many words of up to 64 characters at once: by start of piece, all words together."""
         n = np.array([len(w) if self.quick and len(w) <= 64 else 0 for w in words], np.int64)
@@ -195,12 +204,18 @@ class Vocabulary:
             more = live + depth < end[live]
             live, node = live[more], node[more]
         lone = np.flatnonzero(~single)
+        # the different characters in no piece, with their byte pieces; in place of a piece they stand as -2 - which
+        odd, which = np.unique(chars[lone], return_inverse=True)
+        spelt = [self.ids_of_lone(chr(c)) for c in odd.tolist()]
+        wide = np.array([len(x) for x in spelt], np.int64)
+        spelt = np.array([x + [0] * (4 - len(x)) for x in spelt], np.int32).reshape(-1, 4)
         start = np.concatenate([lone, *(f[0] for f in found)])
         size = np.concatenate([np.ones(len(lone), np.int64), *(f[1] for f in found)])
         nodes = np.concatenate([np.full(len(lone), -1, np.int32), *(f[2] for f in found)])
         weight = np.where(nodes >= 0, self.quick_weight[nodes], (self.lone >> 52) << 37) if len(start) else np.zeros(0, np.int64)
-        piece = np.where(nodes >= 0, self.ends[nodes], -1) if len(start) else np.zeros(0, np.int32)
-        order = np.argsort(place[start], kind="stable")
+        piece = self.ends[nodes] if len(start) else np.zeros(0, np.int32)
+        piece[: len(lone)] = -2 - which
+        order = np.argsort(place[start].astype(np.uint8), kind="stable")
         start, size, weight, piece = start[order], size[order], weight[order], piece[order]
         cut = np.searchsorted(place[start], np.arange(65))
         self.forward("", 0, 128)
@@ -224,35 +239,40 @@ class Vocabulary:
             now = came[now]
             on = now > base[who]
             now, who = now[on], who[on]
+        width = lambda ids: np.where(ids >= 0, 1, wide[np.maximum(-2 - ids, 0)]) if len(wide) else np.ones(len(ids), np.int64)
         count = np.zeros(len(words), np.int64)
-        for w, _ in steps:
-            count[w] += 1
-        slow = n == 0
         for w, ids in steps:
-            slow[w[ids < 0]] = True
+            count[w] += width(ids)
         scores = [((t >> 37) << 52) + (t & ((1 << 37) - 1)) for t in total.tolist()]
         kept = {}
-        for i in np.flatnonzero(slow).tolist():
+        for i in np.flatnonzero(n == 0).tolist():
             scores[i], kept[i] = self.best(words[i])
             count[i] = len(kept[i])
         offset = np.cumsum(count) - count
         out = np.zeros(int(count.sum()), np.int32)
-        for k, (w, ids) in enumerate(steps):
-            ok = ~slow[w]
-            out[offset[w[ok]] + count[w[ok]] - 1 - k] = ids[ok]
+        until = offset + count
+        for w, ids in steps:
+            size = width(ids)
+            until[w] -= size
+            out[until[w]] = ids
+            for i in np.flatnonzero(ids < 0).tolist():
+                out[until[w[i]] : until[w[i]] + size[i]] = spelt[-2 - ids[i], : size[i]]
         for i, ids in kept.items():
             out[offset[i] : offset[i] + len(ids)] = ids
         return out, count, scores
 
-    def texts(self, texts: list[str]) -> list[np.ndarray]:
+    def texts(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of whole texts; none for an empty one."""
-        texts = [t.replace(SPACE, LITERAL) if SPACE in t else t for t in texts]
+        plain = lambda t: t.replace(SPACE, LITERAL) if SPACE in t else t
+        texts = pa.array(texts, pa.large_string())
         if not self.by_word:
-            return [np.array(self.best(SPACE + t.replace(" ", SPACE))[1] if t else [], np.int32) for t in texts]
-        known: dict[str, int] = {}
-        which = [[known.setdefault(w, len(known)) for w in t.split(" ")] if t else [] for t in texts]
-        ids, at, _ = self.segment([SPACE + w for w in known])
-        return [gathered(ids, at, np.array(w, np.int64)) for w in which]
+            return [np.array(self.best(SPACE + plain(t).replace(" ", SPACE))[1] if t else [], np.int32) for t in texts.to_pylist()]
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten().dictionary_encode()
+        ids, at, _ = self.segment([SPACE + plain(w) for w in words.dictionary.to_pylist()])
+        which, cut = words.indices.to_numpy(), np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])
+        some = pc.binary_length(texts).to_numpy() > 0
+        return [gathered(ids, at, which[cut[i] : cut[i + 1]] if some[i] else which[:0]) for i in range(len(texts))]
 
     def split(self, s: str, size: int) -> tuple[int, list[str], int]:
         """First and last place in a chunk that every segmentation cuts at, and the words between; -1 if there is none."""
@@ -271,7 +291,7 @@ class Vocabulary:
         if first >= 0:
             best, _ = self.forward(s[last:], size - last)
             tail = [best[size - last + j] if size - last + j < len(best) else NEVER for j in range(k)]
-            middle = sum(self.segment(words)[2])
+            middle = self.segment_repeats(words)[1]
             for i in range(min(k, first + 1)):
                 head = self.forward(s[i:first], first - i, place + i)[0][first - i]
                 out[i] = [head + middle + t for t in tail]
@@ -292,9 +312,11 @@ class Vocabulary:
         head, tail = s[entry:first], s[last:]
         a = self.path(head, self.forward(head, len(head), place + entry)[1], len(head))
         b = self.path(tail, self.forward(tail, size - last)[1], size - last + leave)
-        return np.concatenate([np.array(a, np.int32), self.segment(words)[0], np.array(b, np.int32)])
+        return np.concatenate([np.array(a, np.int32), self.segment_repeats(words)[0], np.array(b, np.int32)])
 
-    def piece_bytes(self) -> list[bytes]:
+    @cached_property
+    def spelling(self) -> list[bytes]:
+        """The bytes of each piece."""
         return [bytes([int(p[3:5], 16)]) if k == "byte" else b"" if k == "other" else p.replace(SPACE, " ").encode() for p, _, k in self.rows]
 
 
@@ -376,7 +398,7 @@ def as_lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", ids_col: str = "ids", chunk: int = CHUNK) -> DataFrame:
-    """docs with `ids_col` array<int>, the piece ids of the whole text; all columns and rows stay, a column of that name is replaced.
+    """docs with `ids_col` array<int>, the piece ids of the whole text; all columns, whatever their names, and rows stay, a column of that name is replaced.
 
     Null and empty texts give an empty array. Texts above two chunks take the chunked way, equal ones once; repeated
     rows stay rows; an empty table gives an empty table.
@@ -397,7 +419,7 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", ids_col:
             data = texts.cast(pa.large_string()).fill_null("")
             at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
             for lo, hi in spans(at, 2 << 20):
-                yield as_lists(v.texts(data[lo:hi].to_pylist()))
+                yield as_lists(v.texts(data[lo:hi]))
 
     small = docs.where(size <= 2 * chunk).withColumn(ids_col, whole(text_col))
 
@@ -434,23 +456,25 @@ def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text", ids_col:
             ids = as_lists([v.between(s, n, place, a, b) for (s, n, place), (a, b) in zip(prepared(batch), states_of, strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), ids], ["key", "chunk", "part_ids"])
 
-    giants = docs.where(size > 2 * chunk).withColumn("_key", F.sha2(F.col(text_col).cast("binary"), 256))
-    texts = giants.select("_key", text_col).dropDuplicates(["_key"])
+    giants = docs.where(size > 2 * chunk).select(F.struct("*").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    giants = giants.withColumn("digest", F.sha2("text", 256))
+    texts = giants.select("digest", "text").dropDuplicates(["digest"])
     chunks = written(texts.mapInArrow(cut, "key string, chunk long, size long, place long, first boolean, part string").repartition("key", "chunk"), "chunks")
     mats = written(chunks.mapInArrow(matrices, "key string, chunk long, matrix array<string>"), "matrices")
     found = chunks.join(boundary_states(mats, states), ["key", "chunk"]).mapInArrow(backtraced, "key string, chunk long, part_ids array<int>")
-    joined = found.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "part_ids"))), lambda x: x["part_ids"])).alias(ids_col))
-    large = giants.join(joined, giants["_key"] == joined["key"]).drop("_key", "key")
+    joined = found.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "part_ids"))), lambda x: x["part_ids"])).alias("found"))
+    large = giants.join(joined, F.col("digest") == F.col("key")).select("doc.*", F.col("found").alias(ids_col))
     return small.unionByName(large)
 
 
 def decode(df: DataFrame, path: str = MODEL, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """df with `out_col`, the text of the ids: null for null, empty for none."""
+    """df with `out_col`, the text of the ids: null for null, empty for none. A column of that name is replaced."""
     rows = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    key_of = (path, os.path.getsize(path))
 
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        get = Vocabulary(rows.value).piece_bytes().__getitem__
+        get = held(key_of, rows).spelling.__getitem__
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 ids = batch[lo : lo + 512]

@@ -85,9 +85,9 @@ def test_chunked_and_whole_agree_and_decode(spark):
     texts = ["", None, " ", "  two  spaces ", "tab\tand\r\nline", "▁literal▁", "a"]
     texts += ["".join(rng.choices(alphabet, k=rng.choice([30, 64, 65, 66, 200, 700, 5000]))) for _ in range(30)]
     texts += ["internationalisation" * 60, "z" * 1000, " " * 300, "the " * 400, texts[-1], texts[-1]]
-    df = spark.createDataFrame([(i, t, [1]) for i, t in enumerate(texts)], "doc_id long, text string, ids array<int>")
+    df = spark.createDataFrame([(i, t, [1], *range(7)) for i, t in enumerate(texts)], "doc_id long, text string, ids array<int>, key int, chunk int, part int, doc int, digest int, found int, decoded int")
     got = {r.doc_id: r for r in P.decode(P.encode(df, chunk=32)).collect()}
-    assert len(got) == len(texts)
+    assert len(got) == len(texts) and all([r.key, r.chunk, r.part, r.doc, r.digest, r.found] == list(range(6)) for r in got.values())
     for i, t in enumerate(texts):
         assert got[i].decoded == (t or "")
         assert got[i].ids == brute(v, t or ""), t
