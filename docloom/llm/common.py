@@ -59,3 +59,28 @@ def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[Colum
         same = c if same is None else same & c
     joined = inner.join(before, same, "left")
     return joined.select(*(inner[c] for c in df.columns), (F.col("_before") + F.col("_within")).alias(out))
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of `edges` (a, b): root is the least node that it reaches. Stars alternate (large, then small) until nothing changes; each round is written to the shared folder."""
+    e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
+    mark = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+    seen = mark(e)
+    for _ in range(most_rounds):
+        if not seen["n"]:
+            break
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        joined = large.join(low, "a")
+        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a > b").distinct()
+        e = written(small, "edges")
+        now = mark(e)
+        if now == seen:
+            break
+        seen = now
+    else:
+        raise RuntimeError("components did not settle")
+    return e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")

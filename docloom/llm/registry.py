@@ -2,7 +2,7 @@
 
 from docloom.llm.chat import OP8_SQL, op8_chat
 from docloom.llm.media import op10_media_columns
-from docloom.llm.minhash import op3_minhash
+from docloom.llm.minhash import NEAR_SQL, minhash_near_classes, op3_minhash
 from docloom.llm.mixing import OP6_SQL, op6_mixing
 from docloom.llm.pii import OP9_SQL, op9_pii
 from docloom.llm.quality import op5_quality
@@ -22,5 +22,6 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_pii": op9_pii,
     "op10_media_columns": op10_media_columns,
+    "minhash_near_classes": minhash_near_classes,
 }
-ORACLES = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op8_chat": OP8_SQL, "op9_pii": OP9_SQL}
+ORACLES = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op8_chat": OP8_SQL, "op9_pii": OP9_SQL, "minhash_near_classes": NEAR_SQL}

@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm import setjoin
-from docloom.llm.common import table, written
+from docloom.llm import minhash, setjoin
+from docloom.llm.common import components, table, written
 from docloom.llm.textblock import Block, spans, strings
 
 SEGMENTS, MOST = 8, 3
@@ -169,31 +169,6 @@ def links(prints: DataFrame) -> DataFrame:
     return sorted_pairs.mapInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of `edges` (a, b): root is the least node that it reaches. Stars alternate (large, then small) until nothing changes; each round is written to the shared folder."""
-    e = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
-    mark = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-    seen = mark(e)
-    for _ in range(most_rounds):
-        if not seen["n"]:
-            break
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a > b").distinct()
-        e = written(small, "edges")
-        now = mark(e)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    return e.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-
-
 def near_duplicates(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): component_id is the least doc_id reachable over links of at most 3 bits.
 
@@ -211,34 +186,32 @@ def near_duplicates(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_co
     return fps.join(by_fp, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document, that of the least id, of each group of near copies; all columns stay.
 
-    Texts whose sets of shingles of k words have a Jaccard similarity of at least `similarity` are linked, and links join
-    groups. The join is exact (`setjoin`): every such pair meets in the bucket of a prefix shingle, every link is verified
-    on the whole sets, and pairs are passed over only if verified links join them already. Equal sets enter once.
-    Null texts count as empty, texts without words are near copies of each other, of repeated rows one stays, rows with
-    a null id can't be named and all stay, and an empty table gives an empty table.
+    Texts whose sets of five-word shingles have a Jaccard similarity of at least `similarity` are linked, and links join
+    groups. Three differing bits of a SimHash find no such copies, so candidates are those that share a band of the
+    MinHash signature (25 bands of 5 values: a pair of similarity 0.8 meets with probability 0.99995), and every link is
+    verified on the whole sets; pairs are passed over only if verified links join them already. Equal sets enter once.
+    Null texts count as empty, texts without words are near copies of each other, of rows of one id and text that with
+    the least other columns stays, rows with a null id can't be named and all stay, columns may have any names, and an
+    empty table gives an empty table.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = docs.where(F.col(id_col).isNotNull())
-    base = named.select(F.col(id_col).cast("long").alias("id"), F.sha1(text.cast("binary")).alias("h"), text.alias("text"))
-
-    classes = setjoin.set_classes(base, k, similarity)
-    shared = written(setjoin.shared_tokens(classes), "shared")
-    first = shared.where((F.col("pos") < setjoin.FIRST) & (F.col("rows") > setjoin.GROUP))
-    plain = written(setjoin.contracting_links(first, setjoin.sets_of(base, classes, first.select("node").distinct(), k), similarity), "links")
-    found = written(setjoin.open_pairs(shared, written(components(plain), "groups"), similarity), "candidates")
-    ends = found.select(F.col("a").alias("node")).union(found.select("b")).distinct()
-    shingles = setjoin.sets_of(base, classes, ends, k)
-    left, right = (shingles.select(F.col("node").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
-    common, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
-    alike = found.join(left, "a").join(right, "b").where(common >= similarity * (both - common)).select("a", "b")
-    roots = classes.join(components(plain.union(alike)), "node", "left").select("k", F.coalesce("root", "node").alias("root"))
-    kept = written(roots.groupBy("root").agg(F.min("k").alias("k")).select(F.col("k.id").alias("_id"), F.col("k.h").alias("_h")), "kept")
-    hashed = named.withColumn("_sha", F.sha1(text.cast("binary"))).join(kept, (F.col(id_col) == F.col("_id")) & (F.col("_sha") == F.col("_h")), "left_semi")
-    one = hashed.withColumn("_row", F.row_number().over(Window.partitionBy(id_col, "_sha").orderBy(F.lit(0)))).where("_row = 1")
-    return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("id"), F.sha1(text.cast("binary")).alias("h"), text.alias("text"))
+    base = rows.where(F.col("id").isNotNull()).select("id", "h", "text")
+    classes = setjoin.numbered(minhash.banded(base))
+    joined = setjoin.joined_nodes(base, classes, minhash.SHINGLE, similarity)
+    roots = classes.join(joined, "node", "left").select("k", F.coalesce("root", "node").alias("root"))
+    kept = written(roots.groupBy("root").agg(F.min("k").alias("k")).select("k.id", "k.h"), "kept")
+    # documents stay where they are, but for those to leave out and those of which one row is to be chosen
+    keys = written(base.groupBy("id", "h").agg(F.count("*").alias("n")).join(kept.withColumn("stays", F.lit(True)), ["id", "h"], "left").where("stays is null or n > 1"), "keys")
+    out = keys.select("id", "h")
+    once = rows.join(F.broadcast(out) if keys.count() <= setjoin.BROADCAST_NODES else out, ["id", "h"], "left_anti").select("doc")
+    others = [F.col("doc")[c] for c in docs.columns if c not in (id_col, text_col)]
+    first = Window.partitionBy("id", "h").orderBy(F.to_json(F.struct(*others)) if others else F.lit(0))
+    again = rows.join(keys.where("stays"), ["id", "h"], "left_semi").withColumn("at", F.row_number().over(first)).where("at = 1").select("doc")
+    return once.unionByName(again).select("doc.*")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -107,5 +107,5 @@ class Block:
         hashes = rolled[at]
         for i in np.flatnonzero((count > 0) & (count < k)):
             w = words[self.first[i] : self.first[i + 1]]
-            hashes[out[i]] = (w * power[: len(w)]).sum(dtype=np.uint64) + power[k] * np.uint64(k - len(w))
+            hashes[out[i]] = (np.append(w, np.uint64(k - len(w))) * np.append(power[: len(w)], power[k])).sum(dtype=np.uint64)
         return mix(hashes), out

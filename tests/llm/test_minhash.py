@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from docloom.llm import minhash as M
 
@@ -61,16 +62,52 @@ def test_likeness_estimates_jaccard():
     assert (blank[0] == blank[1]).all() and (blank[0] == blank[2]).all() and M.likeness(blank[0], sig[0]) == 0
 
 
-def test_near_pairs_are_those_of_all_pairs(spark):
-    texts = texts_of(3) + ["", None, " "]
-    texts += texts[:2]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    pairs, members = M.near_pairs(df)
-    got = {(r.a, r.b) for r in pairs.collect()}
-    first = {}
-    for i, t in enumerate(texts):
-        first.setdefault(t or "", i)
-    assert {r.doc_id: r.class_id for r in members.collect()} == {i: first[t or ""] for i, t in enumerate(texts)}
-    ids = sorted(first.values())
-    want = {(a, b) for a in ids for b in ids if a < b and grams(texts[a]) and len(grams(texts[a]) & grams(texts[b])) >= 0.8 * len(grams(texts[a]) | grams(texts[b]))}
-    assert got == want and want
+def classes_by_brute_force(rows):
+    sets = [grams(t) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                label[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return sorted(((d, least.get(root(i))) for i, (d, _) in enumerate(rows)), key=str)
+
+
+@pytest.mark.parametrize("rows_of_bucket", [8, 4096])
+def test_near_classes_are_those_of_all_pairs(spark, monkeypatch, rows_of_bucket):
+    from docloom.llm import setjoin
+
+    for name in ("SET_ROWS", "BROADCAST_NODES", "_COLUMNS"):
+        monkeypatch.setattr(setjoin, name, rows_of_bucket)
+    texts = texts_of(3) + ["", None, " ", "one two", "One  two"]
+    rng = random.Random(8)
+    words = [f"v{rng.randrange(3000)}" for _ in range(200)]
+    for _ in range(120):  # copies of one original, alike to it and seldom to each other
+        own = list(words)
+        for i in rng.sample(range(33), 4):
+            own[6 * i] = f"new{rng.random()}"
+        texts.append(" ".join(own))
+    rows = [(1000 - i, t) for i, t in enumerate(texts + texts[:2])]
+    rows += [(7, texts[0]), (7, texts[20]), (None, texts[1]), (None, "no other has this text"), (3, texts[2]), (3, texts[2])]
+    df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, node int")
+    assert sorted(((r.doc_id, r.class_id) for r in M.near_classes(df).collect()), key=str) == classes_by_brute_force(rows)
+    assert M.near_classes(df.limit(0)).collect() == []
+
+
+def test_repeated_and_null_ids_are_cut_into_ranges(spark):
+    texts = texts_of(4)
+    rows = [(5 if i < 30 else None if i < 50 else i, t) for i, t in enumerate(texts)] + [(9, "a b"), (5, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(str, M.edited_fingerprints(df, rows_each=4000).collect()))
+    assert whole == sorted(map(str, M.edited_fingerprints(df, rows_each=3).collect())) and len(whole) == len(rows)
+    ranged, guests = M.ordered_ranges(df, 3)
+    assert ranged.groupBy("bucket", "part").count().agg({"count": "max"}).first()[0] <= 15 and guests.count() == ranged.select("bucket", "part").distinct().count()

@@ -41,7 +41,7 @@ def edited(rng, words, n):
 def test_edited_copies_of_one_original_and_texts_of_one_bag(spark, monkeypatch, rows_of_bucket):
     from docloom.llm import setjoin
 
-    for name in ("SET_ROWS", "BLOCK_ROWS", "EXPANDED"):
+    for name in ("SET_ROWS", "_COLUMNS"):
         monkeypatch.setattr(setjoin, name, rows_of_bucket)
     rng = random.Random(5)
     rows = []
@@ -57,6 +57,34 @@ def test_edited_copies_of_one_original_and_texts_of_one_bag(spark, monkeypatch,
     assert kept(spark, rows) == kept_by_brute_force(rows)
 
 
+def test_products_and_forest_against_brute_force():
+    import numpy as np
+
+    from docloom.llm import setjoin
+
+    rng = random.Random(9)
+    base = set(range(100))
+    sets = [sorted((base - set(rng.sample(range(100), k))) | {1000 + rng.randrange(10**6) for _ in range(k)}) for k in [0, 2, 4, 6, 9, 11, 14, 20] * 8] + [[], [5], [5]]
+    flat, at = np.array([x for s in sets for x in s]), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    near = setjoin.alike(flat, at, 0.8)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert i == j or near[i, j] == (len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)) - 1e-6)
+    root = np.arange(len(sets))
+    root[[7, 15]] = 7  # joined by what came before
+    edges = setjoin.forest(near, root)
+    assert all(near[i, j] and root[i] != root[j] for i, j in edges)
+
+    def parts(pairs):
+        label = root.copy()
+        for _ in label:
+            for i, j in pairs:
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+        return label.tolist()
+
+    assert parts(edges) == parts(zip(*np.nonzero(near), strict=True)) and len(edges) < len(sets)
+
+
 def test_appended_truncated_and_block_edited_copies(spark):
     rng = random.Random(6)
     draw = lambda n: [f"v{rng.randrange(5000)}" for _ in range(n)]
