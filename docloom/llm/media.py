@@ -1,8 +1,9 @@
 """ISO media containers as columns: walk nested boxes, decode sample tables, store codec, duration and keyframe byte ranges.
 
-`pack` stores a payload losslessly as the samples of one track (8-bit units, 64 to a sample); `describe` reads any
-container of this family (nested boxes, 32- and 64-bit box sizes, stts, stsc, stsz, stco or co64, stss) without
-decoding a payload; `read_samples` copies the samples' bytes out again.
+`pack` stores a payload losslessly as the samples of one track (8-bit units, 64 to a sample); `tracks` reads any
+container of this family (nested boxes, 32- and 64-bit box sizes, stts, stsc, stsz, stco or co64, stss, and the fragments'
+moof, tfhd and trun with the defaults of trex) without decoding a payload; `read_samples` copies the samples' bytes out
+again; `container_columns` describes a column of containers.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Boxes that hold boxes.
-NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
+NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 SAMPLE_BYTES, SYNC_EVERY, PER_CHUNK, TIMESCALE = 64, 32, 256, 8000
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, n_samples long, keyframes array<struct<offset:long,bytes:long>>"
@@ -99,53 +100,131 @@ def walk(data: memoryview, lo: int = 0, hi: int | None = None, path: tuple[bytes
         lo = end
 
 
-def u32(data: memoryview, lo: int, count: int, width: int = 1) -> np.ndarray:
+class Damaged(ValueError):
+    """A box that says more than it holds."""
+
+
+def u32(data: memoryview, lo: int, hi: int, count: int, width: int = 1) -> np.ndarray:
+    if count * width * 4 > hi - lo:
+        raise Damaged("a table runs past its box")
     return np.frombuffer(data, ">u4", count * width, lo).astype(np.int64).reshape(count, width)
 
 
+def number(data: memoryview, lo: int, hi: int, kind: str = ">I") -> int:
+    if lo + struct.calcsize(kind) > hi:
+        raise Damaged("a field runs past its box")
+    return struct.unpack_from(kind, data, lo)[0]
+
+
+def placed(t: dict) -> None:
+    """Offsets of a track's samples from its chunk tables."""
+    n, chunks, runs = len(t["size"]), t["chunks"], t["stsc"]
+    per = np.zeros(len(chunks), np.int64)
+    if len(runs) and len(chunks):
+        first = runs[:, 0] - 1
+        if (np.diff(first) <= 0).any() or first[0] < 0:
+            raise Damaged("runs of chunks out of order")
+        counts = np.diff(np.append(first, len(chunks)).clip(0, len(chunks)))
+        per = np.concatenate([np.zeros(min(int(first[0]), len(chunks)), np.int64), np.repeat(runs[:, 1], counts)])
+    if per.sum() > 8 * n + (1 << 20):
+        raise Damaged("chunks of more samples than there are")
+    chunk = np.repeat(np.arange(len(per)), per)[:n]
+    before = np.concatenate([[0], np.cumsum(t["size"])])[:-1][: len(chunk)]
+    first = np.concatenate([[0], np.cumsum(per)])[:-1]
+    begin = before[np.minimum(first, max(0, len(before) - 1))] if len(before) else before
+    t["offset"] = chunks[chunk] + before - begin[chunk] if len(chunk) else np.zeros(0, np.int64)
+    sync = np.ones(n, bool)
+    if t["sync"] is not None:
+        sync = np.zeros(n, bool)
+        sync[t["sync"][(t["sync"] >= 0) & (t["sync"] < n)]] = True
+    t["keyframe"] = sync
+
+
+def run_of(data: memoryview, lo: int, hi: int, head: dict, track: dict) -> None:
+    """Adds the samples of a fragment's trun to their track; `head` is its tfhd."""
+    flags, count = number(data, lo, hi) & 0xFFFFFF, number(data, lo + 4, hi)
+    at = lo + 8
+    if flags & 1:
+        head["next"] = head["base"] + number(data, at, hi, ">i")
+        at += 4
+    first = None
+    if flags & 4:
+        first, at = number(data, at, hi), at + 4
+    fields = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+    rows = u32(data, at, hi, count, len(fields)) if fields else np.zeros((count, 0), np.int64)
+    if not fields and count > len(data):
+        raise Damaged("a run of more samples than bytes")
+    column = lambda f, default: rows[:, fields.index(f)] if f in fields else np.full(count, default, np.int64)
+    ticks, size, mark = column(0x100, head["ticks"]), column(0x200, head["size"]), column(0x400, head["flags"])
+    if first is not None and count:
+        mark = mark.copy()
+        mark[0] = first
+    track["more"].append((head["next"] + np.concatenate([[0], np.cumsum(size)])[:-1], size, (mark & 0x10000) == 0))
+    track["ticks"] += int(ticks.sum())
+    head["next"] += int(size.sum())
+
+
 def tracks(data: memoryview) -> list[dict]:
-    """Codec, timescale, duration and every sample's offset, size and sync flag, by track."""
+    """Codec, timescale, duration and every sample's offset, size and sync flag, by track; Damaged where a box holds less than it says."""
     out: list[dict] = []
+    defaults: dict[int, list[int]] = {}
+    moof, head = 0, None
     for path, lo, hi in walk(data):
         kind = path[-1]
         if kind == b"trak":
-            out.append({"codec": "", "timescale": 0, "ticks": 0, "sync": None, "size": np.zeros(0, np.int64), "stsc": np.zeros((0, 3), np.int64), "chunks": np.zeros(0, np.int64)})
+            out.append({"id": len(out) + 1, "codec": "", "timescale": 0, "ticks": 0, "sync": None, "size": np.zeros(0, np.int64), "stsc": np.zeros((0, 3), np.int64), "chunks": np.zeros(0, np.int64), "more": []})
+        elif kind == b"trex":
+            ident, _, *rest = u32(data, lo + 4, hi, 5)[:, 0].tolist()
+            defaults[ident] = rest
+        elif kind == b"moof":
+            moof = lo - (16 if lo >= 16 and bytes(data[lo - 16 : lo - 8]) == b"\0\0\0\1moof" else 8)
+        elif kind == b"tfhd":
+            flags, ident, at = number(data, lo, hi) & 0xFFFFFF, number(data, lo + 4, hi), lo + 8
+            ticks, size, marks = defaults.get(ident, [0, 0, 0])
+            head = {"id": ident, "base": moof, "ticks": ticks, "size": size, "flags": marks}
+            if flags & 1:
+                head["base"], at = number(data, at, hi, ">Q"), at + 8
+            at += 4 if flags & 2 else 0
+            for bit, name in ((8, "ticks"), (16, "size"), (32, "flags")):
+                if flags & bit:
+                    head[name], at = number(data, at, hi), at + 4
+            head["next"] = head["base"]
+        elif kind == b"trun" and head:
+            track = next((t for t in out if t["id"] == head["id"]), None)
+            if track:
+                run_of(data, lo, hi, head, track)
         if not out or b"trak" not in path:
             continue
         t = out[-1]
-        if kind == b"mdhd":
-            t["timescale"] = struct.unpack_from(">I", data, lo + (20 if data[lo] else 12))[0]
-        elif kind == b"stsd" and struct.unpack_from(">I", data, lo + 4)[0]:
+        if kind == b"tkhd":
+            t["id"] = number(data, lo + (20 if data[lo] else 12), hi)
+        elif kind == b"mdhd":
+            t["timescale"] = number(data, lo + (20 if data[lo] else 12), hi)
+        elif kind == b"stsd" and number(data, lo + 4, hi):
             t["codec"] = bytes(data[lo + 12 : lo + 16]).decode("latin-1")
         elif kind == b"stts":
-            runs = u32(data, lo + 8, struct.unpack_from(">I", data, lo + 4)[0], 2)
+            runs = u32(data, lo + 8, hi, number(data, lo + 4, hi), 2)
             t["ticks"] = int((runs[:, 0] * runs[:, 1]).sum())
         elif kind == b"stss":
-            t["sync"] = u32(data, lo + 8, struct.unpack_from(">I", data, lo + 4)[0])[:, 0] - 1
+            t["sync"] = u32(data, lo + 8, hi, number(data, lo + 4, hi))[:, 0] - 1
         elif kind == b"stsz":
-            each, n = struct.unpack_from(">II", data, lo + 4)
-            t["size"] = np.full(n, each, np.int64) if each else u32(data, lo + 12, n)[:, 0]
+            each, n = number(data, lo + 4, hi), number(data, lo + 8, hi)
+            if each and n > len(data):
+                raise Damaged("more samples than bytes")
+            t["size"] = np.full(n, each, np.int64) if each else u32(data, lo + 12, hi, n)[:, 0]
         elif kind == b"stsc":
-            t["stsc"] = u32(data, lo + 8, struct.unpack_from(">I", data, lo + 4)[0], 3)
+            t["stsc"] = u32(data, lo + 8, hi, number(data, lo + 4, hi), 3)
         elif kind == b"stco":
-            t["chunks"] = u32(data, lo + 8, struct.unpack_from(">I", data, lo + 4)[0])[:, 0]
+            t["chunks"] = u32(data, lo + 8, hi, number(data, lo + 4, hi))[:, 0]
         elif kind == b"co64":
-            t["chunks"] = np.frombuffer(data, ">u8", struct.unpack_from(">I", data, lo + 4)[0], lo + 8).astype(np.int64)
+            pairs = u32(data, lo + 8, hi, number(data, lo + 4, hi), 2)
+            t["chunks"] = (pairs[:, 0] << 32) + pairs[:, 1]
     for t in out:
-        n, chunks, runs = len(t["size"]), t["chunks"], t["stsc"]
-        per = np.zeros(len(chunks), np.int64)
-        if len(runs):
-            per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0] - 1, len(chunks)).clip(0, len(chunks))))
-        chunk = np.repeat(np.arange(len(per)), per)[:n]
-        before = np.concatenate([[0], np.cumsum(t["size"])])[:-1][: len(chunk)]
-        first = np.concatenate([[0], np.cumsum(per)])[:-1]
-        begin = before[np.minimum(first, max(0, len(before) - 1))] if len(before) else before
-        t["offset"] = chunks[chunk] + before - begin[chunk] if len(chunk) else np.zeros(0, np.int64)
-        sync = np.ones(n, bool)
-        if t["sync"] is not None:
-            sync = np.zeros(n, bool)
-            sync[t["sync"][t["sync"] < n]] = True
-        t["keyframe"] = sync
+        placed(t)
+        if t["more"]:
+            n = len(t["offset"])
+            parts = [(t["offset"], t["size"][:n], t["keyframe"][:n]), *t["more"]]
+            t["offset"], t["size"], t["keyframe"] = (np.concatenate(x) for x in zip(*parts, strict=True))
     return out
 
 
@@ -199,7 +278,39 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(convert, SCHEMA)
 
 
+def container_columns(df: DataFrame, data_col: str, id_col: str) -> DataFrame:
+    """(id, track, codec, duration_s, n_samples, keyframes): a row for each track of each container, of any writer.
+
+    A container that is null, empty, damaged or without tracks gives one row of nulls; ids may be null or repeated; an
+    empty table gives no rows. Payloads are not decoded; a container is held in memory, one at a time.
+    """
+    kind = dict(df.dtypes)[id_col]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for ident, data in zip(batch.column(0), batch.column(1), strict=True):
+                try:
+                    found = tracks(memoryview(data.as_py() or b""))
+                except Damaged:
+                    found = []
+                for i, t in enumerate(found):
+                    key = t["keyframe"][: len(t["offset"])]
+                    ranges = [{"offset": a, "bytes": b} for a, b in zip(t["offset"][key].tolist(), t["size"][: len(key)][key].tolist(), strict=True)]
+                    rows.append((ident.as_py(), i, t["codec"].strip(), t["ticks"] / t["timescale"] if t["timescale"] else None, len(t["size"]), ranges))
+                if not found:
+                    rows.append((ident.as_py(), None, None, None, None, None))
+            types = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.struct([("offset", pa.int64()), ("bytes", pa.int64())]))]
+            cols = zip(*rows, strict=True) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "track", "codec", "duration_s", "n_samples", "keyframes"])
+
+    return df.select(id_col, data_col).mapInArrow(read, f"id {kind}, track int, codec string, duration_s double, n_samples long, keyframes array<struct<offset:long,bytes:long>>")
+
+
 def op10_media_columns(spark, sf_dir: str) -> DataFrame:
+    """The columns of each stored text; keyframe byte ranges as `offset:bytes`, comma-joined."""
     from docloom.llm.common import table
 
-    return media_columns(table(spark, sf_dir, "documents")).drop("keyframes")
+    done = media_columns(table(spark, sf_dir, "documents"))
+    ranges = F.array_join(F.transform("keyframes", lambda k: F.concat_ws(":", k["offset"], k["bytes"])), ",")
+    return done.withColumn("keyframe_ranges", ranges).drop("keyframes")

@@ -33,6 +33,49 @@ def test_foreign_container_with_wide_boxes_unequal_samples_and_no_sync_table():
     assert M.tracks(memoryview(b"\0\0\0\5junk")) == [] and M.tracks(memoryview(b"")) == []
 
 
+def fragmented():
+    """Two fragments of one track: sizes in the run, then by the default; sync samples by flags."""
+    word = lambda *xs: b"".join(x.to_bytes(4, "big") for x in xs)
+    mdhd = M.full(b"mdhd", word(0, 0, 100, 0, 0))
+    tkhd = M.full(b"tkhd", word(0, 0, 7, 0))
+    stbl = M.box(b"stbl", M.full(b"stsd", word(1), M.box(b"mp4a", bytes(28))), M.table_of(b"stts", []), M.table_of(b"stsc", []), M.full(b"stsz", word(0, 0)), M.table_of(b"stco", []))
+    moov = M.box(b"moov", M.box(b"trak", tkhd, M.box(b"mdia", mdhd, M.box(b"minf", stbl))), M.box(b"mvex", M.full(b"trex", word(7, 1, 25, 3, 0x10000))))
+    trun = lambda at: M.full(b"trun", word(2, at), word(0), word(5, 2), flags=0x1 | 0x4 | 0x200)
+    frag = lambda at: M.box(b"moof", M.full(b"mfhd", word(1)), M.box(b"traf", M.full(b"tfhd", word(7), flags=0x20000), trun(at)))
+    one = frag(len(frag(0)) + 8) + M.box(b"mdat", b"helloHI")
+    plain = lambda at: M.box(b"moof", M.box(b"traf", M.full(b"tfhd", word(7, 0), flags=0x20), M.full(b"trun", word(2, at), flags=1)))
+    two = plain(len(plain(0)) + 8) + M.box(b"mdat", b"abcdef")
+    return moov + one + two
+
+
+def test_fragments():
+    data = memoryview(fragmented())
+    (t,) = M.tracks(data)
+    assert M.read_samples(data, t) == b"helloHIabcdef"
+    assert (t["codec"], t["timescale"], t["ticks"]) == ("mp4a", 100, 100)
+    assert t["size"].tolist() == [5, 2, 3, 3] and t["keyframe"].tolist() == [True, False, True, True]
+
+
+def test_damaged_containers_give_a_row_of_nulls(spark):
+    whole = M.pack(M.pad(b"x" * 9000))
+    at = whole.index(b"stts")
+    bad = whole[: at + 8] + b"\xff\xff\xff\xff" + whole[at + 12 :]
+    rows = [(1, whole), (2, bad), (3, None), (4, b""), (5, whole[:300]), (6, fragmented()), (None, whole)]
+    got = {r.id: r for r in M.container_columns(spark.createDataFrame(rows, "k long, data binary"), "data", "k").collect()}
+    assert len(got) == 7 and all(got[i].codec is None for i in (2, 3, 4, 5))
+    assert got[1].codec == "raw" and got[None].keyframes == got[1].keyframes and len(got[1].keyframes) == 5
+    assert all(whole[k.offset : k.offset + k.bytes] == b"x" * 64 for k in got[1].keyframes[:4])
+    assert got[6].duration_s == 1.0 and [(k.offset, k.bytes) for k in got[6].keyframes][0][1] == 5
+    rng = np.random.default_rng(1)
+    for _ in range(300):  # any bytes changed: tables or nothing, no other error
+        data = bytearray(whole[:700])
+        data[int(rng.integers(len(data)))] = int(rng.integers(256))
+        try:
+            M.tracks(memoryview(bytes(data)))
+        except M.Damaged:
+            pass
+
+
 def test_columns(spark):
     texts = ["héllo", None, "", "x" * 64, "y" * 100_000, "héllo"]
     df = spark.createDataFrame([(i if i else None, t, "n", 3) for i, t in enumerate(texts)], "doc_id long, text string, codec string, n_bytes int")
@@ -44,6 +87,7 @@ def test_columns(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-64:]))
         stored = M.pack(pay)
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert len(r.keyframes) == -(-(len(pay) // 64) // 32)
         for k in r.keyframes:
             assert stored[k.offset : k.offset + k.bytes] in pay and k.bytes == 64
     assert got[None].feature == got[5].feature
