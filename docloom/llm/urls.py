@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from docloom.llm.common import hash_share, table, written
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: About so many labelled URLs, chosen by a hash of the URL, are fitted on; pseudo-counts of a suffix share; trees.
-SAMPLE, SMOOTHING, TREES, DEPTH = 20_000, 20.0, 20, 4
+#: About so many different labelled URLs, chosen by a hash of the URL, are fitted on; pseudo-counts of a suffix share; trees;
+#: rows of suffix statistics that may be broadcast (about 60 bytes each; more are joined by a shuffle); folds of URLs.
+SAMPLE, SMOOTHING, TREES, DEPTH, BROADCAST_SUFFIXES, FOLDS = 20_000, 20.0, 20, 4, 200_000, 5
 LEXICAL = ["length", "host_length", "path_length", "query_length", "depth", "digit_ratio", "entropy", "parameters", "labels", "hyphens", "secure", "longest_segment"]
 SUFFIXES = ["tld", "site", "section"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,19 +83,32 @@ class UrlModel:
     constant: float
     statistics: DataFrame
     prior: float
+    few: bool
 
 
-def suffix_statistics(labelled: DataFrame) -> DataFrame:
-    """(level, suffix, rate, seen) over all labelled URLs."""
+def url_fold(url_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(url_col), F.lit(3)), F.lit(FOLDS))
+
+
+def suffix_statistics(labelled: DataFrame, url_col: str = "url") -> DataFrame:
+    """(level, suffix, fold, n, good) over all labelled URLs, each `copies` times; fold -1 is the sum of all folds of URLs."""
     pairs = F.explode(F.array(*(F.struct(F.lit(s).alias("level"), F.col(s).alias("suffix")) for s in SUFFIXES))).alias("p")
-    counts = labelled.select("allowed", pairs).groupBy("p.level", "p.suffix").agg(F.count("*").alias("n"), F.sum("allowed").alias("good"))
-    return counts.select("level", "suffix", "n", "good")
+    rows = labelled.select("allowed", "copies", url_fold(url_col).alias("fold"), pairs).select("p.*", F.explode(F.array("fold", F.lit(-1).cast("long"))).alias("fold"), "allowed", "copies")
+    return rows.groupBy("level", "suffix", "fold").agg(F.sum("copies").alias("n"), F.sum(F.col("allowed") * F.col("copies")).alias("good"))
 
 
-def with_statistics(df: DataFrame, statistics: DataFrame, prior: float) -> DataFrame:
+def with_statistics(df: DataFrame, statistics: DataFrame, prior: float, few: bool, url_col: str | None = None) -> DataFrame:
+    """df with the smoothed share of allowed URLs and the number of labelled ones of each suffix; with `url_col`, without those of the row's own fold of URLs, so that no label tells of itself."""
     for s in SUFFIXES:
-        own = statistics.where(F.col("level") == s).select(F.col("suffix").alias(s), ((F.col("good") + SMOOTHING * prior) / (F.col("n") + SMOOTHING)).alias(f"{s}_rate"), F.log1p("n").alias(f"{s}_seen"))
-        df = df.join(own, s, "left").fillna({f"{s}_rate": prior, f"{s}_seen": 0.0})
+        level = statistics.where(F.col("level") == s).select(F.col("suffix").alias(s), "fold", F.col("n").alias("_n"), F.col("good").alias("_good"))
+        every = level.where("fold = -1").drop("fold")
+        df = df.join(F.broadcast(every) if few else every, s, "left")
+        n, good = F.coalesce("_n", F.lit(0)), F.coalesce("_good", F.lit(0))
+        if url_col:
+            own = level.where("fold >= 0").select(s, F.col("fold").alias("_fold"), F.col("_n").alias("_m"), F.col("_good").alias("_own"))
+            df = df.withColumn("_fold", url_fold(url_col)).join(F.broadcast(own) if few else own, [s, "_fold"], "left")
+            n, good = n - F.coalesce("_m", F.lit(0)), good - F.coalesce("_own", F.lit(0))
+        df = df.withColumns({f"{s}_rate": (good + SMOOTHING * prior) / (n + SMOOTHING), f"{s}_seen": F.log1p(n)}).drop("_n", "_good", "_m", "_own", "_fold")
     return df
 
 
@@ -103,28 +117,30 @@ def assembled(df: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, url_col: str = "url", sample: int = SAMPLE, seed: int = 7) -> UrlModel:
-    """From rows of (url, host, path, allowed 0/1): statistics over all of them, trees on about `sample`. No rows: everything is allowed."""
-    featured = with_features(labelled, url_col)
-    statistics = written(suffix_statistics(featured), "suffixes")
-    count = statistics.where(F.col("level") == SUFFIXES[0]).agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
+    """From rows of (url, host, path, allowed 0/1): statistics over all of them, trees on about `sample` different URLs. No rows: everything is allowed."""
+    each = labelled.groupBy(url_col, "host", "path", "allowed").agg(F.count("*").alias("copies"))
+    each = written(each, "labelled")
+    statistics = written(suffix_statistics(with_features(each, url_col), url_col), "suffixes")
+    count = each.agg(F.count("*").alias("urls"), F.sum("copies").alias("n"), F.sum(F.col("copies") * F.col("allowed")).alias("good")).first()
     n, good = count["n"] or 0, count["good"] or 0
     prior = good / n if n else 1.0
+    few = statistics.count() <= BROADCAST_SUFFIXES
     if good in (0, n):
-        return UrlModel(None, prior, statistics, prior)
-    chosen = featured.where(hash_share(F.col(url_col), seed) < min(1.0, sample / n))
-    rows = assembled(with_statistics(chosen, statistics, prior)).select("_features", F.col("allowed").cast("double").alias("allowed"))
+        return UrlModel(None, prior, statistics, prior, few)
+    chosen = with_features(each.where(hash_share(F.col(url_col), seed) < min(1.0, sample / count["urls"])), url_col)
+    rows = assembled(with_statistics(chosen, statistics, prior, few, url_col)).select("_features", F.col("allowed").cast("double").alias("allowed"))
     rows = written(rows.coalesce(8), "url_sample")
     if rows.agg(F.countDistinct("allowed")).first()[0] < 2:
-        return UrlModel(None, prior, statistics, prior)
+        return UrlModel(None, prior, statistics, prior, few)
     trees = GBTClassifier(featuresCol="_features", labelCol="allowed", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=seed).fit(rows)
-    return UrlModel(trees, prior, statistics, prior)
+    return UrlModel(trees, prior, statistics, prior, few)
 
 
 def score(df: DataFrame, model: UrlModel, url_col: str = "url") -> DataFrame:
     """df (with host and path) and `score`, how likely the URL is allowed."""
     if model.trees is None:
         return df.withColumn("score", F.lit(float(model.constant)))
-    rows = assembled(with_statistics(with_features(df, url_col), model.statistics, model.prior))
+    rows = assembled(with_statistics(with_features(df, url_col), model.statistics, model.prior, model.few))
     done = model.trees.transform(rows)
     return done.withColumn("score", vector_to_array("probability")[1]).select(*df.columns, "score")
 

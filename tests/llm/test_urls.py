@@ -55,6 +55,30 @@ def test_trees_learn_held_out_urls(spark):
     assert sum((r.score >= 0.5) == bool(r.allowed) for r in got) / len(got) > 0.97
 
 
+def test_a_label_does_not_tell_of_itself(spark):
+    rng = random.Random(3)
+    rows = [(f"http://only{i}.net/p{i}", rng.randint(0, 1), rng.choice([1, 500])) for i in range(200)]
+    df = spark.createDataFrame(rows, "url string, allowed int, copies long")
+    host, path = U.host_and_path("url")
+    df = U.with_features(df.withColumns({"host": host, "path": path}), "url")
+    for few in (True, False):
+        got = U.with_statistics(df, U.suffix_statistics(df), 0.5, few, "url").collect()
+        assert len(got) == 200 and all(r.site_rate == 0.5 and r.section_seen == 0 for r in got)
+        of = {r.url: r.f for r in df.select("url", U.url_fold("url").alias("f")).collect()}
+        for r in got:
+            n, good = sum(c for u, _, c in rows if of[u] != of[r.url]), sum(a * c for u, a, c in rows if of[u] != of[r.url])
+            assert math.isclose(r.tld_rate, (good + 10) / (n + 20))
+
+
+def test_urls_without_a_rule_follow_what_rules_say_of_their_section(spark):
+    rng = random.Random(4)
+    rows = [f"http://s{rng.randint(1, 40)}.com/{rng.choice(['fr', 'de'])}/{rng.randint(1, 10**6)}" for _ in range(1500)]
+    rows += ["http://hot.com/de/1"] * 3000  # one URL, many times
+    rows += [f"http://t{i}.net/{'fr' if i % 2 else 'de'}/{i}" for i in range(200)]
+    got = U.filter_urls(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), sample=500).where("rule is null").collect()
+    assert len(got) == 200 and sum((r.verdict == "allow") == ("/fr/" in r.path) for r in got) >= 190
+
+
 def test_entropy_and_counts(spark):
     df = spark.createDataFrame([("http://a-b.c.net/x/yy?p=1&q=2&&r",)], "url string")
     host, path = U.host_and_path("url")
