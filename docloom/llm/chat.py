@@ -36,6 +36,14 @@ def rotate_perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: s
     return placed.select("conv_id", "perspective", "turn", "role", "name", "segment", start.alias("segment_start"), F.when(mine, start + F.col("_head")).alias("mask_start"), F.when(mine, F.col("_end") - 1).alias("mask_end"))
 
 
+def assembled(segments: DataFrame) -> DataFrame:
+    """(conv_id, perspective, text, masks) from rows of `rotate_perspectives`: each rendering as one text and the [start, end) ranges to train on, for dialogues that fit a row."""
+    parts = F.array_sort(F.collect_list(F.struct("segment_start", "segment", "mask_start", "mask_end")))
+    each = segments.groupBy("conv_id", "perspective").agg(parts.alias("p"))
+    trained = F.filter("p", lambda x: x["mask_start"].isNotNull())
+    return each.select("conv_id", "perspective", F.array_join(F.transform("p", lambda x: x["segment"]), "").alias("text"), F.transform(trained, lambda x: F.struct(x["mask_start"].alias("start"), x["mask_end"].alias("end"))).alias("masks"))
+
+
 def op8_chat(spark, sf_dir: str) -> DataFrame:
     return rotate_perspectives(table(spark, sf_dir, "conversations"))
 

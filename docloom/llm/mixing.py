@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WORD, running_total, table
+from docloom.llm.common import WORD, running_total, table, written
 
-#: Passes at most, rows in a bucket of a source's order (about), ranges of the global order.
-PASSES, BUCKET_ROWS, RANGES, SEED = 3, 4096, 8192, "mix-1"
+#: Passes at most, rows in a bucket of a source's order and in a range of the global order (about).
+PASSES, BUCKET_ROWS, SEED = 3, 4096, "mix-1"
 
 
 def words(text: str | Column) -> Column:
@@ -48,10 +48,12 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
     Equal rows (same id, source and size) are one item of `rows` documents that are taken together. Null texts have no
     words; documents of sources without words are taken once, with 0 words. Null ids and sources are values like any
-    other; an empty table gives no rows. Only ids, sources and sizes are shuffled.
+    other; an empty table gives no rows. Only ids, sources and sizes are shuffled, and words are counted once.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size"))
     items = narrow.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).withColumn("units", F.col("size") * F.col("rows"))
+    items = written(items, "items")
+    ranges = max(64, -(-items.count() * passes // BUCKET_ROWS))
     per = items.groupBy("source").agg(F.sum("units").alias("source_size"), F.count("*").alias("_items"))
     goal = targets(per.select("source", "source_size"), passes).withColumnRenamed("source", "_s")
     per = per.select(F.col("source").alias("_t"), "_items").join(goal, F.col("_t").eqNullSafe(F.col("_s"))).drop("_t")
@@ -63,7 +65,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     queued = running_total(placed, ["source"], "bucket", order, "units", "done")
     turns = queued.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).where("source_size > 0 or turn = 0")
     finish = F.coalesce(F.try_divide(F.col("turn") * F.col("source_size") + F.col("done"), "target"), F.lit(0.0))
-    turns = turns.withColumn("finish", finish).withColumn("range", F.floor(F.col("finish") / (1 + F.col("finish")) * RANGES))
+    turns = turns.withColumn("finish", finish).withColumn("range", F.floor(F.col("finish") / (1 + F.col("finish")) * ranges))
     budget = F.sum("units")
     total = items.agg(budget.alias("budget"))
     line = running_total(turns, [], "range", [F.asc("finish"), F.asc("rank"), *order, F.asc("turn")], "units", "served")
@@ -72,11 +74,16 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """docs as often as the mix takes each: none, one or more equal rows; columns stay."""
+    """docs as often as the mix takes each: none, one or more equal rows; columns, whatever their names, stay.
+
+    Null texts have no words and are kept once where their source has none, else as often as its passes take them; null
+    ids and sources are values like any other; documents of equal finish time go by source, then hash of the id; repeated
+    rows are taken together; an empty table gives an empty table.
+    """
     plan = plan_mix(docs).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
-    sized = docs.withColumn("_size", words("text"))
-    same = sized["doc_id"].eqNullSafe(plan["_d"]) & sized["source"].eqNullSafe(plan["_s"]) & (sized["_size"] == plan["_z"])
-    return sized.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*(F.col(c) for c in docs.columns))
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", "source", words("text").alias("size"))
+    same = rows["doc_id"].eqNullSafe(plan["_d"]) & rows["source"].eqNullSafe(plan["_s"]) & (rows["size"] == plan["_z"])
+    return rows.join(plan, same).select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

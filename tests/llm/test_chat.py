@@ -21,4 +21,9 @@ def test_every_participant_gets_the_dialogue(spark):
             for r in (g for g in got if g.conv_id == conv and g.perspective == p and g.role == "assistant"):
                 assert whole[r.mask_start : r.mask_end].endswith("<|im_end|>")
     assert sorted(map(str, want)) == sorted(str(tuple(g)) for g in got)
+    whole = {(r.conv_id, r.perspective): r for r in C.assembled(C.rotate_perspectives(df)).collect()}
+    for (conv, p), r in whole.items():
+        own = sorted((w for w in want if w[:2] == (conv, p)), key=lambda w: w[6])
+        assert r.text == "".join(w[5] for w in own) and [tuple(m) for m in r.masks] == [w[7:] for w in own if w[7] is not None]
+    assert len(whole) == len({w[:2] for w in want})
     assert C.rotate_perspectives(df.limit(0)).collect() == []

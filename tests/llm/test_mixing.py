@@ -2,13 +2,13 @@ import random
 
 from docloom.llm import mixing as M
 
-SCHEMA = "doc_id long, source string, text string, size string, target int"
+SCHEMA = "doc_id long, source string, text string, size string, target int, _size int, doc string, copies string"
 
 
 def rows_of(seed, n=600):
     rng = random.Random(seed)
     names = ["b", "a", None, "é", "z", "B"]
-    return [(i, rng.choices(names, [50, 1, 5, 10, 2, 30])[0], " ".join(["w"] * rng.randint(0, 30)) + rng.choice(["", "\n", " x"]), "s", 1) for i in range(n)]
+    return [(i, rng.choices(names, [50, 1, 5, 10, 2, 30])[0], " ".join(["w"] * rng.randint(0, 30)) + rng.choice(["", "\n", " x"]), "s", 1, 2, "d", "c") for i in range(n)]
 
 
 def water(sizes):
@@ -46,11 +46,11 @@ def test_targets_and_mix(spark):
 
 
 def test_copies_become_rows_and_odd_rows_have_a_place(spark):
-    rows = rows_of(2, 200) + [(7, "b", "equal row", "s", 1)] * 2 + [(None, "b", None, "s", 1), (901, None, "", "s", 1), (902, "lone", None, "s", 1)]
+    rows = rows_of(2, 200) + [(7, "b", "equal row", "s", 1, 2, "d", "c")] * 2 + [(None, "b", None, "s", 1, 2, "d", "c"), (901, None, "", "s", 1, 2, "d", "c"), (902, "lone", None, "s", 1, 2, "d", "c")]
     df = spark.createDataFrame(rows, SCHEMA)
     plan = {(r.doc_id, r.source, r.size): r for r in M.plan_mix(df).collect()}
     assert plan[(7, "b", 2)].rows == 2 and plan[(902, "lone", 0)].copies == 1 and plan[(902, "lone", 0)].target == 0
     out = M.mix_documents(df)
-    assert out.columns == df.columns
+    assert out.columns == df.columns and {(r["_size"], r.doc, r.copies) for r in out.collect()} == {(2, "d", "c")}
     assert out.count() == sum(r.rows * r.copies for r in plan.values())
     assert M.mix_documents(df.limit(0)).collect() == [] and M.plan_mix(df.limit(0)).collect() == []
