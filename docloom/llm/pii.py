@@ -27,8 +27,10 @@ PATTERNS = {
 #: A term is a run of letters and digits outside entities, of any length and script.
 TERM = r"[\p{L}\p{N}]++"
 #: Letters that a generalised term keeps, different texts in which term and entity must meet, pseudo-documents of the
-#: prior, the least chance of the entity given the term, bits given away, terms that may be broadcast.
-PREFIX, SUPPORT, PRIOR_DOCS, LIKELY, BITS, BROADCAST_TERMS = 3, 3, 2.0, 0.5, 3.0, 100_000
+#: prior, the least chance of the entity given the term, bits given away.
+PREFIX, SUPPORT, PRIOR_DOCS, LIKELY, BITS = 3, 3, 2.0, 0.5, 3.0
+#: Terms (about 30 bytes each) that may be broadcast; more are joined by a shuffle, with the same result.
+BROADCAST_TERMS = 100_000
 #: Levels of an entity: its kind, what it belongs to, itself.
 KIND, GROUP, ITSELF = 0, 1, 2
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,match:string>>"
@@ -122,9 +124,14 @@ def sanitised(text: Column, spans: Column) -> Column:
     return rebuilt(text, spans, lambda s, reach: F.when(s["start"] >= reach, label(s)).otherwise(""))
 
 
+def terms(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
 def features(text: Column) -> Column:
     """The different terms of a text and the generalised forms of them."""
-    return let(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))), lambda xs: F.array_distinct(F.concat(xs, F.transform(xs, lambda x: F.concat(F.substring(x, 1, PREFIX), F.lit("*"))))))
+    return let(terms(text), lambda xs: F.array_distinct(F.concat(xs, F.transform(xs, lambda x: F.concat(F.substring(x, 1, PREFIX), F.lit("*"))))))
 
 
 def protected(spans: Column) -> Column:
@@ -150,8 +157,8 @@ def entity_texts(plain: DataFrame) -> DataFrame:
 def disclosing_terms(texts: DataFrame, held: DataFrame, plain: DataFrame) -> DataFrame:
     """(level, name, term, remove): which terms disclose which entities, by counts over all documents; support counts different texts, so that copies of one are no proof.
 
-    `texts` are those with entities, `held` (copy, level, name, of_entity) what entities they hold. A term has at least
-    the documents with entities in which it stands: pairs that fail even so need not be counted further.
+    `texts` are those with entities, `held` (copy, level, name, of_entity) what entities they hold. Counts over the other
+    documents are summed up where these are, so that different terms and not their occurrences are sent.
     """
     total = plain.count()
     prior = F.col("of_entity") / F.lit(total)
@@ -160,10 +167,8 @@ def disclosing_terms(texts: DataFrame, held: DataFrame, plain: DataFrame) -> Dat
     stands = texts.select("copy", "rows", F.explode("features").alias("term"))
     met = stands.join(held, "copy").groupBy("level", "name", "of_entity", "term").agg(F.count("*").alias("texts"), F.sum("rows").alias("together"))
     near = stands.groupBy("term").agg(F.sum("rows").alias("near"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts")
-    pairs = written(met.where(F.col("texts") >= SUPPORT).join(near, "term").where(enough(F.col("near"))), "pairs")
-    terms = written(pairs.select("term").distinct(), "terms")
-    count = terms.count()
-    far = written(terms_of(plain.where(~has_base(F.col("text"))), terms, count).groupBy("term").agg(F.count("*").alias("far")), "frequency") if count else terms.select("term", F.lit(0).alias("far"))
+    pairs = met.where(F.col("texts") >= SUPPORT).join(near, "term").where(enough(F.col("near")))
+    far = plain.where(~has_base(F.col("text"))).select(F.explode(features(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("far"))
     sure = pairs.join(far, "term", "left").where(enough(F.col("near") + F.coalesce("far", F.lit(0)))).select("level", "name", "term")
     sure = written(sure, "disclosing")
     wide = sure.where(F.col("term").endswith("*")).select(F.col("level").alias("_l"), F.col("name").alias("_n"), F.col("term").alias("_t"))
@@ -172,12 +177,6 @@ def disclosing_terms(texts: DataFrame, held: DataFrame, plain: DataFrame) -> Dat
     return written(own.join(wide, same, "left").select("level", "name", "term", F.col("_t").isNotNull().alias("remove")), "actions")
 
 
-def terms_of(plain: DataFrame, terms: DataFrame, count: int) -> DataFrame:
-    """(copy, term): which of `terms` (broadcast up to a checked number) stand in each document."""
-    rows = plain.select(F.md5("text").alias("copy"), F.explode(features(F.col("text"))).alias("term"))
-    return rows.join(F.broadcast(terms) if count <= BROADCAST_TERMS else terms, "term", "left_semi")
-
-
 def marked_texts(plain: DataFrame) -> tuple[DataFrame, bool]:
     """(copy, base, spans) of each different text of `plain` (text) with spans, and whether some of these have no base span.
 
@@ -197,7 +196,8 @@ def marked_texts(plain: DataFrame) -> tuple[DataFrame, bool]:
     if count:
         hits = hits.unionByName(stands.join(naming, "term").select("copy", "term", "remove"))
         other = plain.where(~has_base(F.col("text")))
-        far = written(terms_of(other, naming.select("term"), count).distinct().join(naming, "term").select("copy", "term", "remove"), "naming")
+        said = other.select(F.md5("text").alias("copy"), F.explode(terms(F.col("text"))).alias("term"))
+        far = written(said.join(F.broadcast(naming) if count <= BROADCAST_TERMS else naming, "term").distinct(), "naming")
     listed = lambda found: found.groupBy("copy", "term").agg(F.max("remove").alias("remove")).groupBy("copy").agg(F.sort_array(F.collect_list(F.struct("remove", "term"))).alias("terms"))
     done = texts.join(listed(hits), "copy", "left").select("copy", "base", with_terms("masked", "base").alias("spans"))
     if count:
