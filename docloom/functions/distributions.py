@@ -57,28 +57,17 @@ def sign_test(k: int, n: int) -> float:
     """Two-sided exact binomial test of k in n at one half, which is McNemar's exact test on discordant pairs."""
     if n == 0:
         return 1.0
-    side = sum(math.comb(n, i) for i in range(min(k, n - k) + 1))
-    return min(1.0, 2 * side / 2**n) if 2 * k != n else 1.0
-
-
-def signed_rank(diffs: list[float]) -> float | None:
-    """Wilcoxon's two-sided signed-rank test, zeros dropped: exact up to 50 without ties, else normal with tie correction."""
-    d = [x for x in diffs if x != 0]
-    n = len(d)
-    if not n:
-        return None
-    order = sorted(range(n), key=lambda i: abs(d[i]))
-    ranks, ties, i = [0.0] * n, 0, 0
-    while i < n:
-        j = i
-        while j < n and abs(d[order[j]]) == abs(d[order[i]]):
-            j += 1
-        for m in range(i, j):
-            ranks[order[m]] = (i + j + 1) / 2
-        ties += (j - i) ** 3 - (j - i)
-        i = j
-    low = min(sum(r for r, x in zip(ranks, d, strict=True) if x > 0), sum(r for r, x in zip(ranks, d, strict=True) if x < 0))
-    if n <= 50 and not ties and n == len(diffs):
+    if 2 * k == n:
+        return 1.0
+    if n <= 1000:
+        return min(1.0, 2 * sum(math.comb(n, i) for i in range(min(k, n - k) + 1)) / 2**n)
+    return min(1.0, 2 * beta_share(0.5, n - min(k, n - k), min(k, n - k) + 1))  # the binomial tail as a beta share
+
+
+def signed_rank(n: int, low: float, ties: float, exact: bool) -> float:
+    """Two-sided p of Wilcoxon's signed-rank test from the number of differences that are not zero, the lesser rank sum and the sum of t^3 - t over ties: exact up to 50 if asked, else normal with tie correction."""
+    n = int(n)
+    if exact and n <= 50:
         ways = [1]
         for r in range(1, n + 1):
             ways = [(ways[s] if s < len(ways) else 0) + (ways[s - r] if 0 <= s - r < len(ways) else 0) for s in range(len(ways) + r)]
@@ -114,7 +103,7 @@ def mcnemar_p(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array
 
 
 @F.arrow_udf(T.DoubleType())
-def wilcoxon_p(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """array of differences -> two-sided p; null where all are zero."""
-    for xs in batches:
-        yield pa.array([None if x is None else signed_rank(x) for x in xs.to_pylist()], pa.float64())
+def wilcoxon_p(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """(differences that are not zero, lesser rank sum, tie sum, whether exact) -> two-sided p; null where all are zero."""
+    for columns in batches:
+        yield _each(signed_rank, columns)

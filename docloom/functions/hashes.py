@@ -41,3 +41,14 @@ def review_identity(review_id: Column, source: Column, semester: Column, content
     """The review's own id, else its source hash, else a hash of semester and content before masking."""
     filled = lambda c: F.nullif(F.trim(c), F.lit(""))
     return F.coalesce(filled(review_id), filled(source), F.sha2(F.to_json(F.array(F.coalesce(semester, F.lit("")), content)), 256))
+
+
+def review_fingerprint(lecture: Column, semester: Column, content: Column) -> Column:
+    """Of lecture, semester and content with white space collapsed: what tells a review seen before."""
+    filled = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return F.sha2(F.concat_ws("\n", filled(lecture), filled(semester), F.trim(F.regexp_replace(filled(content), r"(?U)\s+", " "))), 256)
+
+
+def config_fingerprint(version: str, **fields: Column) -> Column:
+    """Of canonical JSON under a version tag: another version or value is another configuration."""
+    return F.sha2(F.concat(F.lit(f"{version}:"), canonical(**fields)), 256)

@@ -39,6 +39,54 @@ def credit_hours(text: Column) -> Column:
     return F.when(text.rlike(p), F.struct(part(1).alias("credits"), part(2).alias("lecture"), part(3).alias("practice")))
 
 
+#: The labels of a syllabus's fields, English and Korean (fixed values).
+SYLLABUS = {
+    "course_name": ("Course Title", "교과목명"),
+    "course_code": ("Course Code", "교과목코드"),
+    "professor": ("Professor", "담당교수"),
+    "department": ("Department", "개설학과"),
+    "grade": ("Grade", "학년"),
+    "credits": ("Credits", "학점"),
+    "lecture_time": ("Time", "강의시간"),
+    "semester": ("Semester", "학기"),
+    "category": ("Category", "이수구분"),
+    "contact": ("E-mail", "연락처"),
+}
+
+
+def syllabus_fields(text: Column, labels: dict[str, tuple[str, ...]] = SYLLABUS) -> Column:
+    """struct of the fields of a free text, null where missing: credits as a-b-c become three numbers, a room in brackets after the time its own field."""
+    found = {name: labelled(text, *names) for name, names in labels.items()}
+    hours = credit_hours(found["credits"])
+    room = F.nullif(F.regexp_extract(found["lecture_time"], r"\(([^()]*)\)\s*$", 1), F.lit(""))
+    own = {**found, "credits": hours["credits"], "lecture_hours": hours["lecture"], "practice_hours": hours["practice"], "room": room}
+    own["lecture_time"] = F.trim(F.regexp_replace(found["lecture_time"], r"\s*\([^()]*\)\s*$", ""))
+    return F.struct(*(c.alias(name) for name, c in own.items()))
+
+
+def chunk_header(title: Column, date: Column, attachment: Column, none: str = "(제목 없음)") -> Column:
+    """The lines above each chunk: title, date and attachment, of what is filled."""
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    line = lambda label, c: F.when(filled(c).isNotNull(), F.concat(F.lit(f"{label}: "), filled(c)))
+    return F.concat_ws("\n", F.concat(F.lit("title: "), F.coalesce(filled(title), F.lit(none))), line("date", date), line("attachment", attachment))
+
+
+def question_text(question: Column, bundled: Column) -> Column:
+    """The question with the numbered questions that it bundles (an array), if any."""
+    lines = F.transform(F.filter(bundled, lambda q: F.trim(q) != ""), lambda q, i: F.concat((i + 1).cast("string"), F.lit(". "), q))
+    return F.when(F.size(lines) > 0, F.concat(question, F.lit("\n"), F.array_join(lines, "\n"))).otherwise(question)
+
+
+def group_text(label: Column, n: Column, examples: Column) -> Column:
+    """A line for a group of questions."""
+    return F.concat(F.lit("- "), label, F.lit(" ("), n.cast("string"), F.lit("): "), F.array_join(examples, "; "))
+
+
+def fallback_answer(period: Column, groups: Column) -> Column:
+    """What is said where no answer is generated: the period and a line for each group (an array)."""
+    return F.when(F.size(groups) > 0, F.concat(period, F.lit("\n"), F.array_join(groups, "\n"))).otherwise(F.concat(period, F.lit("\nno questions")))
+
+
 def safe_name(name: Column, most: int = 120) -> Column:
     """A file name without characters that file systems refuse."""
     clean = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r'[\\/:*?"<>|\x00-\x1F]+', "_"), r"^[\s.]+|[\s.]+$", "")

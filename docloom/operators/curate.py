@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import body_of, share_of, spaced_key
+from docloom.operators import ordered
 
 #: The script that a record must mostly have (fixed value of the reference corpus), a parameter everywhere.
 HANGUL = "[가-힣]"
+#: Marks of crawled states that are no content (fixed value).
 JUNK = "scanned_|completeness|unverified|리뷰 요소 없음|수집을 시도|로딩 지연|화면 변경 여부"
 
 
@@ -66,8 +68,7 @@ def sample(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
 
 def batches(df: DataFrame, group: list[str], order: list[str], text: str, size: int, separator: str = "\n---\n") -> DataFrame:
     """So many consecutive rows of a group as one, joined; the last may be shorter."""
-    n = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    placed = df.withColumn("batch", F.floor((n - 1) / size).cast("long")).withColumn("_n", n)
+    placed = ordered.numbered(df, group, order, "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("long"))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("_n", text))), lambda x: x[text])
     return placed.groupBy(*group, "batch").agg(F.count("*").alias("rows"), F.array_join(texts, separator).alias("batch_text"))
 
@@ -77,5 +78,5 @@ def interleaved(df: DataFrame, category: str, order: list[str], quotas: dict[str
     names = list(quotas)
     place = F.array_position(F.array(*map(F.lit, names)), F.col(category)).cast("int")
     limit = F.element_at(F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv)), F.col(category))
-    turn = F.row_number().over(Window.partitionBy(category).orderBy(*order))
-    return df.where(F.col(category).isin(names)).withColumn("turn", turn).withColumn("position", place).where(F.col("turn") <= limit)
+    rows = ordered.numbered(df.where(F.col(category).isin(names)), [category], order, "turn").withColumn("turn", F.col("turn").cast("int"))
+    return rows.withColumn("position", place).where(F.col("turn") <= limit)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators import ordered
+
 
 def latest_state(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last event of each key: an append-only log read as a table."""
@@ -27,8 +29,13 @@ def question_groups(groups: DataFrame, questions: DataFrame, examples: int = 3,
     named = groups.select("position", "label", F.posexplode("question_ids").alias("place", "id"))
     once = named.groupBy("id").agg(F.min_by(F.struct("position", "label"), F.struct("position", "place")).alias("g")).select("id", "g.*")
     known = once.join(questions, "id")
-    newest = F.reverse(F.array_sort(F.collect_list(F.struct("created_at", "id", "question"))))
-    out = known.groupBy("position", "label").agg(F.count("*").alias("questions"), F.transform(F.slice(newest, 1, examples), lambda x: x["question"]).alias("examples"))
+    # the newest of a group are the newest of its parts' newest, so that no task holds a whole group
+    part = known.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64)))
+    newest = Window.orderBy(F.desc("created_at"), F.desc("id"))
+    best = part.withColumn("_at", F.row_number().over(newest.partitionBy("position", "label", "_part"))).where(F.col("_at") <= examples)
+    shown = F.transform(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("created_at", "id", "question")))), 1, examples), lambda x: x["question"])
+    counts = known.groupBy("position", "label").agg(F.count("*").alias("questions"))
+    out = counts.join(best.groupBy("position", "label").agg(shown.alias("examples")), ["position", "label"])
     return out.orderBy(F.desc("questions"), "position").limit(most).select("label", "questions", "examples")
 
 
@@ -64,8 +71,7 @@ def rendered_context(hits: DataFrame, group: str, rank: str, source_type: str, t
 
 
 def evenly_spread(rows: DataFrame, order: list[str], now: Column, days: int = 30) -> DataFrame:
-    """rows with `created_at` spread over the last days, by hours, in order; one numbering of a seed table."""
-    n = F.row_number().over(Window.orderBy(*order)) - 1
-    total = F.count("*").over(Window.partitionBy())
-    hours = F.floor(n * (days * 24) / total).cast("int")
-    return rows.withColumn("_h", hours).withColumn("created_at", now - F.make_interval(hours=F.col("_h"))).drop("_h")
+    """rows with `created_at` spread over the last days, by hours, in order."""
+    placed = ordered.numbered(rows, [], order, "_n")
+    hours = F.floor((F.col("_n") - 1) * (days * 24) / F.lit(max(1, rows.count()))).cast("int")
+    return placed.withColumn("_h", hours).withColumn("created_at", now - F.make_interval(hours=F.col("_h"))).drop("_h", "_n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators import ordered
+
 REPLACEMENT = "�"
 
 
@@ -31,8 +33,7 @@ def longest_wins(df: DataFrame, key: list[str], text: str, order: list[str]) ->
 
 def conflicts(df: DataFrame, key: list[str], value: str, order: list[str]) -> DataFrame:
     """Rows whose value differs from the one before them with the same key."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("previous", F.lag(value).over(w)).where(F.col("previous").isNotNull() & (F.col("previous") != F.col(value)))
+    return ordered.previous(df, key, order, value, "previous").where(F.col("previous").isNotNull() & (F.col("previous") != F.col(value)))
 
 
 def quality_flags(text: Column, ocr: Column | None = None, least_lines: int = 10, short: int = 3, most_short: float = 0.3) -> Column:

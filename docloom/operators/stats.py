@@ -6,21 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.distributions import mcnemar_p, t_critical, t_p_value, wilcoxon_p
+from docloom.operators import ordered
 
 
 def describe(df: DataFrame, sets: list[list[str]], value: str, total: str = "ALL") -> DataFrame:
     """n, mean, sd, median, quartiles and 95th percentile by each grouping set; a column that a set leaves out is `total`.
 
-    One pass over the rows (GROUPING SETS); percentiles are exact, with linear interpolation.
+    Percentiles are exact, with linear interpolation: rows are counted by value, and values are picked by their running
+    counts, which are summed up by ranges, so that no task holds a group's values.
     """
     columns = list(dict.fromkeys(c for s in sets for c in s))
-    own = df.select(*columns, F.col(value).cast("double").alias("_v"))
-    q = F.percentile("_v", F.array(*map(F.lit, (0.5, 0.25, 0.75, 0.95))))
-    rows = own.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(
-        *(F.grouping(c).alias(f"_g_{c}") for c in columns), F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"), q.alias("_q")
-    )
-    label = lambda c: F.when(F.col(f"_g_{c}") == 1, F.lit(total)).otherwise(F.col(c).cast("string")).alias(c)
-    return rows.select(*map(label, columns), "n", "mean", "sd", *(F.get("_q", F.lit(i)).alias(a) for i, a in enumerate(("median", "q1", "q3", "p95"))))
+    label = lambda c, s: (F.col(c).cast("string") if c in s else F.lit(total)).alias(c)
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("_set"), *(label(c, s) for c in columns)) for i, s in enumerate(sets)))).alias("g")
+    cells = df.select(each, F.col(value).cast("double").alias("_v")).select("g.*", "_v")
+    keys = ["_set", *columns]
+    groups = cells.groupBy(*keys).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"))
+    counts = cells.where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    ranked = ordered.running(counts, keys, ["_v"], "_c", "_before")
+    of = groups.select("n", *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+    same = [ranked[k].eqNullSafe(of[f"_k{i}"]) for i, k in enumerate(keys)]
+    placed = ranked.join(of, same)
+    shares = {"median": 0.5, "q1": 0.25, "q3": 0.75, "p95": 0.95}
+    holds = lambda i: (F.col("_before") <= i) & (i < F.col("_before") + F.col("_c"))
+    at = lambda q: (F.col("n") - 1) * q
+    picks = [F.max(F.when(holds(f(at(q))), F.col("_v"))).alias(f"{a}_{name}") for a, q in shares.items() for name, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = placed.groupBy(*(f"_k{i}" for i in range(len(keys)))).agg(*picks)
+    joined = groups.join(found, [groups[k].eqNullSafe(found[f"_k{i}"]) for i, k in enumerate(keys)], "left")
+    mixed = lambda a, q: (F.col(f"{a}_lo") + (F.col(f"{a}_hi") - F.col(f"{a}_lo")) * (at(q) - F.floor(at(q)))).alias(a)
+    return joined.select(*(groups[c] for c in columns), "n", "mean", "sd", *(mixed(a, q) for a, q in shares.items()))
 
 
 def with_interval(described: DataFrame, level: float = 0.95) -> DataFrame:
@@ -45,20 +58,33 @@ def confusion(df: DataFrame, group: list[str], predicted: Column, actual: Column
     return n.withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", F.col("tp") + F.col("fn")), "f1": F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
 
 
-def contrasts(wide: DataFrame, formulas: dict[str, dict[str, float]], family: list[str] | None = None, tests: bool = False) -> DataFrame:
-    """(family, contrast, n, mean_diff, sd, t, dz): weighted sums of arms over units that have them all; with p values if asked.
+def contrasts(wide: DataFrame, formulas: dict[str, dict[str, float]], family: list[str] | None = None, tests: bool = False, level: float = 0.95) -> DataFrame:
+    """(family, contrast, n, mean_diff, sd, t, dz): weighted sums of arms over units that have them all; with a confidence interval and p values if asked.
 
-    `wide` has a row for each unit and a column for each arm, so one scan serves every contrast.
+    `wide` has a row for each unit and a column for each arm, so one scan serves every contrast. Below two units all but n
+    is null; dz is null where the differences don't vary. Wilcoxon's ranks are summed from counts of different values.
     """
     family = family or []
+    keys = [*family, "contrast"]
     parts = F.explode(F.array(*(F.struct(F.lit(name).alias("contrast"), sum((F.col(a).cast("double") * w for a, w in f.items()), F.lit(0.0)).alias("d")) for name, f in formulas.items()))).alias("c")
     rows = wide.select(*family, parts).select(*family, "c.*").where("d IS NOT NULL AND NOT isnan(d)")
-    extra = [F.collect_list("d").alias("_d")] if tests else []
-    out = rows.groupBy(*family, "contrast").agg(F.count("*").alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"), *extra)
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"))
+    out = out.withColumn("mean_diff", F.when(F.col("n") > 1, F.col("mean_diff")))
     out = out.withColumn("dz", F.try_divide("mean_diff", "sd")).withColumn("t", F.col("dz") * F.sqrt("n"))
     if not tests:
         return out
-    return out.withColumn("p_t", t_p_value("t", (F.col("n") - 1).cast("double"))).withColumn("p_wilcoxon", wilcoxon_p("_d")).drop("_d")
+    free = (F.col("n") - 1).cast("double")
+    half = t_critical(F.lit(1 - (1 - level) / 2), F.when(F.col("n") > 1, free)) * F.col("sd") / F.sqrt("n")
+    out = out.withColumn("_h", half).withColumns({"ci_low": F.col("mean_diff") - F.col("_h"), "ci_high": F.col("mean_diff") + F.col("_h")}).drop("_h")
+    sizes = rows.where("d <> 0").groupBy(*keys, F.abs("d").alias("_a")).agg(F.count("*").alias("_c"), F.count_if(F.col("d") > 0).alias("_up"))
+    ranked = ordered.running(sizes, keys, ["_a"], "_c", "_before").withColumn("_rank", F.col("_before") + (F.col("_c") + 1) / 2)
+    c = F.col("_c").cast("double")
+    sums = ranked.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.sum(F.col("_rank") * F.col("_up")).alias("_plus"), F.sum(F.col("_rank") * (F.col("_c") - F.col("_up"))).alias("_minus"), F.sum(c * c * c - c).alias("_ties"))
+    right = sums.select("_n", "_plus", "_minus", "_ties", *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+    joined = out.join(right, [out[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)], "left")
+    exact = (F.col("_n") == F.col("n")) & (F.col("_ties") == 0)
+    p = wilcoxon_p(F.when(F.col("n") > 1, F.col("_n")).cast("double"), F.least("_plus", "_minus").cast("double"), "_ties", exact.cast("double"))
+    return joined.withColumn("p_t", t_p_value("t", free)).withColumn("p_wilcoxon", p).select(*out.columns, "p_t", "p_wilcoxon")
 
 
 def discordance(wide: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -100,40 +126,67 @@ def cohen_kappa(pairs: DataFrame, categories: int, quadratic: bool, group: list[
     return joined.select(*group, "n_units", (1 - F.try_divide(F.col("_seen") * F.col("n_units"), F.col("_chance"))).alias("kappa"))
 
 
-def fleiss_kappa(ratings: DataFrame, unit: list[str], value: str) -> DataFrame:
-    """(n_raters, n_units, kappa) over the units with the most raters; null where chance explains everything or too little is rated."""
-    votes = ratings.groupBy(*unit, value).agg(F.count("*").alias("c"))
-    per = votes.groupBy(*unit).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"))
-    most = per.agg(F.max("n").alias("n_raters"))
-    full = per.join(F.broadcast(most), F.col("n") == F.col("n_raters"))
-    agreed = full.groupBy("n_raters").agg(F.count("*").alias("n_units"), F.avg((F.col("sq") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("_p"))
-    share = votes.join(full.select(*unit), unit, "left_semi").groupBy(value).agg(F.sum("c").alias("c"))
-    chance = share.agg((F.sum(F.col("c").cast("double") * F.col("c")) / F.pow(F.sum("c"), F.lit(2))).alias("_e"))
-    out = agreed.join(F.broadcast(chance))
+def fleiss_kappa(ratings: DataFrame, unit: list[str], value: str, group: list[str] | None = None) -> DataFrame:
+    """(group, n_raters, n_units, kappa) over the units with the most raters; null where chance explains everything or too little is rated."""
+    group = group or []
+    votes = ratings.groupBy(*group, *unit, value).agg(F.count("*").alias("c"))
+    per = votes.groupBy(*group, *unit).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"))
+    most = per.groupBy(*group).agg(F.max("n").alias("n_raters"))
+    full = (per.join(most, group) if group else per.join(F.broadcast(most))).where("n = n_raters")
+    agreed = full.groupBy(*group, "n_raters").agg(F.count("*").alias("n_units"), F.avg((F.col("sq") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("_p"))
+    share = votes.join(full.select(*group, *unit), [*group, *unit], "left_semi").groupBy(*group, value).agg(F.sum("c").alias("c"))
+    chance = share.groupBy(*group).agg((F.sum(F.col("c").cast("double") * F.col("c")) / F.pow(F.sum("c"), F.lit(2))).alias("_e"))
+    out = agreed.join(chance, group) if group else agreed.join(F.broadcast(chance))
     ok = (F.col("n_raters") >= 2) & (F.col("n_units") >= 2) & (F.col("_e") < 1)
-    return out.select("n_raters", "n_units", F.when(ok, (F.col("_p") - F.col("_e")) / (1 - F.col("_e"))).alias("kappa"))
+    return out.select(*group, "n_raters", "n_units", F.when(ok, (F.col("_p") - F.col("_e")) / (1 - F.col("_e"))).alias("kappa"))
+
+
+def equal_raters(ratings: DataFrame, unit: list[str], rater: str, raters: int) -> DataFrame:
+    """Ratings of the units that exactly so many different raters have rated: what a table of equal row sums needs."""
+    full = ratings.groupBy(*unit).agg(F.countDistinct(rater).alias("_r"), F.count("*").alias("_n")).where((F.col("_r") == raters) & (F.col("_n") == raters))
+    return ratings.join(full.select(*unit), unit, "left_semi")
+
+
+def agreement_table(ratings: DataFrame, unit: list[str], rater: str, model: str, measures: dict[str, tuple[int, bool]], total: str = "all") -> DataFrame:
+    """(model, measure, raters, n_units, kappa) for all models together and each: Cohen's kappa of each pair of raters, Fleiss' of all.
+
+    `measures` has the number of categories 1..k of each rated column, and whether its kappa is weighted quadratically.
+    """
+    both = ratings.withColumn("_unit", F.struct(*unit, model)).withColumn("_model", F.explode(F.array(F.lit(total), F.col(model).cast("string"))))
+    out = None
+    for name, (categories, quadratic) in measures.items():
+        rated = both.where(F.col(name).isNotNull()).select("_model", "_unit", rater, F.col(name).alias("_v"))
+        pairs = cohen_kappa(rater_pairs(rated, ["_model", "_unit"], rater, "_v"), categories, quadratic, ["_model", "rater_a", "rater_b"])
+        pairs = pairs.select("_model", F.concat_ws("-", F.col("rater_a").cast("string"), F.col("rater_b").cast("string")).alias("raters"), "n_units", "kappa")
+        every = fleiss_kappa(rated, ["_unit"], "_v", ["_model"]).select("_model", F.lit("fleiss").alias("raters"), "n_units", "kappa")
+        part = pairs.unionByName(every).select(F.col("_model").alias("model"), F.lit(name).alias("measure"), "raters", "n_units", "kappa")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def average_rank(df: DataFrame, value: str, group: list[str], out: str) -> DataFrame:
-    """df with ranks in which ties share their mean; counted by value first, so windows hold different values only."""
+    """df with ranks in which ties share their mean; counted by value first, and summed up by ranges of values."""
     counts = df.groupBy(*group, value).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*group).orderBy(value)) - F.col("_n")
-    ranks = counts.select(*group, value, (before + (F.col("_n") + 1) / 2).alias(out))
+    ranks = ordered.running(counts, group, [value], "_n", "_before").select(*group, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
     return df.join(ranks, [*group, value])
 
 
-def correlations(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
-    """(group, n, pearson, spearman): Spearman's as Pearson's on average ranks."""
+def correlations(df: DataFrame, x: str, y: str, group: list[str], tests: bool = False) -> DataFrame:
+    """(group, n, pearson, spearman): Spearman's as Pearson's on average ranks; with p values by Student's t if asked."""
     ranked = average_rank(average_rank(df.select(*group, x, y).dropna(), x, group, "_rx"), y, group, "_ry")
     out = ranked.groupBy(*group).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
     ok = F.col("n") >= 3
-    return out.select(*group, "n", *(F.when(ok & ~F.isnan(c), F.col(c)).alias(c) for c in ("pearson", "spearman")))
+    out = out.select(*group, "n", *(F.when(ok & ~F.isnan(c), F.col(c)).alias(c) for c in ("pearson", "spearman")))
+    if not tests:
+        return out
+    t = lambda r: F.when(F.abs(r) < 1, F.col(r) * F.sqrt((F.col("n") - 2) / (1 - F.col(r) * F.col(r)))).when(F.col(r).isNotNull(), F.lit(float("inf")))
+    return out.withColumns({f"p_{r}": t_p_value(t(r), (F.col("n") - 2).cast("double")) for r in ("pearson", "spearman")})
 
 
 def bootstrap_interval(df: DataFrame, cluster: str, x: str, y: str, reps: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """(low, high) of Pearson's correlation over resampled clusters: each gets a Poisson count per repetition from a hash, so no sample is drawn on the driver."""
     per = df.groupBy(cluster).agg(F.count("*").alias("n"), *(F.sum(F.expr(e)).alias(a) for a, e in {"sx": x, "sy": y, "sxx": f"{x}*{x}", "syy": f"{y}*{y}", "sxy": f"{x}*{y}"}.items()))
-    u = F.pmod(F.xxhash64(F.col(cluster), F.col("rep"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(cluster).cast("string"), F.col("rep").cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("long") / float(1 << 32)
     cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
     times = sum(((u >= c).cast("int") for c in cuts), F.lit(0))
     drawn = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("k", times).where("k > 0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,30 +26,33 @@ def top_k(index: DataFrame, query: list[float], k: int, where: Column | None = N
     return rows.withColumn("distance", cosine_distance(F.col(vector), literal)).orderBy("distance", key).limit(k)
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", block: int = 1024) -> DataFrame:
+def nearest(index: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", block: int = 1024, slice_rows: int = 50_000) -> DataFrame:
     """(query_id, key, distance, rank): the k nearest rows of every query, exact, ties by key.
 
-    Queries go to the tasks in blocks of about `block`, a pass over the index for each; every task sends on its k best of
-    each batch only, and these are ranked.
+    Queries are dealt into blocks of about `block` rows and the index into slices of about `slice_rows`; each pair of a
+    block and a slice meets in one task, which sends on its k best of each query, and these are ranked. Nothing passes
+    through the driver but two counts.
     """
-    asked = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("qv"))
-    n = max(1, -(-asked.count() // block))
-    found = None
-    for b in range(n):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).collect()
-        who, qs = np.array([r["query_id"] for r in rows], np.int64), np.array([r["qv"] for r in rows], float)
-
-        def ranked(batches: Iterator[pa.RecordBatch], who=who, qs=qs) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not len(who):
-                    continue
-                ids, x = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), float)
-                d = 1 - (qs @ x.T) / np.maximum(np.linalg.norm(qs, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :], 1e-300)
-                o = np.stack([np.lexsort((ids, row))[:k] for row in d.round(12)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(who, o.shape[1])), pa.array(ids[o].ravel()), pa.array(np.take_along_axis(d, o, 1).ravel())], ["query_id", key, "distance"])
-
-        part = index.select(key, vector).mapInArrow(ranked, f"query_id long, {key} long, distance double")
-        found = part if found is None else found.unionByName(part)
+    blocks, slices = (max(1, -(-df.count() // n)) for df, n in ((queries, block), (index, slice_rows)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("qv"), own(key, blocks).alias("b"), every(slices).alias("s"))
+    rows = index.select(key, vector, own(key, slices).alias("s"), every(blocks).alias("b"))
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        whole = column.combine_chunks()
+        return np.asarray(whole.flatten().to_numpy(zero_copy_only=False), float).reshape(len(whole), -1)
+
+    def ranked(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["query_id", key, "distance"]
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
+        who, qs, ids, x = left["query_id"].to_numpy(), matrix(left["qv"]), right[key].to_numpy(), matrix(right[vector])
+        d = 1 - (qs @ x.T) / np.maximum(np.linalg.norm(qs, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :], 1e-300)
+        o = np.stack([np.lexsort((ids, row))[:k] for row in d.round(12)])
+        return pa.Table.from_arrays([pa.array(np.repeat(who, o.shape[1])), pa.array(ids[o].ravel()), pa.array(np.take_along_axis(d, o, 1).ravel())], names)
+
+    found = asked.groupBy("b", "s").cogroup(rows.groupBy("b", "s")).applyInArrow(ranked, f"query_id long, {key} long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 12), key))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -92,6 +95,13 @@ def maintain(stored: DataFrame, snapshot: DataFrame, encode: Callable[[DataFrame
     return current.select(*stored.columns).unionByName(gone.select(*stored.columns))
 
 
+def letter_embedder(letters: str = "aeiou", text: str = "chunk_text") -> Callable[[DataFrame], DataFrame]:
+    """A stand-in that any engine can follow: how often each of these letters stands in the text, normalised; native."""
+    count = lambda c: (F.length(text) - F.length(F.replace(F.col(text), F.lit(c), F.lit("")))).cast("double")
+    raw = F.array(*map(count, letters))
+    return lambda df: df.withColumn("_v", raw).withColumn("embedding", F.transform("_v", lambda x: F.coalesce(F.try_divide(x, F.sqrt(dot(F.col("_v"), F.col("_v")))), F.lit(0.0)).cast("float"))).drop("_v")
+
+
 def check_ready(manifest: dict, model: str, dimension: int) -> None:
     """Refuses a search over an index that is not ready, empty or of another model."""
     if manifest.get("state") != "ready" or manifest.get("active", 0) < 1:
@@ -103,6 +113,6 @@ def check_ready(manifest: dict, model: str, dimension: int) -> None:
 def hashing_embedder(dimension: int = 64, text: str = "chunk_text") -> Callable[[DataFrame], DataFrame]:
     """A deterministic stand-in for a model: signed counts of hashed words, normalised; native."""
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    place = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)).cast("int"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(place, lambda p: p == i)).cast("double"))
+    hashed = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimension)).alias("p"), (1 - 2 * F.pmod(F.xxhash64(w, F.lit(1)), F.lit(2))).cast("double").alias("s")))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(hashed, lambda h: h["p"] == i), F.lit(0.0), lambda a, h: a + h["s"]))
     return lambda df: df.withColumn("_v", raw).withColumn("embedding", F.transform("_v", lambda x: F.try_divide(x, F.sqrt(dot(F.col("_v"), F.col("_v")))).cast("float"))).drop("_v")

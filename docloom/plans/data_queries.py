@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import joins, logs, vectors
+from docloom.functions import hashes, records
+from docloom.operators import checks, joins, logs, vectors
 from docloom.plans.text_queries import read
 from docloom.sources import sinks
 from docloom.streaming import incremental
@@ -44,21 +45,22 @@ def vector_nearest(spark, sf):
 
 
 def snapshot_diff(spark, sf):
-    """Documents with even ids as the stored table, those not divisible by 3 as the snapshot, some with other contents."""
+    """Documents of ids divisible by 2 or 3 as the stored table, those not divisible by 3 as the snapshot, some with other contents: each document is in one or both."""
     d = read(spark, sf, "documents").select("doc_id", "lang", "source")
-    stored = d.where("doc_id % 2 = 0").select("doc_id", F.col("lang").alias("content"), "source", (F.col("doc_id") % 7 != 0).alias("active"))
+    stored = d.where("doc_id % 2 = 0 OR doc_id % 3 = 0").select("doc_id", F.col("lang").alias("content"), "source", (F.col("doc_id") % 7 != 0).alias("active"))
     snap = d.where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "xx").otherwise(F.col("lang")).alias("content"), F.when(F.col("doc_id") % 11 == 0, "moved").otherwise(F.col("source")).alias("source"))
     return vectors.snapshot_diff(stored, snap, "doc_id", "content", "source").groupBy("change").agg(F.count("*").alias("rows"), F.sum("doc_id").alias("id_sum"))
 
 
 def index_maintenance(spark, sf):
-    """The vector table after a snapshot: what is active, what was encoded anew."""
+    """The vector table after a snapshot: what is active, and the vectors, old ones and those of new and changed texts."""
     d = read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("chunk_text"), F.md5("text").alias("content_hash"), F.col("lang").alias("metadata"))
-    encode = vectors.hashing_embedder(8)
-    stored = encode(d.where("chunk_id % 2 = 0")).withColumn("active", F.lit(True))
-    snap = d.where("chunk_id % 3 <> 0").withColumn("content_hash", F.when(F.col("chunk_id") % 5 == 0, "other").otherwise(F.col("content_hash")))
+    encode = vectors.letter_embedder()
+    stored = encode(d.where("chunk_id % 2 = 0 OR chunk_id % 3 = 0")).withColumn("active", F.lit(True))
+    snap = d.where("chunk_id % 3 <> 0").withColumn("chunk_text", F.when(F.col("chunk_id") % 5 == 0, F.lower("chunk_text")).otherwise(F.col("chunk_text"))).withColumn("content_hash", F.md5("chunk_text"))
     out = vectors.maintain(stored, snap, encode)
-    return out.select("chunk_id", "content_hash", "active")
+    shown = F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x.cast("double"))), ",")
+    return out.select("chunk_id", "content_hash", "active", shown.alias("vector"))
 
 
 def label_join_left(spark, sf):
@@ -200,12 +202,18 @@ ORACLES = {
     "vector_topk_merged": top(3, 10),
     "vector_nearest": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 12) AS d FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS INT) AS rank FROM p) SELECT query_id, vec_id, round(d, 6) AS distance, rank FROM r WHERE rank <= 5""",
-    "snapshot_diff": """WITH s AS (SELECT doc_id, lang AS c, source AS m, doc_id % 7 <> 0 AS a FROM documents WHERE doc_id % 2 = 0),
+    "snapshot_diff": """WITH s AS (SELECT doc_id, lang AS c, source AS m, doc_id % 7 <> 0 AS a FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0),
         n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'xx' ELSE lang END AS c, CASE WHEN doc_id % 11 = 0 THEN 'moved' ELSE source END AS m FROM documents WHERE doc_id % 3 <> 0),
         j AS (SELECT coalesce(s.doc_id, n.doc_id) AS id, CASE WHEN n.doc_id IS NULL THEN CASE WHEN a THEN 'stale' ELSE 'gone' END WHEN s.doc_id IS NULL THEN 'new' WHEN s.c <> n.c THEN 'changed' WHEN s.m <> n.m OR NOT a THEN 'metadata' ELSE 'same' END AS change FROM s FULL JOIN n USING (doc_id))
         SELECT change, count(*) AS rows, CAST(sum(id) AS BIGINT) AS id_sum FROM j GROUP BY 1""",
-    "index_maintenance": """SELECT doc_id AS chunk_id, CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE md5(text) END AS content_hash, true AS active FROM documents WHERE doc_id % 3 <> 0
-        UNION ALL SELECT doc_id, md5(text), false FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 = 0""",
+    "index_maintenance": """WITH r AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 = 0 THEN lower(text) ELSE text END AS text, doc_id % 3 <> 0 AS active FROM documents),
+        v AS (SELECT *, list_transform(['a', 'e', 'i', 'o', 'u'], lambda c: CAST(length(text) - length(replace(text, c, '')) AS DOUBLE)) AS v FROM r),
+        n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM v)
+        SELECT doc_id AS chunk_id, md5(text) AS content_hash, active, array_to_string(list_transform(v, lambda x: printf('%.4f', CAST(CAST(CASE WHEN size > 0 THEN x / size ELSE 0 END AS FLOAT) AS DOUBLE))), ',') AS vector FROM n""",
+    "context_rendering": """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 12) AS d FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p),
+        h AS (SELECT query_id, string_agg('[' || rank || '] ' || coalesce(source, 'unknown') || chr(10) || CASE WHEN vec_id % 2 = 0 THEN substr(text, 1, 1200) ELSE text END, chr(10) || chr(10) ORDER BY rank) AS context FROM r JOIN documents ON doc_id = vec_id WHERE rank <= 3 GROUP BY 1)
+        SELECT query_id, CAST(length(context) AS INT) AS chars, md5(context) AS context_hash FROM h""",
     "label_join_left": "SELECT source, coalesce(quality, -1) AS quality, count(*) AS rows FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1, 2",
     "label_semi": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "label_anti": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
@@ -240,7 +248,7 @@ ORACLES = {
 
 
 def provider_once(spark, sf):
-    """Each different page title asked once of a stand-in provider, answers joined back, scores from 1 to 5 kept."""
+    """Each different event type asked once of a stand-in provider (the length of what it is asked), answers joined back, scores from 1 to 5 kept."""
     from docloom.operators import hooks
 
     p = read(spark, sf, "events").select("event_id", "event_type")
@@ -250,7 +258,7 @@ def provider_once(spark, sf):
 
 def record_fields(spark, sf):
     """Semesters, credit hours, headers, names and error classes from strings of the order table."""
-    from docloom.functions import records as r
+    r = records
 
     o = read(spark, sf, "orders").withColumn("n", F.col("o_orderkey") % 4 + 1)
     season = F.when(F.col("n") == 1, "1학기").when(F.col("n") == 2, "여름학기").otherwise("closed")
@@ -293,3 +301,160 @@ ORACLES |= {
     "blind_labels": "SELECT conv_id, role, substr('ABCD', CAST(row_number() OVER (PARTITION BY conv_id ORDER BY md5(conv_id || ':' || role || ':7')) AS INT), 1) AS label FROM (SELECT DISTINCT conv_id, role FROM conversations)",
     "seed_spread": "SELECT item_id, strftime(TIMESTAMP '2024-01-31' - to_hours(CAST(((row_number() OVER (ORDER BY item_id) - 1) * 720) // count(*) OVER () AS INT)), '%Y-%m-%d %H:%M:%S') AS created_at FROM benchmark",
 }
+
+
+def answers_of(spark, sf):
+    """Conversations as maps of answers by model (the roles), every seventh assistant failing."""
+    c = read(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.min("text").alias("text"))
+    said = F.when((F.col("role") == "assistant") & (F.col("conv_id") % 7 == 0), F.concat(F.lit("[ERROR] "), "text")).otherwise(F.col("text"))
+    return c.select("conv_id", "role", said.alias("text")).groupBy("conv_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "text")))).alias("answers"))
+
+
+def exploded_answers(spark, sf):
+    """Answers by model as rows, failed ones left out, as a response shows them."""
+    rows = checks.exploded_answers(answers_of(spark, sf), "answers").where(checks.answered(F.col("answer")))
+    shown = checks.shown_sources(F.col("answer"), F.when(F.col("conv_id") % 3 == 0, F.col("model")), F.lit("chat"))
+    return rows.select("conv_id", "model", shown.alias("s")).select("conv_id", "model", F.md5("s.content").alias("content_hash"), "s.source", "s.category")
+
+
+def contract_violations(spark, sf):
+    """Documents as review chunks, some of which break the contract: how many break which rule first."""
+    d = read(spark, sf, "documents")
+    i = F.col("doc_id")
+    rows = d.select(
+        i.alias("lecture"), F.col("text").alias("chunk_text"), F.when(i % 19 == 0, "notice").otherwise("lecture_review").alias("source_type"),
+        F.when(i % 11 == 0, "x1").otherwise(i.cast("string")).alias("lecture_id"), F.concat(F.when(i % 13 == 0, "page:").otherwise("lecture:"), i.cast("string")).alias("chunk_id"),
+        F.when(i % 17 == 0, F.sha2(F.concat("text", F.lit(" ")), 256)).otherwise(F.sha2("text", 256)).alias("content_hash"),
+    )
+    return checks.violations(rows, checks.review_chunk_rules())
+
+
+def category_balance(spark, sf):
+    """Whether each event type stands once for each user."""
+    e = read(spark, sf, "events").select("event_type", "user_id").distinct()
+    return checks.balance(e, "event_type", "user_id", 150, ["view", "click", "error", "purchase", "signup", "refund"])
+
+
+def rater_completeness(spark, sf):
+    """Users as raters of days: which days each has left out."""
+    e = read(spark, sf, "events").select((F.col("user_id") % 40).alias("rater"), F.date_format("ts", "yyyy-MM-dd HH").alias("unit"))
+    return checks.completeness(e, "rater", ["unit"])
+
+
+def search_states(spark, sf):
+    """Users as courses, event types as queries, values as lectures found: candidates, queries and status."""
+    e = read(spark, sf, "events").select(F.col("user_id").alias("course"), F.col("event_type").alias("query"), F.floor("value").alias("lecture"), "value")
+    found = e.where("value < 2 AND query <> 'error'").select("course", "query", "lecture")
+    runs = e.select("course", "query", F.when((F.col("course") % 9 == 0) | (F.col("query") == "error"), "timeout").alias("error"))
+    out = checks.search_states(found.where("course % 9 <> 0"), runs, None)
+    names = F.array_join(F.transform("candidates", lambda c: F.concat(c["lecture"].cast("string"), F.lit("="), F.array_join(c["found_by"], "+"))), ",")
+    return out.select("course", F.coalesce(names, F.lit("")).alias("candidates"), F.array_join("queries", "+").alias("queries"), "status")
+
+
+def scan_statuses(spark, sf):
+    """Orders with what was seen and expected of their lines."""
+    o = read(spark, sf, "orders").join(read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("seen")), "o_orderkey")
+    expected = F.when(F.col("o_orderkey") % 4 != 0, F.lit(4))
+    return o.groupBy(checks.scan_status(F.col("seen"), expected, F.col("o_orderstatus") == "P").alias("status")).agg(F.count("*").alias("orders"), F.sum("seen").alias("lines"))
+
+
+def department_grid(spark, sf):
+    """Parts as courses: those with a code whose department names the target."""
+    p = read(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, " ").otherwise(F.col("p_brand")).alias("code"), "p_type")
+    out = checks.grid_rows(p, "code", "p_type", "STEEL")
+    return out.select("p_partkey", "code", "department_filter")
+
+
+def served_models(spark, sf):
+    """Priorities as model names asked for: the default where none is asked for, null for those not served."""
+    o = read(spark, sf, "orders")
+    asked = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderpriority"))
+    return o.groupBy(checks.resolved_model(asked, "1-URGENT", {"1-URGENT": "base", "2-HIGH": "lora"}).alias("served")).agg(F.count("*").alias("orders"))
+
+
+def question_texts(spark, sf):
+    """A conversation's first user turn with its other user turns as bundled questions."""
+    c = read(spark, sf, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    texts = F.transform("t", lambda x: x["text"])
+    return c.select("conv_id", F.md5(records.question_text(texts[0], F.slice(texts, 2, 100))).alias("question_hash"))
+
+
+def fingerprints(spark, sf):
+    """Configurations of nations and review fingerprints of customers."""
+    n = read(spark, sf, "nation")
+    c = n.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), hashes.config_fingerprint("v1", name=F.col("n_name"), key=F.col("n_nationkey")).alias("fingerprint"))
+    r = read(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), hashes.review_fingerprint(F.col("c_custkey"), F.col("c_mktsegment"), F.concat("c_name", F.lit(" \n  x "))).alias("fingerprint"))
+    return c.unionByName(r)
+
+
+def casefold_order(spark, sf):
+    """Parts' names in order of their lower-case form, then of the name: the first 100."""
+    p = read(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"))
+    return p.orderBy(F.lower("name"), "name", "p_partkey").limit(100)
+
+
+def chunk_headers(spark, sf):
+    """Headers of documents: title, date, attachment, of what is filled."""
+    d = read(spark, sf, "documents")
+    title, date, file = (F.when(F.col("doc_id") % k != 0, c) for k, c in ((3, F.col("source")), (4, F.lit("2024-01-31")), (2, F.col("lang"))))
+    return d.select("doc_id", F.md5(records.chunk_header(title, date, file)).alias("header_hash"))
+
+
+def fallback_answers(spark, sf):
+    """What is said of each user's questions where no answer is generated."""
+    e = read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("event_id").cast("string").alias("first"))
+    line = records.group_text(F.col("event_type"), F.col("n"), F.array("first"))
+    g = e.groupBy("user_id").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.sum("n").cast("int").alias("n"))
+    return g.select("user_id", F.md5(records.fallback_answer(records.period_text(F.lit("2024-01-01"), F.lit("2024-01-31"), F.col("n")), F.col("lines"))).alias("answer_hash"))
+
+
+def until_empty(spark, sf):
+    """Events as rounds of users, of which those of high value produce something: up to three empty rounds in a row."""
+    e = read(spark, sf, "events").select("event_id", "user_id", "value")
+    return incremental.until_empty(e, "user_id", F.when(F.col("value") > 20, 1).otherwise(0), ["event_id"]).select("event_id", "user_id")
+
+
+def pages_to_read(spark, sf):
+    """Documents as list pages of ten posts, the labelled ones known: what an update run reads."""
+    d = read(spark, sf, "documents").join(read(spark, sf, "labels").select("doc_id", F.lit(1).alias("k")), "doc_id", "left")
+    pages = d.groupBy((F.floor(F.col("doc_id") / 10) + 1).alias("page")).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"), F.array_sort(F.collect_list(F.when(F.col("k").isNotNull() | (F.col("doc_id").between(120, 149)), F.col("doc_id")))).alias("known"))
+    out = None
+    for mode in ("full", "resume", "update"):
+        part = incremental.pages_to_read(pages, mode).agg(F.lit(mode).alias("mode"), F.count("*").alias("pages"), F.max("page").alias("last"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+QUERIES |= {f.__name__: f for f in (exploded_answers, contract_violations, category_balance, rater_completeness, search_states, scan_statuses, department_grid, served_models, question_texts, fingerprints, casefold_order, chunk_headers, fallback_answers, until_empty, pages_to_read)}
+ORACLES |= {
+    "exploded_answers": """WITH a AS (SELECT conv_id, role AS model, CASE WHEN role = 'assistant' AND conv_id % 7 = 0 THEN '[ERROR] ' ELSE '' END || min(text) AS answer FROM conversations GROUP BY conv_id, role)
+        SELECT conv_id, model, md5(substr(answer, 1, 200)) AS content_hash, CASE WHEN conv_id % 3 = 0 THEN model ELSE 'unknown' END AS source, 'chat' AS category FROM a WHERE trim(answer, ' ') <> '' AND NOT starts_with(answer, '[ERROR]')""",
+    "contract_violations": """SELECT CASE WHEN trim(text, ' ') = '' THEN 'chunk_text' WHEN doc_id % 19 = 0 THEN 'source_type' WHEN doc_id % 11 = 0 THEN 'lecture_id' WHEN doc_id % 13 = 0 THEN 'chunk_id' WHEN doc_id % 17 = 0 THEN 'content_hash' END AS reason, count(*) AS rows FROM documents GROUP BY 1 HAVING reason IS NOT NULL""",
+    "category_balance": """WITH e AS (SELECT DISTINCT event_type, user_id FROM events), n AS (SELECT event_type, count(*) AS rows FROM e GROUP BY 1)
+        SELECT c AS event_type, coalesce(rows, 0) AS rows, coalesce(rows, 0) AS distinct_keys, coalesce(rows, 0) = 150 AS ok FROM (SELECT unnest(['view', 'click', 'error', 'purchase', 'signup', 'refund']) AS c) LEFT JOIN n ON c = event_type""",
+    "rater_completeness": """WITH e AS (SELECT DISTINCT user_id % 40 AS rater, strftime(ts, '%Y-%m-%d %H') AS unit FROM events), t AS (SELECT count(DISTINCT unit) AS expected FROM e)
+        SELECT rater, count(*) AS units, any_value(expected) AS expected, any_value(expected) - count(*) AS missing FROM e, t GROUP BY rater""",
+    "search_states": """WITH e AS (SELECT user_id AS course, event_type AS query, CAST(floor(value) AS BIGINT) AS lecture, value FROM events),
+        f AS (SELECT course, lecture, string_agg(DISTINCT query, '+' ORDER BY query) AS finders FROM e WHERE value < 2 AND query <> 'error' AND course % 9 <> 0 GROUP BY 1, 2),
+        c AS (SELECT course, string_agg(lecture || '=' || finders, ',' ORDER BY lecture) AS candidates, count(*) AS n FROM f GROUP BY 1),
+        r AS (SELECT course, string_agg(DISTINCT query, '+' ORDER BY query) AS queries, bool_and(course % 9 = 0 OR query = 'error') AS failed FROM e GROUP BY 1)
+        SELECT course, coalesce(candidates, '') AS candidates, queries, CASE WHEN failed THEN 'error' WHEN n > 1 THEN 'needs_check' WHEN n = 1 THEN 'candidates_found' ELSE 'no_results' END AS status FROM r LEFT JOIN c USING (course)""",
+    "scan_statuses": """WITH l AS (SELECT l_orderkey AS o_orderkey, count(*) AS seen FROM lineitem GROUP BY 1)
+        SELECT CASE WHEN o_orderstatus = 'P' OR (o_orderkey % 4 <> 0 AND seen < 4) THEN 'partial' WHEN o_orderkey % 4 = 0 THEN 'scanned_completeness_unverified' WHEN seen > 4 THEN 'needs_check' ELSE 'complete' END AS status, count(*) AS orders, CAST(sum(seen) AS BIGINT) AS lines FROM orders JOIN l USING (o_orderkey) GROUP BY 1""",
+    "department_grid": "SELECT p_partkey, p_brand AS code, 'STEEL' AS department_filter FROM part WHERE p_partkey % 5 <> 0 AND contains(p_type, 'STEEL')",
+    "served_models": """SELECT CASE CASE WHEN o_orderkey % 3 = 0 THEN '1-URGENT' ELSE o_orderpriority END WHEN '1-URGENT' THEN 'base' WHEN '2-HIGH' THEN 'lora' END AS served, count(*) AS orders FROM orders GROUP BY 1""",
+    "question_texts": """WITH c AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations WHERE role = 'user')
+        SELECT conv_id, md5(string_agg(CASE WHEN n = 1 THEN text ELSE (n - 1) || '. ' || text END, chr(10) ORDER BY n)) AS question_hash FROM c GROUP BY 1""",
+    "fingerprints": """SELECT 'n' || n_nationkey AS id, sha256('v1:{"key":' || n_nationkey || ',"name":' || to_json(n_name) || '}') AS fingerprint FROM nation
+        UNION ALL SELECT 'c' || c_custkey, sha256(c_custkey || chr(10) || c_mktsegment || chr(10) || c_name || ' x') FROM customer""",
+    "casefold_order": "WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE p_name END AS name FROM part) SELECT * FROM p ORDER BY lower(name), name, p_partkey LIMIT 100",
+    "chunk_headers": """SELECT doc_id, md5(concat_ws(chr(10), 'title: ' || CASE WHEN doc_id % 3 <> 0 THEN source ELSE '(제목 없음)' END, CASE WHEN doc_id % 4 <> 0 THEN 'date: 2024-01-31' END, CASE WHEN doc_id % 2 <> 0 THEN 'attachment: ' || lang END)) AS header_hash FROM documents""",
+    "fallback_answers": """WITH e AS (SELECT user_id, '- ' || event_type || ' (' || count(*) || '): ' || min(event_id) AS line, count(*) AS n FROM events GROUP BY user_id, event_type)
+        SELECT user_id, md5('2024-01-01 to 2024-01-31, ' || CAST(sum(n) AS BIGINT) || ' questions' || chr(10) || string_agg(line, chr(10) ORDER BY line)) AS answer_hash FROM e GROUP BY 1""",
+    "until_empty": """WITH n AS (SELECT event_id, user_id, value > 20 AS made, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+        w AS (SELECT *, sum(CAST(NOT made AS INT)) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS e FROM n), s AS (SELECT user_id, min(n) AS stop FROM w WHERE e = 3 AND n >= 3 GROUP BY 1)
+        SELECT event_id, user_id FROM n LEFT JOIN s USING (user_id) WHERE stop IS NULL OR n <= stop""",
+    "pages_to_read": """WITH d AS (SELECT doc_id, doc_id // 10 + 1 AS page, doc_id IN (SELECT doc_id FROM labels) OR doc_id BETWEEN 120 AND 149 AS k FROM documents), p AS (SELECT page, bool_and(k) AS every FROM d GROUP BY 1),
+        s AS (SELECT min(a.page) AS stop FROM p a JOIN p b ON a.page = b.page + 1 WHERE a.every AND b.every AND b.page >= 2)
+        SELECT 'full' AS mode, count(*) AS pages, max(page) AS last FROM p UNION ALL SELECT 'resume', count(*), max(page) FROM p WHERE NOT every UNION ALL SELECT 'update', count(*), max(page) FROM p, s WHERE stop IS NULL OR page <= stop""",
+}

@@ -100,13 +100,34 @@ def bootstrap_interval(spark, sf):
     return rounded(stats.bootstrap_interval(e, "l_suppkey", "l_quantity", "l_extendedprice", reps=200), "low", "high")
 
 
+def correlation_tests(spark, sf):
+    """Correlations with p values by language: length against the share of spaces."""
+    d = read(spark, sf, "documents").select("lang", "n_chars", (F.regexp_count("text", F.lit(" ")) / F.length("text")).alias("spaces"))
+    return rounded(stats.correlations(d, "n_chars", "spaces", ["lang"], tests=True), "pearson", "spearman", "p_pearson", "p_spearman")
+
+
+def rated(spark, sf):
+    """Events as ratings: hours as items, users' remainders as raters and models, the first event of each."""
+    e = read(spark, sf, "events").withColumns({"unit": F.date_format("ts", "yyyy-MM-dd"), "rater": (F.col("user_id") % 4).cast("int"), "model": F.concat(F.lit("m"), F.col("user_id") % 3)})
+    return e.groupBy("unit", "rater", "model").agg(F.min("event_id").alias("e")).select("unit", "rater", "model", (F.col("e") % 5 + 1).cast("int").alias("accuracy"), (F.col("e") % 4 + 1).cast("int").alias("type"))
+
+
+def agreement_table(spark, sf):
+    return rounded(stats.agreement_table(rated(spark, sf), ["unit"], "rater", "model", {"accuracy": (5, True), "type": (4, False)}), "kappa")
+
+
+def fleiss_equal_raters(spark, sf):
+    """Only the items that all four raters have rated once."""
+    return rounded(stats.fleiss_kappa(stats.equal_raters(ratings(spark, sf), ["unit"], "rater", 4), ["unit"], "score"), "kappa")
+
+
 def unpivot_pivot(spark, sf):
     q = read(spark, sf, "labels")
     long = q.unpivot(["doc_id"], ["quality", "toxic"], "metric", "value")
     return long.groupBy((F.col("doc_id") % 10).alias("bucket")).pivot("metric", ["quality", "toxic"]).agg(F.sum("value"))
 
 
-QUERIES = {f.__name__: f for f in (grouping_sets_describe, describe_interval, confusion_metrics, majority_vote, item_summary, paired_contrast, paired_tests, discordant_pairs, contrast_holm, kappa_pairwise, fleiss_kappa, pearson_spearman, bootstrap_interval, unpivot_pivot)}
+QUERIES = {f.__name__: f for f in (grouping_sets_describe, describe_interval, confusion_metrics, majority_vote, item_summary, paired_contrast, paired_tests, discordant_pairs, contrast_holm, kappa_pairwise, fleiss_kappa, pearson_spearman, bootstrap_interval, unpivot_pivot, correlation_tests, agreement_table, fleiss_equal_raters)}
 
 _UNIT = "strftime(ts, '%Y-%m-%d %H')"
 _RATINGS = f"r AS (SELECT {_UNIT} AS unit, user_id % 4 AS rater, arg_min(event_id % 5 + 1, event_id) AS score FROM events GROUP BY 1, 2)"
@@ -135,4 +156,28 @@ ORACLES = {
     "pearson_spearman": """WITH k AS (SELECT l_returnflag AS f, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem), r AS (SELECT *, rank() OVER (PARTITION BY f ORDER BY x) + (count(*) OVER (PARTITION BY f, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY f ORDER BY y) + (count(*) OVER (PARTITION BY f, y) - 1) / 2 AS ry FROM k)
         SELECT f AS l_returnflag, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY 1""",
     "unpivot_pivot": "SELECT doc_id % 10 AS bucket, CAST(sum(quality) AS BIGINT) AS quality, CAST(sum(toxic) AS BIGINT) AS toxic FROM labels GROUP BY 1",
+    "discordant_pairs": """WITH l AS (SELECT l_orderkey, max(CAST(l_quantity > 40 AS INT)) AS a, max(CAST(l_discount > 0.08 AS INT)) AS b FROM lineitem GROUP BY 1),
+        c AS (SELECT 'a - b' AS contrast, count(*) AS n, round(100 * (avg(a) - avg(b)), 6) AS diff_pp, count(*) FILTER (a = 1 AND b = 0) AS only_a, count(*) FILTER (a = 0 AND b = 1) AS only_b FROM l),
+        s AS (SELECT *, unnest(range(0, least(only_a, only_b) + 1)) AS i, only_a + only_b AS m FROM c)
+        SELECT contrast, n, diff_pp, only_a, only_b, CASE WHEN only_a = only_b THEN 1.0 ELSE round(least(1.0, 2 * sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2)))), 6) END AS p FROM s GROUP BY contrast, n, diff_pp, only_a, only_b""",
+    "bootstrap_interval": """WITH c AS (SELECT l_suppkey AS k, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM (SELECT l_suppkey, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem) GROUP BY 1),
+        u AS (SELECT *, CAST('0x' || substr(md5(k || ':' || rep || ':42'), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM c, (SELECT unnest(range(1, 201)) AS rep)),
+        w AS (SELECT *, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183], lambda c: u >= c)) AS t FROM u),
+        s AS (SELECT rep, sum(t * n) AS n, sum(t * sx) AS sx, sum(t * sy) AS sy, sum(t * sxx) AS sxx, sum(t * syy) AS syy, sum(t * sxy) AS sxy FROM w GROUP BY rep),
+        r AS (SELECT (n * sxy - sx * sy) / (sqrt(n * sxx - sx * sx) * sqrt(n * syy - sy * sy)) AS r FROM s)
+        SELECT round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM r WHERE r IS NOT NULL AND NOT isnan(r)""",
+    "agreement_table": """WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id % 4 AS rater, 'm' || (user_id % 3) AS m, min(event_id) AS e FROM events GROUP BY 1, 2, 3),
+        v AS (SELECT unnest(['all', m]) AS model, day || m AS unit, rater, e FROM e), l AS (SELECT model, unit, rater, 'accuracy' AS measure, e % 5 + 1 AS v, 4.0 AS w FROM v UNION ALL SELECT model, unit, rater, 'type', e % 4 + 1, 0.0 FROM v),
+        p AS (SELECT x.model, x.measure, x.rater || '-' || y.rater AS raters, x.v AS a, y.v AS b, x.w FROM l x JOIN l y ON x.model = y.model AND x.measure = y.measure AND x.unit = y.unit AND x.rater < y.rater),
+        d AS (SELECT *, CASE WHEN w > 0 THEN ((a - b) / w) ** 2 ELSE CAST(a <> b AS INT) END AS c FROM p), t AS (SELECT model, measure, raters, any_value(w) AS w, count(*) AS n, avg(c) AS seen FROM d GROUP BY 1, 2, 3),
+        ma AS (SELECT model, measure, raters, a, count(*) AS n FROM p GROUP BY 1, 2, 3, 4), mb AS (SELECT model, measure, raters, b, count(*) AS n FROM p GROUP BY 1, 2, 3, 4),
+        x AS (SELECT model, measure, raters, sum(ma.n * mb.n * CASE WHEN measure = 'accuracy' THEN ((a - b) / 4.0) ** 2 ELSE CAST(a <> b AS INT) END) AS chance FROM ma JOIN mb USING (model, measure, raters) GROUP BY 1, 2, 3),
+        c AS (SELECT model, measure, unit, v, count(*) AS c FROM l GROUP BY 1, 2, 3, 4), u AS (SELECT model, measure, unit, sum(c) AS n, sum(c * c) AS sq FROM c GROUP BY 1, 2, 3),
+        f AS (SELECT * FROM u WHERE n = (SELECT max(n) FROM u o WHERE o.model = u.model AND o.measure = u.measure)), g AS (SELECT model, measure, v, sum(c) AS c FROM c JOIN f USING (model, measure, unit) GROUP BY 1, 2, 3),
+        e2 AS (SELECT model, measure, sum(c * c) / (sum(c) * sum(c)) AS pe FROM g GROUP BY 1, 2), po AS (SELECT model, measure, count(*) AS n, avg((sq - n) / (n * (n - 1))) AS po, max(n) AS raters FROM f GROUP BY 1, 2)
+        SELECT model, measure, raters, n AS n_units, round(1 - seen * n * n / nullif(chance, 0), 6) AS kappa FROM t JOIN x USING (model, measure, raters)
+        UNION ALL SELECT model, measure, 'fleiss', n, CASE WHEN po.raters >= 2 AND n >= 2 AND pe < 1 THEN round((po - pe) / (1 - pe), 6) END FROM po JOIN e2 USING (model, measure)""",
+    "fleiss_equal_raters": f"""WITH {_RATINGS}, k AS (SELECT unit FROM r GROUP BY 1 HAVING count(*) = 4), v AS (SELECT unit, score, count(*) AS c FROM r WHERE unit IN (SELECT unit FROM k) GROUP BY 1, 2), u AS (SELECT unit, sum(c * c) AS sq FROM v GROUP BY 1),
+        s AS (SELECT score, sum(c) AS c FROM v GROUP BY 1), e AS (SELECT sum(c * c) / (sum(c) * sum(c)) AS pe FROM s)
+        SELECT CAST(4 AS BIGINT) AS n_raters, count(*) AS n_units, round((avg((sq - 4) / 12) - any_value(pe)) / (1 - any_value(pe)), 6) AS kappa FROM u, e""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.functions import hashes, mask, text, urls
+from docloom.functions import catalog, hashes, mask, records, text, urls
 from docloom.operators import chunk, curate, prep, stats
 from docloom.sources import pages as html
 from docloom.sources import sinks
@@ -14,23 +14,45 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(spark, sf, name):
+    """A table whose rows are long to work on: dealt out where it has fewer splits than there are cores (a row group is one split)."""
+    df, cores = read(spark, sf, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def normalize_fingerprint(spark, sf):
     t = text.normalize_text(F.col("text"))
-    return read(spark, sf, "documents").select("doc_id", F.length(t).cast("long").alias("chars"), F.sha2(t, 256).alias("content_hash"))
+    return wide(spark, sf, "documents").select("doc_id", F.length(t).cast("long").alias("chars"), F.sha2(t, 256).alias("content_hash"))
 
 
 NORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ \t]+', ' ', 'g'), '(?m)^[ \t]+|[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
 
 
+def normalize_forms(spark, sf):
+    """Texts whose accents are written as characters of their own: composed, their hashes are those of the composed texts."""
+    c = F.col("text")
+    for whole, parts in {"é": "e\u0301", "ü": "u\u0308", "ñ": "n\u0303"}.items():
+        c = F.replace(c, F.lit(whole), F.lit(parts))
+    t = text.normalize_text(c)
+    return wide(spark, sf, "documents").select("doc_id", F.length(t).cast("long").alias("chars"), F.sha2(t, 256).alias("content_hash"))
+
+
+def sql_functions(spark, sf):
+    """The registered functions called from SQL."""
+    catalog.register(spark)
+    read(spark, sf, "documents").createOrReplaceTempView("docloom_documents")
+    return spark.sql("SELECT doc_id, md5(nfc(replace(text, 'é', 'e\\u0301'))) AS composed, md5(decoded_bytes(encode(text, 'UTF-8'))) AS decoded FROM docloom_documents")
+
+
 def text_keys(spark, sf):
     c = F.col("text")
-    return read(spark, sf, "documents").select("doc_id", F.md5(text.spaced_key(c)).alias("spaced"), F.md5(text.letters_key(c)).alias("letters"), F.round(text.share_of(c, "[0-9]"), 9).alias("digit_share"), F.regexp_count(c, F.lit("[.!?]")).cast("long").alias("enders"))
+    return wide(spark, sf, "documents").select("doc_id", F.md5(text.spaced_key(c)).alias("spaced"), F.md5(text.letters_key(c)).alias("letters"), F.round(text.share_of(c, "[0-9]"), 9).alias("digit_share"), F.regexp_count(c, F.lit("[.!?]")).cast("long").alias("enders"))
 
 
 def review_text(spark, sf):
     """Entities, tags and blanks of the pages' own markup, Unicode form C."""
     t = text.normalize_review(F.col("html"))
-    return read(spark, sf, "pages").select("page_id", F.length(t).cast("long").alias("chars"), F.sha2(t, 256).alias("content_hash"))
+    return wide(spark, sf, "pages").select("page_id", F.length(t).cast("long").alias("chars"), F.sha2(t, 256).alias("content_hash"))
 
 
 def dedupe_last_wins(spark, sf):
@@ -46,7 +68,7 @@ def dedupe_longest_wins(spark, sf):
 
 
 def dedupe_first_normalized(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.md5(text.letters_key(F.col("text"))).alias("key"))
+    d = wide(spark, sf, "documents").select("doc_id", F.md5(text.letters_key(F.col("text"))).alias("key"))
     return prep.first_wins(d, ["key"], ["doc_id"])
 
 
@@ -61,17 +83,17 @@ def prep_report(spark, sf):
 
 def quality_flags(spark, sf):
     flags = prep.quality_flags(F.regexp_replace("text", "[.,] ", "\n"), F.col("source") == "src3")
-    return read(spark, sf, "documents").select("doc_id", F.array_join(flags, ",").alias("flags"))
+    return wide(spark, sf, "documents").select("doc_id", F.array_join(flags, ",").alias("flags"))
 
 
 def drop_reason_waterfall(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.substring("text", 1, 12).alias("q"), F.substring(F.col("text"), F.lit(13), F.length("text")).alias("a"))
+    d = wide(spark, sf, "documents").select("doc_id", F.substring("text", 1, 12).alias("q"), F.substring(F.col("text"), F.lit(13), F.length("text")).alias("a"))
     return curate.drop_reasons(d, "q", "a", ["doc_id"], junk="worthless|completeness").groupBy("drop_reason").agg(F.count("*").alias("rows"), F.min("doc_id").alias("first_id"))
 
 
 def pii_mask_counts(spark, sf):
     masked, counts = mask.mask_personal_data(F.col("text"))
-    d = read(spark, sf, "documents").select("doc_id", masked.alias("masked"), counts.alias("n"))
+    d = wide(spark, sf, "documents").select("doc_id", masked.alias("masked"), counts.alias("n"))
     return d.select("doc_id", F.md5("masked").alias("masked_hash"), *(F.coalesce(F.col("n")[k], F.lit(0)).cast("long").alias(k) for k, _, _ in mask.MASKS))
 
 
@@ -81,7 +103,7 @@ def url_canonical(spark, sf):
 
 
 def html_text_links(spark, sf):
-    p = read(spark, sf, "pages")
+    p = wide(spark, sf, "pages")
     return p.select("page_id", F.md5(html.html_text("html")).alias("text_hash"), F.size(html.html_links("html", "url")).cast("long").alias("links"), F.size(html.html_images("html", "url")).cast("long").alias("images"), html.signature(F.col("html").cast("binary")).alias("kind"))
 
 
@@ -90,48 +112,75 @@ def page_signature(spark, sf):
 
 
 def decode_bytes(spark, sf):
-    """Stored bytes decoded again: the texts come back."""
-    p = read(spark, sf, "documents")
-    return p.select("doc_id", F.md5(html.decoded(F.encode("text", "utf-8"))).alias("text_hash"))
+    """Stored bytes decoded again: UTF-8, UTF-8 with a mark, and CP949 (two syllables before what is ASCII)."""
+    plain = F.encode("text", "UTF-8")
+    ascii_part = F.encode(F.regexp_replace("text", r"[^\x00-\x7F]", ""), "UTF-8")
+    kind = F.pmod("doc_id", F.lit(3))
+    data = F.when(kind == 0, plain).when(kind == 1, F.concat(F.unhex(F.lit("EFBBBF")), plain)).otherwise(F.concat(F.unhex(F.lit("C7D1B1DB")), ascii_part))
+    return wide(spark, sf, "documents").select("doc_id", F.md5(html.decoded(data)).alias("text_hash"))
 
 
 def notice_fan_out(spark, sf):
     """Pages and documents as notices with a body, an OCR text and attachments."""
     d = read(spark, sf, "documents").withColumn("post_id", F.floor(F.col("doc_id") / 3)).select("post_id", "doc_id", "text", "source")
-    part = F.struct(F.col("source").alias("url"), F.concat(F.lit("file"), F.pmod("doc_id", F.lit(2))).alias("name"), F.substring("text", 1, 40).alias("text"))
+    part = F.struct(F.col("source").alias("url"), F.concat(F.lit("file"), F.pmod("doc_id", F.lit(2))).alias("name"), F.col("text"))
     notices = d.groupBy("post_id").agg(F.min_by("text", "doc_id").alias("content"), F.lit("").alias("ocr_text"), F.array_sort(F.collect_list(part)).alias("attachments"))
     return prep.fan_out(notices).select("post_id", "source_key", "source_type", F.md5("text").alias("text_hash"))
 
 
 def change_hashes(spark, sf):
-    p = read(spark, sf, "pages")
+    p = wide(spark, sf, "pages")
     none = F.array().cast("array<struct<url:string,name:string>>")
     own = hashes.source_hash(F.col("page_id").cast("string"), F.lit(""), F.col("html"), F.array(urls.stable_url(F.col("url"), ("page",))), none)
     return p.select("page_id", own.alias("source_hash"), hashes.composite_id("page", F.col("page_id"), urls.post_id(F.col("url"))).alias("document_id"))
 
 
 def parsed_fields(spark, sf):
-    """Dates, ratings, whole numbers, votes and clamped counts from strings of events and orders."""
+    """Dates, votes and clamped counts from strings of orders."""
     o = read(spark, sf, "orders")
     later = F.add_months("o_orderdate", 120)
     shown = F.concat(F.lit("on "), F.when(F.col("o_orderkey") % 3 == 0, F.date_format(later, "yyyyMMdd")).otherwise(F.date_format(later, "yyyy.M.d")), F.lit(" at"))
     price = F.col("o_totalprice")
-    return o.select("o_orderkey", text.parse_date(shown).cast("string").alias("day"), text.rating((F.pmod("o_orderkey", F.lit(8)) - 1).cast("string")).alias("rating"), text.whole_number((F.col("o_orderkey") / 2).cast("string")).alias("half"), text.votes(F.format_number(F.floor(price), 0)).alias("votes"), text.item_count(F.when(F.col("o_orderkey") % 2 == 0, "quiz").otherwise("exam"), F.pmod("o_orderkey", F.lit(30)).cast("string")).alias("items"))
+    return o.select("o_orderkey", text.parse_date(shown).cast("string").alias("day"), text.votes(F.format_number(F.floor(price), 0)).alias("votes"), text.item_count(F.when(F.col("o_orderkey") % 2 == 0, "quiz").otherwise("exam"), F.pmod("o_orderkey", F.lit(30)).cast("string")).alias("items"))
+
+
+def json_numbers(spark, sf):
+    """Ratings and counts from the events' own JSON: numbers as they are, as strings, as booleans and negative."""
+    e = read(spark, sf, "events")
+    k = F.get_json_object("props", "$.k")
+    said = F.when(F.col("event_type") == "view", F.concat(F.lit('"'), k, F.lit('"'))).when(F.col("event_type") == "error", "true").when(F.col("event_type") == "signup", F.concat(F.lit("-"), k)).when(F.col("event_type") == "click", F.concat(k, F.lit(".5"))).otherwise(k)
+    v = F.parse_json(said)
+    return e.select("event_id", text.rating(v).alias("rating"), text.whole_number(v).alias("whole"))
+
+
+def syllabus_fields(spark, sf):
+    """The ten fields, credits and room of course texts, English and Korean labels, built from parts."""
+    p = read(spark, sf, "part")
+    odd = F.col("p_partkey") % 2 == 1
+    line = lambda en, ko, value: F.concat(F.when(odd, en).otherwise(ko), F.lit(": "), value, F.lit("\n"))
+    key = F.col("p_partkey").cast("string")
+    body = F.concat(
+        F.lit("Syllabus\n"), line("Course Title", "교과목명", F.col("p_name")), line("Course Code", "교과목코드", F.concat(F.lit("C"), key)),
+        line("Professor", "담당교수", F.col("p_brand")), line("Department", "개설학과", F.col("p_type")), line("Grade", "학년", F.col("p_size").cast("string")),
+        line("Credits", "학점", F.concat_ws("-", F.pmod("p_size", F.lit(4)), F.lit(2), F.lit(1))), line("Time", "강의시간", F.concat(F.lit("Mon 1,2 (Hall "), key, F.lit(")"))),
+    )
+    found = records.syllabus_fields(body)
+    return p.select("p_partkey", found.alias("s")).select("p_partkey", "s.course_name", "s.course_code", "s.professor", "s.department", "s.grade", "s.credits", "s.lecture_hours", "s.practice_hours", "s.lecture_time", "s.room")
 
 
 def chunk_boundary(spark, sf):
     head = F.concat(F.lit("source: "), F.col("source"))
-    d = chunk.boundary_chunks(read(spark, sf, "documents"), header=head)
+    d = chunk.boundary_chunks(wide(spark, sf, "documents"), header=head)
     return d.select("doc_id", "chunk_index", "chunk_count", F.length("chunk_text").alias("chars"), hashes.chunk_id(F.col("doc_id"), F.col("chunk_index"), F.col("chunk_text")).alias("chunk_id"))
 
 
 def chunk_spans(spark, sf):
-    d = chunk.span_chunks(read(spark, sf, "documents"))
+    d = chunk.span_chunks(wide(spark, sf, "documents"))
     return d.select("doc_id", "chunk_index", "start_char", "end_char", "overlap_chars", "chunk_id")
 
 
 def chunk_conservation(spark, sf):
-    d = chunk.span_chunks(read(spark, sf, "documents"))
+    d = chunk.span_chunks(wide(spark, sf, "documents"))
     return d.groupBy("doc_id").agg((F.sum(F.length("chunk_text")) - F.sum("overlap_chars")).alias("chars"))
 
 
@@ -141,7 +190,7 @@ def chunk_histogram(spark, sf):
 
 
 def curate_one_per_group(spark, sf):
-    d = chunk.fixed_chunks(read(spark, sf, "documents").select("doc_id", "source", "text"), size=400)
+    d = chunk.fixed_chunks(wide(spark, sf, "documents").select("doc_id", "source", "text"), size=400)
     good = curate.good_chunk(F.col("chunk_text"), prep.quality_flags(F.col("chunk_text")), F.lit("body"), F.col("source"), "src1", script="[a-z]")
     kept = d.where(good).select("doc_id", "source", "chunk_index", "chunk_text")
     return curate.best_per_group(kept, F.lit(True), ["doc_id"], ["chunk_index"]).select("doc_id", "source", "chunk_index", F.md5("chunk_text").alias("chunk_hash"))
@@ -169,14 +218,28 @@ def chat_format(spark, sf):
 
 
 def rouge_scores(spark, sf):
-    c = read(spark, sf, "benchmark").select("item_id", "text").withColumn("other", F.regexp_replace("text", r"\b(?:the|of|de|la)\b", ""))
+    c = read(spark, sf, "benchmark").select("item_id", "text").withColumn("other", F.replace(F.replace("text", F.lit("the "), F.lit("")), F.lit("de "), F.lit("")))
     words, score = stats.rouge_l("other", "text")
     return c.withColumns(words).select("item_id", F.round(score, 9).alias("rouge_l"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_fingerprint, text_keys, review_text, dedupe_last_wins, dedupe_longest_wins, dedupe_first_normalized, dedupe_conflicts, prep_report, quality_flags, drop_reason_waterfall, pii_mask_counts, url_canonical, html_text_links, page_signature, decode_bytes, notice_fan_out, change_hashes, parsed_fields, chunk_boundary, chunk_spans, chunk_conservation, chunk_histogram, curate_one_per_group, sample_hashed, batch_group, quota_interleave, chat_format, rouge_scores)}
+QUERIES = {f.__name__: f for f in (normalize_fingerprint, normalize_forms, sql_functions, json_numbers, syllabus_fields, text_keys, review_text, dedupe_last_wins, dedupe_longest_wins, dedupe_first_normalized, dedupe_conflicts, prep_report, quality_flags, drop_reason_waterfall, pii_mask_counts, url_canonical, html_text_links, page_signature, decode_bytes, notice_fan_out, change_hashes, parsed_fields, chunk_boundary, chunk_spans, chunk_conservation, chunk_histogram, curate_one_per_group, sample_hashed, batch_group, quota_interleave, chat_format, rouge_scores)}
 
 PARAMS = "list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '')"
+#: Places of URLs: `stable` without nonce and page, `own` without page, `post_id`.
+URLS = f"""p AS (SELECT page_id, html, url, list_transform({PARAMS}, lambda p: {{'k': string_split(p, '=')[1], 'v': CASE WHEN contains(p, '=') THEN substr(p, instr(p, '=') + 1) ELSE '' END}}) AS ps, regexp_extract(url, '^[^?#]*', 0) AS head FROM pages),
+        l AS (SELECT *, list_transform(list_sort(list_filter(ps, lambda p: p.k NOT IN ('nonce', 'page'))), lambda p: p.k || '=' || p.v) AS kept, list_transform(list_sort(list_filter(ps, lambda p: p.k <> 'page')), lambda p: p.k || '=' || p.v) AS rest FROM p),
+        s AS (SELECT *, head || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS stable, head || CASE WHEN len(rest) > 0 THEN '?' || array_to_string(rest, '&') ELSE '' END AS own FROM l),
+        u AS (SELECT *, coalesce(list_filter(ps, lambda p: p.k = 'wr_id' AND p.v <> '')[1].v, list_filter(ps, lambda p: p.k = 'no' AND p.v <> '')[1].v, list_filter(ps, lambda p: p.k = 'idx' AND p.v <> '')[1].v, substr(sha1(own), 1, 16)) AS post_id FROM s)"""
+_W = r"[\p{L}\p{M}\p{N}_"
+_MASKED = {"email": rf"regexp_replace(text, '{_W}.+-]+@{_W}-]+(?:\.{_W}-]+)+', '[EMAIL]', 'g')"}
+for _kind, _token, _x in (("resident_id", "[RESIDENT_ID]", r"[0-9]{6}[ -]?[1-8][0-9]{6}"), ("phone", "[PHONE]", r"(?:(?:\+82[ .-]?(?:0)?|0)(?:1[016789]|2|[3-6][1-5]|70))[ .-]?[0-9]{3,4}[ .-]?[0-9]{4}")):
+    _one = lambda c, x=_x, t=_token: f"regexp_replace({c}, '(^|[^0-9])(?:{x})($|[^0-9])', '\\1{t}\\2', 'g')"  # noqa: E731  twice: neighbours share what stands between them
+    _MASKED[_kind] = _one(_one("text"))
+_COUNT = lambda t: f"CAST((length(masked) - length(replace(masked, '{t}', '')) - length(first) + length(replace(first, '{t}', ''))) // {len(t)} AS BIGINT)"
+_BLANK = r"[ \t\n\r\x0B\f]"
+_STOP = rf"""CASE WHEN start + 700 >= n THEN n ELSE start + 350 + coalesce(nullif(length(regexp_extract(h, '(?s)^.*\n\n')), 0),
+        nullif(greatest(length(regexp_extract(h, '(?s)^.*[.!?。！？]["”’]?{_BLANK}+')), length(regexp_extract(h, '(?s)^.*\n'))), 0), nullif(length(regexp_extract(h, '(?s)^.*{_BLANK}')), 0), 350) END"""
 ORACLES = {
     "normalize_fingerprint": f"WITH t AS (SELECT doc_id, regexp_replace({NORM}, '^\\s+|\\s+$', '', 'g') AS t FROM documents) SELECT doc_id, length(t) AS chars, sha256(t) AS content_hash FROM t",
     "text_keys": r"""SELECT doc_id, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS spaced, md5(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g')) AS letters,
@@ -194,19 +257,34 @@ ORACLES = {
         SELECT *, CASE WHEN length(q) < 5 OR length(a) < 30 THEN 'too_short' WHEN regexp_matches(q || chr(10) || a, 'worthless|completeness') THEN 'crawl_status' END AS early, lower(regexp_replace(regexp_replace(q, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS k FROM p),
         f AS (SELECT k, min(doc_id) AS first FROM e WHERE early IS NULL GROUP BY k), r AS (SELECT coalesce(early, CASE WHEN doc_id <> first THEN 'duplicate' ELSE 'kept' END) AS drop_reason, doc_id FROM e LEFT JOIN f USING (k))
         SELECT drop_reason, count(*) AS rows, min(doc_id) AS first_id FROM r GROUP BY 1""",
-    "url_canonical": f"""WITH p AS (SELECT page_id, url, list_transform({PARAMS}, lambda p: {{'k': string_split(p, '=')[1], 'v': CASE WHEN contains(p, '=') THEN substr(p, instr(p, '=') + 1) ELSE '' END}}) AS ps, regexp_extract(url, '^[^?#]*', 0) AS head FROM pages),
-        s AS (SELECT *, list_transform(list_sort(list_filter(ps, lambda p: p.k NOT IN ('nonce', 'page'))), lambda p: p.k || '=' || p.v) AS kept, list_transform(list_sort(list_filter(ps, lambda p: p.k <> 'page')), lambda p: p.k || '=' || p.v) AS own FROM p)
-        SELECT page_id, head || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS stable,
-        coalesce(list_filter(ps, lambda p: p.k = 'wr_id' AND p.v <> '')[1].v, list_filter(ps, lambda p: p.k = 'no' AND p.v <> '')[1].v, list_filter(ps, lambda p: p.k = 'idx' AND p.v <> '')[1].v,
-        substr(sha1(head || CASE WHEN len(own) > 0 THEN '?' || array_to_string(own, '&') ELSE '' END), 1, 16)) AS post_id FROM s""",
+    "url_canonical": f"WITH {URLS} SELECT page_id, stable, post_id FROM u",
+    "change_hashes": f"""WITH {URLS} SELECT page_id, sha256('{{"attachments":[],"content":' || to_json(html) || ',"date":"","image_urls":[' || to_json(own) || '],"title":"' || page_id || '"}}') AS source_hash, 'page:' || page_id || ':' || post_id AS document_id FROM u""",
+    "normalize_forms": f"WITH t AS (SELECT doc_id, regexp_replace({NORM}, '^\\s+|\\s+$', '', 'g') AS t FROM documents) SELECT doc_id, length(t) AS chars, sha256(t) AS content_hash FROM t",
+    "sql_functions": "SELECT doc_id, md5(text) AS composed, md5(text) AS decoded FROM documents",
+    "review_text": rf"""WITH u AS (SELECT page_id, nfc_normalize(regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g')) AS t FROM pages),
+        b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</?(?:p|div|span|b|strong|i|em)\b[^>]*>', '', 'g') AS text FROM u),
+        n AS (SELECT page_id, regexp_replace({NORM}, '^\s+|\s+$', '', 'g') AS t FROM b) SELECT page_id, length(t) AS chars, sha256(t) AS content_hash FROM n""",
+    "pii_mask_counts": f"""WITH a AS (SELECT doc_id, text AS first, {_MASKED["email"]} AS text FROM documents), b AS (SELECT doc_id, first, {_MASKED["resident_id"]} AS text FROM a), c AS (SELECT doc_id, first, {_MASKED["phone"]} AS masked FROM b)
+        SELECT doc_id, md5(masked) AS masked_hash, {_COUNT("[EMAIL]")} AS email, {_COUNT("[RESIDENT_ID]")} AS resident_id, {_COUNT("[PHONE]")} AS phone FROM c""",
+    "rouge_scores": """WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(replace(replace(text, 'the ', ''), 'de ', '')), '[^a-z0-9]+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS b FROM benchmark),
+        l AS (SELECT *, list_reduce(a, lambda p, x: list_reduce(range(1, len(b) + 1), lambda c, j: list_append(c, CASE WHEN b[j] = x THEN p[j] + 1 ELSE greatest(p[j + 1], c[j]) END), [CAST(0 AS BIGINT)]), list_transform(range(0, len(b) + 1), lambda z: CAST(0 AS BIGINT))) AS row FROM w)
+        SELECT item_id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round(2 * row[len(b) + 1] / (len(a) + len(b)), 9) ELSE 0.0 END AS rouge_l FROM l""",
+    "chunk_spans": rf"""WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0), s AS (
+        SELECT doc_id, i, start, before, {_STOP} AS stop FROM (SELECT doc_id, n, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS before, substr(text, 351, 350) AS h FROM t)
+        UNION ALL SELECT doc_id, i, start, before, {_STOP} AS stop FROM (SELECT doc_id, n, i, start, before, substr(text, start + 351, 350) AS h FROM (
+          SELECT t.*, i + 1 AS i, s.stop AS before, greatest(s.start + 1, s.stop - 100 + length(regexp_extract(substr(text, s.stop - 99, 100), '^[^ \t\n\r\x0B\f]*{_BLANK}+'))) AS start FROM s JOIN t USING (doc_id) WHERE s.stop < n)))
+        SELECT doc_id, CAST(i AS INT) AS chunk_index, CAST(start AS INT) AS start_char, CAST(stop AS INT) AS end_char, CAST(CASE WHEN i > 0 THEN before - start ELSE 0 END AS INT) AS overlap_chars, sha256(doc_id || ':700:100:' || i) AS chunk_id FROM s""",
+    "json_numbers": """WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+        SELECT event_id, CASE WHEN event_type IN ('click') AND k + 0.5 <= 5 THEN CAST(k + 0.5 AS DOUBLE) WHEN event_type = 'signup' AND k = 0 THEN 0.0 WHEN event_type = 'purchase' AND k <= 5 THEN CAST(k AS DOUBLE) END AS rating,
+        CASE WHEN event_type = 'signup' AND k = 0 THEN 0 WHEN event_type = 'purchase' THEN k END AS whole FROM e""",
+    "syllabus_fields": """SELECT p_partkey, p_name AS course_name, 'C' || p_partkey AS course_code, p_brand AS professor, p_type AS department, CAST(p_size AS VARCHAR) AS grade, CAST(p_size % 4 AS INT) AS credits, CAST(2 AS INT) AS lecture_hours, CAST(1 AS INT) AS practice_hours, 'Mon 1,2' AS lecture_time, 'Hall ' || p_partkey AS room FROM part""",
     "page_signature": "SELECT CASE WHEN regexp_matches(lower(ltrim(html)), '^(<!doctype html|<html)') THEN 'html' ELSE 'unknown' END AS kind, count(*) AS pages FROM pages GROUP BY 1",
-    "decode_bytes": "SELECT doc_id, md5(text) AS text_hash FROM documents",
+    "decode_bytes": r"SELECT doc_id, md5(CASE doc_id % 3 WHEN 2 THEN '한글' || regexp_replace(text, '[^\x00-\x7F]', '', 'g') ELSE text END) AS text_hash FROM documents",
     "notice_fan_out": """WITH d AS (SELECT doc_id // 3 AS post_id, doc_id, text, source, 'file' || (doc_id % 2) AS name FROM documents),
-        a AS (SELECT post_id, source, substr(text, 1, 40) AS t, name, row_number() OVER (PARTITION BY post_id, source ORDER BY name, substr(text, 1, 40)) AS n FROM d)
+        a AS (SELECT post_id, source, text AS t, name, row_number() OVER (PARTITION BY post_id, source ORDER BY name, text) AS n FROM d)
         SELECT post_id, 'body' AS source_key, 'body' AS source_type, md5(arg_min(text, doc_id)) AS text_hash FROM d GROUP BY 1
         UNION ALL SELECT post_id, 'attachment:' || source || ':' || n, 'attachment', md5(t) FROM a""",
-    "parsed_fields": """SELECT o_orderkey, strftime(o_orderdate + INTERVAL 120 MONTHS, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 8 BETWEEN 1 AND 6 THEN CAST(o_orderkey % 8 - 1 AS DOUBLE) END AS rating,
-        CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey // 2 END AS half, CAST(floor(o_totalprice) AS BIGINT) AS votes, CAST(least(greatest(o_orderkey % 30, 1), 20) AS INT) AS items FROM orders""",
+    "parsed_fields": """SELECT o_orderkey, strftime(o_orderdate + INTERVAL 120 MONTHS, '%Y-%m-%d') AS day, CAST(floor(o_totalprice) AS BIGINT) AS votes, CAST(least(greatest(o_orderkey % 30, 1), 20) AS INT) AS items FROM orders""",
     "chunk_conservation": "SELECT doc_id, CAST(length(text) AS BIGINT) AS chars FROM documents WHERE length(text) > 0",
     "chunk_histogram": "SELECT CAST(ceil(length(text) / 700) AS BIGINT) AS chunks, count(*) AS documents FROM documents WHERE length(text) > 0 GROUP BY 1",
     "curate_one_per_group": """WITH c AS (SELECT doc_id, source, CAST(i AS INT) AS chunk_index, substr(text, CAST(i AS INT) * 400 + 1, 400) AS t FROM documents, (SELECT unnest(range(0, 400)) AS i) WHERE i < ceil(length(text) / 400)),

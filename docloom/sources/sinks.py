@@ -2,15 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop's file system of a path, its Path class): for renames, deletions and exclusive creation, on any store."""
+    jvm = spark.sparkContext._jvm
+    kind = jvm.org.apache.hadoop.fs.Path
+    return kind(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), kind
+
+
 def write_new(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """JSON Lines; refuses to replace what is there unless told to, and never replaces it by nothing."""
-    if overwrite and df.isEmpty():
+    """JSON Lines; refuses to replace what is there unless told to, and never replaces it by nothing.
+
+    A replacement is written beside the output and takes its place by renames once it is whole.
+    """
+    if not overwrite:
+        df.write.mode("errorifexists").json(path, ignoreNullFields=False)
+        return
+    if df.isEmpty():
         raise ValueError("an empty result does not replace an output")
-    df.write.mode("overwrite" if overwrite else "errorifexists").json(path, ignoreNullFields=False)
+    fs, kind = file_system(df.sparkSession, path)
+    new, old = (f"{path.rstrip('/')}.{mark}-{uuid.uuid4().hex}" for mark in ("new", "old"))
+    df.write.json(new, ignoreNullFields=False)
+    there = fs.exists(kind(path))
+    if there and not fs.rename(kind(path), kind(old)):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(kind(new), kind(path)):
+        if there:
+            fs.rename(kind(old), kind(path))
+        raise OSError(f"{new} can't take the place of {path}")
+    if there:
+        fs.delete(kind(old), True)
+
+
+def append(df: DataFrame, path: str) -> None:
+    """Adds rows to a JSON Lines output; a job that fails adds none."""
+    df.write.mode("append").json(path, ignoreNullFields=False)
+
+
+def truncate(spark: SparkSession, path: str) -> None:
+    """Empties an output; the folder stays."""
+    fs, kind = file_system(spark, path)
+    fs.delete(kind(path), True)
+    fs.mkdirs(kind(path))
+
+
+@contextmanager
+def single_writer(spark: SparkSession, path: str):
+    """Holds a lock file beside `path`, made by exclusive creation, while the block runs; a second writer fails at once."""
+    fs, kind = file_system(spark, path)
+    lock = kind(path.rstrip("/") + ".lock")
+    try:
+        fs.create(lock, False).close()
+    except Exception as e:
+        raise RuntimeError(f"another writer holds {lock.toString()}") from e
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
 
 
 def check_paths(*paths: str) -> None:
@@ -54,9 +108,10 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, decimals: int = 4) -> None:
-    """CSV with a header and doubles at so many decimals."""
+    """CSV with a byte-order mark, a header and doubles at so many decimals."""
     shown = {n: F.format_string(f"%.{decimals}f", F.col(n)) for n, t in df.dtypes if t in ("double", "float")}
-    df.withColumns({n: F.when(F.col(n).isNotNull(), c) for n, c in shown.items()}).write.mode("overwrite").csv(path, header=True)
+    rows = df.withColumns({n: F.when(F.col(n).isNotNull(), c) for n, c in shown.items()})
+    rows.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]).write.mode("overwrite").csv(path, header=True)
 
 
 def copy_legacy(target: DataFrame, legacy: DataFrame | None) -> DataFrame:
@@ -67,11 +122,12 @@ def copy_legacy(target: DataFrame, legacy: DataFrame | None) -> DataFrame:
 
 
 def unchanged_input(spark, path: str):
-    """A function that tells whether the files below path are still those of now: names, sizes and times, and contents by Spark."""
+    """A function that tells whether the files below path are still those of now: one checksum over names, sizes and digests of contents, made by Spark."""
 
-    def state() -> set[tuple]:
+    def state() -> tuple:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        return {tuple(r) for r in files.select("path", "length", F.sha2("content", 256).alias("sha")).collect()}
+        each = F.conv(F.substring(F.sha2(F.concat(F.encode(F.concat_ws("|", "path", "length"), "UTF-8"), F.unhex(F.sha2("content", 256))), 256), 1, 15), 16, 10)
+        return tuple(files.agg(F.count("*"), F.sum("length"), F.sum(each.cast("decimal(38,0)"))).first())
 
     before = state()
     return lambda: state() == before

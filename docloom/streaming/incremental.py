@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docloom.sources.sinks import upsert
+from docloom.operators import ordered
 
 
 def change_class(seen: DataFrame, now: DataFrame, key: str) -> DataFrame:
@@ -21,20 +21,29 @@ def change_class(seen: DataFrame, now: DataFrame, key: str) -> DataFrame:
 
 
 def upsert_stream(stream: DataFrame, table: str, key: list[str], order: list[str], checkpoint: str):
-    """Keeps the last row of each key in two alternating Parquet folders below `table`; a batch that is run again gives the same table."""
+    """Keeps the last row of each key by `order`, whatever batch it comes in, in two alternating Parquet folders below `table`; a batch that is run again gives the same table.
+
+    A batch reads the folder of the one before and replaces the other, so that no more than two versions are ever stored.
+    """
 
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rest = [c for c in batch.columns if c not in key]
-        last = batch.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*key, "_r.*")
         base = version(spark, table, number - 1)
-        (last if base is None else upsert(base, last, key)).write.mode("overwrite").parquet(f"{table}/v={number % 2}/batch={number}")
+        rows = batch if base is None else base.unionByName(batch)
+        rest = [c for c in batch.columns if c not in key]
+        last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*key, "_r.*")
+        last.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{table}/v={number % 2}")
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def version(spark: SparkSession, table: str, number: int) -> DataFrame | None:
-    return None if number < 0 else spark.read.parquet(f"{table}/v={number % 2}/batch={number}")
+    """The table after a batch; fails where that version is not, or no longer, stored."""
+    if number < 0:
+        return None
+    rows = spark.read.parquet(f"{table}/v={number % 2}")
+    other = F.raise_error(F.concat(F.lit("the stored version is of batch "), F.col("_batch").cast("string"))).cast("boolean")
+    return rows.where(F.when(F.col("_batch") != number, other).otherwise(True)).drop("_batch")
 
 
 def request_states(events: DataFrame, key: str = "id") -> DataFrame:
@@ -52,10 +61,10 @@ def request_states(events: DataFrame, key: str = "id") -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(step, f"{key} long, status string, changes long", "status string, changes long", "update", GroupStateTimeout.NoTimeout)
 
 
-def windowed_counts(events: DataFrame, at: str, length: str, group: list[str], value: str, late: str | None = None) -> DataFrame:
-    """Counts and sums by tumbling window; on a stream, rows later than `late` are left out."""
+def windowed_counts(events: DataFrame, at: str, length: str, group: list[str], value: str, late: str | None = None, slide: str | None = None) -> DataFrame:
+    """Counts and sums by tumbling window, or sliding ones where `slide` is less than the length; on a stream, rows later than `late` are left out."""
     rows = events.withWatermark(at, late) if late else events
-    out = rows.groupBy(F.window(at, length).alias("w"), *group).agg(F.count("*").alias("events"), F.sum(value).alias("total"))
+    out = rows.groupBy(F.window(at, length, slide).alias("w"), *group).agg(F.count("*").alias("events"), F.sum(value).alias("total"))
     return out.select(F.col("w.start").alias("window_start"), *group, "events", "total")
 
 
@@ -72,8 +81,30 @@ def unseen(df: DataFrame, ledger: DataFrame, key: list[str]) -> DataFrame:
 
 def until_quota(df: DataFrame, category: str, passed: Column, order: list[str], quota: int) -> DataFrame:
     """Rows of each category up to the one with which so many have passed."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(category).orderBy(*order)
-    before = F.coalesce(F.sum(passed.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("_before", before).where(F.col("_before") < quota).drop("_before")
+    rows = ordered.running(df, [category], order, passed.cast("int"), "_done")
+    return rows.where(F.col("_done") < quota).drop("_done")
+
+
+def until_empty(df: DataFrame, category: str, produced: Column, order: list[str], empties: int = 3) -> DataFrame:
+    """Rows (rounds) of each category up to the last of so many rounds in a row that produced nothing."""
+    rows = ordered.numbered(df.withColumn("_some", F.coalesce(produced > 0, F.lit(False))), [category], order, "_n")
+    # a round's stretch is told by how many rounds before it produced something; its place in it, by the row number
+    rows = ordered.running(rows, [category], order, F.col("_some").cast("int"), "_made")
+    stretch = rows.where(~F.col("_some")).groupBy(category, "_made").agg(F.min("_n").alias("_first"), F.count("*").alias("_long"))
+    stop = stretch.where(F.col("_long") >= empties).groupBy(category).agg((F.min("_first") + empties - 1).alias("_stop"))
+    kept = rows.join(stop, category, "left").where(F.col("_stop").isNull() | (F.col("_n") <= F.col("_stop")))
+    return kept.select(*df.columns)
+
+
+def pages_to_read(pages: DataFrame, mode: str, known_pages: int = 2, from_page: int = 2) -> DataFrame:
+    """Pages (page, ids, known) that a run reads: all in full mode, those with unknown ids in resume mode, and in update mode up to the second page in a row, from page 2 on, on which all ids are known."""
+    if mode == "full":
+        return pages
+    only = F.forall("ids", lambda i: F.array_contains("known", i))
+    if mode == "resume":
+        return pages.where(~only)
+    marked = pages.withColumn("_only", only & (F.col("page") >= from_page))
+    follows = marked.select((F.col("page") + 1).alias("page"), F.col("_only").alias("_before"))
+    rows = marked.join(follows, "page", "left")
+    end = rows.where(F.col("_only") & F.coalesce("_before", F.lit(False)) if known_pages == 2 else F.col("_only")).agg(F.min("page").alias("_end"))
+    return rows.join(F.broadcast(end)).where(F.col("_end").isNull() | (F.col("page") <= F.col("_end"))).select(*pages.columns)

@@ -19,9 +19,14 @@ def one(spark, column, **values):
     return spark.range(1).select(*(F.lit(v).alias(k) for k, v in values.items())).select(column.alias("x")).first()["x"]
 
 
+def test_normal_form(spark):
+    same = {one(spark, text.normalize_text(F.col("t")), t=t) for t in ("\u00e9 \ud55c", "e\u0301 \u1112\u1161\u11ab")}
+    assert same == {"\u00e9 \ud55c"}
+
+
 def test_normalize_text(spark):
     raw = "﻿ é​ \r\n\t a   b \x07\r\r\r\rc  "
-    assert one(spark, text.normalize_text(F.col("t")), t=raw) == "é\na b\n\nc"
+    assert one(spark, text.normalize_text(F.col("t")), t=raw) == "\u00e9\na b\n\nc"  # composed
     assert one(spark, text.normalize_text(F.lit(None)), t="") == ""
     assert one(spark, text.normalize_review(F.col("t")), t="<p>a &amp; b</p><br/>　c é") == "a & b\nc é"
 
@@ -32,8 +37,9 @@ def test_keys_and_parsers(spark):
     dates = {"2024년 2월 9일": "2024-02-09", "20240230 2024-1-5": "2024-01-05", "on 20231231.": "2023-12-31", "2023-02-30": None, "none": None}
     for t, want in dates.items():
         assert one(spark, text.parse_date(F.col("t")).cast("string"), t=t) == want, t
-    assert [one(spark, text.whole_number(F.lit(x)), t="") for x in ("5.0", "5.1", "-1", "NaN", "x")] == [5, None, None, None, None]
-    assert [one(spark, text.rating(F.lit(x)), t="") for x in ("5.0", "5.1", "NaN")] == [5.0, None, None]
+    said = ["true", '"4"', "-1", '"NaN"', "5.0", "5.1", "3.5", "4", "[4]", "null", "1e400"]
+    assert [one(spark, text.rating(F.parse_json(F.lit(x))), t="") for x in said[:-1]] == [None, None, None, None, 5.0, None, 3.5, 4.0, None, None]
+    assert [one(spark, text.whole_number(F.parse_json(F.lit(x))), t="") for x in said[:-1]] == [None, None, None, None, 5, None, None, 4, None, None]
     assert [one(spark, text.votes(F.lit(x)), t="") for x in ("1,234", "12", "", "1,23")] == [1234, 12, 0, None]
     asked = [("quiz", None, 5), ("exam", None, 3), ("quiz", "7", 7), ("quiz", "50", 20), ("exam", "0", 1), ("summary", "4", None)]
     assert all(one(spark, text.item_count(F.lit(t), F.lit(n).cast("string")), t="") == want for t, n, want in asked)
@@ -86,10 +92,10 @@ def test_boundary_chunks(spark):
         chunk.boundary_chunks(df, header=F.lit("h" * 250), size=300).collect()
 
 
-@given(st.text("ab .!?\n”", max_size=400), st.integers(32, 90), st.integers(0, 15))
+@given(st.text("ab .!?\n”\u3000\x1c", max_size=400), st.integers(32, 90), st.integers(0, 15))
 @settings(max_examples=200, deadline=None)
 def test_spans_cover_the_text_and_progress(t, size, overlap):
-    got = [(s["start"], s["end"]) for s in chunk.spans_of(t, size, overlap)]
+    got = chunk.spans_of(t, size, overlap)
     assert (got == []) == (t == "")
     for (a, b), (c, d) in zip(got, got[1:], strict=False):
         assert a < c <= b < d
@@ -97,13 +103,13 @@ def test_spans_cover_the_text_and_progress(t, size, overlap):
     assert all(0 < b - a <= size for a, b in got)
 
 
-@given(st.text("ab .!?\n”", max_size=400), st.integers(32, 90), st.integers(0, 15))
+@given(st.text("ab .!?\n”\u3000\x1c", max_size=400), st.integers(32, 90), st.integers(0, 15))
 @settings(max_examples=200, deadline=None)
 def test_spans_end_where_a_search_of_each_window_ends(t, size, overlap):
     """The rule, window by window, with regular expressions."""
     start = 0
-    for s in chunk.spans_of(t, size, overlap):
-        assert s["start"] == start
+    for first, last in chunk.spans_of(t, size, overlap):
+        assert first == start
         end = min(start + size, len(t))
         if end < len(t):
             low = start + size // 2
@@ -112,7 +118,7 @@ def test_spans_end_where_a_search_of_each_window_ends(t, size, overlap):
                 if hits:
                     end = low + hits[-1]
                     break
-        assert s["end"] == end
+        assert last == end
         nxt = end - overlap
         gap = re.search(r"\s+", t[nxt:end]) if overlap else None
         start = max(start + 1, nxt + gap.end() if gap else nxt)
@@ -154,6 +160,8 @@ def test_paired_contrasts(spark):
     w = spark.createDataFrame([(1, 1.0, 2.0), (2, 2.0, 4.0), (3, 3.0, 3.5)], "u int, a double, b double")
     r = stats.contrasts(w, {"b-a": {"b": 1.0, "a": -1.0}}, tests=True).first()
     assert r.n == 3 and math.isclose(r.mean_diff, 3.5 / 3) and math.isclose(r.t, r.dz * math.sqrt(3)) and 0 < r.p_t < 1 and math.isclose(r.p_wilcoxon, 0.25)
+    lone = stats.contrasts(w.limit(1), {"b-a": {"b": 1.0, "a": -1.0}}, tests=True).first()
+    assert lone.n == 1 and all(lone[c] is None for c in ("mean_diff", "sd", "t", "dz", "ci_low", "p_t", "p_wilcoxon"))
     flat = spark.createDataFrame([(1, 1.0, 2.0), (2, 2.0, 3.0)], "u int, a double, b double")
     assert stats.contrasts(flat, {"b-a": {"b": 1.0, "a": -1.0}}).first().dz is None
     d = stats.discordance(spark.createDataFrame([(1, 0), (1, 0), (0, 1), (1, 1)], "a int, b int"), [("a", "b")]).first()
@@ -166,8 +174,46 @@ def test_distributions_against_known_values():
     assert math.isclose(D.t_quantile(0.975, 1), 12.706204736432095, rel_tol=1e-9)
     assert math.isclose(D.sign_test(2, 10), 0.109375)
     assert D.sign_test(5, 10) == 1.0 and D.sign_test(0, 0) == 1.0
-    assert math.isclose(D.signed_rank([1, 2, 3, 4, 5]), 0.0625)
-    assert D.signed_rank([0.0, 0.0]) is None
+    assert math.isclose(D.signed_rank(5, 0, 0, True), 0.0625)
+    assert math.isclose(D.sign_test(480, 1001), min(1, 2 * sum(math.comb(1001, i) for i in range(481)) / 2**1001), rel_tol=1e-9)
+
+
+def test_distributions_against_integration():
+    """Student's t by adding up its density."""
+    for df in (1, 2, 7, 40):
+        c = math.gamma((df + 1) / 2) / math.sqrt(df * math.pi) / math.gamma(df / 2)
+        for t in (0.3, 1.7, 4.0):
+            steps = 20_000
+            inside = sum((1 + (t * (i + 0.5) / steps) ** 2 / df) ** (-(df + 1) / 2) for i in range(steps)) * t / steps * c
+            assert math.isclose(D.t_tail(t, df), 1 - 2 * inside, abs_tol=1e-8)
+            assert math.isclose(D.t_quantile(0.5 + inside, df), t, rel_tol=1e-6)
+
+
+@given(st.lists(st.integers(-9, 9), min_size=2, max_size=40))
+@settings(max_examples=12, deadline=None)
+def test_wilcoxon_by_counting_ranks(spark, xs):
+    from docloom.operators import stats
+
+    rows = spark.createDataFrame([(float(x), 0.0) for x in xs], "a double, b double")
+    got = stats.contrasts(rows, {"d": {"a": 1.0, "b": -1.0}}, tests=True).first()
+    d = [x for x in xs if x]
+    if not d:
+        assert got.p_wilcoxon is None
+        return
+    rank = {v: sum(abs(x) < v for x in d) + (sum(abs(x) == v for x in d) + 1) / 2 for v in map(abs, d)}
+    low = min(sum(rank[abs(x)] for x in d if x > 0), sum(rank[abs(x)] for x in d if x < 0))
+    ties = sum(n**3 - n for n in (sum(abs(x) == v for x in d) for v in set(map(abs, d))))
+    n = len(d)
+    if ties == 0 and n == len(xs):
+        signs = [sum(r for r, s in zip(sorted(rank.values()), format(i, f"0{n}b"), strict=True) if s == "1") for i in range(2**n)]
+        want = min(1.0, 2 * sum(s <= low for s in signs) / 2**n)
+    else:
+        sd = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
+        want = math.erfc(abs(low - n * (n + 1) / 4) / sd / math.sqrt(2))
+    assert math.isclose(got.p_wilcoxon, want, rel_tol=1e-9)
+    mean, sd = sum(xs) / len(xs), math.sqrt(sum((x - sum(xs) / len(xs)) ** 2 for x in xs) / (len(xs) - 1))
+    half = D.t_quantile(0.975, len(xs) - 1) * sd / math.sqrt(len(xs))
+    assert math.isclose(got.ci_low, mean - half, abs_tol=1e-9) and math.isclose(got.ci_high, mean + half, abs_tol=1e-9)
 
 
 def test_curation(spark):
@@ -310,3 +356,181 @@ def test_record_fields(spark):
     assert one(spark, r.labelled(F.col("t"), "Room", "강의실"), t="x\n강의실: B 12 \n") == "B 12"
     assert one(spark, r.credit_hours(F.col("t"))["lecture"], t="credit 3-2-1") == 2
     assert one(spark, r.text_body([F.col("t")], F.create_map(F.lit("k"), F.lit("a value that is longer than twenty"))), t=" ") == "a value that is longer than twenty"
+
+
+def test_ordered_windows_in_ranges_and_in_one(spark):
+    import random
+
+    from docloom.operators import ordered
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["hot", "hot", "hot", None, "b"]), rng.choice([None, *range(40)]), i, rng.randint(0, 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, at int, i int, v int")
+    got = {}
+    for each in (7, 10**6):
+        n = ordered.numbered(df, ["k"], ["at", "i"], "n", each)
+        n = ordered.previous(ordered.running(n, ["k"], ["at", "i"], "v", "before", each), ["k"], ["at", "i"], "v", "last", each)
+        got[each] = {r.i: (r.n, r.before, r.last) for r in n.collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        for j, r in enumerate(own):
+            want[r[2]] = (j + 1, sum(x[3] for x in own[:j]), own[j - 1][3] if j else None)
+    assert got[7] == got[10**6] == want
+    assert ordered.numbered(df.limit(0), [], ["at"], "n", 3).count() == 0
+    assert sorted(r.n for r in ordered.numbered(df, [], ["i"], "n", 10).collect()) == list(range(1, 301))
+
+
+def test_describe_by_ranks(spark, monkeypatch):
+    import numpy as np
+
+    from docloom.operators import ordered
+
+    rng = np.random.default_rng(2)
+    rows = [(str(rng.choice(["a", "b"])), None if i % 17 == 0 else float(rng.integers(0, 30)) / 2) for i in range(400)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for each in (20, 10**6):
+        monkeypatch.setattr(ordered.running, "__defaults__", (each,))
+        got = {r.g: r for r in stats.describe(df, [[], ["g"]], "v").collect()}
+        for g in ("ALL", "a", "b"):
+            x = [v for k, v in rows if v is not None and g in ("ALL", k)]
+            want = np.quantile(x, [0.5, 0.25, 0.75, 0.95])
+            assert got[g].n == len(x) and np.allclose([got[g].median, got[g].q1, got[g].q3, got[g].p95], want) and np.isclose(got[g].sd, np.std(x, ddof=1))
+        assert got["none"].n == 0 and got["none"].median is None
+
+
+def test_nearest_in_blocks_and_slices(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5))
+    x[7] = x[8]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vectors.nearest(df, df.where("vec_id < 20"), 4, block=6, slice_rows=11).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for q in range(20):
+        d = np.round(1 - unit @ unit[q], 12)
+        assert [i for _, i in sorted(got[q])] == sorted(range(60), key=lambda i: (d[i], i))[:4]
+    assert vectors.nearest(df, df.limit(0), 4).count() == 0
+    signed = vectors.hashing_embedder(16)(spark.createDataFrame([("some words of a text that hash to signs",)], "chunk_text string")).first().embedding
+    assert min(signed) < 0 < max(signed) and math.isclose(sum(v * v for v in signed), 1, rel_tol=1e-5)
+
+
+def test_contracts(spark):
+    from docloom.operators import checks
+
+    good = ("lecture:1", "1", "lecture_review", "text")
+    rows = [good, ("x:1", "1", "lecture_review", "text"), ("lecture:1", "a1", "lecture_review", "text"), ("lecture:1", "1", None, "text"), ("lecture:1", "1", "lecture_review", " ")]
+    df = spark.createDataFrame(rows, "chunk_id string, lecture_id string, source_type string, chunk_text string").withColumn("content_hash", F.sha2("chunk_text", 256))
+    assert {r.reason: r.rows for r in checks.violations(df, checks.review_chunk_rules()).collect()} == {"chunk_id": 1, "lecture_id": 1, "source_type": 1, "chunk_text": 1}
+    assert checks.require(df.limit(1), checks.review_chunk_rules(), "chunk_id").count() == 1
+    stale = df.limit(1).withColumn("chunk_text", F.lit("other"))
+    with pytest.raises(Exception, match="contract broken by lecture:1 content_hash"):
+        checks.require(stale, [checks.hash_rule()], "chunk_id").collect()
+    with pytest.raises(Exception, match="content_hash"):
+        chunk.span_chunks(checks.require(stale, [checks.hash_rule()], "chunk_id"), text="chunk_text", key="chunk_id").collect()
+    assert [one(spark, checks.answered(F.lit(x).cast("string")), t="") for x in ("yes", " ", "[ERROR] x", None)] == [True, False, False, False]
+    b = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 1)], "c string, k int")
+    assert {r.c: r.ok for r in checks.balance(b, "c", "k", 2, ["a", "b", "d"]).collect()} == {"a": True, "b": False, "d": False}
+    status = checks.scan_status(F.lit(3), F.lit(None).cast("int"), F.lit(False))
+    assert one(spark, status, t="") == "scanned_completeness_unverified"
+    hits = spark.createDataFrame([(1, "q1", 7), (1, "q2", 7), (2, "q1", 8), (2, "q1", 9)], "course int, query string, lecture int")
+    runs = spark.createDataFrame([(1, "q1", None), (2, "q1", None), (3, "q1", None), (4, "q1", "late")], "course int, query string, error string")
+    before = spark.createDataFrame([(4, [(5, ["q0"])])], "course int, candidates array<struct<lecture:int,found_by:array<string>>>")
+    got = {r.course: r for r in checks.search_states(hits, runs, before).collect()}
+    assert {c: r.status for c, r in got.items()} == {1: "candidates_found", 2: "needs_check", 3: "no_results", 4: "error"}
+    assert got[1].candidates[0].found_by == ["q1", "q2"] and got[4].candidates[0].lecture == 5
+
+
+def test_replacing_appending_and_locking(spark, tmp_path):
+    import os
+
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    path = str(tmp_path / "out")
+    sinks.write_new(df, path, overwrite=True)
+    sinks.write_new(df.withColumn("v", F.lit("b")), path, overwrite=True)
+    assert [r.v for r in spark.read.json(path).collect()] == ["b"] and os.listdir(tmp_path) == ["out"]
+    with pytest.raises(Exception):
+        sinks.write_new(df.withColumn("v", F.raise_error(F.lit("broken"))), path, overwrite=True)
+    assert [r.v for r in spark.read.json(path).collect()] == ["b"]
+    sinks.append(df, path)
+    assert spark.read.json(path).count() == 2
+    sinks.truncate(spark, path)
+    assert os.listdir(path) == []
+    with sinks.single_writer(spark, path):
+        with pytest.raises(RuntimeError, match="another writer"), sinks.single_writer(spark, path):
+            pass
+    with sinks.single_writer(spark, path):
+        pass
+    sinks.write_csv(df, str(tmp_path / "csv"))
+    part = next(p for p in (tmp_path / "csv").iterdir() if p.suffix == ".csv")
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfk,v")
+
+
+def test_readers_by_name_and_lenient(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "notices_1.jsonl").write_text('{"a": 1}\n{bad\n{"b": "x"}\n')
+    (tmp_path / "in" / "other.jsonl").write_text('{"a": 2}\n')
+    rows = readers.by_file_name(spark, str(tmp_path / "in"), {"notices": "notice"}).collect()
+    assert len(rows) == 3 and {r.category for r in rows} == {"notice"}
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    got = readers.lenient(spark, str(tmp_path / "in" / "notices_1.jsonl"), schema, {"b": F.lit("none")}).collect()
+    assert sorted((r.a or 0, r.b) for r in got) == [(0, "x"), (1, "none")]
+
+
+def plain_chunks(text, size=700, overlap=100, head=""):
+    """The boundary chunker once more, a text at a time: pieces by lines and sentences, packed with a tail."""
+    t = re.sub(r"\n{3,}", "\n\n", re.sub("\r\n?", "\n", text).strip())
+    limit = size - len(head) - 2 if head else size
+    pieces = [s.strip() for line in re.split("[\n\x0b\f\x1c-\x1e\x85\u2028\u2029]+", t) for s in re.split(r"(?<=[.!?。！？])\s+", line.strip()) if s.strip()]
+    parts = []
+    for p in pieces:
+        while len(p) > limit:
+            words, n = p.split(), 0
+            if len(words) < 2 or len(words[0]) > limit:
+                parts.append(p[:limit])
+                p = p[limit:] if len(words) < 2 else " ".join([words[0][limit:], *words[1:]])
+                continue
+            while len(" ".join(words[: n + 1])) <= limit:
+                n += 1
+            parts.append(" ".join(words[:n]))
+            p = " ".join(words[n:])
+        if p:
+            parts.append(p)
+    out = []
+    for p in parts:
+        if out and len(out[-1]) + 1 + len(p) <= limit:
+            out[-1] += "\n" + p
+            continue
+        tail = out[-1][-min(overlap, limit - 1) :] if out else ""
+        if out and len(tail) < len(out[-1]):
+            gap = re.search(r"\s+", tail)
+            tail = tail[gap.end() :] if gap and gap.end() < len(tail) else tail
+        out.append(f"{tail}\n{p}" if tail and len(tail) + 1 + len(p) <= limit else p)
+    return [f"{head}\n\n{c}" if head else c for c in out]
+
+
+def test_boundary_chunks_of_a_table_by_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {}
+    for r in chunk.boundary_chunks(d, header=F.concat(F.lit("source: "), F.col("source"))).collect():
+        got.setdefault(r.doc_id, {})[r.chunk_index] = r.chunk_text
+        assert r.chunk_count > r.chunk_index
+    for r in d.collect():
+        assert [c for _, c in sorted(got.get(r.doc_id, {}).items())] == plain_chunks(r.text, head=f"source: {r.source}")
+
+
+def test_links_and_texts_of_a_table_by_patterns(spark):
+    from html import unescape
+    from urllib.parse import urljoin
+
+    p = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = p.select("html", "url", pages.html_text("html").alias("t"), pages.html_links("html", "url").alias("l")).collect()
+    for r in got:
+        bare = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", "", r.html)
+        links = list(dict.fromkeys(urljoin(r.url, unescape(h)) for h in re.findall(r"""(?i)<a\s[^>]*?href=["']?([^"'>]+)""", bare)))
+        assert [x.url for x in r.l] == links
+        words = [w for run in re.split(r"<[^>]*>", bare) for w in unescape(run).split()]
+        assert r.t.split() == words

@@ -1,5 +1,6 @@
 """Streams end where one batch ends."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.streaming import incremental
@@ -21,7 +22,11 @@ def test_upsert_stream_equals_one_batch(spark, tmp_path):
     q.awaitTermination(120)
     last = q.lastProgress["batchId"]
     got = incremental.version(spark, table, last)
-    assert sorted(r.k for r in got.collect()) == [0, 1, 2, 3, 4]
+    assert sorted((r.k, r.v) for r in got.collect()) == [(k, f"v{25 + k}") for k in range(5)]
+    assert sorted(p.name for p in (tmp_path / "table").iterdir()) == ["v=0", "v=1"]  # and no more, however many batches
+    if last >= 2:
+        with pytest.raises(Exception, match="is of batch"):
+            incremental.version(spark, table, last - 2).collect()
 
 
 def test_windowed_counts_stream_equals_batch(spark, tmp_path):
@@ -41,3 +46,17 @@ def test_request_states(spark, tmp_path):
     q = incremental.request_states(stream).writeStream.format("memory").queryName("states").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.id, r.status, r.changes) for r in spark.table("states").collect()} == {(1, "answered", 1), (2, "pending", 0)}
+
+
+def test_windows_that_overlap(spark):
+    rows = [(f"2024-01-01 0{i}:30:00", float(i)) for i in range(6)]
+    df = spark.createDataFrame(rows, "t string, value double").withColumn("at", F.to_timestamp("t"))
+    got = {r.window_start.strftime("%H:%M"): r.events for r in incremental.windowed_counts(df, "at", "2 hours", [], "value", slide="1 hour").collect()}
+    assert got["00:00"] == 2 and got["05:00"] == 1 and sum(got.values()) == 12
+
+
+def test_rounds_end_after_empty_ones(spark):
+    rows = [("a", i, n) for i, n in enumerate([1, 0, 0, 2, 0, 0, 0, 5, 1])] + [("b", i, n) for i, n in enumerate([0, 0, 1, 0, 0])]
+    df = spark.createDataFrame(rows, "c string, i int, n int")
+    got = [(r.c, r.i) for r in incremental.until_empty(df, "c", F.col("n"), ["i"]).orderBy("c", "i").collect()]
+    assert got == [("a", i) for i in range(7)] + [("b", i) for i in range(5)]
