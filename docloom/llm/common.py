@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of its own only where that is unset, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir); one of its own only where that is unset and driver and executors are one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-docloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
