@@ -157,20 +157,22 @@ def entity_texts(plain: DataFrame) -> DataFrame:
 def disclosing_terms(texts: DataFrame, held: DataFrame, plain: DataFrame) -> DataFrame:
     """(level, name, term, remove): which terms disclose which entities, by counts over all documents; support counts different texts, so that copies of one are no proof.
 
-    `texts` are those with entities, `held` (copy, level, name, of_entity) what entities they hold. Counts over the other
-    documents are summed up where these are, so that different terms and not their occurrences are sent.
+    `texts` are those with entities, `held` (copy, level, name, of_entity) what entities they hold. Terms are counted over all
+    documents first, where these are, so that different terms and not their occurrences are sent; a term of which too few
+    documents have any entity discloses none, and only the terms left, which are few, are paired with entities.
     """
     total = plain.count()
     prior = F.col("of_entity") / F.lit(total)
-    chance = lambda n: (F.col("together") + PRIOR_DOCS * prior) / (n + PRIOR_DOCS)
-    enough = lambda n: (chance(n) >= LIKELY) & (chance(n) >= 2.0**BITS * prior)
+    chance = (F.col("together") + PRIOR_DOCS * prior) / (F.col("of_term") + PRIOR_DOCS)
     stands = texts.select("copy", "rows", F.explode("features").alias("term"))
-    met = stands.join(held, "copy").groupBy("level", "name", "of_entity", "term").agg(F.count("*").alias("texts"), F.sum("rows").alias("together"))
-    near = stands.groupBy("term").agg(F.sum("rows").alias("near"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).drop("texts")
-    pairs = met.where(F.col("texts") >= SUPPORT).join(near, "term").where(enough(F.col("near")))
+    near = stands.groupBy("term").agg(F.sum("rows").alias("near"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
     far = plain.where(~has_base(F.col("text"))).select(F.explode(features(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("far"))
-    sure = pairs.join(far, "term", "left").where(enough(F.col("near") + F.coalesce("far", F.lit(0)))).select("level", "name", "term")
-    sure = written(sure, "disclosing")
+    counted = near.join(far, "term", "left").withColumn("of_term", F.col("near") + F.coalesce("far", F.lit(0)))
+    able = written(counted.where((F.col("near") + PRIOR_DOCS) / (F.col("of_term") + PRIOR_DOCS) >= LIKELY).select("term", "of_term"), "able")
+    few = F.broadcast(able) if able.count() <= BROADCAST_TERMS else able
+    met = stands.join(few, "term").join(held, "copy")
+    pairs = met.groupBy("level", "name", "of_entity", "term", "of_term").agg(F.count("*").alias("texts"), F.sum("rows").alias("together")).where(F.col("texts") >= SUPPORT)
+    sure = written(pairs.where((chance >= LIKELY) & (chance >= 2.0**BITS * prior)).select("level", "name", "term"), "disclosing")
     wide = sure.where(F.col("term").endswith("*")).select(F.col("level").alias("_l"), F.col("name").alias("_n"), F.col("term").alias("_t"))
     own = sure.where(~F.col("term").endswith("*"))
     same = (F.col("level") == F.col("_l")) & (F.col("name") == F.col("_n")) & (F.concat(F.substring("term", 1, PREFIX), F.lit("*")) == F.col("_t"))
