@@ -23,10 +23,10 @@ from docloom.llm.textblock import Block, spans, strings
 FOLDS, HELD_OUT, ACCEPT = 5, 0, 0.3
 #: About so many positives and so many unlabelled documents are fitted on, chosen by a hash of the id; of these, so many of each
 #: at most for the prior.
-SAMPLE, PRIOR_SAMPLE = 20_000, 5000
+SAMPLE, PRIOR_SAMPLE = 12_000, 5000
 FEATURES = ["log_words", "log_bytes", "word_length", "upper", "digits", "stops", "marks", "symbols", "pipes", "exclaims", "word_ends_in_symbol", "word_is_symbols", "repeats_last_word", "distinct_words", "breaks", "wide_bytes", "longest_word"]
 #: Buckets of hashed words, and of hashed runs of four bytes: their shares in a text are features too.
-BUCKETS, RUN = 128, 4
+BUCKETS, RUN = 64, 4
 _CLASS = np.zeros(256, np.int64)
 for _i, _chars in enumerate(["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:", "?'\"()-", "#$%&*+/<=>@[\\]^_`{}~", "|", "!", "\n"], 1):
     for _c in _chars:
@@ -69,12 +69,12 @@ def features(texts: pa.Array) -> np.ndarray:
         np.maximum.at(longest, of, length)
         block = [np.log1p(words), np.log1p(size), total(length) / w, *(count[:, i] / n for i in range(3)), count[:, 3] / n, count[:, 4] / n, count[:, 5] / n, count[:, 6] / n, total(odd) / w, total(alone) / w, total(again) / w, distinct / w, count[:, 7] / n, count[:, 8] / n, np.log1p(longest)]
         out[lo:hi, : len(FEATURES)] = np.stack(block, 1)
-        out[lo:hi, len(FEATURES) : len(FEATURES) + BUCKETS] = shares((hashes >> np.uint64(57)).astype(np.int64), of, b.n)
+        out[lo:hi, len(FEATURES) : len(FEATURES) + BUCKETS] = shares((hashes >> np.uint64(58)).astype(np.int64), of, b.n)
         raw = b.raw.astype(np.uint32)
         if len(raw) >= RUN:
             run = sum(raw[i : len(raw) - RUN + 1 + i] << np.uint32(8 * i) for i in range(RUN)) * np.uint32(0x9E3779B1)
             inside = doc[: len(run)] == doc[RUN - 1 :]
-            out[lo:hi, len(FEATURES) + BUCKETS :] = shares((run >> np.uint32(25)).astype(np.int64)[inside], doc[: len(run)][inside], b.n)
+            out[lo:hi, len(FEATURES) + BUCKETS :] = shares((run >> np.uint32(26)).astype(np.int64)[inside], doc[: len(run)][inside], b.n)
     return out
 
 
@@ -205,9 +205,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kind = rows.column("kind").to_numpy() if rows.num_rows else np.zeros(0, int)
     # sums and halves don't depend on how rows arrived
     order = np.lexsort(np.concatenate([x[:, : len(FEATURES) + 8].T, kind[None, :]])) if len(x) else np.zeros(0, int)
-    x, kind = x[order], kind[order]
-    mixed = np.random.default_rng(5).permutation(len(x))
-    good, web = x[mixed][kind[mixed] == 1], x[mixed][kind[mixed] == 0]
+    del rows
+    order = order[np.random.default_rng(5).permutation(len(x))]
+    good, web = (x[order[kind[order] == k]] for k in (1, 0))
+    del x
     return fit(good, web, estimated_prior(good[:PRIOR_SAMPLE], web[:PRIOR_SAMPLE]) if prior is None else prior)
 
 

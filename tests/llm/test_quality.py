@@ -105,7 +105,7 @@ def test_scores_by_brute_force():
         z = m.base + sum(g for i, (c, gs) in enumerate(zip(m.cuts, m.gains, strict=True)) for cut, g in zip(c, gs, strict=True) if row[i] > cut)
         z += sum(float(a) * float(b) for a, b in zip(row[len(Q.FEATURES) :], m.linear, strict=True))
         assert abs(s - 1 / (1 + math.exp(-z))) < 1e-6
-    word = [int(h >> np.uint64(57)) for h in Block(np.frombuffer(b"a b", np.uint8), np.array([0, 3]), 0, 1, lower=False).word_hashes()]
+    word = [int(h >> np.uint64(58)) for h in Block(np.frombuffer(b"a b", np.uint8), np.array([0, 3]), 0, 1, lower=False).word_hashes()]
     share = x[2][len(Q.FEATURES) : len(Q.FEATURES) + Q.BUCKETS]
     assert all(abs(share[k] - min(4, word.count(k) / 2 * Q.BUCKETS - 1)) < 1e-5 for k in range(Q.BUCKETS)) and rng is not None
 
