@@ -26,6 +26,13 @@ def require(df: DataFrame, rules: list[tuple[str, Column]], key: str) -> DataFra
     return df.where(F.when(broken.isNotNull(), F.raise_error(said).cast("boolean")).otherwise(True))
 
 
+def require_unique(df: DataFrame, key: list[str]) -> DataFrame:
+    """(key, rows) of each key; reading one that stands twice fails."""
+    per = df.groupBy(*key).agg(F.count("*").alias("rows"))
+    said = F.concat_ws(" ", F.lit("not unique:"), *(F.col(k).cast("string") for k in key))
+    return per.where(F.when(F.col("rows") > 1, F.raise_error(said).cast("boolean")).otherwise(True))
+
+
 def hash_rule(text: str = "chunk_text", digest: str = "content_hash") -> tuple[str, Column]:
     """The stored hash is that of the text, made again."""
     return "content_hash", F.col(digest) == F.sha2(F.col(text), 256)

@@ -53,15 +53,19 @@ def ask(df: DataFrame, column: str, out: str, provider: Provider, batch: int = 8
     return rows.withColumn(out, answers.asNondeterministic()(F.col(column)) if hasattr(answers, "asNondeterministic") else answers(F.col(column)))
 
 
-def ask_once(df: DataFrame, column: str, out: str, provider: Provider, known: DataFrame | None = None, **how) -> DataFrame:
-    """As `ask`, but each different value is asked once, and those of `known` (column, out) not at all."""
-    values = df.select(column).distinct()
+def ask_once(df: DataFrame, column: str, out: str, provider: Provider, known: DataFrame | None = None, key: list[str] | None = None, **how) -> DataFrame:
+    """As `ask`, but each different value is asked once, and those of `known` (column, out) not at all.
+
+    With a `key`, such as digest and kind of an attachment, one row of each key is asked, and `known` is (key, out).
+    """
+    key = key or [column]
+    values = df.select(column).distinct() if key == [column] else df.groupBy(*key).agg(F.min(column).alias(column))
     if known is not None:
-        values = values.join(known.select(column), column, "left_anti")
-    answered = ask(values, column, out, provider, **how)
+        values = values.join(known.select(*key), key, "left_anti")
+    answered = ask(values, column, out, provider, **how).select(*key, out)
     if known is not None:
-        answered = answered.unionByName(known.select(column, out))
-    return df.join(answered, column, "left")
+        answered = answered.unionByName(known.select(*key, out))
+    return df.join(answered, key, "left")
 
 
 def scored(df: DataFrame, answer: str, out: str, low: int = 1, high: int = 5) -> DataFrame:

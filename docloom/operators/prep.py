@@ -36,6 +36,11 @@ def conflicts(df: DataFrame, key: list[str], value: str, order: list[str]) -> Da
     return ordered.previous(df, key, order, value, "previous").where(F.col("previous").isNotNull() & (F.col("previous") != F.col(value)))
 
 
+def disagreements(df: DataFrame, key: list[str], value: str) -> DataFrame:
+    """(key, values, rows): keys that stand with several values, whatever the order of rows."""
+    return df.groupBy(*key).agg(F.countDistinct(value).alias("values"), F.count("*").alias("rows")).where(F.col("values") > 1)
+
+
 def quality_flags(text: Column, ocr: Column | None = None, least_lines: int = 10, short: int = 3, most_short: float = 0.3) -> Column:
     """array of ocr_review_recommended, replacement_character, fragmented_lines where they hold."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")

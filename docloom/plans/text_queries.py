@@ -107,6 +107,28 @@ def html_text_links(spark, sf):
     return p.select("page_id", F.md5(html.html_text("html")).alias("text_hash"), F.size(html.html_links("html", "url")).cast("long").alias("links"), F.size(html.html_images("html", "url")).cast("long").alias("images"), html.signature(F.col("html").cast("binary")).alias("kind"))
 
 
+def html_list_rows(spark, sf):
+    """Rows of the pages' lists: how many, and what they say."""
+    p = wide(spark, sf, "pages").select("page_id", html.html_rows("html", "url").alias("rows"))
+    said = F.array_join(F.transform("rows", lambda r: F.concat_ws("|", F.coalesce(r["url"], F.lit("")), F.array_join(r["cells"], "|"))), "\n")
+    return p.select("page_id", F.size("rows").cast("long").alias("rows"), F.md5(said).alias("rows_hash"))
+
+
+def attachment_texts(spark, sf):
+    """Pages as attachments of several kinds: what their signatures and names tell, and the texts that are read natively."""
+    p = wide(spark, sf, "pages")
+    n = F.pmod("page_id", F.lit(4))
+    content = F.when(n == 0, F.encode("url", "UTF-8")).when(n == 1, F.concat(F.unhex(F.lit("255044462D")), F.encode("url", "UTF-8"))).when(n == 2, F.unhex(F.lit("D0CF11E0A1B11AE1"))).otherwise(F.encode("html", "UTF-8"))
+    found = html.attachment_text(content, F.when(n == 0, "a.TXT").otherwise("a.bin"))
+    return p.select("page_id", found.alias("a")).select("page_id", "a.kind", "a.method", F.when(n == 0, F.col("a.text")).alias("text"))
+
+
+def disagreeing_copies(spark, sf):
+    """Texts that stand under several sources."""
+    d = read(spark, sf, "documents").select(F.md5("text").alias("key"), "source")
+    return prep.disagreements(d, ["key"], "source")
+
+
 def page_signature(spark, sf):
     return read(spark, sf, "pages").groupBy(html.signature(F.col("html").cast("binary")).alias("kind")).agg(F.count("*").alias("pages"))
 
@@ -223,7 +245,7 @@ def rouge_scores(spark, sf):
     return c.withColumns(words).select("item_id", F.round(score, 9).alias("rouge_l"))
 
 
-QUERIES = {f.__name__: f for f in (normalize_fingerprint, normalize_forms, sql_functions, json_numbers, syllabus_fields, text_keys, review_text, dedupe_last_wins, dedupe_longest_wins, dedupe_first_normalized, dedupe_conflicts, prep_report, quality_flags, drop_reason_waterfall, pii_mask_counts, url_canonical, html_text_links, page_signature, decode_bytes, notice_fan_out, change_hashes, parsed_fields, chunk_boundary, chunk_spans, chunk_conservation, chunk_histogram, curate_one_per_group, sample_hashed, batch_group, quota_interleave, chat_format, rouge_scores)}
+QUERIES = {f.__name__: f for f in (normalize_fingerprint, normalize_forms, sql_functions, json_numbers, syllabus_fields, text_keys, review_text, dedupe_last_wins, dedupe_longest_wins, dedupe_first_normalized, dedupe_conflicts, prep_report, quality_flags, drop_reason_waterfall, pii_mask_counts, url_canonical, html_text_links, html_list_rows, attachment_texts, disagreeing_copies, page_signature, decode_bytes, notice_fan_out, change_hashes, parsed_fields, chunk_boundary, chunk_spans, chunk_conservation, chunk_histogram, curate_one_per_group, sample_hashed, batch_group, quota_interleave, chat_format, rouge_scores)}
 
 PARAMS = "list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '')"
 #: Places of URLs: `stable` without nonce and page, `own` without page, `post_id`.
@@ -278,6 +300,9 @@ ORACLES = {
         SELECT event_id, CASE WHEN event_type IN ('click') AND k + 0.5 <= 5 THEN CAST(k + 0.5 AS DOUBLE) WHEN event_type = 'signup' AND k = 0 THEN 0.0 WHEN event_type = 'purchase' AND k <= 5 THEN CAST(k AS DOUBLE) END AS rating,
         CASE WHEN event_type = 'signup' AND k = 0 THEN 0 WHEN event_type = 'purchase' THEN k END AS whole FROM e""",
     "syllabus_fields": """SELECT p_partkey, p_name AS course_name, 'C' || p_partkey AS course_code, p_brand AS professor, p_type AS department, CAST(p_size AS VARCHAR) AS grade, CAST(p_size % 4 AS INT) AS credits, CAST(2 AS INT) AS lecture_hours, CAST(1 AS INT) AS practice_hours, 'Mon 1,2' AS lecture_time, 'Hall ' || p_partkey AS room FROM part""",
+    "attachment_texts": """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'pdf' WHEN 2 THEN 'hwp' ELSE CASE WHEN regexp_matches(lower(ltrim(html)), '^(<!doctype html|<html)') THEN 'html' ELSE 'other' END END AS kind,
+        CASE page_id % 4 WHEN 0 THEN 'native' WHEN 1 THEN 'provider' WHEN 2 THEN 'provider' ELSE CASE WHEN regexp_matches(lower(ltrim(html)), '^(<!doctype html|<html)') THEN 'native' ELSE 'none' END END AS method, CASE WHEN page_id % 4 = 0 THEN url END AS text FROM pages""",
+    "disagreeing_copies": "SELECT md5(text) AS key, count(DISTINCT source) AS values, count(*) AS rows FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1",
     "page_signature": "SELECT CASE WHEN regexp_matches(lower(ltrim(html)), '^(<!doctype html|<html)') THEN 'html' ELSE 'unknown' END AS kind, count(*) AS pages FROM pages GROUP BY 1",
     "decode_bytes": r"SELECT doc_id, md5(CASE doc_id % 3 WHEN 2 THEN '한글' || regexp_replace(text, '[^\x00-\x7F]', '', 'g') ELSE text END) AS text_hash FROM documents",
     "notice_fan_out": """WITH d AS (SELECT doc_id // 3 AS post_id, doc_id, text, source, 'file' || (doc_id % 2) AS name FROM documents),

@@ -53,6 +53,46 @@ class Reader(HTMLParser):
             self.text.append(data.strip())
 
 
+class Rows(HTMLParser):
+    """Rows of lists and tables: the text of a list item, or of each cell, and the first link."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows: list[dict] = []
+        self.open: list[dict] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("li", "tr"):
+            self.open.append({"cells": [[]] if tag == "li" else [], "href": None})
+        elif self.open and tag in ("td", "th"):
+            self.open[-1]["cells"].append([])
+        elif self.open and tag == "a" and self.open[-1]["href"] is None:
+            self.open[-1]["href"] = dict(attrs).get("href")
+
+    def handle_endtag(self, tag):
+        if tag in ("li", "tr") and self.open:
+            row = self.open.pop()
+            self.rows.append({"cells": [" ".join("".join(c).split()) for c in row["cells"]], "href": row["href"]})
+
+    def handle_data(self, data):
+        if self.open and self.open[-1]["cells"]:
+            self.open[-1]["cells"][-1].append(data)
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("cells", T.ArrayType(T.StringType())), T.StructField("url", T.StringType())])))
+def html_rows(html: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Rows of lists and tables of (html, base url): cells and the resolved first link, null where there is none."""
+    kind = pa.list_(pa.struct([("cells", pa.list_(pa.string())), ("url", pa.string())]))
+    for xs, bases in html:
+        out = []
+        for x, base in zip(xs, bases, strict=True):
+            r = Rows()
+            r.feed(x.as_py() or "")
+            r.close()
+            out.append([{"cells": w["cells"], "url": urljoin(base.as_py() or "", w["href"]) if w["href"] else None} for w in r.rows])
+        yield pa.array(out, kind)
+
+
 def read(html: str | None) -> Reader:
     r = Reader()
     r.feed(html or "")
@@ -138,3 +178,21 @@ def hwpx_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
     for xs in batches:
         yield pa.array([one(x.as_py()) for x in xs], pa.string())
+
+
+def attachment_kind(content: Column, name: Column) -> Column:
+    """pdf, hwpx, hwp, image, html, text or other, by signature first, then by the name's ending."""
+    kind, ending = signature(content), F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
+    return (
+        F.when(kind == "pdf", "pdf").when((kind == "zip") & (ending == "hwpx"), "hwpx").when(kind == "ole", "hwp")
+        .when(kind.isin("png", "jpeg"), "image").when(kind == "html", "html").when((kind == "unknown") & ending.isin("txt", "csv", "md"), "text").otherwise("other")
+    )
+
+
+def attachment_text(content: Column, name: Column) -> Column:
+    """struct of kind, method and text: native readers for text, HTML and zipped documents; null, with the method `provider`, for what a provider is to read."""
+    kind = attachment_kind(content, name)
+    only = lambda k: F.when(kind == k, content)
+    text = F.when(kind == "hwpx", hwpx_text(only("hwpx"))).when(kind == "text", decoded(only("text"))).when(kind == "html", html_text(decoded(only("html"))))
+    method = F.when(kind.isin("hwpx", "text", "html"), "native").when(kind == "other", "none").otherwise("provider")
+    return F.struct(kind.alias("kind"), method.alias("method"), text.alias("text"))

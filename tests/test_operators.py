@@ -485,20 +485,17 @@ def plain_chunks(text, size=700, overlap=100, head=""):
     t = re.sub(r"\n{3,}", "\n\n", re.sub("\r\n?", "\n", text).strip())
     limit = size - len(head) - 2 if head else size
     pieces = [s.strip() for line in re.split("[\n\x0b\f\x1c-\x1e\x85\u2028\u2029]+", t) for s in re.split(r"(?<=[.!?。！？])\s+", line.strip()) if s.strip()]
-    parts = []
-    for p in pieces:
-        while len(p) > limit:
-            words, n = p.split(), 0
-            if len(words) < 2 or len(words[0]) > limit:
-                parts.append(p[:limit])
-                p = p[limit:] if len(words) < 2 else " ".join([words[0][limit:], *words[1:]])
-                continue
-            while len(" ".join(words[: n + 1])) <= limit:
-                n += 1
-            parts.append(" ".join(words[:n]))
-            p = " ".join(words[n:])
-        if p:
-            parts.append(p)
+
+    def fit(p):
+        if len(p) <= limit:
+            return [p] if p else []
+        words = p.split()
+        if len(words[0]) > limit:
+            return [words[0][i : i + limit] for i in range(0, len(words[0]), limit)] + fit(" ".join(words[1:]))
+        n = max(k for k in range(1, len(words) + 1) if len(" ".join(words[:k])) <= limit)
+        return [" ".join(words[:n]), *fit(" ".join(words[n:]))]
+
+    parts = [x for p in pieces for x in fit(p)]
     out = []
     for p in parts:
         if out and len(out[-1]) + 1 + len(p) <= limit:
@@ -534,3 +531,42 @@ def test_links_and_texts_of_a_table_by_patterns(spark):
         assert [x.url for x in r.l] == links
         words = [w for run in re.split(r"<[^>]*>", bare) for w in unescape(run).split()]
         assert r.t.split() == words
+
+
+@given(st.lists(st.text("ab-", min_size=1, max_size=30), min_size=1, max_size=30), st.integers(5, 25))
+@settings(max_examples=200, deadline=None)
+def test_long_pieces_are_fitted(words, limit):
+    got = chunk.fitted(" ".join(words), limit)
+    assert all(0 < len(p) <= limit for p in got) and "".join(got).replace(" ", "") == "".join(words)
+    want, line = [], []
+    if sum(map(len, words)) + len(words) - 1 <= limit:
+        want = [" ".join(words)]
+    else:
+        for w in [*words, None]:
+            if line and (w is None or len(w) > limit or len(" ".join([*line, w])) > limit):
+                want.append(" ".join(line))
+                line = []
+            if w is not None and len(w) > limit:
+                want += [w[i : i + limit] for i in range(0, len(w), limit)]
+            elif w is not None:
+                line.append(w)
+    assert got == want
+
+
+def test_rows_kinds_and_keys(spark):
+    from docloom.operators import checks, hooks
+
+    h = "<ul><li><a href='/a'>One <b>x</b></a></li><li>two</li></ul><table><tr><th>h</th></tr><tr><td>c <a href='d'>e</a></td><td> f </td></tr></table>"
+    r = spark.createDataFrame([(h, "http://s/p/")], "h string, u string").select(pages.html_rows("h", "u").alias("r")).first().r
+    assert [(x.cells, x.url) for x in r] == [(["One x"], "http://s/a"), (["two"], None), (["h"], None), (["c e", "f"], "http://s/p/d")]
+    kinds = [(b"%PDF-1.7", "x"), (b"PK\x03\x04", "a.hwpx"), (b"PK\x03\x04", "a.zip"), (b"plain", "a.txt"), (b"plain", None), (b"\xff\xd8\xff", "i")]
+    df = spark.createDataFrame([(bytearray(b), n) for b, n in kinds], "b binary, n string").select(pages.attachment_text(F.col("b"), F.col("n")).alias("a"))
+    assert [(x.a.kind, x.a.method, x.a.text) for x in df.collect()] == [("pdf", "provider", None), ("hwpx", "native", None), ("other", "none", None), ("text", "native", "plain"), ("other", "none", None), ("image", "provider", None)]
+    rows = spark.createDataFrame([("s1", "pdf", "x"), ("s1", "hwp", "x"), ("s1", "pdf", "x"), ("s2", "pdf", "y")], "sha string, kind string, data string")
+    known = spark.createDataFrame([("s2", "pdf", "old")], "sha string, kind string, out string")
+    got = hooks.ask_once(rows, "data", "out", lambda xs: [x * 2 for x in xs], known, ["sha", "kind"]).collect()
+    assert sorted((x.sha, x.kind, x.out) for x in got) == [("s1", "hwp", "xx"), ("s1", "pdf", "xx"), ("s1", "pdf", "xx"), ("s2", "pdf", "old")]
+    assert [one(spark, text.scalar_text(F.parse_json(F.lit(j))), t="") for j in ('"a  b"', "12", "true", "null", "[1]", '{"a":1}')] == ["a b", "12", "true", "", "", ""]
+    assert checks.require_unique(rows, ["sha", "kind", "data"]).limit(0).count() == 0
+    with pytest.raises(Exception, match="not unique: s1 pdf"):
+        checks.require_unique(rows, ["sha", "kind"]).collect()
