@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions.text import bound
+
 #: Kind, pattern and token in the order of use (fixed values).
 MASKS = [
     ("email", r"(?U)(?<![\w.+-])[\w.+-]++@[\w-]+(?:\.[\w-]+)+", "[EMAIL]"),
@@ -13,12 +15,25 @@ MASKS = [
 ]
 
 
+def masked(text: Column, masks=MASKS) -> Column:
+    """struct of `text`, masked, and `counts`, a map of the kinds that were found; each step works on what the one before left."""
+    out = F.struct(text.alias("text"), F.create_map().cast("map<string,int>").alias("counts"))
+    for mask in masks:
+        out = bound(out, _step(*mask))
+    return out
+
+
+def _step(kind: str, pattern: str, token: str):
+    def step(s: Column) -> Column:
+        t = s["text"]
+        sign = F.contains(t, F.lit("@")) if kind == "email" else t.rlike(r"\d{4}")
+        more = lambda n: F.struct(F.regexp_replace(t, pattern, token).alias("text"), F.map_concat(s["counts"], F.create_map(F.lit(kind), n)).alias("counts"))
+        return bound(F.when(sign, F.regexp_count(t, F.lit(pattern))).otherwise(0), lambda n: F.when(n > 0, more(n)).otherwise(s))
+
+    return step
+
+
 def mask_personal_data(text: Column, masks=MASKS) -> tuple[Column, Column]:
     """(masked text, counts): counts is a map of the kinds that were found."""
-    pairs = []
-    for kind, pattern, token in masks:
-        sign = F.contains(text, F.lit("@")) if kind == "email" else text.rlike(r"\d{4}")
-        found = F.when(sign, F.regexp_count(text, F.lit(pattern))).otherwise(0)
-        pairs += [F.lit(kind), F.when(text.isNotNull(), found)]
-        text = F.when(sign & text.rlike(pattern), F.regexp_replace(text, pattern, token)).otherwise(text)
-    return text, F.map_filter(F.create_map(*pairs), lambda _, n: n > 0)
+    done = masked(text, masks)
+    return done["text"], done["counts"]

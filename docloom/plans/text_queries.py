@@ -20,9 +20,13 @@ def wide(spark, sf, name):
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def lengths_and_hashes(df, key, made):
+    """A generator keeps the made text from being made once for each column."""
+    return df.select(key, F.explode(F.array(made)).alias("t")).select(key, F.length("t").cast("long").alias("chars"), F.sha2("t", 256).alias("content_hash"))
+
+
 def normalize_fingerprint(spark, sf):
-    t = text.normalize_text(F.col("text"))
-    return wide(spark, sf, "documents").select("doc_id", F.length(t).cast("long").alias("chars"), F.sha2(t, 256).alias("content_hash"))
+    return lengths_and_hashes(wide(spark, sf, "documents"), "doc_id", text.normalize_text(F.col("text")))
 
 
 NORM = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ \t]+', ' ', 'g'), '(?m)^[ \t]+|[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
@@ -33,8 +37,7 @@ def normalize_forms(spark, sf):
     c = F.col("text")
     for whole, parts in {"é": "e\u0301", "ü": "u\u0308", "ñ": "n\u0303"}.items():
         c = F.replace(c, F.lit(whole), F.lit(parts))
-    t = text.normalize_text(c)
-    return wide(spark, sf, "documents").select("doc_id", F.length(t).cast("long").alias("chars"), F.sha2(t, 256).alias("content_hash"))
+    return lengths_and_hashes(wide(spark, sf, "documents"), "doc_id", text.normalize_text(c))
 
 
 def sql_functions(spark, sf):
@@ -51,8 +54,7 @@ def text_keys(spark, sf):
 
 def review_text(spark, sf):
     """Entities, tags and blanks of the pages' own markup, Unicode form C."""
-    t = text.normalize_review(F.col("html"))
-    return wide(spark, sf, "pages").select("page_id", F.length(t).cast("long").alias("chars"), F.sha2(t, 256).alias("content_hash"))
+    return lengths_and_hashes(wide(spark, sf, "pages"), "page_id", text.normalize_review(F.col("html")))
 
 
 def dedupe_last_wins(spark, sf):
@@ -92,9 +94,9 @@ def drop_reason_waterfall(spark, sf):
 
 
 def pii_mask_counts(spark, sf):
-    masked, counts = mask.mask_personal_data(F.col("text"))
-    d = wide(spark, sf, "documents").select("doc_id", masked.alias("masked"), counts.alias("n"))
-    return d.select("doc_id", F.md5("masked").alias("masked_hash"), *(F.coalesce(F.col("n")[k], F.lit(0)).cast("long").alias(k) for k, _, _ in mask.MASKS))
+    # a generator keeps the masked text from being made once for each column
+    d = wide(spark, sf, "documents").select("doc_id", F.explode(F.array(mask.masked(F.col("text")))).alias("m"))
+    return d.select("doc_id", F.md5("m.text").alias("masked_hash"), *(F.coalesce(F.col("m.counts")[k], F.lit(0)).cast("long").alias(k) for k, _, _ in mask.MASKS))
 
 
 def url_canonical(spark, sf):
@@ -186,8 +188,8 @@ def syllabus_fields(spark, sf):
         line("Professor", "담당교수", F.col("p_brand")), line("Department", "개설학과", F.col("p_type")), line("Grade", "학년", F.col("p_size").cast("string")),
         line("Credits", "학점", F.concat_ws("-", F.pmod("p_size", F.lit(4)), F.lit(2), F.lit(1))), line("Time", "강의시간", F.concat(F.lit("Mon 1,2 (Hall "), key, F.lit(")"))),
     )
-    found = records.syllabus_fields(body)
-    return p.select("p_partkey", found.alias("s")).select("p_partkey", "s.course_name", "s.course_code", "s.professor", "s.department", "s.grade", "s.credits", "s.lecture_hours", "s.practice_hours", "s.lecture_time", "s.room")
+    found = records.syllabus_fields(F.col("body"))
+    return p.select("p_partkey", F.explode(F.array(body)).alias("body")).select("p_partkey", F.explode(F.array(found)).alias("s")).select("p_partkey", "s.course_name", "s.course_code", "s.professor", "s.department", "s.grade", "s.credits", "s.lecture_hours", "s.practice_hours", "s.lecture_time", "s.room")
 
 
 def chunk_boundary(spark, sf):
