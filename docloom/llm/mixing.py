@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import WORD, running_total, table, written
 
-#: Passes at most, rows in a bucket of a source's order and in a range of the global order (about).
-PASSES, BUCKET_ROWS, SEED = 3, 4096, "mix-1"
+#: Passes at most, rows in a bucket of a source's order and in a range of the global order (about; ranges at most), seed.
+PASSES, BUCKET_ROWS, MOST_RANGES, SEED = 3, 4096, 1_000_000, "mix-1"
 
 
 def words(text: str | Column) -> Column:
@@ -53,7 +53,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size"))
     items = narrow.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).withColumn("units", F.col("size") * F.col("rows"))
     items = written(items, "items")
-    ranges = max(64, -(-items.count() * passes // BUCKET_ROWS))
+    ranges = max(1024, min(MOST_RANGES, -(-items.count() * passes // BUCKET_ROWS)))
     per = items.groupBy("source").agg(F.sum("units").alias("source_size"), F.count("*").alias("_items"))
     goal = targets(per.select("source", "source_size"), passes).withColumnRenamed("source", "_s")
     per = per.select(F.col("source").alias("_t"), "_items").join(goal, F.col("_t").eqNullSafe(F.col("_s"))).drop("_t")
