@@ -6,6 +6,7 @@ from docloom.llm.minhash import NEAR_SQL, minhash_near_classes, op3_minhash
 from docloom.llm.mixing import OP6_SQL, op6_mixing
 from docloom.llm.pii import OP9_SQL, op9_pii
 from docloom.llm.quality import op5_quality
+from docloom.llm.runs import op13_runs
 from docloom.llm.sentencepiece import op4_sentencepiece
 from docloom.llm.simhash import op7_simhash
 from docloom.llm.urls import op1_url_filters
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_pii": op9_pii,
     "op10_media_columns": op10_media_columns,
+    "op13_runs": op13_runs,
     "minhash_near_classes": minhash_near_classes,
 }
 ORACLES = {"op2_warc": OP2_SQL, "op6_mixing": OP6_SQL, "op8_chat": OP8_SQL, "op9_pii": OP9_SQL, "minhash_near_classes": NEAR_SQL}
