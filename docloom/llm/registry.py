@@ -1,5 +1,6 @@
 """Queries of this subpackage by name, and the SQL that checks those that SQL can express."""
 
+from docloom.llm.alignment import op11_alignment
 from docloom.llm.chat import OP8_SQL, op8_chat
 from docloom.llm.media import op10_media_columns
 from docloom.llm.minhash import NEAR_SQL, minhash_near_classes, op3_minhash
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_pii": op9_pii,
     "op10_media_columns": op10_media_columns,
+    "op11_alignment": op11_alignment,
     "op13_runs": op13_runs,
     "minhash_near_classes": minhash_near_classes,
 }
