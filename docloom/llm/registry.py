@@ -10,6 +10,7 @@ from docloom.llm.quality import op5_quality
 from docloom.llm.runs import op13_runs
 from docloom.llm.sentencepiece import op4_sentencepiece
 from docloom.llm.simhash import op7_simhash
+from docloom.llm.substrings import op12_suffix_dedup
 from docloom.llm.urls import op1_url_filters
 from docloom.llm.warc import OP2_SQL, op2_warc
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_media_columns": op10_media_columns,
     "op11_alignment": op11_alignment,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_runs": op13_runs,
     "minhash_near_classes": minhash_near_classes,
 }
