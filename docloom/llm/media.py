@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 #: Boxes that hold boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 SAMPLE_BYTES, SYNC_EVERY, PER_CHUNK, TIMESCALE = 64, 32, 256, 8000
+#: Boxes within boxes at most; real files have about ten.
+DEEPEST = 64
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, n_samples long, keyframes array<struct<offset:long,bytes:long>>"
 
@@ -83,39 +85,51 @@ def pack(payload: bytes) -> bytes:
     return head + moov(first) + box(b"mdat", payload)
 
 
+class Damaged(ValueError):
+    """A box that says more than it holds."""
+
+
 def walk(data: memoryview, lo: int = 0, hi: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """(path, body start, body end) of every box, parents first. A size that runs past its parent ends the walk there."""
-    hi = len(data) if hi is None else hi
-    while lo + 8 <= hi:
+    left = [(lo, len(data) if hi is None else hi, path)]
+    while left:
+        lo, hi, path = left.pop()
+        if lo + 8 > hi:
+            continue
         size, kind = struct.unpack_from(">I4s", data, lo)
         body = lo + 8
         if size == 1 and lo + 16 <= hi:
             size, body = struct.unpack_from(">Q", data, lo + 8)[0], lo + 16
         end = hi if size == 0 else lo + size
         if end < body or end > hi:
-            return
+            continue
         yield (*path, kind), body, end
+        left.append((end, hi, path))
         if kind in NESTED:
-            yield from walk(data, body, end, (*path, kind))
-        lo = end
-
-
-class Damaged(ValueError):
-    """A box that says more than it holds."""
+            if len(path) >= DEEPEST:
+                raise Damaged("boxes nested too deep")
+            left.append((body, end, (*path, kind)))
 
 
 def u32(data: memoryview, lo: int, hi: int, count: int, width: int = 1) -> np.ndarray:
-    if count * width * 4 > hi - lo:
+    if count * width * 4 > min(hi, len(data)) - lo:
         raise Damaged("a table runs past its box")
     return np.frombuffer(data, ">u4", count * width, lo).astype(np.int64).reshape(count, width)
 
 
 def number(data: memoryview, lo: int, hi: int, kind: str = ">I") -> int:
-    if lo + struct.calcsize(kind) > hi:
+    if lo + struct.calcsize(kind) > min(hi, len(data)):
         raise Damaged("a field runs past its box")
     return struct.unpack_from(kind, data, lo)[0]
 
 
+def bounded(place: int) -> int:
+    """A place in a file, which no container has beyond 2**62."""
+    if not 0 <= place < 1 << 62:
+        raise Damaged("a place outside of any file")
+    return place
+
+
 def placed(t: dict) -> None:
     """Offsets of a track's samples from its chunk tables."""
     n, chunks, runs = len(t["size"]), t["chunks"], t["stsc"]
@@ -128,6 +142,8 @@ def placed(t: dict) -> None:
         per = np.concatenate([np.zeros(min(int(first[0]), len(chunks)), np.int64), np.repeat(runs[:, 1], counts)])
     if per.sum() > 8 * n + (1 << 20):
         raise Damaged("chunks of more samples than there are")
+    if len(chunks) and ((chunks < 0) | (chunks >= 1 << 62)).any():
+        raise Damaged("a chunk outside of any file")
     chunk = np.repeat(np.arange(len(per)), per)[:n]
     before = np.concatenate([[0], np.cumsum(t["size"])])[:-1][: len(chunk)]
     first = np.concatenate([[0], np.cumsum(per)])[:-1]
@@ -145,7 +161,7 @@ def run_of(data: memoryview, lo: int, hi: int, head: dict, track: dict) -> None:
     flags, count = number(data, lo, hi) & 0xFFFFFF, number(data, lo + 4, hi)
     at = lo + 8
     if flags & 1:
-        head["next"] = head["base"] + number(data, at, hi, ">i")
+        head["next"] = bounded(head["base"] + number(data, at, hi, ">i"))
         at += 4
     first = None
     if flags & 4:
@@ -161,7 +177,7 @@ def run_of(data: memoryview, lo: int, hi: int, head: dict, track: dict) -> None:
         mark[0] = first
     track["more"].append((head["next"] + np.concatenate([[0], np.cumsum(size)])[:-1], size, (mark & 0x10000) == 0))
     track["ticks"] += int(ticks.sum())
-    head["next"] += int(size.sum())
+    head["next"] = bounded(head["next"] + int(size.sum()))
 
 
 def tracks(data: memoryview) -> list[dict]:
@@ -183,7 +199,7 @@ def tracks(data: memoryview) -> list[dict]:
             ticks, size, marks = defaults.get(ident, [0, 0, 0])
             head = {"id": ident, "base": moof, "ticks": ticks, "size": size, "flags": marks}
             if flags & 1:
-                head["base"], at = number(data, at, hi, ">Q"), at + 8
+                head["base"], at = bounded(number(data, at, hi, ">Q")), at + 8
             at += 4 if flags & 2 else 0
             for bit, name in ((8, "ticks"), (16, "size"), (32, "flags")):
                 if flags & bit:
@@ -197,14 +213,14 @@ def tracks(data: memoryview) -> list[dict]:
             continue
         t = out[-1]
         if kind == b"tkhd":
-            t["id"] = number(data, lo + (20 if data[lo] else 12), hi)
+            t["id"] = number(data, lo + (20 if number(data, lo, hi, ">B") else 12), hi)
         elif kind == b"mdhd":
-            t["timescale"] = number(data, lo + (20 if data[lo] else 12), hi)
+            t["timescale"] = number(data, lo + (20 if number(data, lo, hi, ">B") else 12), hi)
         elif kind == b"stsd" and number(data, lo + 4, hi):
             t["codec"] = bytes(data[lo + 12 : lo + 16]).decode("latin-1")
         elif kind == b"stts":
             runs = u32(data, lo + 8, hi, number(data, lo + 4, hi), 2)
-            t["ticks"] = int((runs[:, 0] * runs[:, 1]).sum())
+            t["ticks"] = sum(n * each for n, each in runs.tolist())  # two numbers of 32 bits: their products pass 63
         elif kind == b"stss":
             t["sync"] = u32(data, lo + 8, hi, number(data, lo + 4, hi))[:, 0] - 1
         elif kind == b"stsz":
@@ -281,8 +297,10 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def container_columns(df: DataFrame, data_col: str, id_col: str) -> DataFrame:
     """(id, track, codec, duration_s, n_samples, keyframes): a row for each track of each container, of any writer.
 
-    A container that is null, empty, damaged or without tracks gives one row of nulls; ids may be null or repeated; an
-    empty table gives no rows. Payloads are not decoded; a container is held in memory, one at a time.
+    A container that is null, empty, damaged or without tracks gives one row of nulls, and so does one nested deeper than
+    DEEPEST boxes; ids may be null or repeated; an empty table gives no rows. Payloads are not decoded; a container is held
+    in memory, one at a time. Durations are those of the media: edit lists (elst) are not applied, composition offsets
+    (ctts) and segment indexes (sidx) are not read, as they change neither byte ranges nor sync samples.
     """
     kind = dict(df.dtypes)[id_col]
 

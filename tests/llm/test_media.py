@@ -92,3 +92,41 @@ def test_columns(spark):
             assert stored[k.offset : k.offset + k.bytes] in pay and k.bytes == 64
     assert got[None].feature == got[5].feature
     assert M.media_columns(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def word(*xs):
+    return b"".join(x.to_bytes(4, "big") for x in xs)
+
+
+def test_hostile_fields(spark):
+    deep = b""
+    for _ in range(1500):
+        deep = M.box(b"moov", deep)
+    empty_head = M.box(b"moov", M.box(b"trak", M.box(b"tkhd")))
+    far = M.box(b"moov", M.box(b"trak", M.full(b"tkhd", word(0, 0, 7, 0)))) + M.box(b"moof", M.box(b"traf", M.full(b"tfhd", word(7), (2**64 - 1).to_bytes(8, "big"), flags=1), M.full(b"trun", word(1), word(5), flags=0x200)))
+    wide = M.box(b"moov", M.box(b"trak", M.box(b"mdia", M.box(b"minf", M.box(b"stbl", M.table_of(b"stsc", [[1, 1, 1]]), M.full(b"stsz", word(1, 1)), M.full(b"co64", word(1), b"\xff" * 8))))))
+    long = M.box(b"moov", M.box(b"trak", M.box(b"mdia", M.full(b"mdhd", word(0, 0, 1000, 0)), M.box(b"minf", M.box(b"stbl", M.table_of(b"stts", [[2**32 - 1, 2**32 - 1]] * 3))))))
+    df = spark.createDataFrame([(i, bytearray(d)) for i, d in enumerate((deep, empty_head, far, wide, long))], "k long, data binary")
+    rows = {r["id"]: r for r in M.container_columns(df, "data", "k").collect()}
+    assert all(rows[i]["track"] is None for i in range(4))
+    assert rows[4]["duration_s"] == 3 * (2**32 - 1) ** 2 / 1000
+
+
+def test_random_damage_is_read_or_refused():
+    rng = np.random.default_rng(3)
+    for whole in (M.pack(M.pad(b"x" * 9000)), fragmented()):
+        tables = whole.find(b"mdat") if whole.find(b"mdat") > 400 else len(whole)
+        for _ in range(1500):
+            data = bytearray(whole)
+            for _ in range(int(rng.integers(1, 5))):
+                at = int(rng.integers(0, tables))
+                data[at : at + int(rng.integers(1, 9))] = bytes(rng.choice([0, 1, 127, 255, int(rng.integers(0, 256))], int(rng.integers(1, 9))).astype(np.uint8))
+            data = data[: int(rng.integers(1, len(data) + 1))] if rng.random() < 0.2 else data
+            try:
+                found = M.tracks(memoryview(bytes(data)))
+            except M.Damaged:
+                continue
+            for t in found:
+                key = t["keyframe"][: len(t["offset"])]
+                assert (t["offset"] >= 0).all() and len(t["size"][: len(key)][key]) == key.sum()
+                assert not t["timescale"] or t["ticks"] / t["timescale"] >= 0
