@@ -29,7 +29,7 @@ TERM = r"[\p{L}\p{N}]++"
 #: Letters that a generalised term keeps, different texts in which term and entity must meet, pseudo-documents of the
 #: prior, the least chance of the entity given the term, bits given away.
 PREFIX, SUPPORT, PRIOR_DOCS, LIKELY, BITS = 3, 3, 2.0, 0.5, 3.0
-#: Candidate terms (about 30 bytes each) that may be broadcast; more are joined by a shuffle, with the same result.
+#: Candidate terms (about 30 bytes each), and texts with their few naming terms, that may be broadcast; more are joined by a shuffle, with the same result.
 BROADCAST_TERMS = 100_000
 #: Levels of an entity: its kind, what it belongs to, itself.
 KIND, GROUP, ITSELF = 0, 1, 2
@@ -179,11 +179,12 @@ def disclosing_terms(texts: DataFrame, held: DataFrame, plain: DataFrame) -> Dat
     return written(own.join(wide, same, "left").select("level", "name", "term", F.col("_t").isNotNull().alias("remove")), "actions")
 
 
-def marked_texts(plain: DataFrame) -> DataFrame:
-    """(copy, base, spans) of each different text of `plain` (text) with base spans.
+def marked_texts(plain: DataFrame) -> tuple[DataFrame, int]:
+    """(copy, base, spans) of each different text of `plain` (text) with spans, and the number of those among them without base spans.
 
-    A term is a span in the documents that hold an entity which it discloses: there it tells what was taken out.
-    Documents without entities are left alone.
+    Terms that disclose a kind or group are spans in the documents that hold such an entity, where they tell what was
+    taken out; terms that disclose one entity are spans wherever they stand, since they name it. Documents without
+    entities send their digest and the naming terms that they hold; their texts are not shuffled for it.
     """
     texts = entity_texts(plain)
     entities = texts.select("copy", "rows", F.explode("entities").alias("e")).select("copy", "rows", "e.level", "e.name")
@@ -191,9 +192,22 @@ def marked_texts(plain: DataFrame) -> DataFrame:
     held = written(entities.join(often, ["level", "name"]).select("copy", "level", "name", "of_entity"), "held")
     actions = disclosing_terms(texts, held, plain)
     stands = texts.select("copy", F.explode("features").alias("term")).join(actions.select("term").distinct(), "term", "left_semi")
-    hits = stands.join(held.select("copy", "level", "name"), "copy").join(actions, ["level", "name", "term"])
-    listed = hits.groupBy("copy", "term").agg(F.max("remove").alias("remove")).groupBy("copy").agg(F.sort_array(F.collect_list(F.struct("remove", "term"))).alias("terms"))
-    return written(texts.join(listed, "copy", "left").select("copy", "base", with_terms("masked", "base").alias("spans")), "marked")
+    hits = stands.join(held.select("copy", "level", "name"), "copy").join(actions, ["level", "name", "term"]).select("copy", "term", "remove")
+    naming = actions.where(F.col("level") == ITSELF).groupBy("term").agg(F.max("remove").alias("remove"))
+    count = naming.count()
+    listed = lambda found: found.groupBy("copy", "term").agg(F.max("remove").alias("remove")).groupBy("copy").agg(F.sort_array(F.collect_list(F.struct("remove", "term"))).alias("terms"))
+    if not count:
+        return written(texts.join(listed(hits), "copy", "left").select("copy", "base", with_terms("masked", "base").alias("spans")), "marked"), 0
+    few = F.broadcast(naming) if count <= BROADCAST_TERMS else naming
+    hits = hits.unionByName(stands.join(few, "term").select("copy", "term", "remove"))
+    other = plain.where(~has_base(F.col("text"))).select(F.md5("text").alias("copy"), "text")
+    said = other.select("copy", F.explode(terms(F.col("text"))).alias("term")).join(few, "term")
+    far = written(listed(said), "naming")
+    copies = far.count()
+    known = other.join(F.broadcast(far) if copies <= BROADCAST_TERMS else far, "copy").dropDuplicates(["copy"])
+    known = known.select("copy", F.col("text").alias("masked"), "terms", F.array().cast(_SPAN).alias("base"))
+    done = texts.join(listed(hits), "copy", "left").select("copy", "base", with_terms("masked", "base").alias("spans"))
+    return written(done.unionByName(known.select("copy", "base", with_terms("masked", "base").alias("spans"))), "marked"), copies
 
 
 def with_terms(text_col: str, base_col: str) -> Column:
@@ -218,7 +232,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     empty table gives no rows; columns of other names are not read.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    keyed = own.select("doc_id", F.md5("text").alias("copy")).join(marked_texts(own.select("text")), "copy", "left")
+    marked, _ = marked_texts(own.select("text"))
+    keyed = own.select("doc_id", F.md5("text").alias("copy")).join(marked, "copy", "left")
     base, spans = (F.coalesce(c, F.array().cast(_SPAN)) for c in ("base", "spans"))
     n = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return keyed.select("doc_id", *map(n, KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"), (F.size(spans) - F.size(base)).cast("long").alias("n_terms"))
@@ -227,14 +242,21 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the text sanitised, and n_chars brought up to date where there is such a column; a null text stays null.
 
-    Texts without entities stay as they are, where they are: only those with entities are shuffled. Texts of blanks and
-    repeated rows are texts like any other, an empty table gives an empty table, and columns may have any names.
+    Texts without spans stay as they are, where they are: those with entities are shuffled, and those without that hold a
+    term which names a single entity find their spans by a broadcast of these, up to BROADCAST_TERMS texts. Texts of
+    blanks and repeated rows are texts like any other, an empty table gives an empty table, and columns may have any names.
     """
     rows = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    spans = marked_texts(rows.select("text")).select("copy", "spans")
-    bare = rows.where(~has_base(F.col("text"))).select("doc", "text", F.array().cast(_SPAN).alias("spans"))
+    marked, elsewhere = marked_texts(rows.select("text"))
+    spans = marked.where(F.size("base") > 0).select("copy", "spans")
+    bare = rows.where(~has_base(F.col("text")))
+    if elsewhere:
+        named = marked.where(F.size("base") == 0).select("copy", "spans")
+        bare = bare.withColumn("copy", F.md5("text")).join(F.broadcast(named) if elsewhere <= BROADCAST_TERMS else named, "copy", "left")
+    else:
+        bare = bare.withColumn("spans", F.array().cast(_SPAN))
     found = rows.where(has_base(F.col("text"))).withColumn("copy", F.md5("text")).join(spans, "copy", "left")
-    every = found.select("doc", "text", "spans").unionByName(bare)
+    every = found.select("doc", "text", "spans").unionByName(bare.select("doc", "text", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans")))
     done = every.withColumn("new", sanitised(F.col("text"), F.col("spans"))).withColumn("changed", F.size("spans") > 0)
 
     def column(c: str) -> Column:
@@ -296,11 +318,15 @@ def _sql() -> str:
   frequency AS (SELECT term, CAST(sum(n) AS DOUBLE) AS of_term FROM (SELECT term, sum(rows) AS n FROM own GROUP BY 1 UNION ALL SELECT term, count(*) FROM other GROUP BY 1) GROUP BY 1),
   sure AS (SELECT level, name, term FROM pairs JOIN frequency USING (term) WHERE {chance} >= {LIKELY} AND {chance} >= {2.0**BITS} * prior),
   action AS (SELECT s.level, s.name, s.term, w.term IS NOT NULL AS remove FROM sure s LEFT JOIN sure w ON s.level = w.level AND s.name = w.name AND w.term = substr(s.term, 1, {PREFIX}) || '*' WHERE NOT ends_with(s.term, '*')),
-  hit AS (SELECT copy, term, bool_or(remove) AS remove FROM own JOIN held USING (copy) JOIN action USING (level, name, term) GROUP BY 1, 2),
-  t_m AS (SELECT copy, regexp_extract_all(text, '{runs}') AS m, string_split_regex(text, '{runs}') AS g FROM masked WHERE copy IN (SELECT copy FROM hit)),
+  hit AS (SELECT copy, term, bool_or(remove) AS remove FROM (
+      SELECT copy, term, remove FROM own JOIN held USING (copy) JOIN action USING (level, name, term)
+      UNION ALL SELECT copy, term, remove FROM own JOIN action USING (term) WHERE level = {ITSELF}
+      UNION ALL SELECT doc_id, term, remove FROM other JOIN action USING (term) WHERE level = {ITSELF}) GROUP BY 1, 2),
+  m AS (SELECT copy, text FROM masked UNION ALL SELECT doc_id, text FROM d WHERE doc_id NOT IN (SELECT doc_id FROM b)),
+  t_m AS (SELECT copy, regexp_extract_all(text, '{runs}') AS m, string_split_regex(text, '{runs}') AS g FROM m WHERE copy IN (SELECT copy FROM hit)),
   t_s AS (SELECT copy, m, g, unnest(range(1, len(m) + 1)) AS i FROM t_m),
   t AS (SELECT t_s.copy, CAST({place} AS BIGINT) AS start, CASE WHEN remove THEN 'removed' ELSE 'term' END AS kind, m[i] AS match FROM t_s JOIN hit ON hit.copy = t_s.copy AND m[i] = term),
-  same AS (SELECT doc_id, copy FROM d JOIN rep USING (text)),
+  same AS (SELECT doc_id, copy FROM d JOIN rep USING (text) UNION ALL SELECT doc_id, doc_id FROM d WHERE doc_id NOT IN (SELECT doc_id FROM b)),
   base AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS said FROM b GROUP BY 1),
   spans AS (SELECT doc_id, kind, start, stop, rank FROM b UNION ALL SELECT doc_id, kind, start, start + length(match), {len(KINDS)} FROM t JOIN same USING (copy)),
   every AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS said, count(*) FILTER (rank = {len(KINDS)}) AS n_terms FROM spans GROUP BY 1)
