@@ -34,7 +34,7 @@ from docloom.llm.textblock import mix, spans, strings
 #: Bytes of a string that counts as a repeat, and a perfect difference set modulo 57 of eight numbers.
 WINDOW, PERIOD, COVER = 100, 57, (0, 1, 3, 13, 32, 36, 43, 52)
 #: Bytes in a block, and sample places in a bucket (about).
-BLOCK, IN_BUCKET = 4 << 20, 1 << 20
+BLOCK, IN_BUCKET = 2 << 20, 1 << 20
 CORE, NULL_LAST = WINDOW - PERIOD + 1, (1 << 63) - 1
 _R = 0x9E3779B97F4A7C15
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_R))
@@ -56,7 +56,8 @@ class Hashes:
     def __init__(self, data: np.ndarray):
         p, self.back = _powers(max(BLOCK, 1 << len(data).bit_length()) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_LETTER[data] * p[: len(data)], out=self.sums[1:])
+        np.multiply(_LETTER[data], p[: len(data)], out=self.sums[1:])
+        np.cumsum(self.sums[1:], out=self.sums[1:])
 
     def of(self, at: np.ndarray, to: np.ndarray) -> np.ndarray:
         return mix((self.sums[to] - self.sums[at]) * self.back[at] + (to - at).astype(np.uint64))
@@ -126,10 +127,10 @@ class Texts:
     def windows(self, place: np.ndarray) -> np.ndarray:
         """Which windows of the block hold the core of a sample place (in bytes of the block)."""
         o = np.searchsorted(self.at, place, "right") - 1
-        change = np.zeros(len(self.data) + 1, np.int64)
+        change = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(change, np.maximum(self.at[o], place - PERIOD + 1), 1)
         np.add.at(change, np.minimum(place, self.at[o + 1] - WINDOW) + 1, -1)
-        return np.cumsum(change[:-1]) > 0
+        return np.cumsum(change, out=change)[:-1] > 0
 
     def decided(self, resolved: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, ...]:
         """Windows known as repeats; open windows, the earliest of each content, and two hashes of it.
@@ -335,7 +336,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the order of reading, null ids come last. Strings lie within a document and are judged on the input, overlapping ones
     too. Null texts are empty, texts below WINDOW bytes stay whole; copies of a row lose all but the first; an empty table
     gives no rows; other columns are not read. `kept` is binary, as it may end within a character. Memory follows
-    a block (4 MB), or a text where one is longer, and a bucket of about a million sample places.
+    a block (2 MB), or a text where one is longer, and a bucket of about a million sample places.
     """
     blocks = blocks_of(docs, id_col, text_col, block)
     total = blocks.agg(F.sum(F.length("data").cast("long")).alias("n")).first()["n"] or 0
@@ -353,10 +354,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if kind == 3:
                     known[unpack(data, np.uint32)[0].astype(np.int64)] = True
             i = np.flatnonzero(known)
-            change = np.zeros(len(known) + 1, np.int64)
+            change = np.zeros(len(known) + 1, np.int32)
             change[i] += 1
             change[i + WINDOW] -= 1
-            gone = np.cumsum(change[:-1]) > 0
+            gone = np.cumsum(change, out=change)[:-1] > 0
             before = np.concatenate([[False], gone[:-1]])
             before[t.at[:-1][t.at[:-1] < len(gone)]] = False
             start = np.flatnonzero(gone & ~before)
