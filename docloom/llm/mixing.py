@@ -44,16 +44,18 @@ def targets(sizes: DataFrame, passes: int = PASSES) -> DataFrame:
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", passes: int = PASSES) -> DataFrame:
-    """(doc_id, source, size, rows, copies, source_size, target): how often the mix takes each document.
+    """(doc_id, source, size, copy, copies, source_size, target), a row for each document: how often the mix takes it.
 
-    Equal rows (same id, source and size) are one item of `rows` documents that are taken together. Null texts have no
-    words; documents of sources without words are taken once, with 0 words. Null ids and sources are values like any
-    other; an empty table gives no rows. Only ids, sources and sizes are shuffled, and words are counted once.
+    Equal rows (same id, source and size) are counted as one item up to the queue, where each of them, told by `copy` from 1
+    on, stands on its own, one after another. Null texts have no words; documents of sources without words are taken once,
+    with 0 words. Null ids and sources are values like any other; an empty table gives no rows. Only ids, sources and
+    sizes are shuffled, and words are counted once.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size"))
     items = narrow.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).withColumn("units", F.col("size") * F.col("rows"))
     items = written(items, "items")
-    ranges = max(1024, min(MOST_RANGES, -(-items.count() * passes // BUCKET_ROWS)))
+    much = items.agg(F.sum("rows").alias("rows"), F.max("rows").alias("most")).first()
+    ranges = max(1024, min(MOST_RANGES, -(-(much["rows"] or 0) * passes // BUCKET_ROWS)))
     per = items.groupBy("source").agg(F.sum("units").alias("source_size"), F.count("*").alias("_items"))
     goal = targets(per.select("source", "source_size"), passes).withColumnRenamed("source", "_s")
     per = per.select(F.col("source").alias("_t"), "_items").join(goal, F.col("_t").eqNullSafe(F.col("_s"))).drop("_t")
@@ -63,40 +65,55 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     placed = placed.withColumn("bucket", F.floor(share * F.ceil(F.col("_items") / BUCKET_ROWS)))
     order = [F.asc("key"), F.asc("doc_id"), F.asc("size")]
     queued = running_total(placed, ["source"], "bucket", order, "units", "done")
-    turns = queued.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).where("source_size > 0 or turn = 0")
+    # an item of very many rows is dealt out in parts before it becomes rows
+    parts = queued.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / BUCKET_ROWS).cast("int"))))
+    if (much["most"] or 0) > BUCKET_ROWS:
+        parts = parts.repartition("key", "size", "part")
+    span = F.sequence(F.col("part") * BUCKET_ROWS + 1, F.least(F.col("rows"), (F.col("part") + 1) * BUCKET_ROWS).cast("int"))
+    each = parts.withColumn("copy", F.explode(span)).withColumn("done", F.col("done") - F.col("units") + F.col("copy") * F.col("size"))
+    turns = each.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).where("source_size > 0 or turn = 0")
     finish = F.coalesce(F.try_divide(F.col("turn") * F.col("source_size") + F.col("done"), "target"), F.lit(0.0))
     turns = turns.withColumn("finish", finish).withColumn("range", F.floor(F.col("finish") / (1 + F.col("finish")) * ranges))
-    budget = F.sum("units")
-    total = items.agg(budget.alias("budget"))
-    line = running_total(turns, [], "range", [F.asc("finish"), F.asc("rank"), *order, F.asc("turn")], "units", "served")
+    total = items.agg(F.sum("units").alias("budget"))
+    line = running_total(turns, [], "range", [F.asc("finish"), F.asc("rank"), *order, F.asc("turn"), F.asc("copy")], "size", "served")
     kept = line.join(F.broadcast(total)).withColumn("taken", (F.col("served") <= F.col("budget")).cast("long"))
-    return kept.groupBy("doc_id", "source", "size", "rows", "source_size", "target").agg(F.sum("taken").alias("copies"))
+    return kept.groupBy("doc_id", "source", "size", "copy", "source_size", "target").agg(F.sum("taken").alias("copies"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """docs as often as the mix takes each: none, one or more equal rows; columns, whatever their names, stay.
 
     Null texts have no words and are kept once where their source has none, else as often as its passes take them; null
-    ids and sources are values like any other; documents of equal finish time go by source, then hash of the id; repeated
-    rows are taken together; an empty table gives an empty table.
+    ids and sources are values like any other; documents of equal finish time go by source, then hash of the id; of rows
+    with the same id, source and size each is taken by itself, so some may be taken once more than others, which ones
+    being left open; an empty table gives an empty table.
     """
-    plan = plan_mix(docs).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
+    taken = plan_mix(docs).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")).where("copies > 0")
+    plan = written(taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.expr("copies div rows").alias("each"), (F.col("copies") % F.col("rows")).alias("more")), "plan")
     rows = docs.select(F.struct("*").alias("doc"), "doc_id", "source", words("text").alias("size"))
     same = rows["doc_id"].eqNullSafe(plan["_d"]) & rows["source"].eqNullSafe(plan["_s"]) & (rows["size"] == plan["_z"])
-    return rows.join(plan, same).select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
+    found = rows.join(plan, same)
+    out = found.where("more = 0").select("doc", "each")
+    if not plan.where("more > 0").isEmpty():
+        # repeated rows are numbered in two levels, since one of them may be a large share of all
+        part = found.where("more > 0").select("doc", "_d", "_s", "_z", "each", "more", F.lit(1).alias("one"), F.spark_partition_id().alias("place"), F.monotonically_increasing_id().alias("turn"))
+        numbered = running_total(written(part, "repeated"), ["_d", "_s", "_z"], "place", [F.asc("turn")], "one", "number")
+        out = out.unionByName(numbered.select("doc", (F.col("each") + (F.col("number") <= F.col("more")).cast("long")).alias("each")))
+    return out.where("each > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("each").cast("int")))).select("doc.*")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     plan = plan_mix(table(spark, sf_dir, "documents"))
-    out = plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_row"))
-    return out.drop("_row")
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP6_SQL = r"""
-WITH d AS (
+WITH t AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix-1') AS key
   FROM documents
+), d AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) AS copy FROM t
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM d GROUP BY source
 ), w AS (
@@ -109,19 +126,19 @@ WITH d AS (
          / CAST((SELECT sum(weight) FROM w) - (sum(weight) OVER (ORDER BY per_weight, rk) - weight) AS DOUBLE) AS lvl
   FROM w
 ), f AS (SELECT place, lvl FROM o WHERE lvl <= per_weight ORDER BY place LIMIT 1
-), t AS (
+), g AS (
   SELECT o.source, o.source_size, o.rk, CASE WHEN o.place < f.place THEN CAST(o.cap AS DOUBLE) ELSE f.lvl * o.weight END AS target FROM o, f
 ), q AS (
-  SELECT d.*, t.source_size, t.rk, t.target,
-         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS done
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT d.*, g.source_size, g.rk, g.target,
+         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id NULLS FIRST, d.size, d.copy ROWS UNBOUNDED PRECEDING) AS BIGINT) AS done
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 ), c AS (
   SELECT q.*, r.turn, CASE WHEN target = 0 THEN 0.0 ELSE CAST(r.turn * source_size + done AS DOUBLE) / target END AS finish
   FROM q, (SELECT unnest([0, 1, 2]) AS turn) r WHERE q.source_size > 0 OR r.turn = 0
 ), l AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, rk, key, doc_id NULLS FIRST, size, turn ROWS UNBOUNDED PRECEDING) AS served FROM c
+  SELECT *, sum(size) OVER (ORDER BY finish, rk, key, doc_id NULLS FIRST, size, turn, copy ROWS UNBOUNDED PRECEDING) AS served FROM c
 )
 SELECT doc_id, size, source_size, target,
        CAST(size * count(*) FILTER (WHERE served <= (SELECT sum(size) FROM d)) AS BIGINT) AS taken
-FROM l GROUP BY doc_id, source, size, source_size, target
+FROM l GROUP BY doc_id, source, size, copy, source_size, target
 """
