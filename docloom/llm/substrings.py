@@ -33,8 +33,8 @@ from docloom.llm.textblock import mix, spans, strings
 
 #: Bytes of a string that counts as a repeat, and a perfect difference set modulo 57 of eight numbers.
 WINDOW, PERIOD, COVER = 100, 57, (0, 1, 3, 13, 32, 36, 43, 52)
-#: Bytes in a block, and sample places in a bucket (about).
-BLOCK, IN_BUCKET = 2 << 20, 1 << 20
+#: Bytes in a block, sample places in a bucket (about), and lots into which a task deals its blocks.
+BLOCK, IN_BUCKET, SPREAD = 1 << 20, 1 << 20, 4
 CORE, NULL_LAST = WINDOW - PERIOD + 1, (1 << 63) - 1
 _R = 0x9E3779B97F4A7C15
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_R))
@@ -239,18 +239,18 @@ SENT = "bucket int, lot int, part int, data binary"
 
 
 def blocks_of(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
-    """(lot, part, ids, sizes, data): documents in blocks of `block` bytes, a lot for each task that reads, as a table bucketed by lot."""
+    """(lot, part, ids, sizes, data): documents in blocks of `block` bytes, SPREAD lots for each task that reads, as a table bucketed by lot."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lot, part, held, much = TaskContext.get().partitionId(), 0, [], 0
+        first, part, held, much = TaskContext.get().partitionId() * SPREAD, 0, [], 0
 
         def row() -> pa.RecordBatch:
             ids = pa.concat_arrays([h[0] for h in held])
             sizes, data = np.concatenate([h[1] for h in held]), b"".join(h[2] for h in held)
             kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((lot, part, ids.to_pylist(), sizes, data), kinds, strict=True)], ["lot", "part", "ids", "sizes", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((first + part % SPREAD, part, ids.to_pylist(), sizes, data), kinds, strict=True)], ["lot", "part", "ids", "sizes", "data"])
 
         for batch in batches:
             data, offsets = strings(batch.column(1))
@@ -266,7 +266,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFr
 
     rows = plain.mapInArrow(convert, "lot int, part int, ids array<long>, sizes array<long>, data binary")
     name = f"docloom_blocks_{uuid.uuid4().hex}"
-    rows.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "lot").option("path", new_dir(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
+    rows.write.bucketBy(SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")), "lot").option("path", new_dir(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
     return spark.table(name)
 
 
@@ -336,7 +336,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the order of reading, null ids come last. Strings lie within a document and are judged on the input, overlapping ones
     too. Null texts are empty, texts below WINDOW bytes stay whole; copies of a row lose all but the first; an empty table
     gives no rows; other columns are not read. `kept` is binary, as it may end within a character. Memory follows
-    a block (2 MB), or a text where one is longer, and a bucket of about a million sample places.
+    a block (1 MB), or a text where one is longer, and a bucket of about a million sample places.
     """
     blocks = blocks_of(docs, id_col, text_col, block)
     total = blocks.agg(F.sum(F.length("data").cast("long")).alias("n")).first()["n"] or 0
