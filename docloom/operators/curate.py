@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import body_of, share_of, spaced_key
 from docloom.operators import ordered
+from docloom.shared import unused
 
 #: The script that a record must mostly have (fixed value of the reference corpus), a parameter everywhere.
 HANGUL = "[가-힣]"
@@ -15,13 +16,18 @@ JUNK = "scanned_|completeness|unverified|리뷰 요소 없음|수집을 시도|
 
 
 def good_chunk(text: Column, flags: Column, source_type: Column, date: Column, since: str, script: str = HANGUL, least: int = 150, least_script: float = 0.4, most_digits: float = 0.3) -> Column:
-    """Not flagged, not OCR, not older than `since` (dates as strings), with enough body, script and few digits."""
+    """Not flagged, not OCR, not older than `since` (dates as strings; unknown ones count as older), with enough body, script and few digits."""
     body = body_of(text)
     clean = ~F.array_contains(flags, "fragmented_lines") & ~F.array_contains(flags, "ocr_review_recommended")
     fresh = F.coalesce(date, F.lit("")) >= since
     return clean & (source_type != "image_ocr") & fresh & (F.length(body) >= least) & (share_of(body, script) >= least_script) & (share_of(body, "[0-9]") <= most_digits)
 
 
+def not_before(date: Column, floor: str) -> Column:
+    """The date (a string such as 2024-01-31) is the floor or later; unknown ones, null or blank, are kept."""
+    return F.coalesce(F.trim(date), F.lit("")).isin("") | (F.trim(date) >= floor)
+
+
 def good_pair(question: Column, answer: Column, script: str = HANGUL) -> Column:
     q, a = F.trim(F.coalesce(question, F.lit(""))), F.trim(F.coalesce(answer, F.lit("")))
     return F.length(q).between(8, 200) & F.length(a).between(20, 1000) & (share_of(a, script) >= 0.3)
@@ -68,15 +74,17 @@ def sample(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
 
 def batches(df: DataFrame, group: list[str], order: list[str], text: str, size: int, separator: str = "\n---\n") -> DataFrame:
     """So many consecutive rows of a group as one, joined; the last may be shorter."""
-    placed = ordered.numbered(df, group, order, "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("long"))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("_n", text))), lambda x: x[text])
+    (n,) = unused(df, "_n")
+    placed = ordered.numbered(df, group, order, n).withColumn("batch", F.floor((F.col(n) - 1) / size).cast("long"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(n).alias("n"), F.col(text).alias("text")))), lambda x: x["text"])
     return placed.groupBy(*group, "batch").agg(F.count("*").alias("rows"), F.array_join(texts, separator).alias("batch_text"))
 
 
 def interleaved(df: DataFrame, category: str, order: list[str], quotas: dict[str, int]) -> DataFrame:
-    """Categories in turns, each up to its quota: `turn` and the category's `position` give the order."""
+    """Categories in turns, each up to its quota: `turn` and the category's `position`, which replace columns of these names, give the order."""
     names = list(quotas)
     place = F.array_position(F.array(*map(F.lit, names)), F.col(category)).cast("int")
     limit = F.element_at(F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv)), F.col(category))
-    rows = ordered.numbered(df.where(F.col(category).isin(names)), [category], order, "turn").withColumn("turn", F.col("turn").cast("int"))
-    return rows.withColumn("position", place).where(F.col("turn") <= limit)
+    (n,) = unused(df, "_n")
+    rows = ordered.numbered(df.where(F.col(category).isin(names)), [category], order, n).where(F.col(n) <= limit)
+    return rows.select(*(c for c in df.columns if c not in ("turn", "position")), F.col(n).cast("int").alias("turn"), place.alias("position"))

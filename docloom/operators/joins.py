@@ -38,5 +38,5 @@ def overlay(base: DataFrame, other: DataFrame, on: list[str], columns: list[str]
 
 def complete_arms(df: DataFrame, unit: str, arm: str, value: str, arms: list[str]) -> DataFrame:
     """A row for each unit with a finite value in every arm: one pivot in place of as many joins."""
-    finite = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    finite = df.where(F.abs(F.col(value).cast("double")) < float("inf"))
     return finite.groupBy(unit).pivot(arm, arms).agg(F.first(value)).dropna(subset=arms)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import ordered
+from docloom.shared import unused
 
 
 def latest_state(events: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -72,6 +73,7 @@ def rendered_context(hits: DataFrame, group: str, rank: str, source_type: str, t
 
 def evenly_spread(rows: DataFrame, order: list[str], now: Column, days: int = 30) -> DataFrame:
     """rows with `created_at` spread over the last days, by hours, in order."""
-    placed = ordered.numbered(rows, [], order, "_n")
-    hours = F.floor((F.col("_n") - 1) * (days * 24) / F.lit(max(1, rows.count()))).cast("int")
-    return placed.withColumn("_h", hours).withColumn("created_at", now - F.make_interval(hours=F.col("_h"))).drop("_h", "_n")
+    before, every = unused(rows, "_before", "_every")
+    placed = ordered.running(rows, [], order, F.lit(1), before, total=every)
+    hours = F.floor(F.col(before) * (days * 24) / F.col(every)).cast("int")
+    return placed.withColumn("created_at", now - F.make_interval(hours=hours)).drop(before, every)

@@ -1,7 +1,9 @@
 """Row numbers, running sums and previous values over keys of any size: windows hold a range of a key's order, never a whole hot key.
 
-Ranges are cut at approximate quantiles of the first order column (numbers and timestamps), at most MOST of them; each range
-is summed up, and the few range rows of a key get the window over the whole key.
+A table that may be large is written once, dealt into ranges of the whole order (all its columns, of any types that can be
+ordered, nulls first) by Spark's range partitioner, and written with the number of its range. Each range is summed up, and
+the few range rows of a key get the window over the whole key. What the planner knows to be small gets plain windows.
+Columns of the table may have any names.
 """
 
 from __future__ import annotations
@@ -9,23 +11,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a range (about), ranges at most.
-ROWS_EACH, MOST = 1_000_000, 4095
+from docloom.shared import unused, written
 
+#: Rows of a range (about), ranges at most, and bytes up to which the planner's estimate makes a table one range.
+ROWS_EACH, MOST, SMALL = 1_000_000, 65_535, 64 << 20
 
-def with_ranges(df: DataFrame, column: str, rows_each: int = ROWS_EACH) -> DataFrame:
-    """df with `_range`, rising with `column`, nulls first; 0 everywhere for a table of one range."""
-    parts = min(MOST, -(-df.count() // rows_each))
+
+def in_ranges(df: DataFrame, order: list[str], mark: str, rows_each: int | None = None) -> DataFrame | None:
+    """df with the range of each row as `mark`, rising with the order; None where one range holds all and df is small. `rows_each` is given in tests."""
+    if rows_each is None and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SMALL:
+        return None
+    rows = written(df, "ordered")
+    parts = min(MOST, -(-rows.count() // (rows_each or ROWS_EACH)))
     if parts <= 1:
-        return df.withColumn("_range", F.lit(0))
-    place = F.col(column).cast("double")
-    bounds = df.agg(F.percentile_approx(place, [i / parts for i in range(1, parts)], 100 * parts).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    depth = len(bounds).bit_length()
-    full = F.array(*(F.lit(b) for b in [*bounds, *[float("inf")] * ((1 << depth) - 1 - len(bounds))]))
-    steps = F.array(*(F.lit(1 << (depth - 1 - i)) for i in range(depth)))
-    found = F.aggregate(steps, F.lit(0), lambda lo, step: F.when(F.get(full, lo + step - 1) <= place, lo + step).otherwise(lo)) if depth else F.lit(0)
-    return df.withColumn("_range", F.coalesce(found, F.lit(0)))
+        return rows.withColumn(mark, F.lit(0))
+    return written(rows.repartitionByRange(parts, *order).withColumn(mark, F.spark_partition_id()), "ranges")
 
 
 def same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
@@ -35,30 +35,43 @@ def same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
     return out
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], value: str | Column, out: str, rows_each: int = ROWS_EACH) -> DataFrame:
-    """df with `out`: the sum of `value` over the rows of the key that precede this one in the order; 0 for the first."""
+def running(df: DataFrame, keys: list[str], order: list[str], value: str | Column, out: str, rows_each: int | None = None, total: str | None = None) -> DataFrame:
+    """df with `out`: the sum of `value` over the rows of the key that precede this one in the order; 0 for the first. With `total`, the sum over the whole key too."""
     value = F.col(value) if isinstance(value, str) else value
-    rows = with_ranges(df.withColumn("_value", value), order[0], rows_each)
-    sums = rows.groupBy(*keys, "_range").agg(F.sum("_value").alias("_sum"))
-    ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*keys, "_range", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = rows.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-    joined = inner.join(before, same(inner, before, [*keys, "_range"]), "left")
-    return joined.select(*(inner[c] for c in df.columns), (F.col("_before") + F.col("_inside")).alias(out))
+    own, mark, sums, before, inside = unused(df, "_value", "_range", "_sum", "_before", "_inside")
+    valued = df.withColumn(own, value)
+    rows = in_ranges(valued, order, mark, rows_each)
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    if rows is None:
+        w = Window.partitionBy(*keys)
+        more = [] if total is None else [zero(F.sum(own).over(w)).alias(total)]
+        return valued.select(*df.columns, zero(F.sum(own).over(ahead(w.orderBy(*order)))).alias(out), *more)
+    each = rows.groupBy(*keys, mark).agg(F.sum(own).alias(sums))
+    whole = Window.partitionBy(*keys)
+    ranged = each.select(*keys, mark, zero(F.sum(sums).over(ahead(whole.orderBy(mark)))).alias(before), zero(F.sum(sums).over(whole)).alias(sums))
+    inner = rows.withColumn(inside, zero(F.sum(own).over(ahead(Window.partitionBy(*keys, mark).orderBy(*order)))))
+    joined = inner.join(ranged, same(inner, ranged, [*keys, mark]), "left")
+    more = [] if total is None else [F.col(sums).alias(total)]
+    return joined.select(*(inner[c] for c in df.columns), (F.col(before) + F.col(inside)).alias(out), *more)
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, rows_each: int = ROWS_EACH) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str, rows_each: int | None = None) -> DataFrame:
     """df with `out`: 1, 2, ... by key in the order, which is to be total."""
-    return running(df, keys, order, F.lit(1), out, rows_each).withColumn(out, F.col(out) + 1)
+    (name,) = unused(df, "_number")
+    rows = running(df, keys, order, F.lit(1), name, rows_each)
+    return rows.select(*df.columns, (F.col(name) + 1).alias(out))
 
 
-def previous(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, rows_each: int = ROWS_EACH) -> DataFrame:
+def previous(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, rows_each: int | None = None) -> DataFrame:
     """df with `out`: the value of the row before this one in its key, null for the first."""
-    rows = with_ranges(df, order[0], rows_each)
-    ends = rows.groupBy(*keys, "_range").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_end"))
-    ends = ends.select(*keys, "_range", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_range"))["v"].alias("_last"))
-    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
-    inner = rows.withColumn("_at", F.row_number().over(inside)).withColumn("_own", F.lag(value).over(inside))
-    joined = inner.join(ends, same(inner, ends, [*keys, "_range"]), "left")
-    return joined.select(*(inner[c] for c in df.columns), F.when(F.col("_at") == 1, F.col("_last")).otherwise(F.col("_own")).alias(out))
+    mark, end, last, at, own = unused(df, "_range", "_end", "_last", "_at", "_own")
+    rows = in_ranges(df, order, mark, rows_each)
+    if rows is None:
+        return df.select("*", F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)).alias(out))
+    ends = rows.groupBy(*keys, mark).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias(end))
+    ends = ends.select(*keys, mark, F.lag(end).over(Window.partitionBy(*keys).orderBy(mark))["v"].alias(last))
+    inside = Window.partitionBy(*keys, mark).orderBy(*order)
+    inner = rows.withColumn(at, F.row_number().over(inside)).withColumn(own, F.lag(value).over(inside))
+    joined = inner.join(ends, same(inner, ends, [*keys, mark]), "left")
+    return joined.select(*(inner[c] for c in df.columns), F.when(F.col(at) == 1, F.col(last)).otherwise(F.col(own)).alias(out))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from docloom.functions.distributions import mcnemar_p, t_critical, t_p_value, wilcoxon_p
 from docloom.operators import ordered
@@ -17,22 +19,21 @@ def describe(df: DataFrame, sets: list[list[str]], value: str, total: str = "ALL
     """
     columns = list(dict.fromkeys(c for s in sets for c in s))
     label = lambda c, s: (F.col(c).cast("string") if c in s else F.lit(total)).alias(c)
-    each = F.explode(F.array(*(F.struct(F.lit(i).alias("_set"), *(label(c, s) for c in columns)) for i, s in enumerate(sets)))).alias("g")
-    cells = df.select(each, F.col(value).cast("double").alias("_v")).select("g.*", "_v")
+    every = F.explode(F.array(*(F.struct(F.lit(i).alias("_set"), *(label(c, s) for c in columns)) for i, s in enumerate(sets)))).alias("g")
+    cells = df.select(*columns, F.col(value).cast("double").alias("_v"))
     keys = ["_set", *columns]
-    groups = cells.groupBy(*keys).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"))
-    counts = cells.where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    ranked = ordered.running(counts, keys, ["_v"], "_c", "_before")
-    of = groups.select("n", *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
-    same = [ranked[k].eqNullSafe(of[f"_k{i}"]) for i, k in enumerate(keys)]
-    placed = ranked.join(of, same)
+    groups = cells.select(every, "_v").select("g.*", "_v").groupBy(*keys).agg(F.count("_v").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"))
+    # values are counted by the finest cells once, and these counts rolled up to every set
+    fine = cells.where("_v IS NOT NULL").groupBy(*columns, "_v").agg(F.count("*").alias("_c"))
+    counts = fine.select(every, "_v", "_c").select("g.*", "_v", "_c").groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
+    ranked = ordered.running(counts, keys, ["_v"], "_c", "_before", total="_all")
     shares = {"median": 0.5, "q1": 0.25, "q3": 0.75, "p95": 0.95}
     holds = lambda i: (F.col("_before") <= i) & (i < F.col("_before") + F.col("_c"))
-    at = lambda q: (F.col("n") - 1) * q
-    picks = [F.max(F.when(holds(f(at(q))), F.col("_v"))).alias(f"{a}_{name}") for a, q in shares.items() for name, f in (("lo", F.floor), ("hi", F.ceil))]
-    found = placed.groupBy(*(f"_k{i}" for i in range(len(keys)))).agg(*picks)
+    at = lambda q, n: (F.col(n) - 1) * q
+    picks = [F.max(F.when(holds(f(at(q, "_all"))), F.col("_v"))).alias(f"{a}_{name}") for a, q in shares.items() for name, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = ranked.groupBy(*keys).agg(*picks).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(f"{a}_{e}" for a in shares for e in ("lo", "hi")))
     joined = groups.join(found, [groups[k].eqNullSafe(found[f"_k{i}"]) for i, k in enumerate(keys)], "left")
-    mixed = lambda a, q: (F.col(f"{a}_lo") + (F.col(f"{a}_hi") - F.col(f"{a}_lo")) * (at(q) - F.floor(at(q)))).alias(a)
+    mixed = lambda a, q: (F.col(f"{a}_lo") + (F.col(f"{a}_hi") - F.col(f"{a}_lo")) * (at(q, "n") - F.floor(at(q, "n")))).alias(a)
     return joined.select(*(groups[c] for c in columns), "n", "mean", "sd", *(mixed(a, q) for a, q in shares.items()))
 
 
@@ -67,7 +68,7 @@ def contrasts(wide: DataFrame, formulas: dict[str, dict[str, float]], family: li
     family = family or []
     keys = [*family, "contrast"]
     parts = F.explode(F.array(*(F.struct(F.lit(name).alias("contrast"), sum((F.col(a).cast("double") * w for a, w in f.items()), F.lit(0.0)).alias("d")) for name, f in formulas.items()))).alias("c")
-    rows = wide.select(*family, parts).select(*family, "c.*").where("d IS NOT NULL AND NOT isnan(d)")
+    rows = wide.select(*family, parts).select(*family, "c.*").where("abs(d) < double('infinity')")
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("d").alias("mean_diff"), F.stddev_samp("d").alias("sd"))
     out = out.withColumn("mean_diff", F.when(F.col("n") > 1, F.col("mean_diff")))
     out = out.withColumn("dz", F.try_divide("mean_diff", "sd")).withColumn("t", F.col("dz") * F.sqrt("n"))
@@ -164,17 +165,36 @@ def agreement_table(ratings: DataFrame, unit: list[str], rater: str, model: str,
     return out
 
 
-def average_rank(df: DataFrame, value: str, group: list[str], out: str) -> DataFrame:
-    """df with ranks in which ties share their mean; counted by value first, and summed up by ranges of values."""
-    counts = df.groupBy(*group, value).agg(F.count("*").alias("_n"))
-    ranks = ordered.running(counts, group, [value], "_n", "_before").select(*group, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(ranks, [*group, value])
+def average_rank(cells: DataFrame, value: str, group: list[str], weight: str, out: str) -> DataFrame:
+    """cells with ranks in which ties share their mean; a cell stands for `weight` rows."""
+    counts = cells.groupBy(*group, value).agg(F.sum(weight).alias("_n"))
+    ranks = ordered.running(counts, group, [value], "_n", "_before").select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), F.col(value).alias("_x"), (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
+    on = [cells[c].eqNullSafe(ranks[f"_g{i}"]) for i, c in enumerate(group)] + [cells[value] == ranks["_x"]]
+    return cells.join(ranks, on).select(*cells.columns, out)
+
+
+def weighted_corr(x: str, y: str, w: str) -> Column:
+    """Pearson's correlation of cells of weight w, from sums about a middle near the mean."""
+    s = lambda e: F.sum(e)
+    a, b, c = F.col(x), F.col(y), F.col(w)
+    n, sx, sy = s(c), s(c * a), s(c * b)
+    top = s(c * a * b) - sx * sy / n
+    return F.try_divide(top, F.sqrt(F.greatest(s(c * a * a) - sx * sx / n, F.lit(0.0))) * F.sqrt(F.greatest(s(c * b * b) - sy * sy / n, F.lit(0.0))))
 
 
 def correlations(df: DataFrame, x: str, y: str, group: list[str], tests: bool = False) -> DataFrame:
-    """(group, n, pearson, spearman): Spearman's as Pearson's on average ranks; with p values by Student's t if asked."""
-    ranked = average_rank(average_rank(df.select(*group, x, y).dropna(), x, group, "_rx"), y, group, "_ry")
-    out = ranked.groupBy(*group).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
+    """(group, n, pearson, spearman): Spearman's as Pearson's on average ranks; with p values by Student's t if asked.
+
+    Rows are counted by (group, x, y) once; both ranks are those of cells, and a cell weighs as many rows as it stands for.
+    """
+    plain = df.select(*group, x, y).dropna(subset=[x, y])
+    cells = plain.groupBy(*group, F.col(x).cast("double").alias("_x0"), F.col(y).cast("double").alias("_y0")).agg(F.count("*").alias("_w"))
+    cells = cells.withColumn("_w", F.col("_w").cast("double"))
+    ranked = average_rank(average_rank(cells, "_x0", group, "_w", "_rx"), "_y0", group, "_w", "_ry")
+    means = cells.groupBy(*group).agg((F.sum(F.col("_w") * F.col("_x0")) / F.sum("_w")).alias("_mx"), (F.sum(F.col("_w") * F.col("_y0")) / F.sum("_w")).alias("_my")).select(*(F.col(c).alias(f"_m{i}") for i, c in enumerate(group)), "_mx", "_my")
+    about = ranked.join(means, [ranked[c].eqNullSafe(means[f"_m{i}"]) for i, c in enumerate(group)] or F.lit(True))
+    about = about.withColumn("_dx", F.col("_x0") - F.col("_mx")).withColumn("_dy", F.col("_y0") - F.col("_my"))
+    out = about.groupBy(*group).agg(F.sum("_w").cast("long").alias("n"), weighted_corr("_dx", "_dy", "_w").alias("pearson"), weighted_corr("_rx", "_ry", "_w").alias("spearman"))
     ok = F.col("n") >= 3
     out = out.select(*group, "n", *(F.when(ok & ~F.isnan(c), F.col(c)).alias(c) for c in ("pearson", "spearman")))
     if not tests:
@@ -196,16 +216,30 @@ def bootstrap_interval(df: DataFrame, cluster: str, x: str, y: str, reps: int =
     return sums.select(r.alias("r")).where("r IS NOT NULL AND NOT isnan(r)").agg(q.alias("q")).select(F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
 
 
+@F.arrow_udf(IntegerType())
+def common_length(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The length of the longest common subsequence of two arrays, in bit vectors: a word of b is an addition and three logical operations on as many bits as a has words."""
+    out = []
+    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        masks: dict[str, int] = {}
+        for i, w in enumerate(x):
+            masks[w] = masks.get(w, 0) | 1 << i
+        every = (1 << len(x)) - 1
+        free = every  # a zero bit for each place of x at which the best length rises
+        for w in y:
+            hit = free & masks.get(w, 0)
+            free = ((free + hit) | (free - hit)) & every
+        out.append(len(x) - free.bit_count())
+    return pa.array(out, pa.int32())
+
+
 def rouge_l(candidate: str, reference: str, tokens: str = "[^a-z0-9]+") -> tuple[dict[str, Column], Column]:
-    """(token columns to add, F-measure of their longest common subsequence, 0 where a text has no tokens)."""
+    """(token columns to add, F-measure of their longest common subsequence): null where a text is null or empty, 0 where one has no tokens or nothing is common."""
     words = lambda c: F.filter(F.split(F.lower(F.col(c)), tokens), lambda w: w != "")
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     n, m = F.size("_a"), F.size("_b")
-    row = F.aggregate(
-        F.col("_a"),
-        F.array_repeat(F.lit(0), F.size("_b") + 1),
-        lambda prev, w: F.aggregate(
-            F.sequence(F.lit(1), F.size("_b")), F.array(F.lit(0)),
-            lambda cur, j: F.array_append(cur, F.when(F.get(F.col("_b"), j - 1) == w, F.get(prev, j - 1) + 1).otherwise(F.greatest(F.get(prev, j), F.get(cur, j - 1)))),
-        ),
-    )
-    return {"_a": words(candidate), "_b": words(reference)}, F.when((n > 0) & (m > 0), 2 * F.element_at(row, -1) / (n + m)).otherwise(F.lit(0.0))
+    found = F.when((n > 0) & (m > 0), 2 * common_length("_a", "_b") / (n + m)).otherwise(F.lit(0.0))
+    return {"_a": words(candidate), "_b": words(reference)}, F.when(~empty(candidate) & ~empty(reference), found)

@@ -264,7 +264,22 @@ _COUNT = lambda t: f"CAST((length(masked) - length(replace(masked, '{t}', '')) -
 _BLANK = r"[ \t\n\r\x0B\f]"
 _STOP = rf"""CASE WHEN start + 700 >= n THEN n ELSE start + 350 + coalesce(nullif(length(regexp_extract(h, '(?s)^.*\n\n')), 0),
         nullif(greatest(length(regexp_extract(h, '(?s)^.*[.!?。！？]["”’]?{_BLANK}+')), length(regexp_extract(h, '(?s)^.*\n'))), 0), nullif(length(regexp_extract(h, '(?s)^.*{_BLANK}')), 0), 350) END"""
+#: The boundary chunker: pieces by lines and end marks, words of long ones in lines, chunks with the end of the one before.
+_LAST = "acc[len(acc)]"
+_END = f"right({_LAST}, 100)"
+_GAP = rf"length(regexp_extract({_END}, '^[^\s]*\s+'))"
+_TAIL = f"CASE WHEN length({_LAST}) <= 100 THEN {_LAST} WHEN {_GAP} > 0 AND {_GAP} < 100 THEN substr({_END}, {_GAP} + 1) ELSE {_END} END"
+_LINES = f"""list_reduce(regexp_split_to_array(p, '\\s+'), lambda acc, w: CASE WHEN length(w) > lim THEN list_concat(acc, list_transform(range(0, CAST(ceil(length(w) / lim) AS BIGINT)), lambda i: substr(w, i * lim + 1, lim)), [''])
+          WHEN {_LAST} = '' THEN list_append(acc[1:len(acc) - 1], w) WHEN length({_LAST}) + 1 + length(w) <= lim THEN list_append(acc[1:len(acc) - 1], {_LAST} || ' ' || w) ELSE list_append(acc, w) END, [''])"""
+BOUNDARY = rf"""WITH x AS (SELECT doc_id, 'source: ' || source AS head, CAST(690 - length(source) AS BIGINT) AS lim, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(10), 'g'), '[\n\r\x0B\f]+'), lambda s: trim(s, ' ' || chr(9))), lambda s: s <> '') AS ps FROM documents),
+        f AS (SELECT doc_id, head, lim, flatten(list_transform(ps, lambda p: CASE WHEN length(p) <= lim THEN [p] ELSE list_filter({_LINES}, lambda z: z <> '') END)) AS parts FROM x),
+        c AS (SELECT doc_id, head, list_reduce(parts, lambda acc, p: CASE WHEN length({_LAST}) + 1 + length(p) <= lim THEN list_append(acc[1:len(acc) - 1], {_LAST} || chr(10) || p)
+          WHEN length({_TAIL}) > 0 AND length({_TAIL}) + 1 + length(p) <= lim THEN list_append(acc, {_TAIL} || chr(10) || p) ELSE list_append(acc, p) END, CAST([] AS VARCHAR[])) AS cs FROM f),
+        u AS (SELECT doc_id, head, CAST(len(cs) AS INT) AS chunk_count, unnest(cs) AS body, CAST(unnest(range(0, len(cs))) AS INT) AS chunk_index FROM c)
+        SELECT doc_id, chunk_index, chunk_count, CAST(length(head) + 2 + length(body) AS INT) AS chars, sha256(doc_id || ':' || chunk_index || ':' || head || chr(10) || chr(10) || body) AS chunk_id FROM u"""
+
 ORACLES = {
+    "chunk_boundary": BOUNDARY,
     "normalize_fingerprint": f"WITH t AS (SELECT doc_id, regexp_replace({NORM}, '^\\s+|\\s+$', '', 'g') AS t FROM documents) SELECT doc_id, length(t) AS chars, sha256(t) AS content_hash FROM t",
     "text_keys": r"""SELECT doc_id, md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS spaced, md5(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g')) AS letters,
         round(len(regexp_extract_all(text, '[0-9]')) / length(text), 9) AS digit_share, len(regexp_extract_all(text, '[.!?]')) AS enders FROM documents""",
@@ -290,9 +305,9 @@ ORACLES = {
         n AS (SELECT page_id, regexp_replace({NORM}, '^\s+|\s+$', '', 'g') AS t FROM b) SELECT page_id, length(t) AS chars, sha256(t) AS content_hash FROM n""",
     "pii_mask_counts": f"""WITH a AS (SELECT doc_id, text AS first, {_MASKED["email"]} AS text FROM documents), b AS (SELECT doc_id, first, {_MASKED["resident_id"]} AS text FROM a), c AS (SELECT doc_id, first, {_MASKED["phone"]} AS masked FROM b)
         SELECT doc_id, md5(masked) AS masked_hash, {_COUNT("[EMAIL]")} AS email, {_COUNT("[RESIDENT_ID]")} AS resident_id, {_COUNT("[PHONE]")} AS phone FROM c""",
-    "rouge_scores": """WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(replace(replace(text, 'the ', ''), 'de ', '')), '[^a-z0-9]+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS b FROM benchmark),
+    "rouge_scores": """WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(replace(replace(text, 'the ', ''), 'de ', '')), '[^a-z0-9]+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS b, coalesce(text, '') = '' OR replace(replace(text, 'the ', ''), 'de ', '') = '' AS empty FROM benchmark),
         l AS (SELECT *, list_reduce(a, lambda p, x: list_reduce(range(1, len(b) + 1), lambda c, j: list_append(c, CASE WHEN b[j] = x THEN p[j] + 1 ELSE greatest(p[j + 1], c[j]) END), [CAST(0 AS BIGINT)]), list_transform(range(0, len(b) + 1), lambda z: CAST(0 AS BIGINT))) AS row FROM w)
-        SELECT item_id, CASE WHEN len(a) > 0 AND len(b) > 0 THEN round(2 * row[len(b) + 1] / (len(a) + len(b)), 9) ELSE 0.0 END AS rouge_l FROM l""",
+        SELECT item_id, CASE WHEN empty THEN NULL WHEN len(a) > 0 AND len(b) > 0 THEN round(2 * row[len(b) + 1] / (len(a) + len(b)), 9) ELSE 0.0 END AS rouge_l FROM l""",
     "chunk_spans": rf"""WITH RECURSIVE t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0), s AS (
         SELECT doc_id, i, start, before, {_STOP} AS stop FROM (SELECT doc_id, n, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS before, substr(text, 351, 350) AS h FROM t)
         UNION ALL SELECT doc_id, i, start, before, {_STOP} AS stop FROM (SELECT doc_id, n, i, start, before, substr(text, start + 351, 350) AS h FROM (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.operators import ordered
+from docloom.shared import unused
 
 
 def change_class(seen: DataFrame, now: DataFrame, key: str) -> DataFrame:
@@ -81,18 +82,20 @@ def unseen(df: DataFrame, ledger: DataFrame, key: list[str]) -> DataFrame:
 
 def until_quota(df: DataFrame, category: str, passed: Column, order: list[str], quota: int) -> DataFrame:
     """Rows of each category up to the one with which so many have passed."""
-    rows = ordered.running(df, [category], order, passed.cast("int"), "_done")
-    return rows.where(F.col("_done") < quota).drop("_done")
+    (done,) = unused(df, "_done")
+    rows = ordered.running(df, [category], order, passed.cast("int"), done)
+    return rows.where(F.col(done) < quota).drop(done)
 
 
 def until_empty(df: DataFrame, category: str, produced: Column, order: list[str], empties: int = 3) -> DataFrame:
     """Rows (rounds) of each category up to the last of so many rounds in a row that produced nothing."""
-    rows = ordered.numbered(df.withColumn("_some", F.coalesce(produced > 0, F.lit(False))), [category], order, "_n")
+    some, n, made, first, long, stop = unused(df, "_some", "_n", "_made", "_first", "_long", "_stop")
+    rows = ordered.numbered(df.withColumn(some, F.coalesce(produced > 0, F.lit(False))), [category], order, n)
     # a round's stretch is told by how many rounds before it produced something; its place in it, by the row number
-    rows = ordered.running(rows, [category], order, F.col("_some").cast("int"), "_made")
-    stretch = rows.where(~F.col("_some")).groupBy(category, "_made").agg(F.min("_n").alias("_first"), F.count("*").alias("_long"))
-    stop = stretch.where(F.col("_long") >= empties).groupBy(category).agg((F.min("_first") + empties - 1).alias("_stop"))
-    kept = rows.join(stop, category, "left").where(F.col("_stop").isNull() | (F.col("_n") <= F.col("_stop")))
+    rows = ordered.running(rows, [category], order, F.col(some).cast("int"), made)
+    stretch = rows.where(~F.col(some)).groupBy(category, made).agg(F.min(n).alias(first), F.count("*").alias(long))
+    last = stretch.where(F.col(long) >= empties).groupBy(category).agg((F.min(first) + empties - 1).alias(stop))
+    kept = rows.join(last, category, "left").where(F.col(stop).isNull() | (F.col(n) <= F.col(stop)))
     return kept.select(*df.columns)
 
 

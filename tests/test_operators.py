@@ -127,7 +127,7 @@ def test_spans_end_where_a_search_of_each_window_ends(t, size, overlap):
 @given(st.lists(st.text("abc ", min_size=1, max_size=60).map(str.strip).filter(bool), max_size=12), st.integers(10, 60), st.integers(0, 9))
 @settings(max_examples=200, deadline=None)
 def test_packed_chunks_keep_every_word_and_the_limit(parts, limit, overlap):
-    got = chunk.packed(parts, limit, overlap)
+    got = chunk.chunked(["\n".join(parts)], [limit], overlap)[0]
     assert all(len(c) <= limit for c in got)
     if parts:
         joined = "".join(got)
@@ -294,7 +294,8 @@ def test_pages(spark):
 def test_rouge(spark):
     df = spark.createDataFrame([("the cat sat", "the cat sat down"), ("", "x"), ("b a", "a b")], "a string, b string")
     words, score = stats.rouge_l("a", "b")
-    assert [round(r.r, 6) for r in df.withColumns(words).select(score.alias("r")).collect()] == [0.857143, 0.0, 0.5]
+    assert [round(r.r, 6) for r in df.withColumns(words).where("a <> ''").select(score.alias("r")).collect()] == [0.857143, 0.5]
+    assert df.withColumns(words).where("a = ''").select(score.alias("r")).first().r is None
 
 
 def test_more_sinks(spark, tmp_path):
@@ -390,7 +391,8 @@ def test_describe_by_ranks(spark, monkeypatch):
     rows = [(str(rng.choice(["a", "b"])), None if i % 17 == 0 else float(rng.integers(0, 30)) / 2) for i in range(400)] + [("none", None)]
     df = spark.createDataFrame(rows, "g string, v double")
     for each in (20, 10**6):
-        monkeypatch.setattr(ordered.running, "__defaults__", (each,))
+        monkeypatch.setattr(ordered, "SMALL", -1)
+        monkeypatch.setattr(ordered, "ROWS_EACH", each)
         got = {r.g: r for r in stats.describe(df, [[], ["g"]], "v").collect()}
         for g in ("ALL", "a", "b"):
             x = [v for k, v in rows if v is not None and g in ("ALL", k)]
@@ -509,6 +511,19 @@ def plain_chunks(text, size=700, overlap=100, head=""):
     return [f"{head}\n\n{c}" if head else c for c in out]
 
 
+@given(st.lists(st.tuples(st.text("abcd .!?\n\n。\u3000\x1c\u2028\t", max_size=300), st.integers(10, 90)), max_size=6), st.integers(0, 40))
+@settings(max_examples=400, deadline=None)
+def test_blocks_of_odd_texts_are_packed_as_one_by_one(rows, overlap):
+    texts = [re.sub(r"\n{3,}", "\n\n", t.strip()) for t, _ in rows]
+    want = [plain_chunks(t, n, overlap) for t, (_, n) in zip(texts, rows, strict=True)]
+    assert chunk.chunked(texts, [n for _, n in rows], overlap) == want
+    few, chunk.BLOCK = chunk.BLOCK, 100
+    try:
+        assert chunk.chunked(texts, [n for _, n in rows], overlap) == want
+    finally:
+        chunk.BLOCK = few
+
+
 def test_boundary_chunks_of_a_table_by_brute_force(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {}
@@ -536,7 +551,7 @@ def test_links_and_texts_of_a_table_by_patterns(spark):
 @given(st.lists(st.text("ab-", min_size=1, max_size=30), min_size=1, max_size=30), st.integers(5, 25))
 @settings(max_examples=200, deadline=None)
 def test_long_pieces_are_fitted(words, limit):
-    got = chunk.fitted(" ".join(words), limit)
+    got = [line for c in chunk.chunked([" ".join(words)], [limit], 0)[0] for line in c.split("\n")]
     assert all(0 < len(p) <= limit for p in got) and "".join(got).replace(" ", "") == "".join(words)
     want, line = [], []
     if sum(map(len, words)) + len(words) - 1 <= limit:
@@ -570,3 +585,79 @@ def test_rows_kinds_and_keys(spark):
     assert checks.require_unique(rows, ["sha", "kind", "data"]).limit(0).count() == 0
     with pytest.raises(Exception, match="not unique: s1 pdf"):
         checks.require_unique(rows, ["sha", "kind"]).collect()
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(12,2)", "timestamp", "long"])
+def test_ordered_windows_by_any_type_with_ties_and_clashing_names(spark, monkeypatch, kind):
+    import random
+
+    from docloom.operators import curate, logs, ordered, prep
+    from docloom.streaming import incremental
+
+    rng = random.Random(kind)
+    at = lambda i: {"string": f"k{i:03}", "date": f"2024-01-{i % 28 + 1:02}", "timestamp": f"2024-01-{i % 28 + 1:02} 05:00:00"}.get(kind, str(i))
+    rows = [(rng.choice("aaab"), None if i % 19 == 0 else at(rng.randint(0, 25)), i, rng.randint(0, 3), 1, 2, 3, 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, o string, i int, v int, _range int, _before int, _n int, turn int").withColumn("o", F.col("o").cast(kind))
+    results = []
+    for small, each in ((-1, 3), (1 << 40, 3)):
+        monkeypatch.setattr(ordered, "SMALL", small)
+        monkeypatch.setattr(ordered, "ROWS_EACH", each)
+        order = ["o", "i"]
+        made = [
+            ordered.numbered(df, ["k"], order, "number"),
+            ordered.running(df, ["k"], order, "v", "sum", total="all"),
+            ordered.previous(df, ["k"], order, "v", "last"),
+            prep.conflicts(df, ["k"], "v", order),
+            curate.batches(df.withColumn("t", F.col("i").cast("string")), ["k"], order, "t", 4),
+            curate.interleaved(df, "k", order, {"b": 3, "a": 9}),
+            incremental.until_quota(df, "k", F.col("v") > 1, order, 4),
+            incremental.until_empty(df, "k", F.col("v") - 1, order, 2),
+            logs.evenly_spread(df, order, F.lit("2024-02-01 00:00:00").cast("timestamp")),
+        ]
+        results.append([sorted(map(str, d.collect())) for d in made])
+        assert [r for r in made[1].select("_range", "_before").distinct().collect()] == [(1, 2)]
+    assert results[0] == results[1]
+
+
+def test_complete_arms_and_contrasts_leave_out_infinities(spark):
+    from docloom.operators import joins
+
+    rows = [(1, "a", 1.0), (1, "b", 2.0), (2, "a", float("inf")), (2, "b", 1.0), (3, "a", float("nan")), (3, "b", 1.0), (4, "a", None), (4, "b", 1.0), (5, "a", 3.0), (5, "b", 5.0)]
+    wide = joins.complete_arms(spark.createDataFrame(rows, "u int, arm string, v double"), "u", "arm", "v", ["a", "b"])
+    assert sorted(r.u for r in wide.collect()) == [1, 5]
+    every = spark.createDataFrame([(1.0, 2.0), (float("-inf"), 1.0), (3.0, 5.0)], "a double, b double")
+    r = stats.contrasts(every, {"b - a": {"b": 1, "a": -1}}).first()
+    assert (r.n, r.mean_diff) == (2, 1.5)
+
+
+def test_dates_before_a_floor_go_and_unknown_ones_stay(spark):
+    from docloom.operators import curate
+
+    df = spark.createDataFrame([("2024-01-01",), ("2023-12-31",), (None,), (" ",), ("",)], "d string")
+    assert [r.d for r in df.where(curate.not_before(F.col("d"), "2024-01-01")).collect()] == ["2024-01-01", None, " ", ""]
+
+
+def test_rouge_of_long_and_empty_texts(spark):
+    import random
+
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rng = random.Random(3)
+    texts = [([rng.choice("abcd") for _ in range(rng.randint(0, 90))], [rng.choice("abcd") for _ in range(rng.randint(0, 90))]) for _ in range(200)]
+    texts.append(([str(rng.randint(0, 300)) for _ in range(2500)], [str(rng.randint(0, 300)) for _ in range(2000)]))
+    big = [str(rng.randint(0, 5000)) for _ in range(20000)]
+    texts.append((big, big[:10000] + big[10001:]))
+    df = spark.createDataFrame([(i, " ".join(a), " ".join(b)) for i, (a, b) in enumerate(texts)], "i int, a string, b string")
+    words, score = stats.rouge_l("a", "b")
+    got = {r.i: r.s for r in df.withColumns(words).select("i", score.alias("s")).collect()}
+    for i, (a, b) in enumerate(texts[:-1]):
+        assert got[i] == (None if not a or not b else pytest.approx(2 * length(a, b) / (len(a) + len(b))))
+    assert got[len(texts) - 1] == pytest.approx(2 * 19999 / 39999)
+    odd = spark.createDataFrame([(None, "x"), ("", "x"), ("?!", "x"), ("x", "y")], "a string, b string").withColumns(words)
+    assert [r.s for r in odd.select(score.alias("s")).collect()] == [None, None, 0.0, 0.0]
