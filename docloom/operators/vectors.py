@@ -20,10 +20,10 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def top_k(index: DataFrame, query: list[float], k: int, where: Column | None = None, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """The k nearest rows of one query, ties by key: partial top-k in each partition, one merge."""
+    """The k nearest rows of one query, ties by key, vectors without length last: partial top-k in each partition, one merge."""
     rows = index if where is None else index.where(where)
     literal = F.array(*(F.lit(float(x)) for x in query))
-    return rows.withColumn("distance", cosine_distance(F.col(vector), literal)).orderBy("distance", key).limit(k)
+    return rows.withColumn("distance", cosine_distance(F.col(vector), literal)).orderBy(F.asc_nulls_last("distance"), key).limit(k)
 
 
 def nearest(index: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", block: int = 1024, slice_rows: int = 50_000) -> DataFrame:
@@ -63,7 +63,7 @@ def merged(parts: list[DataFrame], k: int, key: str = "vec_id") -> DataFrame:
     for i, p in enumerate(parts):
         p = p.withColumn("collection", F.lit(i))
         out = p if out is None else out.unionByName(p)
-    return out.orderBy("distance", "collection", key).limit(k)
+    return out.orderBy(F.asc_nulls_last("distance"), "collection", key).limit(k)
 
 
 def snapshot_diff(stored: DataFrame, snapshot: DataFrame, key: str, content: str, meta: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import hashes, records
-from docloom.operators import checks, joins, logs, vectors
+from docloom.operators import cells, checks, joins, logs, vectors
 from docloom.plans.text_queries import read
 from docloom.sources import sinks
 from docloom.streaming import incremental
@@ -29,7 +29,8 @@ def vector_topk(spark, sf):
 
 
 def vector_topk_filtered(spark, sf):
-    return shown(vectors.top_k(read(spark, sf, "embeddings"), unit(2), 15, (F.col("label") == 3) & (F.col("vec_id") % 5 != 0)))
+    """Through the cell index: the nearest cells, then those within reach."""
+    return shown(cells.top_k(cells.build(read(spark, sf, "embeddings")), unit(2), 15, (F.col("label") == 3) & (F.col("vec_id") % 5 != 0)))
 
 
 def vector_topk_merged(spark, sf):
@@ -39,9 +40,9 @@ def vector_topk_merged(spark, sf):
 
 
 def vector_nearest(spark, sf):
-    """Every vector whose id is divisible by 20, against all vectors."""
+    """Every vector whose id is divisible by 20, against all vectors, through the cell index."""
     e = read(spark, sf, "embeddings")
-    return vectors.nearest(e, e.where("vec_id % 20 = 0"), 5).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+    return cells.search(cells.build(e), e.where("vec_id % 20 = 0"), 5).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
 
 
 def snapshot_diff(spark, sf):
