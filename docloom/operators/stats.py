@@ -9,6 +9,7 @@ from pyspark.sql.types import IntegerType
 
 from docloom.functions.distributions import mcnemar_p, t_critical, t_p_value, wilcoxon_p
 from docloom.operators import ordered
+from docloom.shared import written
 
 
 def describe(df: DataFrame, sets: list[list[str]], value: str, total: str = "ALL") -> DataFrame:
@@ -168,9 +169,9 @@ def agreement_table(ratings: DataFrame, unit: list[str], rater: str, model: str,
 def average_rank(cells: DataFrame, value: str, group: list[str], weight: str, out: str) -> DataFrame:
     """cells with ranks in which ties share their mean; a cell stands for `weight` rows."""
     counts = cells.groupBy(*group, value).agg(F.sum(weight).alias("_n"))
-    ranks = ordered.running(counts, group, [value], "_n", "_before").select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), F.col(value).alias("_x"), (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
-    on = [cells[c].eqNullSafe(ranks[f"_g{i}"]) for i, c in enumerate(group)] + [cells[value] == ranks["_x"]]
-    return cells.join(ranks, on).select(*cells.columns, out)
+    ranks = ordered.running(counts, group, [value], "_n", "_before").select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), F.col(value).alias("_ranked"), (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
+    on = [cells[c].eqNullSafe(ranks[f"_g{i}"]) for i, c in enumerate(group)] + [cells[value] == ranks["_ranked"]]
+    return cells.join(ranks, on).select(*(cells[c] for c in cells.columns), out)
 
 
 def weighted_corr(x: str, y: str, w: str) -> Column:
@@ -203,17 +204,39 @@ def correlations(df: DataFrame, x: str, y: str, group: list[str], tests: bool =
     return out.withColumns({f"p_{r}": t_p_value(t(r), (F.col("n") - 2).cast("double")) for r in ("pearson", "spearman")})
 
 
+def drawn_clusters(clusters: DataFrame, reps: int, seed: int) -> DataFrame:
+    """(rep, _number, times): how often each of n numbered clusters (0 .. n - 1) is among n draws with replacement, by repetition; a draw is a hash of seed, repetition and its place, modulo n."""
+    spark, n = clusters.sparkSession, clusters.count()
+    draws = spark.range(reps * n).select((F.expr(f"id div {max(1, n)}") + 1).alias("rep"), (F.col("id") % max(1, n)).alias("draw"))
+    text = F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("draw").cast("string"))
+    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") % max(1, n)
+    return draws.groupBy("rep", number.alias("_number")).agg(F.count("*").cast("double").alias("times"))
+
+
 def bootstrap_interval(df: DataFrame, cluster: str, x: str, y: str, reps: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """(low, high) of Pearson's correlation over resampled clusters: each gets a Poisson count per repetition from a hash, so no sample is drawn on the driver."""
-    per = df.groupBy(cluster).agg(F.count("*").alias("n"), *(F.sum(F.expr(e)).alias(a) for a, e in {"sx": x, "sy": y, "sxx": f"{x}*{x}", "syy": f"{y}*{y}", "sxy": f"{x}*{y}"}.items()))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(cluster).cast("string"), F.col("rep").cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("long") / float(1 << 32)
-    cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    times = sum(((u >= c).cast("int") for c in cuts), F.lit(0))
-    drawn = per.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("k", times).where("k > 0")
-    sums = drawn.groupBy("rep").agg(*(F.sum(F.col("k") * F.col(c)).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))
-    r = F.try_divide(F.expr("n * sxy - sx * sy"), F.sqrt(F.expr("n * sxx - sx * sx")) * F.sqrt(F.expr("n * syy - sy * sy")))
-    q = F.percentile("r", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
-    return sums.select(r.alias("r")).where("r IS NOT NULL AND NOT isnan(r)").agg(q.alias("q")).select(F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+    """(repetitions, pearson_low, pearson_high, spearman_low, spearman_high): percentile intervals over resampled clusters, which keep their rows together.
+
+    Each repetition draws as many clusters as there are, with replacement. Spearman's correlation is that of average ranks
+    inside the repetition, a row counting as often as its cluster was drawn. Rows without x or y are left out, and so are
+    repetitions of fewer than three rows or of one value of x or y; with fewer than three clusters all is null. Repetitions
+    are resampled by Spark: a task holds cells of some repetitions, never a sample.
+    """
+    plain = df.select(F.col(cluster).alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    clusters = written(ordered.numbered(plain.select("_k").distinct(), [], ["_k"], "_n").select("_k", (F.col("_n") - 1).alias("_number")), "clusters")
+    valid = plain.where("_x IS NOT NULL AND NOT isnan(_x) AND _y IS NOT NULL AND NOT isnan(_y)")
+    counted = valid.groupBy("_k", "_x", "_y").agg(F.count("*").alias("_c"))
+    cells = written(counted.join(clusters, counted["_k"].eqNullSafe(clusters["_k"])).select("_number", "_x", "_y", "_c"), "cells")
+    about = cells.agg(F.avg("_x").alias("x"), F.avg("_y").alias("y")).first()
+    enough = clusters.count() >= 3
+    drawn = drawn_clusters(clusters, reps if enough else 0, seed)
+    rows = drawn.join(cells, "_number").groupBy("rep", "_x", "_y").agg(F.sum(F.col("times") * F.col("_c")).alias("_w"))
+    ranked = average_rank(average_rank(written(rows, "drawn"), "_x", ["rep"], "_w", "_rx"), "_y", ["rep"], "_w", "_ry")
+    near = ranked.withColumn("_dx", F.col("_x") - (about["x"] or 0.0)).withColumn("_dy", F.col("_y") - (about["y"] or 0.0))
+    varied = (F.sum("_w") >= 3) & (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
+    each = near.groupBy("rep").agg(varied.alias("_ok"), weighted_corr("_dx", "_dy", "_w").alias("pearson"), weighted_corr("_rx", "_ry", "_w").alias("spearman")).where("_ok")
+    ends = F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))
+    out = each.agg(F.count("*").alias("repetitions"), F.percentile("pearson", ends).alias("p"), F.percentile("spearman", ends).alias("s"))
+    return out.select("repetitions", *(F.get(c, F.lit(i)).alias(f"{name}_{end}") for c, name in (("p", "pearson"), ("s", "spearman")) for i, end in enumerate(("low", "high"))))
 
 
 @F.arrow_udf(IntegerType())

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from docloom.functions import hashes, records
 from docloom.operators import cells, checks, joins, logs, vectors
 from docloom.plans.text_queries import read
-from docloom.sources import sinks
+from docloom.shared import new_dir
+from docloom.sources import sinks, versioned
 from docloom.streaming import incremental
 
 def now():
@@ -116,6 +117,21 @@ def refresh_column(spark, sf):
     return sinks.refresh(q, new, ["doc_id"], "quality").select("doc_id", "quality", "toxic", "changed")
 
 
+def bucketed_upsert(spark, sf):
+    """Documents as a table of 32 buckets; some are replaced and some added, and only the buckets of these are rewritten, as the names of the files show."""
+    d = read(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    table = versioned.Versioned(spark, new_dir(spark, "documents"), ["doc_id"], buckets=32)
+    table.upsert(d, batch=0)
+    some = d.where("doc_id % 250 = 0")
+    new = some.withColumn("source", F.lit("replaced")).unionByName(some.select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.lit("added").alias("source"), "n_chars"))
+    m = table.upsert(new, batch=1)
+    change = {f.split("/")[1] for b, f in m["folders"].items() if int(b) in m["rewritten"]}
+    here = F.lit(False)
+    for c in change:
+        here = here | F.contains(F.input_file_name(), F.lit(c))
+    return table.rows().select("doc_id", "source", "n_chars", here.alias("rewritten"))
+
+
 def change_classes(spark, sf):
     """Pages seen with other hashes: what is new, unchanged, changed on the surface only, or updated."""
     p = read(spark, sf, "pages").select("page_id", F.md5("url").alias("source_hash"), F.md5("html").alias("content_hash"))
@@ -190,7 +206,7 @@ def until_quota(spark, sf):
     return incremental.until_quota(d, "lang", F.col("n_chars") > 1500, ["doc_id"], 10).select("doc_id", "lang")
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_merged, vector_nearest, snapshot_diff, index_maintenance, label_join_left, label_semi, label_anti, checked_lookup, overlay_rows, set_ops, keyed_upsert, refresh_column, change_classes, log_recent_topn, log_retention, log_state_latest, question_groups, nested_rollup, nested_tree, pending_work, context_rendering, stream_windowed_counts, session_windows, unseen_rows, until_quota)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_merged, vector_nearest, snapshot_diff, index_maintenance, label_join_left, label_semi, label_anti, checked_lookup, overlay_rows, set_ops, keyed_upsert, refresh_column, bucketed_upsert, change_classes, log_recent_topn, log_retention, log_state_latest, question_groups, nested_rollup, nested_tree, pending_work, context_rendering, stream_windowed_counts, session_windows, unseen_rows, until_quota)}
 
 
 def top(i: int, k: int, where: str = "true") -> str:
@@ -226,6 +242,9 @@ ORACLES = {
     "keyed_upsert": """WITH u AS (SELECT doc_id, quality, toxic FROM labels WHERE doc_id % 4 <> 0 UNION ALL SELECT doc_id, 7, 7 FROM documents WHERE doc_id % 4 = 0)
         SELECT quality, toxic, count(*) AS rows, CAST(sum(doc_id) AS BIGINT) AS id_sum FROM u GROUP BY 1, 2""",
     "refresh_column": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE quality END AS quality, toxic, doc_id % 3 = 0 AND quality <> 1 AS changed FROM labels",
+    "bucketed_upsert": """WITH d AS (SELECT doc_id, source, CAST(n_chars AS BIGINT) AS n_chars FROM documents), u AS (SELECT doc_id, 'replaced' AS source, n_chars FROM d WHERE doc_id % 250 = 0 UNION ALL SELECT doc_id + 1000000000, 'added', n_chars FROM d WHERE doc_id % 250 = 0),
+        t AS (SELECT * FROM d WHERE doc_id % 250 <> 0 UNION ALL SELECT * FROM u), b AS (SELECT *, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 32 AS bucket FROM t)
+        SELECT doc_id, source, n_chars, bucket IN (SELECT bucket FROM b WHERE source IN ('replaced', 'added')) AS rewritten FROM b""",
     "change_classes": """SELECT CASE WHEN page_id % 4 = 0 THEN 'new' WHEN page_id % 3 <> 0 THEN 'unchanged' WHEN page_id % 9 <> 0 THEN 'same_content' ELSE 'updated' END AS change, count(*) AS pages FROM pages GROUP BY 1""",
     "log_recent_topn": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-24' ORDER BY events.ts DESC, event_id DESC LIMIT 100",
     "log_retention": "SELECT event_type, count(*) AS events, min(event_id) AS first_id FROM events WHERE ts - to_months(CAST(user_id % 8 AS INT)) >= TIMESTAMP '2023-09-30' GROUP BY 1",

@@ -96,8 +96,9 @@ def pearson_spearman(spark, sf):
 
 
 def bootstrap_interval(spark, sf):
-    e = read(spark, sf, "lineitem").select("l_suppkey", "l_quantity", "l_extendedprice")
-    return rounded(stats.bootstrap_interval(e, "l_suppkey", "l_quantity", "l_extendedprice", reps=200), "low", "high")
+    """Parts by size as clusters: price against the length of the type."""
+    p = read(spark, sf, "part").select("p_size", F.col("p_retailprice").alias("x"), F.length("p_type").alias("y"))
+    return rounded(stats.bootstrap_interval(p, "p_size", "x", "y"), "pearson_low", "pearson_high", "spearman_low", "spearman_high")
 
 
 def correlation_tests(spark, sf):
@@ -160,12 +161,14 @@ ORACLES = {
         c AS (SELECT 'a - b' AS contrast, count(*) AS n, round(100 * (avg(a) - avg(b)), 6) AS diff_pp, count(*) FILTER (a = 1 AND b = 0) AS only_a, count(*) FILTER (a = 0 AND b = 1) AS only_b FROM l),
         s AS (SELECT *, unnest(range(0, least(only_a, only_b) + 1)) AS i, only_a + only_b AS m FROM c)
         SELECT contrast, n, diff_pp, only_a, only_b, CASE WHEN only_a = only_b THEN 1.0 ELSE round(least(1.0, 2 * sum(exp(lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) - m * ln(2)))), 6) END AS p FROM s GROUP BY contrast, n, diff_pp, only_a, only_b""",
-    "bootstrap_interval": """WITH c AS (SELECT l_suppkey AS k, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(y * y) AS syy, sum(x * y) AS sxy FROM (SELECT l_suppkey, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem) GROUP BY 1),
-        u AS (SELECT *, CAST('0x' || substr(md5(k || ':' || rep || ':42'), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM c, (SELECT unnest(range(1, 201)) AS rep)),
-        w AS (SELECT *, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183], lambda c: u >= c)) AS t FROM u),
-        s AS (SELECT rep, sum(t * n) AS n, sum(t * sx) AS sx, sum(t * sy) AS sy, sum(t * sxx) AS sxx, sum(t * syy) AS syy, sum(t * sxy) AS sxy FROM w GROUP BY rep),
-        r AS (SELECT (n * sxy - sx * sy) / (sqrt(n * sxx - sx * sx) * sqrt(n * syy - sy * sy)) AS r FROM s)
-        SELECT round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM r WHERE r IS NOT NULL AND NOT isnan(r)""",
+    "bootstrap_interval": """WITH d AS (SELECT p_size AS k, CAST(p_retailprice AS DOUBLE) AS x, CAST(length(p_type) AS DOUBLE) AS y FROM part), c AS (SELECT k, row_number() OVER (ORDER BY k) - 1 AS number FROM (SELECT DISTINCT k FROM d)), n AS (SELECT count(*) AS n FROM c),
+        w AS (SELECT rep, CAST('0x' || substr(md5('42:' || rep || ':' || draw), 1, 15) AS BIGINT) % n AS number FROM n, (SELECT unnest(range(1, 1001)) AS rep), (SELECT unnest(range(0, n)) AS draw FROM n)),
+        t AS (SELECT rep, number, count(*) AS times FROM w GROUP BY 1, 2), v AS (SELECT rep, x, y, CAST(sum(times) AS DOUBLE) AS w FROM t JOIN c USING (number) JOIN d USING (k) GROUP BY 1, 2, 3),
+        rx AS (SELECT rep, x, sum(w) OVER (PARTITION BY rep ORDER BY x) - (w - 1) / 2 AS r FROM (SELECT rep, x, sum(w) AS w FROM v GROUP BY 1, 2)), ry AS (SELECT rep, y, sum(w) OVER (PARTITION BY rep ORDER BY y) - (w - 1) / 2 AS r FROM (SELECT rep, y, sum(w) AS w FROM v GROUP BY 1, 2)),
+        a AS (SELECT rep, w, x - (SELECT avg(x) FROM d) AS x, y - (SELECT avg(y) FROM d) AS y, rx.r AS p, ry.r AS q FROM v JOIN rx USING (rep, x) JOIN ry USING (rep, y)),
+        s AS (SELECT rep, sum(w) AS n, (sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w)) / sqrt((sum(w * x * x) - sum(w * x) ** 2 / sum(w)) * (sum(w * y * y) - sum(w * y) ** 2 / sum(w))) AS pe,
+          (sum(w * p * q) - sum(w * p) * sum(w * q) / sum(w)) / sqrt((sum(w * p * p) - sum(w * p) ** 2 / sum(w)) * (sum(w * q * q) - sum(w * q) ** 2 / sum(w))) AS sp FROM a GROUP BY rep)
+        SELECT count(*) AS repetitions, round(quantile_cont(pe, 0.025), 6) AS pearson_low, round(quantile_cont(pe, 0.975), 6) AS pearson_high, round(quantile_cont(sp, 0.025), 6) AS spearman_low, round(quantile_cont(sp, 0.975), 6) AS spearman_high FROM s""",
     "agreement_table": """WITH e AS (SELECT strftime(ts, '%Y-%m-%d') AS day, user_id % 4 AS rater, 'm' || (user_id % 3) AS m, min(event_id) AS e FROM events GROUP BY 1, 2, 3),
         v AS (SELECT unnest(['all', m]) AS model, day || m AS unit, rater, e FROM e), l AS (SELECT model, unit, rater, 'accuracy' AS measure, e % 5 + 1 AS v, 4.0 AS w FROM v UNION ALL SELECT model, unit, rater, 'type', e % 4 + 1, 0.0 FROM v),
         p AS (SELECT x.model, x.measure, x.rater || '-' || y.rater AS raters, x.v AS a, y.v AS b, x.w FROM l x JOIN l y ON x.model = y.model AND x.measure = y.measure AND x.unit = y.unit AND x.rater < y.rater),

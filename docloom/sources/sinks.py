@@ -72,14 +72,29 @@ def check_paths(*paths: str) -> None:
         raise ValueError("input, output and report must differ")
 
 
-def upsert(base: DataFrame, update: DataFrame, key: list[str]) -> DataFrame:
-    """base with the rows of update in place of those of the same key, or added."""
-    return base.join(update.select(*key).distinct(), key, "left_anti").unionByName(update, allowMissingColumns=True)
+def one_by_key(update: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """update with a row for each key: the last by `order`; without one a key that stands twice fails the job."""
+    rest = [c for c in update.columns if c not in key]
+    if order is not None:
+        return update.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*key, "_r.*")
+    twice = F.raise_error(F.concat(F.lit("a key stands more than once: "), F.concat_ws(", ", *(F.col(k).cast("string") for k in key)))).cast("boolean")
+    rows = update.groupBy(*key).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_r"))
+    return rows.where(F.when(F.col("_n") > 1, twice).otherwise(True)).select(*key, "_r.*")
 
 
-def refresh(base: DataFrame, update: DataFrame, key: list[str], column: str) -> DataFrame:
-    """base with `column` taken from update where it has the key and another value, and `changed`."""
-    new = update.select(*key, F.col(column).alias("_new"))
+def upsert(base: DataFrame, update: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """base with the rows of update in place of those of the same key, or added; see `one_by_key` for keys that update has twice.
+
+    `sources.versioned` keeps such a table in files of which only those that change are rewritten.
+    """
+    new = one_by_key(update, key, order)
+    return base.join(update.select(*key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def refresh(base: DataFrame, update: DataFrame, key: list[str], column: str, order: list[str] | None = None) -> DataFrame:
+    """base with `column` taken from update where it has the key and another value, and `changed`; see `one_by_key` for keys that update has twice."""
+    kept = update.select(*dict.fromkeys([*key, column, *(order or [])]))
+    new = one_by_key(kept, key, order).select(*key, F.col(column).alias("_new"))
     joined = base.join(new, key, "left")
     changed = F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col(column))
     return joined.withColumn("changed", changed).withColumn(column, F.coalesce("_new", column)).drop("_new")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.operators import ordered
 from docloom.shared import unused
+from docloom.sources.versioned import Versioned
 
 
 def change_class(seen: DataFrame, now: DataFrame, key: str) -> DataFrame:
@@ -21,32 +22,15 @@ def change_class(seen: DataFrame, now: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("change", change).drop("_s", "_c")
 
 
-def upsert_stream(stream: DataFrame, table: str, key: list[str], order: list[str], checkpoint: str):
-    """Keeps the last row of each key by `order`, whatever batch it comes in, in two alternating Parquet folders below `table`; a batch that is run again gives the same table.
+def upsert_stream(stream: DataFrame, table: Versioned, order: list[str], checkpoint: str):
+    """Keeps the last row of each key by `order`, whatever batch it comes in, in a bucketed and versioned table.
 
-    A batch reads the folder of the one before and replaces the other, so that no more than two versions are ever stored.
+    A batch rewrites the buckets of its keys only; one that is run again changes nothing.
     """
-
-    def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        base = version(spark, table, number - 1)
-        rows = batch if base is None else base.unionByName(batch)
-        rest = [c for c in batch.columns if c not in key]
-        last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*key, "_r.*")
-        last.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{table}/v={number % 2}")
-
+    fold = lambda batch, number: table.upsert(batch, order, number) and None
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def version(spark: SparkSession, table: str, number: int) -> DataFrame | None:
-    """The table after a batch; fails where that version is not, or no longer, stored."""
-    if number < 0:
-        return None
-    rows = spark.read.parquet(f"{table}/v={number % 2}")
-    other = F.raise_error(F.concat(F.lit("the stored version is of batch "), F.col("_batch").cast("string"))).cast("boolean")
-    return rows.where(F.when(F.col("_batch") != number, other).otherwise(True)).drop("_batch")
-
-
 def request_states(events: DataFrame, key: str = "id") -> DataFrame:
     """(id, status, changes) of pending, answered and failed requests, as they change; a finished request stays as it is."""
 

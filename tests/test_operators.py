@@ -661,3 +661,37 @@ def test_rouge_of_long_and_empty_texts(spark):
     assert got[len(texts) - 1] == pytest.approx(2 * 19999 / 39999)
     odd = spark.createDataFrame([(None, "x"), ("", "x"), ("?!", "x"), ("x", "y")], "a string, b string").withColumns(words)
     assert [r.s for r in odd.select(score.alias("s")).collect()] == [None, None, 0.0, 0.0]
+
+
+def test_updates_with_repeated_keys(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    twice = spark.createDataFrame([(1, "x", 2), (1, "y", 1), (3, "z", 1)], "k int, v string, at int")
+    for f in (lambda o: sinks.upsert(base, twice, ["k"], o), lambda o: sinks.refresh(base, twice, ["k"], "v", o)):
+        with pytest.raises(Exception, match="more than once"):
+            f(None).collect()
+    assert sorted((r.k, r.v) for r in sinks.upsert(base, twice, ["k"], ["at"]).collect()) == [(1, "x"), (2, "b"), (3, "z")]
+    assert sorted((r.k, r.v, r.changed) for r in sinks.refresh(base, twice, ["k"], "v", ["at"]).collect()) == [(1, "x", True), (2, "b", False)]
+
+
+def test_bootstrap_against_plain_resampling(spark):
+    import hashlib
+
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows = [(f"c{i % 7}", float(rng.integers(0, 9)), None if i == 5 else float(rng.integers(0, 9) + i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "c string, x double, y double")
+    got = stats.bootstrap_interval(df, "c", "x", "y", reps=60, seed=3).first()
+    names, pearson, spearman = [f"c{i}" for i in range(7)], [], []
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    for rep in range(1, 61):
+        drawn = [names[int(hashlib.md5(f"3:{rep}:{d}".encode()).hexdigest()[:15], 16) % 7] for d in range(7)]
+        x, y = (np.array([r[k] for c in drawn for r in rows if r[0] == c and r[2] is not None]) for k in (1, 2))
+        pearson.append(np.corrcoef(x, y)[0, 1])
+        spearman.append(np.corrcoef(rank(x), rank(y))[0, 1])
+    want = [*np.percentile(pearson, [2.5, 97.5]), *np.percentile(spearman, [2.5, 97.5])]
+    assert got.repetitions == 60 and np.allclose([got.pearson_low, got.pearson_high, got.spearman_low, got.spearman_high], want)
+    few = stats.bootstrap_interval(df.where("c IN ('c1', 'c2')"), "c", "x", "y", reps=5).first()
+    assert few.repetitions == 0 and few.pearson_low is None and few.spearman_high is None
+    same = stats.bootstrap_interval(df.withColumn("x", F.lit(1.0)), "c", "x", "y", reps=5).first()
+    assert same.repetitions == 0 and same.pearson_low is None

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.sources.versioned import Versioned
 from docloom.streaming import incremental
 
 
@@ -17,16 +18,14 @@ def split(spark, tmp_path, rows, schema, parts=3):
 def test_upsert_stream_equals_one_batch(spark, tmp_path):
     rows = [(i % 5, i, f"v{i}") for i in range(30)]
     stream = split(spark, tmp_path, rows, "k int, at int, v string")
-    table = str(tmp_path / "table")
-    q = incremental.upsert_stream(stream, table, ["k"], ["at"], str(tmp_path / "cp"))
+    table = Versioned(spark, str(tmp_path / "table"), ["k"], buckets=4)
+    q = incremental.upsert_stream(stream, table, ["at"], str(tmp_path / "cp"))
     q.awaitTermination(120)
-    last = q.lastProgress["batchId"]
-    got = incremental.version(spark, table, last)
-    assert sorted((r.k, r.v) for r in got.collect()) == [(k, f"v{25 + k}") for k in range(5)]
-    assert sorted(p.name for p in (tmp_path / "table").iterdir()) == ["v=0", "v=1"]  # and no more, however many batches
-    if last >= 2:
-        with pytest.raises(Exception, match="is of batch"):
-            incremental.version(spark, table, last - 2).collect()
+    assert sorted((r.k, r.v) for r in table.rows().collect()) == [(k, f"v{25 + k}") for k in range(5)]
+    last = table.manifest()["version"]
+    if last > 2:  # two versions are kept, however many batches
+        with pytest.raises(Exception, match="does not exist"):
+            table.rows(last - 2)
 
 
 def test_windowed_counts_stream_equals_batch(spark, tmp_path):
