@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docloom.functions import hashes, records
 from docloom.operators import cells, checks, joins, logs, vectors
 from docloom.plans.text_queries import read
 from docloom.shared import new_dir
-from docloom.sources import sinks, versioned
+from docloom.sources import jdbc, sinks, versioned
 from docloom.streaming import incremental
 
 def now():
@@ -144,6 +146,17 @@ def log_recent_topn(spark, sf):
     return logs.recent(e, "ts", "event_id", now(), 7, 100).select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "event_type")
 
 
+def jdbc_recent_topn(spark, sf):
+    """As log_recent_topn, from a database: events are put there in a batch, and the database filters, sorts and cuts off. It is Derby in this process, so the session is a local one; elsewhere pass the address of a server to `jdbc.Database`."""
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("the embedded database is in one process: use a local session, or jdbc.Database with a server's address")
+    db = jdbc.Database(spark, f"jdbc:derby:memory:docloom_{uuid.uuid4().hex};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    e = read(spark, sf, "events").select(F.col("event_id").alias("EVENT_ID"), F.col("ts").cast("timestamp").alias("TS"), F.substring("event_type", 1, 40).alias("EVENT_TYPE"))
+    db.put(e, "events", "EVENT_ID", 0)
+    top = db.newest("events", "TS", "EVENT_ID", 100, "2024-01-24 00:00:00")
+    return top.select(F.col("EVENT_ID").alias("event_id"), F.date_format("TS", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("EVENT_TYPE").alias("event_type"))
+
+
 def log_retention(spark, sf):
     e = read(spark, sf, "events")
     kept = sinks.retained(e.withColumn("created", F.expr("ts - make_interval(0, cast(user_id % 8 as int))")), "created", now(), 4)
@@ -206,7 +219,7 @@ def until_quota(spark, sf):
     return incremental.until_quota(d, "lang", F.col("n_chars") > 1500, ["doc_id"], 10).select("doc_id", "lang")
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_merged, vector_nearest, snapshot_diff, index_maintenance, label_join_left, label_semi, label_anti, checked_lookup, overlay_rows, set_ops, keyed_upsert, refresh_column, bucketed_upsert, change_classes, log_recent_topn, log_retention, log_state_latest, question_groups, nested_rollup, nested_tree, pending_work, context_rendering, stream_windowed_counts, session_windows, unseen_rows, until_quota)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_merged, vector_nearest, snapshot_diff, index_maintenance, label_join_left, label_semi, label_anti, checked_lookup, overlay_rows, set_ops, keyed_upsert, refresh_column, bucketed_upsert, change_classes, log_recent_topn, jdbc_recent_topn, log_retention, log_state_latest, question_groups, nested_rollup, nested_tree, pending_work, context_rendering, stream_windowed_counts, session_windows, unseen_rows, until_quota)}
 
 
 def top(i: int, k: int, where: str = "true") -> str:
@@ -247,6 +260,7 @@ ORACLES = {
         SELECT doc_id, source, n_chars, bucket IN (SELECT bucket FROM b WHERE source IN ('replaced', 'added')) AS rewritten FROM b""",
     "change_classes": """SELECT CASE WHEN page_id % 4 = 0 THEN 'new' WHEN page_id % 3 <> 0 THEN 'unchanged' WHEN page_id % 9 <> 0 THEN 'same_content' ELSE 'updated' END AS change, count(*) AS pages FROM pages GROUP BY 1""",
     "log_recent_topn": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-24' ORDER BY events.ts DESC, event_id DESC LIMIT 100",
+    "jdbc_recent_topn": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-24' ORDER BY events.ts DESC, event_id DESC LIMIT 100",
     "log_retention": "SELECT event_type, count(*) AS events, min(event_id) AS first_id FROM events WHERE ts - to_months(CAST(user_id % 8 AS INT)) >= TIMESTAMP '2023-09-30' GROUP BY 1",
     "log_state_latest": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id, event_id, event_type, round(value, 6) AS value FROM r WHERE n = 1",
     "question_groups": """WITH q AS (SELECT conv_id * 100 + turn AS id, md5(text) AS question, conv_id AS asked, length(text) AS n FROM conversations WHERE role = 'user'),
