@@ -111,3 +111,25 @@ def resolved_model(asked: Column, default: str, known: dict[str, str]) -> Column
     """The served name of the model asked for, else of the default; null where it is not served. `known` maps names to served ones."""
     name = F.coalesce(F.nullif(F.trim(asked), F.lit("")), F.lit(default))
     return F.element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), name)
+
+
+#: Conditions of an evaluation and the serving mode of each (fixed values are the caller's; these are the usual four).
+MODES = {"base": "base", "base_rag": "rag", "lora": "lora", "lora_rag": "lora_rag"}
+
+
+def missing_models(served: DataFrame, conditions: list[str], modes: dict[str, str] | None = None, name: str = "model") -> DataFrame:
+    """(condition, mode) of the conditions whose mode no row of `served` names, blanks and case apart; a condition without a mode fails the job."""
+    modes = MODES if modes is None else modes
+    unknown = [c for c in conditions if c not in modes]
+    if unknown:
+        raise ValueError(f"no serving mode for {', '.join(unknown)}")
+    wanted = served.sparkSession.createDataFrame([(c, modes[c]) for c in conditions], "condition string, mode string")
+    there = served.select(F.lower(F.trim(name)).alias("mode")).distinct()
+    return wanted.join(there, F.lower(wanted["mode"]) == there["mode"], "left_anti")
+
+
+def require_models(served: DataFrame, conditions: list[str], modes: dict[str, str] | None = None, name: str = "model") -> None:
+    """Refuses an evaluation of which a model is not served."""
+    missing = [r["condition"] for r in missing_models(served, conditions, modes, name).collect()]
+    if missing:
+        raise ValueError(f"not served: {', '.join(sorted(missing))}")

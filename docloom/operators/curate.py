@@ -28,6 +28,11 @@ def not_before(date: Column, floor: str) -> Column:
     return F.coalesce(F.trim(date), F.lit("")).isin("") | (F.trim(date) >= floor)
 
 
+def long_enough(text: Column, least: int = 10) -> Column:
+    """At least so many characters without blanks at the ends."""
+    return F.length(F.trim(F.coalesce(text, F.lit("")))) >= least
+
+
 def good_pair(question: Column, answer: Column, script: str = HANGUL) -> Column:
     q, a = F.trim(F.coalesce(question, F.lit(""))), F.trim(F.coalesce(answer, F.lit("")))
     return F.length(q).between(8, 200) & F.length(a).between(20, 1000) & (share_of(a, script) >= 0.3)

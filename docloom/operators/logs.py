@@ -27,7 +27,11 @@ def question_groups(groups: DataFrame, questions: DataFrame, examples: int = 3,
     Unknown ids are left out, an id counts in the first group that names it, counts are made here; groups by count, then
     position; examples newest first.
     """
-    named = groups.select("position", "label", F.posexplode("question_ids").alias("place", "id"))
+    return grouped_questions(groups.select("position", "label", F.posexplode("question_ids").alias("place", "id")), questions, examples, most)
+
+
+def grouped_questions(named: DataFrame, questions: DataFrame, examples: int = 3, most: int = 8) -> DataFrame:
+    """question_groups from rows (position, label, id, place) in place of arrays, for groups of any size."""
     once = named.groupBy("id").agg(F.min_by(F.struct("position", "label"), F.struct("position", "place")).alias("g")).select("id", "g.*")
     known = once.join(questions, "id")
     # the newest of a group are the newest of its parts' newest, so that no task holds a whole group
@@ -54,6 +58,26 @@ def nested_tree(df: DataFrame, outer: str, inner: str, leaf: Column) -> DataFram
     return per.groupBy(outer).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(inner, "leaves")))).alias("tree"))
 
 
+def course_groups(candidates: DataFrame, order: list[str], name: str = "course_name", code: str = "course_code", professor: str = "professor", lecture: str = "lecture_id") -> DataFrame:
+    """(course_key, course_name, course_codes, professors): courses by their normalised name (white space and case apart), the name and each lecture as they stand first in the order.
+
+    `professors` maps a professor (`unnamed` where there is none) to the lectures (structs of the other columns) of that
+    group, each lecture id once. Codes, professors and lectures are in the order of their first rows. Blank names are left
+    out. Each level is one aggregation of the one below, so that repeated rows are folded where they are.
+    """
+    key = F.lower(F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r"(?U)\s+", ""))
+    rows = candidates.select(key.alias("course_key"), F.trim(name).alias("_name"), F.col(code).alias("_code"), F.coalesce(F.nullif(F.trim(professor), F.lit("")), F.lit("unnamed")).alias("_who"), F.col(lecture).alias("_id"), F.struct(*order).alias("_at"), F.struct(*(c for c in candidates.columns if c not in (name, code, professor))).alias("_row"))
+    rows = rows.where("course_key <> ''")
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("_at", c))), lambda x: x[c])
+    names = rows.groupBy("course_key").agg(F.min_by("_name", "_at").alias("course_name"))
+    codes = rows.where("_code IS NOT NULL").groupBy("course_key", "_code").agg(F.min("_at").alias("_at")).groupBy("course_key").agg(listed("_code").alias("course_codes"))
+    once = rows.where("_id IS NOT NULL").groupBy("course_key", "_who", "_id").agg(F.min_by("_row", "_at").alias("_row"), F.min("_at").alias("_at"))
+    per = once.groupBy("course_key", "_who").agg(listed("_row").alias("_rows"), F.min("_at").alias("_at"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_who", "_rows"))), lambda x: F.struct(x["_who"], x["_rows"]))
+    people = per.groupBy("course_key").agg(F.map_from_entries(entries).alias("professors"))
+    return names.join(codes, "course_key", "left").join(people, "course_key", "left")
+
+
 def pending(lectures: DataFrame, attempts: DataFrame, saved: DataFrame, key: str, done: list[str], retry_failed: bool = False) -> DataFrame:
     """Lectures that are neither saved nor done by their last attempt; failed ones again only if asked."""
     last = latest_state(attempts, key, ["attempt"]).select(key, "status")

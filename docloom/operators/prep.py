@@ -88,10 +88,22 @@ def labelled_text(facts: list[tuple[str, Column]], sections: list[tuple[str, Col
     return F.concat_ws("\n", *lines, F.nullif(body, F.lit("")))
 
 
-def report(df: DataFrame, group: list[str], text: str) -> DataFrame:
-    """Rows, least, greatest and mean length (one decimal), sum of lengths, different texts, by group."""
+def report(df: DataFrame, group: list[str], text: str, date: str | None = None, flags: str | None = None, known_flags: list[str] | None = None, conditions: dict[str, Column] | None = None) -> DataFrame:
+    """Rows, least, greatest and mean length (one decimal), sum of lengths, different texts, by group: one aggregation.
+
+    With `date` (strings) first_date and last_date over those that are not blank; with `flags` (an array) flag_<name> for each
+    of `known_flags` and flagged rows; with `conditions` the rows for which each holds. Null texts count as rows only.
+    """
     n = F.length(text)
-    return df.groupBy(*group).agg(F.count("*").alias("rows"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"), F.bround(F.avg(n), 1).alias("avg_chars"), F.sum(n).alias("total_chars"), F.countDistinct(text).alias("distinct_texts"))
+    parts = [F.count("*").alias("rows"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"), F.bround(F.avg(n), 1).alias("avg_chars"), F.sum(n).alias("total_chars"), F.countDistinct(text).alias("distinct_texts")]
+    if date is not None:
+        filled = F.nullif(F.trim(date), F.lit(""))
+        parts += [F.min(filled).alias("first_date"), F.max(filled).alias("last_date")]
+    if flags is not None:
+        parts += [F.count_if(F.array_contains(flags, f)).alias(f"flag_{f}") for f in known_flags or []]
+        parts.append(F.count_if(F.size(flags) > 0).alias("flagged"))
+    parts += [F.count_if(c).alias(name) for name, c in (conditions or {}).items()]
+    return df.groupBy(*group).agg(*parts)
 
 
 def select_courses(courses: DataFrame, selected: list[str] | None = None, include_other: bool = False, code: str = "course_code", major: str = "is_major") -> DataFrame:

@@ -11,7 +11,7 @@ from docloom.operators import cells, checks, joins, logs, vectors
 from docloom.plans.text_queries import read
 from docloom.shared import new_dir
 from docloom.sources import jdbc, sinks, versioned
-from docloom.streaming import incremental
+from docloom.streaming import incremental, ledger
 
 def now():
     """The fixed present of the log queries."""
@@ -171,9 +171,8 @@ def question_groups(spark, sf):
     """User turns as questions, grouped by their length; groups name ids twice and unknown ones."""
     c = read(spark, sf, "conversations").where("role = 'user'")
     q = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.md5("text").alias("question"), F.col("conv_id").alias("created_at"), F.length("text").alias("n"))
-    ids = q.select("id", F.explode(F.array(F.col("n") % 7, F.col("n") % 5)).alias("position")).distinct()
-    g = ids.groupBy("position").agg(F.concat(F.array_sort(F.collect_list("id")), F.array(F.lit(-1).cast("long"))).alias("question_ids")).withColumn("label", F.concat(F.lit("g"), F.col("position")))
-    out = logs.question_groups(g, q.drop("n"))
+    ids = q.select("id", F.explode(F.array(F.col("n") % 7, F.col("n") % 5)).alias("position")).unionByName(spark.range(5).select(F.lit(-1).cast("long").alias("id"), F.col("id").cast("int").alias("position")))
+    out = logs.grouped_questions(ids.select("position", F.concat(F.lit("g"), F.col("position")).alias("label"), "id", F.col("id").alias("place")), q.drop("n"))
     return out.select("label", "questions", F.array_join("examples", ",").alias("examples"))
 
 
@@ -195,7 +194,7 @@ def pending_work(spark, sf):
 
 
 def context_rendering(spark, sf):
-    e = vectors.nearest(read(spark, sf, "embeddings"), read(spark, sf, "embeddings").where("vec_id % 20 = 0"), 3)
+    e = cells.search(cells.build(read(spark, sf, "embeddings")), read(spark, sf, "embeddings").where("vec_id % 20 = 0"), 3)
     hits = e.join(read(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source"), "vec_id").withColumn("kind", F.when(F.col("vec_id") % 2 == 0, "syllabus").otherwise("notice"))
     return logs.rendered_context(hits, "query_id", "rank", "kind", "text", "source").select("query_id", F.length("context").alias("chars"), F.md5("context").alias("context_hash"))
 
@@ -211,7 +210,16 @@ def session_windows(spark, sf):
 
 
 def unseen_rows(spark, sf):
-    return incremental.unseen(read(spark, sf, "documents").select("doc_id", "source"), read(spark, sf, "labels"), ["doc_id"]).groupBy("source").agg(F.count("*").alias("left"))
+    """Documents that no label is for, by a ledger of the labels' ids with Bloom bitmaps."""
+    book = ledger.Ledger(spark, new_dir(spark, "ledger"), ["doc_id"], buckets=16)
+    book.record(read(spark, sf, "labels"), 1)
+    return book.unseen(read(spark, sf, "documents").select("doc_id", "source")).groupBy("source").agg(F.count("*").alias("left"))
+
+
+def sliding_counts(spark, sf):
+    """Windows of 12 hours that begin every 4 hours."""
+    out = incremental.windowed_counts(read(spark, sf, "events"), "ts", "12 hours", ["event_type"], "value", slide="4 hours")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "events", F.round("total", 4).alias("total"))
 
 
 def until_quota(spark, sf):
@@ -219,7 +227,7 @@ def until_quota(spark, sf):
     return incremental.until_quota(d, "lang", F.col("n_chars") > 1500, ["doc_id"], 10).select("doc_id", "lang")
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_merged, vector_nearest, snapshot_diff, index_maintenance, label_join_left, label_semi, label_anti, checked_lookup, overlay_rows, set_ops, keyed_upsert, refresh_column, bucketed_upsert, change_classes, log_recent_topn, jdbc_recent_topn, log_retention, log_state_latest, question_groups, nested_rollup, nested_tree, pending_work, context_rendering, stream_windowed_counts, session_windows, unseen_rows, until_quota)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, vector_topk_merged, vector_nearest, snapshot_diff, index_maintenance, label_join_left, label_semi, label_anti, checked_lookup, overlay_rows, set_ops, keyed_upsert, refresh_column, bucketed_upsert, change_classes, log_recent_topn, jdbc_recent_topn, log_retention, log_state_latest, question_groups, nested_rollup, nested_tree, pending_work, context_rendering, stream_windowed_counts, session_windows, unseen_rows, sliding_counts, until_quota)}
 
 
 def top(i: int, k: int, where: str = "true") -> str:
@@ -272,6 +280,8 @@ ORACLES = {
     "pending_work": """WITH a AS (SELECT user_id AS doc_id, arg_max(CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' ELSE 'partial' END, event_id) AS status FROM events GROUP BY 1)
         SELECT doc_id, status FROM documents LEFT JOIN a USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND coalesce(status, '') NOT IN ('done', 'failed')""",
     "stream_windowed_counts": "SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2024-01-01'), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "sliding_counts": """WITH w AS (SELECT *, unnest(range(0, 3)) AS k FROM events)
+        SELECT strftime(time_bucket(INTERVAL 4 HOURS, ts, TIMESTAMP '2024-01-01') - INTERVAL 1 HOUR * (4 * k), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM w GROUP BY 1, 2""",
     "session_windows": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS first FROM events),
         s AS (SELECT user_id, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g), c AS (SELECT user_id, n, count(*) AS events FROM s GROUP BY 1, 2)
         SELECT user_id, count(*) AS sessions, CAST(sum(events) AS BIGINT) AS events, max(events) AS longest FROM c GROUP BY 1""",

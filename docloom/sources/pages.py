@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import lzma
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -159,25 +161,40 @@ def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(out, pa.string())
 
 
+#: Bytes that the sections of a zipped document may have once unpacked; more is refused, whatever the file says.
+UNPACKED = 256 << 20
+
+
+def section_number(name: str) -> int | None:
+    found = re.fullmatch(r"Contents/section(\d+)\.xml", name)
+    return int(found[1]) if found else None
+
+
+def hwpx_paragraphs(data: bytes) -> str | None:
+    """Paragraphs of a zipped XML document, sections by number, blank ones left out; null where it is damaged, encrypted or too large."""
+    lines, left = [], UNPACKED
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            names = sorted((n for n in z.namelist() if section_number(n) is not None), key=section_number)
+            for n in names:
+                with z.open(n) as f:
+                    section = f.read(left + 1)
+                left -= len(section)
+                if left < 0:
+                    return None
+                for p in ElementTree.fromstring(section).iter():
+                    if p.tag.endswith("}p"):
+                        lines.append("".join(t.text or "" for t in p.iter() if t.tag.endswith("}t")))
+    except (zipfile.BadZipFile, ElementTree.ParseError, zlib.error, lzma.LZMAError, RuntimeError, NotImplementedError, EOFError, OSError, ValueError, KeyError):
+        return None
+    return "\n".join(x for x in lines if x.strip())
+
+
 @F.arrow_udf(T.StringType())
 def hwpx_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Paragraphs of a zipped XML document, sections in order; null where it cannot be read."""
-
-    def one(data: bytes | None) -> str | None:
-        try:
-            with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
-                names = sorted((n for n in z.namelist() if re.fullmatch(r"Contents/section\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-                lines = []
-                for n in names:
-                    for p in ElementTree.fromstring(z.read(n)).iter():
-                        if p.tag.endswith("}p"):
-                            lines.append("".join(t.text or "" for t in p.iter() if t.tag.endswith("}t")))
-                return "\n".join(x for x in lines if x.strip())
-        except (zipfile.BadZipFile, ElementTree.ParseError):
-            return None
-
+    """hwpx_paragraphs of each value; null for null."""
     for xs in batches:
-        yield pa.array([one(x.as_py()) for x in xs], pa.string())
+        yield pa.array([None if (data := x.as_py()) is None else hwpx_paragraphs(data) for x in xs], pa.string())
 
 
 def attachment_kind(content: Column, name: Column) -> Column:

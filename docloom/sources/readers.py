@@ -73,3 +73,10 @@ def ratings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     typed = rows.withColumn("accuracy", F.col("accuracy").try_cast("double").try_cast("int")).withColumn("response_type", F.col("response_type").try_cast("double").try_cast("int"))
     ok = F.coalesce(F.col("accuracy").between(1, 5) & F.col("response_type").between(1, 4), F.lit(False))
     return typed.where(ok), typed.where(~ok)
+
+
+def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Documents of files that hold one JSON array each, however it is laid out; a file that is no such array fails the job."""
+    rows = spark.read.schema(f"{schema.rstrip(', ')}, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
+    bad = F.raise_error(F.concat(F.lit("no JSON array: "), F.substring("_bad", 1, 80))).cast("boolean")
+    return rows.where(F.when(F.col("_bad").isNotNull(), bad).otherwise(True)).drop("_bad")

@@ -136,13 +136,32 @@ def copy_legacy(target: DataFrame, legacy: DataFrame | None) -> DataFrame:
     return legacy.withColumn("status", F.lit("legacy")).select(*target.columns)
 
 
-def unchanged_input(spark, path: str):
-    """A function that tells whether the files below path are still those of now: one checksum over names, sizes and digests of contents, made by Spark."""
+#: Files up to this size are digested by tasks, as one value each; larger ones are streamed, a buffer at a time.
+WHOLE_FILE = 256 << 20
+
+
+def file_digests(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """(path, length, sha256) of the files below path, of any size; tasks read small files, and large ones pass through one buffer of the JVM."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = files.where(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = []
+    digest = spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils
+    for r in files.where(F.col("length") > whole).select("path", "length").collect():
+        fs, kind = file_system(spark, r["path"])
+        stream = fs.open(kind(r["path"]))
+        try:
+            large.append((r["path"], r["length"], digest.sha256Hex(stream)))
+        finally:
+            stream.close()
+    return small.unionByName(spark.createDataFrame(large, "path string, length long, sha256 string"))
+
+
+def unchanged_input(spark: SparkSession, path: str):
+    """A function that tells whether the files below path are still those of now: one checksum over names, sizes and digests of contents."""
 
     def state() -> tuple:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        each = F.conv(F.substring(F.sha2(F.concat(F.encode(F.concat_ws("|", "path", "length"), "UTF-8"), F.unhex(F.sha2("content", 256))), 256), 1, 15), 16, 10)
-        return tuple(files.agg(F.count("*"), F.sum("length"), F.sum(each.cast("decimal(38,0)"))).first())
+        each = F.conv(F.substring(F.sha2(F.concat_ws("|", "path", "length", "sha256"), 256), 1, 15), 16, 10)
+        return tuple(file_digests(spark, path).agg(F.count("*"), F.sum("length"), F.sum(each.cast("decimal(38,0)"))).first())
 
     before = state()
     return lambda: state() == before

@@ -695,3 +695,42 @@ def test_bootstrap_against_plain_resampling(spark):
     assert few.repetitions == 0 and few.pearson_low is None and few.spearman_high is None
     same = stats.bootstrap_interval(df.withColumn("x", F.lit(1.0)), "c", "x", "y", reps=5).first()
     assert same.repetitions == 0 and same.pearson_low is None
+
+
+def test_damaged_documents_arrays_digests_and_models(spark, tmp_path):
+    import hashlib
+    import io
+    import zipfile
+
+    from docloom.operators import checks
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("Contents/section0.xml", "<s xmlns:h='x'><h:p><h:t>one</h:t><h:t> two</h:t></h:p><h:p/></s>" + " " * 500)
+    whole = data.getvalue()
+    assert pages.hwpx_paragraphs(whole) == "one two"
+    for at in range(30, len(whole), 3):  # read or refused, whatever is damaged
+        found = pages.hwpx_paragraphs(whole[:at] + b"\xff\x00" + whole[at + 2 :])
+        assert found is None or isinstance(found, str)
+    left, pages.UNPACKED = pages.UNPACKED, 50
+    assert pages.hwpx_paragraphs(whole) is None
+    pages.UNPACKED = left
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.json").write_text('[\n {"k": 1},\n {"k": 2, "t": "x"}]')
+    assert sorted((r.k, r.t) for r in readers.json_array(spark, str(tmp_path / "a"), "k long, t string").collect()) == [(1, None), (2, "x")]
+    (tmp_path / "a" / "two.json").write_text("[{")
+    with pytest.raises(Exception, match="no JSON array"):
+        readers.json_array(spark, str(tmp_path / "a"), "k long, t string").collect()
+    (tmp_path / "b").mkdir()
+    files = {"small": b"abc", "large": b"z" * 5000}
+    for name, content in files.items():
+        (tmp_path / "b" / name).write_bytes(content)
+    got = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in sinks.file_digests(spark, str(tmp_path / "b"), whole=100).collect()}
+    assert got == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in files.items()}
+    served = spark.createDataFrame([(" Base ",), ("rag",)], "model string")
+    assert [tuple(r) for r in checks.missing_models(served, ["base", "base_rag", "lora"]).collect()] == [("lora", "lora")]
+    checks.require_models(served, ["base", "base_rag"])
+    with pytest.raises(ValueError, match="not served: lora"):
+        checks.require_models(served, ["lora"])
+    with pytest.raises(ValueError, match="no serving mode"):
+        checks.missing_models(served, ["other"])
