@@ -14,6 +14,8 @@ from docloom.llm.common import WORD, running_total, table, written
 
 #: Passes at most, rows in a bucket of a source's order and in a range of the global order (about; ranges at most), seed.
 PASSES, BUCKET_ROWS, MOST_RANGES, SEED = 3, 4096, 1_000_000, "mix-1"
+#: Sources (about 300 bytes each) whose cuts may be sent to every task.
+BROADCAST_SOURCES = 20_000
 
 
 def words(text: str | Column) -> Column:
@@ -43,13 +45,16 @@ def targets(sizes: DataFrame, passes: int = PASSES) -> DataFrame:
     return w.select("source", "source_size", "rank", target.alias("target"))
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", passes: int = PASSES) -> DataFrame:
-    """(doc_id, source, size, copy, copies, source_size, target), a row for each document: how often the mix takes it.
+def shuffle_key(id_col: str) -> Column:
+    """The place of an id in the order of its source."""
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":" + SEED)))
+
+
+def queue(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", passes: int = PASSES) -> DataFrame:
+    """A row for each pass over each document: doc_id, source, size, key, rows, copy, turn, source_size, target and `taken`, 1 before the cut.
 
     Equal rows (same id, source and size) are counted as one item up to the queue, where each of them, told by `copy` from 1
-    on, stands on its own, one after another. Null texts have no words; documents of sources without words are taken once,
-    with 0 words. Null ids and sources are values like any other; an empty table gives no rows. Only ids, sources and
-    sizes are shuffled, and words are counted once.
+    on, stands on its own, one after another. Only ids, sources and sizes are shuffled, and words are counted once.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text_col).alias("size"))
     items = narrow.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).withColumn("units", F.col("size") * F.col("rows"))
@@ -59,7 +64,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     per = items.groupBy("source").agg(F.sum("units").alias("source_size"), F.count("*").alias("_items"))
     goal = targets(per.select("source", "source_size"), passes).withColumnRenamed("source", "_s")
     per = per.select(F.col("source").alias("_t"), "_items").join(goal, F.col("_t").eqNullSafe(F.col("_s"))).drop("_t")
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + SEED)))
+    key = shuffle_key("doc_id")
     share = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / float(1 << 32)
     placed = items.join(per, items["source"].eqNullSafe(per["_s"])).drop("_s").withColumn("key", key)
     placed = placed.withColumn("bucket", F.floor(share * F.ceil(F.col("_items") / BUCKET_ROWS)))
@@ -77,29 +82,65 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     total = items.agg(F.sum("units").alias("budget"))
     line = running_total(turns, [], "range", [F.asc("finish"), F.asc("rank"), *order, F.asc("turn"), F.asc("copy")], "size", "served")
     kept = line.join(F.broadcast(total)).withColumn("taken", (F.col("served") <= F.col("budget")).cast("long"))
+    return kept
+
+
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", passes: int = PASSES) -> DataFrame:
+    """(doc_id, source, size, copy, copies, source_size, target), a row for each document: how often the mix takes it.
+
+    Null texts have no words; documents of sources without words are taken once, with 0 words. Null ids and sources are
+    values like any other; an empty table gives no rows.
+    """
+    kept = queue(docs, id_col, source_col, text_col, passes)
     return kept.groupBy("doc_id", "source", "size", "copy", "source_size", "target").agg(F.sum("taken").alias("copies"))
 
 
+def cuts(docs: DataFrame) -> DataFrame:
+    """(source, cut0, cut1, ...): the last document that each pass over a source takes, as its place in the source's order, its copy and how many rows are equal to it; null where a pass takes none.
+
+    A source's documents finish in their order, so that whatever stands before such a place is taken too.
+    """
+    last = F.struct(F.struct("key", "doc_id", "size").alias("place"), "copy", "rows")
+    taken = queue(docs).where("taken = 1")
+    return taken.groupBy("source").agg(F.count("*").alias("weight"), *(F.max(F.when(F.col("turn") == t, last)).alias(f"cut{t}") for t in range(PASSES)))
+
+
 def mix_documents(docs: DataFrame) -> DataFrame:
     """docs as often as the mix takes each: none, one or more equal rows; columns, whatever their names, stay.
 
-    Null texts have no words and are kept once where their source has none, else as often as its passes take them; null
-    ids and sources are values like any other; documents of equal finish time go by source, then hash of the id; of rows
-    with the same id, source and size each is taken by itself, so some may be taken once more than others, which ones
-    being left open; an empty table gives an empty table.
+    Texts stay where they are: a source's cuts tell of a document how often it is taken, and those of BROADCAST_SOURCES
+    sources at most, the largest, are sent to it; documents of other sources are joined with theirs. Null texts have no
+    words and are kept once where their source has none, else as often as its passes take them; null ids and sources are
+    values like any other; documents of equal finish time go by source, then hash of the id; of rows with the same id,
+    source and size each is taken by itself, so some may be taken once more than others, which ones being left open; an
+    empty table gives an empty table.
     """
-    taken = plan_mix(docs).groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")).where("copies > 0")
-    plan = written(taken.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.expr("copies div rows").alias("each"), (F.col("copies") % F.col("rows")).alias("more")), "plan")
-    rows = docs.select(F.struct("*").alias("doc"), "doc_id", "source", words("text").alias("size"))
-    same = rows["doc_id"].eqNullSafe(plan["_d"]) & rows["source"].eqNullSafe(plan["_s"]) & (rows["size"] == plan["_z"])
-    found = rows.join(plan, same)
-    out = found.where("more = 0").select("doc", "each")
-    if not plan.where("more > 0").isEmpty():
-        # repeated rows are numbered in two levels, since one of them may be a large share of all
-        part = found.where("more > 0").select("doc", "_d", "_s", "_z", "each", "more", F.lit(1).alias("one"), F.spark_partition_id().alias("place"), F.monotonically_increasing_id().alias("turn"))
-        numbered = running_total(written(part, "repeated"), ["_d", "_s", "_z"], "place", [F.asc("turn")], "one", "number")
-        out = out.unionByName(numbered.select("doc", (F.col("each") + (F.col("number") <= F.col("more")).cast("long")).alias("each")))
-    return out.where("each > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("each").cast("int")))).select("doc.*")
+    names = [f"cut{t}" for t in range(PASSES)]
+    ends = written(cuts(docs).withColumnRenamed("source", "of"), "cuts")
+    place = F.struct(F.col("key"), F.col("doc_id"), F.col("size"))
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", "source", words("text").alias("size"), shuffle_key("doc_id").alias("key")).withColumn("place", place)
+    own = lambda e: rows["source"].eqNullSafe(e["of"])
+    if ends.count() <= BROADCAST_SOURCES:
+        found = rows.join(F.broadcast(ends), own(ends))
+    else:
+        large = written(ends.orderBy(F.desc("weight"), "of").limit(BROADCAST_SOURCES), "large")
+        small = ends.join(large.select(F.col("of").alias("_l")), F.col("of").eqNullSafe(F.col("_l")), "left_anti")
+        found = rows.join(F.broadcast(large), own(large)).unionByName(rows.join(F.broadcast(large), own(large), "left_anti").join(small, own(small)))
+    at, inside = lambda n: F.col("place") == F.col(f"{n}.place"), lambda n: F.col("place") < F.col(f"{n}.place")
+    split = lambda n: F.coalesce(at(n) & (F.col(f"{n}.copy") < F.col(f"{n}.rows")), F.lit(False))
+    whole = lambda n: F.coalesce(inside(n) | (at(n) & (F.col(f"{n}.copy") == F.col(f"{n}.rows"))), F.lit(False)).cast("int")
+    some = F.lit(False)
+    for n in names:
+        some = some | split(n)
+    found = found.withColumn("each", sum((whole(n) for n in names), F.lit(0))).withColumn("some", some)
+    out = found.where("NOT some").select("doc", "each")
+    if not ends.where(" OR ".join(f"{n}.copy < {n}.rows" for n in names)).isEmpty():
+        # the rows of an item within which a cut falls are numbered in two levels, since they may be a large share of all
+        part = found.where("some").select("doc", "doc_id", "of", "size", "place", "each", *names, F.lit(1).alias("one"), F.spark_partition_id().alias("bucket"), F.monotonically_increasing_id().alias("turn"))
+        numbered = running_total(written(part, "repeated"), ["doc_id", "of", "size"], "bucket", [F.asc("turn")], "one", "number")
+        more = sum(((split(n) & (F.col("number") <= F.col(f"{n}.copy"))).cast("int") for n in names), F.col("each"))
+        out = out.unionByName(numbered.select("doc", more.alias("each")))
+    return out.where("each > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("each")))).select("doc.*")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -79,6 +79,21 @@ def test_repeated_rows_are_taken_singly(spark):
         assert mixed == taken
 
 
+def test_mix_has_the_rows_of_the_plan_whatever_is_sent(spark, monkeypatch):
+    from collections import Counter
+
+    rows = rows_of(9, 300)
+    rows += [r for r in rows if r[0] % 7 == 0] * 2 + [rows[5]] * 80 + [(None, None, "x y z", "s", 1, 2, "d", "c")] * 5 + [(4, "b", "other text", "s", 1, 2, "d", "c")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    want = Counter()
+    for r in M.plan_mix(df).collect():
+        want[r.doc_id, r.source, r.size] += r.copies
+    for most in (20_000, 2):
+        monkeypatch.setattr(M, "BROADCAST_SOURCES", most)
+        got = Counter((r.doc_id, r.source, len(r.text.split()) if r.text else 0) for r in M.mix_documents(df).collect())
+        assert got == +want
+
+
 def test_sql_over_a_table_with_repeats(spark, tmp_path, monkeypatch):
     from compare import compare
 
