@@ -52,7 +52,7 @@ def drop_reasons(df: DataFrame, question: str, answer: str, order: list[str], le
     early = (
         F.when(F.col(question).isNull() | F.col(answer).isNull(), "malformed")
         .when((F.length(q) < least_question) | (F.length(a) < least_answer), "too_short")
-        .when(F.concat(q, F.lit("\n"), a).rlike(junk), "crawl_status")
+        .when(q.rlike(junk) | a.rlike(junk), "crawl_status")
     )
     marked = df.withColumn("_early", early).withColumn("_key", spaced_key(F.col(question)))
     first = marked.where("_early IS NULL").groupBy("_key").agg(F.min(F.struct(*order)).alias("_first"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators import cells
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -26,31 +28,29 @@ def top_k(index: DataFrame, query: list[float], k: int, where: Column | None = N
     return rows.withColumn("distance", cosine_distance(F.col(vector), literal)).orderBy(F.asc_nulls_last("distance"), key).limit(k)
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", block: int = 1024, slice_rows: int = 50_000) -> DataFrame:
-    """(query_id, key, distance, rank): the k nearest rows of every query, exact, ties by key.
+def nearest(index: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", block: int = 1024, slice_rows: int | None = None) -> DataFrame:
+    """(query_id, key, distance, rank): the k nearest rows of every query, exact, ties by key, by comparing all; `cells.search` compares fewer.
 
-    Queries are dealt into blocks of about `block` rows and the index into slices of about `slice_rows`; each pair of a
+    Queries are dealt into blocks of about `block` rows and the index into slices of about 16 MB of vectors; each pair of a
     block and a slice meets in one task, which sends on its k best of each query, and these are ranked. Nothing passes
-    through the driver but two counts.
+    through the driver but counts.
     """
-    blocks, slices = (max(1, -(-df.count() // n)) for df, n in ((queries, block), (index, slice_rows)))
+    size = index.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("width")).first()
+    slice_rows = slice_rows or max(1, cells.SLICE_BYTES // (8 * max(1, size["width"] or 1)))
+    blocks, slices = max(1, -(-queries.count() // block)), max(1, -(-size["n"] // slice_rows))
     own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("qv"), own(key, blocks).alias("b"), every(slices).alias("s"))
     rows = index.select(key, vector, own(key, slices).alias("s"), every(blocks).alias("b"))
 
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        whole = column.combine_chunks()
-        return np.asarray(whole.flatten().to_numpy(zero_copy_only=False), float).reshape(len(whole), -1)
-
     def ranked(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", key, "distance"]
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
-        who, qs, ids, x = left["query_id"].to_numpy(), matrix(left["qv"]), right[key].to_numpy(), matrix(right[vector])
-        d = 1 - (qs @ x.T) / np.maximum(np.linalg.norm(qs, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :], 1e-300)
-        o = np.stack([np.lexsort((ids, row))[:k] for row in d.round(12)])
-        return pa.Table.from_arrays([pa.array(np.repeat(who, o.shape[1])), pa.array(ids[o].ravel()), pa.array(np.take_along_axis(d, o, 1).ravel())], names)
+        who, q, ids, x = left["query_id"].to_numpy(), cells.unit(cells.matrix(left["qv"])), right[key].to_numpy(), cells.unit(cells.matrix(right[vector]))
+        step = max(1, (4 << 20) // len(ids))  # distances of 32 MB at once
+        found = [cells.best_of(who[lo : lo + step], ids, 1 - q[lo : lo + step] @ x.T, k) for lo in range(0, len(who), step)]
+        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names)
 
     found = asked.groupBy("b", "s").cogroup(rows.groupBy("b", "s")).applyInArrow(ranked, f"query_id long, {key} long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("distance", 12), key))

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text
 from docloom.operators import chunk, prep
-from docloom.plans import data_queries, record_queries, stat_queries, text_queries
+from docloom.plans import data_queries, record_queries, source_queries, stat_queries, text_queries
 
-QUERIES = text_queries.QUERIES | data_queries.QUERIES | stat_queries.QUERIES | record_queries.QUERIES
-ORACLES = text_queries.ORACLES | data_queries.ORACLES | stat_queries.ORACLES | record_queries.ORACLES
+QUERIES = text_queries.QUERIES | data_queries.QUERIES | stat_queries.QUERIES | record_queries.QUERIES | source_queries.QUERIES
+ORACLES = text_queries.ORACLES | data_queries.ORACLES | stat_queries.ORACLES | record_queries.ORACLES | source_queries.ORACLES
 
 
 def flagship(spark, sf_dir):

@@ -19,8 +19,10 @@ def file_system(spark: SparkSession, path: str):
 def write_new(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """JSON Lines; refuses to replace what is there unless told to, and never replaces it by nothing.
 
-    A replacement is written beside the output and takes its place by renames once it is whole.
+    A replacement is written beside the output and takes its place by renames once it is whole; where a job was lost between
+    the renames, `recovered` puts the output back, and so does the next writer.
     """
+    recovered(df.sparkSession, path)
     if not overwrite:
         df.write.mode("errorifexists").json(path, ignoreNullFields=False)
         return
@@ -40,6 +42,21 @@ def write_new(df: DataFrame, path: str, overwrite: bool = False) -> None:
         fs.delete(kind(old), True)
 
 
+def recovered(spark: SparkSession, path: str) -> bool:
+    """Puts back the output that a lost job had moved aside before its replacement took the place; leftovers of lost jobs go. True if an output was put back."""
+    fs, kind = file_system(spark, path)
+    place = kind(path.rstrip("/"))
+    beside = place.getParent()
+    if beside is None or not fs.exists(beside):
+        return False
+    names = {m: [f.getPath() for f in fs.listStatus(beside) if f.getPath().getName().startswith(f"{place.getName()}.{m}-")] for m in ("old", "new")}
+    back = bool(names["old"]) and not fs.exists(place) and fs.rename(names["old"][0], place)
+    for p in [*names["old"], *names["new"]]:
+        if fs.exists(p):
+            fs.delete(p, True)
+    return back
+
+
 def append(df: DataFrame, path: str) -> None:
     """Adds rows to a JSON Lines output; a job that fails adds none."""
     df.write.mode("append").json(path, ignoreNullFields=False)
@@ -53,18 +70,12 @@ def truncate(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def single_writer(spark: SparkSession, path: str):
-    """Holds a lock file beside `path`, made by exclusive creation, while the block runs; a second writer fails at once."""
-    fs, kind = file_system(spark, path)
-    lock = kind(path.rstrip("/") + ".lock")
-    try:
-        fs.create(lock, False).close()
-    except Exception as e:
-        raise RuntimeError(f"another writer holds {lock.toString()}") from e
-    try:
-        yield
-    finally:
-        fs.delete(lock, False)
+def single_writer(spark: SparkSession, path: str, seconds: float = 600.0):
+    """Lets one writer at a time work on `path`: a lease (see `versioned.leased`), so that a killed writer blocks others for its time only."""
+    from docloom.sources.versioned import leased
+
+    with leased(spark, path, seconds) as lease:
+        yield lease
 
 
 def check_paths(*paths: str) -> None:

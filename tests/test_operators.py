@@ -734,3 +734,18 @@ def test_damaged_documents_arrays_digests_and_models(spark, tmp_path):
         checks.require_models(served, ["lora"])
     with pytest.raises(ValueError, match="no serving mode"):
         checks.missing_models(served, ["other"])
+
+
+def test_a_lost_replacement_is_put_back(spark, tmp_path):
+    import os
+
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    path = str(tmp_path / "out")
+    sinks.write_new(df, path)
+    os.rename(path, path + ".old-1")  # a job was lost between its renames
+    (tmp_path / "out.new-2").mkdir()
+    assert sinks.recovered(spark, path) and not sinks.recovered(spark, path)
+    assert [r.v for r in spark.read.json(path).collect()] == ["a"] and os.listdir(tmp_path) == ["out"]
+    os.rename(path, path + ".old-3")
+    sinks.write_new(df.withColumn("v", F.lit("b")), path, overwrite=True)
+    assert [r.v for r in spark.read.json(path).collect()] == ["b"] and os.listdir(tmp_path) == ["out"]
