@@ -37,12 +37,13 @@ def edited(rng, words, n):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("rows_of_bucket", [40, 4096])
-def test_edited_copies_of_one_original_and_texts_of_one_bag(spark, monkeypatch, rows_of_bucket):
+@pytest.mark.parametrize(("rows_of_bucket", "bytes_of_bucket"), [(40, 16 << 20), (4096, 16 << 20), (4096, 100_000)])
+def test_edited_copies_of_one_original_and_texts_of_one_bag(spark, monkeypatch, rows_of_bucket, bytes_of_bucket):
     from docloom.llm import setjoin
 
     for name in ("SET_ROWS", "_COLUMNS"):
         monkeypatch.setattr(setjoin, name, rows_of_bucket)
+    monkeypatch.setattr(setjoin, "SET_BYTES", bytes_of_bucket)
     rng = random.Random(5)
     rows = []
     words = [f"w{rng.randrange(3000)}" for _ in range(300)]
