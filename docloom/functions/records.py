@@ -14,7 +14,7 @@ def semester_of(text: Column) -> Column:
     year = F.regexp_extract(text, r"(?:20)?(\d{2})\s*(?:년|[-/.])", 1)
     season = F.regexp_extract(text, r"(여름|겨울|계절|[12])\s*학기", 1)
     english = F.lower(F.regexp_extract(text, r"(?i)\b(spring|fall|autumn|summer|winter)\b", 1))
-    numbered = F.regexp_extract(text, r"(?:20)?(\d{2})\s+(?:spring|fall|autumn|summer|winter)", 1)
+    numbered = F.regexp_extract(text, r"(?i)(?:20)?(\d{2})\s+(?:spring|fall|autumn|summer|winter)", 1)
     y = F.coalesce(F.nullif(year, F.lit("")), F.nullif(numbered, F.lit("")))
     named = F.element_at(F.create_map(*(F.lit(x) for kv in SEMESTERS.items() for x in kv)), english)
     return F.when(y.isNotNull() & ((season != "") | named.isNotNull()), F.concat(F.lit("20"), y, F.lit("-"), F.when(season != "", F.concat(season, F.lit("학기"))).otherwise(named)))
@@ -27,8 +27,8 @@ def star_rating(style: Column) -> Column:
 
 
 def labelled(text: Column, *labels: str) -> Column:
-    """What follows the first of these labels on its line; null where there is nothing."""
-    found = [F.nullif(F.trim(F.regexp_extract(text, rf"(?im)^\s*{label}\s*[:：]\s*(.+)$", 1)), F.lit("")) for label in labels]
+    """What follows the first of these labels on its own line; null where there is nothing."""
+    found = [F.nullif(F.trim(F.regexp_extract(text, rf"(?im)^[ \t]*{label}[ \t]*[:：][ \t]*(\S.*)$", 1)), F.lit("")) for label in labels]
     return F.coalesce(*found)
 
 

@@ -124,10 +124,31 @@ def attachment_contents(spark, sf):
     return found.select("page_id", "a.kind", F.when(F.col("odd"), F.col("a.text")).when(F.col("a.kind") == "html", F.md5(letters)).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (record_filters, prep_counts, condition_aliases, review_identities, course_texts, boilerplate_lines, effective_dates, model_readiness, course_groups, attachment_contents)}
+def malformed_fields(spark, sf):
+    """Dates, votes, counts, semesters, ratings and syllabus fields from texts that are reordered, cut off, contradictory or no such thing."""
+    o = read(spark, sf, "orders")
+    of = lambda *said: F.element_at(F.array(*(F.lit(x) for x in said)), F.pmod("o_orderkey", F.lit(6)).cast("int") + 1)
+    day = of("2024-13-45, then 20240105", "2024년 2월 30일", "at 20241399", "1999-01-01", "2024.1.5/2023-02-02", None)
+    vote = of("1,23", " 1,234 ", "", "12a", "007", None)
+    asked = of("99", "-3", "x", None, "0", " 7 ")
+    term = of("24년 겨울학기", "2학기", "2023 Fall", "fall of 2023", "2022-1", "summer")
+    bar = of("width: 80%", "width:101%", "height: 50%", "width: x%", "width:33.3%", None)
+    body = of(
+        "학점: 3-2-x\nprofessor :  Kim \nCourse Title:\n교과목명: Title A\nTime: Mon 1 (A) (B)", "Course Title: X\nCourse Title: Y\nnoise Course Code: Z\nCredits: 3-2-1 4-4-4",
+        "Time: (Hall 3)\nGrade", "Course Title Course Code: Q\n교과목코드：K1", "", None,
+    )
+    made = o.select("o_orderkey", text.parse_date(day).cast("string").alias("day"), text.votes(vote).alias("votes"), text.item_count(F.lit("quiz"), asked).alias("items"), records.semester_of(term).alias("semester"), records.star_rating(bar).alias("stars"), F.explode(F.array(records.syllabus_fields(body))).alias("s"))
+    return made.select("o_orderkey", "day", "votes", "items", "semester", "stars", *(F.col(f"s.{c}").alias(c) for c in ("course_name", "course_code", "professor", "credits", "lecture_hours", "lecture_time", "room")))
+
+
+QUERIES = {f.__name__: f for f in (record_filters, prep_counts, condition_aliases, review_identities, course_texts, boilerplate_lines, effective_dates, model_readiness, course_groups, attachment_contents, malformed_fields)}
 
 _N = "p_partkey"
 ORACLES = {
+    "malformed_fields": """WITH e(n, day, votes, items, semester, stars, course_name, course_code, professor, credits, lecture_hours, lecture_time, room) AS (VALUES
+        (0, '2024-01-05', NULL, 20, '2024-겨울학기', 4.0, 'Title A', NULL, 'Kim', NULL, NULL, 'Mon 1 (A)', 'B'), (1, NULL, 1234, 1, NULL, NULL, 'X', NULL, NULL, 3, 2, NULL, NULL), (2, NULL, 0, 5, '2023-2학기', NULL, NULL, NULL, NULL, NULL, NULL, '', 'Hall 3'),
+        (3, NULL, NULL, 5, NULL, NULL, NULL, 'K1', NULL, NULL, NULL, NULL, NULL), (4, '2024-01-05', 7, 1, NULL, 1.665, NULL, NULL, NULL, NULL, NULL, NULL, NULL), (5, NULL, 0, 7, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL))
+        SELECT o_orderkey, day, votes, items, semester, CAST(stars AS DOUBLE) AS stars, course_name, course_code, professor, credits, lecture_hours, lecture_time, room FROM orders JOIN e ON n = o_orderkey % 6""",
     "record_filters": r"""WITH d AS (SELECT lang, text, substr(text, 1, 40) AS q, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE '2024-0' || (doc_id % 9 + 1) || '-01' END AS day, doc_id % 3 AS k FROM documents),
         m AS (SELECT *, length(text) >= 30 AND len(regexp_extract_all(text, '[가-힣a-zA-Z]')) >= 15 AS enough, trim(q) AS tq, trim(text) AS ta FROM d)
         SELECT lang, count(*) FILTER (length(trim(q)) >= 30) AS long_enough,
