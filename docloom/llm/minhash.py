@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,8 +140,9 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
-def banded(base: DataFrame) -> DataFrame:
-    """(id, h, m0, m1, size, tokens) of `base` (id, h, text): digests and size of the set of shingles of each text, and its band keys (none without words)."""
+def banded(base: DataFrame, prints: Callable[[pa.Array], pa.Array] | None = None) -> DataFrame:
+    """(id, h, m0, m1, size, tokens) of `base` (id, h, text): digests and size of the set of shingles of each text, and its band keys (none without words); with `prints`, `fp` too, what that makes of the texts."""
+    names = ["id", "h", "m0", "m1", "size", "tokens", *(["fp"] if prints else [])]
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,9 +154,10 @@ def banded(base: DataFrame) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(size)])
                 keys = [band_keys(signature(h[a:b])).view(np.int64) if b > a else np.zeros(0, np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
                 cols = [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), *map(pa.array, marks), pa.array(size), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "h", "m0", "m1", "size", "tokens"])
+                cols += [prints(batch.column(2).slice(lo, n))] if prints else []
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    return base.select("id", "h", "text").mapInArrow(convert, "id long, h string, m0 long, m1 long, size long, tokens array<long>")
+    return base.select("id", "h", "text").mapInArrow(convert, "id long, h string, m0 long, m1 long, size long, tokens array<long>" + (", fp long" if prints else ""))
 
 
 def near_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

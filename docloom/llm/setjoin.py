@@ -200,10 +200,11 @@ def small_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataF
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(met, "a long, b long").distinct()
 
 
-def joined_nodes(base: DataFrame, classes: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(node, root) of each node of `classes` that a link joins to others: sets of shingles of k words of `base` (id, h, text) that share a token and are similar enough are linked."""
+def joined_nodes(base: DataFrame, classes: DataFrame, k: int, similarity: float, known: DataFrame | None = None) -> DataFrame:
+    """(node, root) of each node of `classes` that a link joins to others: sets of shingles of k words of `base` (id, h, text) that share a token and are similar enough are linked, and the links `known` (a, b) hold as they stand."""
     shared = written(shared_tokens(classes), "shared")
     first = written(bucket_links(base, classes, shared.where(F.col("pos") < FIRST), None, k, similarity), "links")
+    first = first if known is None else first.unionByName(known)
     roots = written(components(first), "roots")
     rest = written(bucket_links(base, classes, shared, roots, k, similarity), "links")
     links = first.unionByName(rest)

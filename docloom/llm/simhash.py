@@ -43,27 +43,32 @@ def simhash_one(text: bytes, k: int) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
+def prints(texts: pa.Array, k: int = 3) -> pa.Array:
+    """The fingerprint of each whole text over shingles of k words, repeats included, as signed numbers."""
+    data, offsets = strings(texts)
+    out = np.zeros(len(texts), np.uint64)
+    for lo, hi in spans(offsets):
+        b = Block(data, offsets, lo, hi)
+        joined = b.bytes.copy()
+        for i in range(b.n):
+            s, e = b.start[b.first[i] : b.first[i + 1]], b.end[b.first[i] : b.first[i + 1]]
+            if not len(s):
+                continue
+            if (s[1:] - e[:-1] == 1).all():
+                joined[e[:-1]] = 32
+                text = joined[s[0] : e[-1]].tobytes()
+            else:
+                text = b" ".join(b.bytes[x:y].tobytes() for x, y in zip(s.tolist(), e.tolist(), strict=True))
+            out[lo + i] = simhash_one(text, k)
+    return pa.array(out.view(np.int64))
+
+
 def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long): SimHash of the whole text over shingles of k words, repeats included."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = strings(batch.column(1))
-            out = np.zeros(batch.num_rows, np.uint64)
-            for lo, hi in spans(offsets):
-                b = Block(data, offsets, lo, hi)
-                joined = b.bytes.copy()
-                for i in range(b.n):
-                    s, e = b.start[b.first[i] : b.first[i + 1]], b.end[b.first[i] : b.first[i + 1]]
-                    if not len(s):
-                        continue
-                    if (s[1:] - e[:-1] == 1).all():
-                        joined[e[:-1]] = 32
-                        text = joined[s[0] : e[-1]].tobytes()
-                    else:
-                        text = b" ".join(b.bytes[x:y].tobytes() for x, y in zip(s.tolist(), e.tolist(), strict=True))
-                    out[lo + i] = simhash_one(text, k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints(batch.column(1), k)], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(convert, "doc_id long, fp long")
 
@@ -186,22 +191,35 @@ def near_duplicates(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_co
     return fps.join(by_fp, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def print_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b), a > b: links that join the nodes of `classes` (node, m0, m1, size) as fingerprints of at most MOST differing bits do; `rows` (m0, m1, size, fp) has the fingerprints of each set."""
+    sets = ["m0", "m1", "size"]
+    ends = written(rows.select(*sets, "fp").distinct().join(classes.select("node", *sets), sets).select("node", "fp"), "prints")
+    found = components(links(ends.select(F.col("fp").alias("node"), F.lit(0).alias("lane"), "fp").distinct()))
+    rooted = ends.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("node").alias("least"))
+    return rooted.join(least, "root").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document, that of the least id, of each group of near copies; all columns stay.
 
-    Texts whose sets of five-word shingles have a Jaccard similarity of at least `similarity` are linked, and links join
-    groups. Three differing bits of a SimHash find no such copies, so candidates are those that share a band of the
-    MinHash signature (25 bands of 5 values: a pair of similarity 0.8 meets with probability 0.99995), and every link is
-    verified on the whole sets; pairs are passed over only if verified links join them already. Equal sets enter once.
-    Null texts count as empty, texts without words are near copies of each other, of rows of one id and text that with
+    Texts whose fingerprints differ in at most MOST bits are linked, as in `near_duplicates`. These are close copies: at a
+    Jaccard similarity of 0.8 fingerprints differ in 5 to 14 bits. So texts whose sets of five-word shingles have a
+    Jaccard similarity of at least `similarity` are linked too: what fingerprints have not joined meets in the bands of the
+    MinHash signature (25 bands of 5 values: a pair of similarity 0.8 meets with probability 0.99995), and these links are
+    verified on the whole sets; pairs are passed over only if links join them already. Both kinds join groups. Equal sets
+    enter once. Null texts count as empty, texts without words are near copies of each other, of rows of one id and text that with
     the least other columns stays, rows with a null id can't be named and all stay, columns may have any names, and an
     empty table gives an empty table.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("id"), F.sha1(text.cast("binary")).alias("h"), text.alias("text"))
     base = rows.where(F.col("id").isNotNull()).select("id", "h", "text")
-    classes = setjoin.numbered(minhash.banded(base))
-    joined = setjoin.joined_nodes(base, classes, minhash.SHINGLE, similarity)
+    sets = written(minhash.banded(base, prints), "sets")
+    classes = setjoin.numbered(sets)
+    close = written(print_links(sets, classes), "close")
+    joined = setjoin.joined_nodes(base, classes, minhash.SHINGLE, similarity, close)
     roots = classes.join(joined, "node", "left").select("k", F.coalesce("root", "node").alias("root"))
     kept = written(roots.groupBy("root").agg(F.min("k").alias("k")).select("k.id", "k.h"), "kept")
     # documents stay where they are, but for those to leave out and those of which one row is to be chosen

@@ -121,3 +121,20 @@ def test_every_close_pair_has_a_chain_and_a_shared_key():
         for b in rng.choice(64, 3, replace=False):
             x ^= np.uint64(1) << np.uint64(b)
         assert any(S.chained(S.rotated(np.array([x]), np.array([s])))[0] for s in range(8))
+
+
+def test_near_duplicates_of_the_stage_hold_the_links_of_fingerprints(spark):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(900)]
+    notice = rng.sample(vocab, 7)
+    rows = [(i, " ".join(rng.choices(vocab, k=60))) for i in range(12)]
+    # a notice again and again decides the fingerprint; what follows it is another set of shingles
+    rows += [(100 + i, " ".join(notice * 40 + rng.choices(vocab, k=25))) for i in range(8)]
+    fps = [S.simhash_one(t.encode(), 3) for _, t in rows]
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= S.MOST]
+    apart = [(i, j) for i, j in close if len(grams(rows[i][1]) & grams(rows[j][1])) < 0.8 * len(grams(rows[i][1]) | grams(rows[j][1]))]
+    assert apart
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in S.drop_near_duplicates(df).collect()}
+    assert kept == {r.component_id for r in S.near_duplicates(df).collect()}
+    assert not any({rows[i][0], rows[j][0]} <= kept for i, j in close)
