@@ -25,6 +25,8 @@ FOLDS, HELD_OUT, ACCEPT = 5, 0, 0.3
 #: at most for the prior.
 SAMPLE, PRIOR_SAMPLE = 12_000, 5000
 FEATURES = ["log_words", "log_bytes", "word_length", "upper", "digits", "stops", "marks", "symbols", "pipes", "exclaims", "word_ends_in_symbol", "word_is_symbols", "repeats_last_word", "distinct_words", "breaks", "wide_bytes", "longest_word"]
+#: Bytes of text whose features are made at once: they take about 100 times as much memory while they are made.
+FEATURE_BYTES = 128 << 10
 #: Buckets of hashed words, and of hashed runs of four bytes: their shares in a text are features too.
 BUCKETS, RUN = 64, 4
 _CLASS = np.zeros(256, np.int64)
@@ -45,7 +47,7 @@ def features(texts: pa.Array) -> np.ndarray:
     """A row of FEATURES, then bucket shares of words and of runs of bytes, for each text, from the whole text; zeros for an empty one."""
     data, offsets = strings(texts)
     out = np.zeros((len(texts), len(FEATURES) + 2 * BUCKETS), np.float32)
-    for lo, hi in spans(offsets):
+    for lo, hi in spans(offsets, FEATURE_BYTES):
         b = Block(data, offsets, lo, hi, lower=False)
         size = np.diff(b.text_at).astype(float)
         doc = np.repeat(np.arange(b.n), np.diff(b.text_at))

@@ -121,3 +121,14 @@ def test_prior_is_estimated_without_negative_labels(spark):
     assert abs(Q.train(docs, labels).prior - true) < 0.1
     turned = Q.train(docs, labels.where("quality = 1"))  # negative labels are not read
     assert turned.prior == Q.train(docs, labels).prior
+
+
+def test_features_take_memory_by_small_blocks():
+    import tracemalloc
+
+    texts = pa.array(["some words, and 12 more of them | here! " * 50] * 2000)
+    tracemalloc.start()
+    Q.features(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 << 20
