@@ -2,7 +2,8 @@
 
 All tokens of both sides are sorted by start and the ends accumulated by maximum; a group breaks where a start reaches the
 running maximum. Inside a group every token of one side is linked with every token of the other. Neither tokenizer joins what
-stands before a space with the space, so texts are cut there and the different pieces of a block are encoded and aligned once.
+stands before a space with the space, so texts are cut there and the different pieces of a block are encoded and aligned once;
+short ones that a task has met in earlier blocks are remembered.
 
 Counts of id pairs are gathered over the whole corpus, added up in each task first. What is looked up in them again are the
 pairs of each document: pairs above a share of all are a bounded table that every task holds, the others are joined.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from copy import copy
 from functools import lru_cache
 from itertools import chain
 
@@ -28,6 +30,8 @@ from docloom.llm.textblock import spans, strings
 BYTE_LEVEL, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text in a block, linked pairs expanded at once, pairs held in a task while counting, and pairs at most that tasks hold as often met.
 BLOCK, EXPANDED, HELD, OFTEN = 2 << 20, 1 << 22, 1 << 21, 1 << 18
+#: Different pieces that a task remembers from block to block at most, and bytes of the longest of these.
+REMEMBERED, REMEMBERED_BYTES = 1 << 17, 64
 SPACE = "▁"
 
 
@@ -186,8 +190,61 @@ class Aligned:
         self.pair_at = np.searchsorted(piece, np.arange(n + 1))
 
 
+class Memory:
+    """What a task has aligned before: its first different pieces of no more than REMEMBERED_BYTES, up to REMEMBERED. Others are aligned again in each block."""
+
+    def __init__(self, a: Side, b: Side):
+        self.sides, self.words = (a, b), pa.array([], pa.large_string())
+        self.known = Aligned(a, b, self.words)
+
+    def look_up(self, words: pa.Array) -> tuple[Aligned, np.ndarray]:
+        """Alignments, and the place among them of each of the different `words`."""
+        found = pc.index_in(words, value_set=self.words)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        place = found.fill_null(0).to_numpy().astype(np.int64)
+        place[new] = len(self.words) + np.arange(int(new.sum()))
+        fresh = words.filter(pa.array(new))
+        made = Aligned(*self.sides, fresh)
+        both, room = joined(self.known, made), REMEMBERED - len(self.words)
+        if room > 0:
+            learnt = np.flatnonzero(pc.binary_length(fresh).to_numpy() <= REMEMBERED_BYTES)[:room]
+            self.known = joined(self.known, picked(made, learnt))
+            self.words = pa.concat_arrays([self.words, fresh.take(pa.array(learnt))])
+        return both, place
+
+
+_BY_PIECE = ("good", "n_a", "n_b", "n_groups", "n_links")
+
+
+def picked(x: Aligned, at: np.ndarray) -> Aligned:
+    """The pieces `at` of x."""
+    out = copy(x)
+    for c in _BY_PIECE:
+        setattr(out, c, getattr(x, c)[at])
+    out.text = [x.text[i] for i in at.tolist()]
+    width = np.diff(x.pair_at)[at]
+    take = ragged(x.pair_at[:-1][at], width)
+    out.pair, out.times, out.pair_at = x.pair[take], x.times[take], np.concatenate([[0], np.cumsum(width)])
+    return out
+
+
+def joined(x: Aligned, y: Aligned) -> Aligned:
+    """The pieces of x, then those of y."""
+    out = copy(x)
+    for c in (*_BY_PIECE, "pair", "times"):
+        setattr(out, c, np.concatenate([getattr(x, c), getattr(y, c)]))
+    out.text, out.pair_at = x.text + y.text, np.concatenate([x.pair_at, y.pair_at[1:] + x.pair_at[-1]])
+    return out
+
+
 def summed(owner: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The times of equal (owner, pair) added up, by owner and pair."""
+    if len(owner) and 0 <= pair.min() and max(pair.max(), owner.max()) < 1 << 31:  # both in one number, which sorts faster
+        key = owner.astype(np.int64) << 31 | pair
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return key[first] >> 31, key[first] & ((1 << 31) - 1), np.add.reduceat(times[order], first)
     order = np.lexsort((pair, owner))
     owner, pair, times = owner[order], pair[order], times[order]
     first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (pair[1:] != pair[:-1])])) if len(owner) else np.zeros(0, np.int64)
@@ -211,6 +268,7 @@ def align(docs: DataFrame, a_file: bytes, b_file: bytes, id_col: str = "doc_id",
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = load(kinds[0], a_var.value), load(kinds[1], b_var.value)
+        memory = Memory(a, b)
         for batch in batches:
             data, offsets = strings(batch.column(1))
             for lo, hi in spans(offsets, BLOCK):
@@ -221,7 +279,8 @@ def align(docs: DataFrame, a_file: bytes, b_file: bytes, id_col: str = "doc_id",
                 starts = cut_starts(raw, at) if a.cuts and b.cuts else at[:-1]
                 bounds = np.append(starts, len(raw)).astype(np.int64)
                 pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(raw)).dictionary_encode()
-                piece, unique = pieces.indices.to_numpy(), Aligned(a, b, pieces.dictionary)
+                unique, place = memory.look_up(pieces.dictionary)
+                piece = place[pieces.indices.to_numpy()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *of_texts(unique, piece, np.searchsorted(starts, at), size > 0, digest)], schema=schema)
 
     return plain.mapInArrow(convert, ALIGNED)

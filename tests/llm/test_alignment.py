@@ -103,3 +103,31 @@ def test_coalesce_of_random_intervals():
             for j in range(n):
                 lo, hi = min(start[i], start[j]), max(start[i], start[j])
                 assert (group[i] == group[j]) == bool(covered[lo:hi].all())
+
+
+def test_pieces_met_in_earlier_blocks_are_not_encoded_again(spark, monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+
+    class Noting(ByteLevel):
+        def encode(self, texts):
+            seen.extend(texts)
+            return super().encode(texts)
+
+    memory = alignment.Memory(Noting(read_file(BYTE_LEVEL)), B)
+    texts = [" " + t for t in odd_texts() if t]
+    for i in range(0, len(texts), 40):
+        words = pa.array(sorted({*texts[i : i + 40], *texts[: i // 2]}), pa.large_string())
+        got, place = memory.look_up(words)
+        want = alignment.picked(got, place)
+        plain = alignment.Aligned(A, B, words)
+        assert all(np.array_equal(getattr(want, c), getattr(plain, c)) for c in ("good", "n_a", "n_b", "n_groups", "n_links", "text", "pair", "times", "pair_at"))
+    short = [t for t in seen if len(t.encode()) <= alignment.REMEMBERED_BYTES]
+    assert short and len(short) == len(set(short))
+    monkeypatch.setattr(alignment, "REMEMBERED", 3)
+    few = alignment.Memory(A, B)
+    for words in (texts[:5], texts[2:9], texts[:9]):
+        words = pa.array(sorted(set(words)), pa.large_string())
+        got, place = few.look_up(words)
+        assert alignment.picked(got, place).text == alignment.Aligned(A, B, words).text and len(few.words) <= 3
