@@ -203,16 +203,17 @@ def small_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataF
 def joined_nodes(base: DataFrame, classes: DataFrame, k: int, similarity: float, known: DataFrame | None = None) -> DataFrame:
     """(node, root) of each node of `classes` that a link joins to others: sets of shingles of k words of `base` (id, h, text) that share a token and are similar enough are linked, and the links `known` (a, b) hold as they stand."""
     shared = written(shared_tokens(classes), "shared")
-    first = written(bucket_links(base, classes, shared.where(F.col("pos") < FIRST), None, k, similarity), "links")
+    first = bucket_links(base, classes, shared.where(F.col("pos") < FIRST), None, k, similarity)
     first = first if known is None else first.unionByName(known)
+    # what is joined goes on as a star about its root, which joins the same nodes as all its links: later components take a round or two
+    star = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = written(components(first), "roots")
-    rest = written(bucket_links(base, classes, shared, roots, k, similarity), "links")
-    links = first.unionByName(rest)
-    roots = written(components(links), "roots")
+    rest = bucket_links(base, classes, shared, roots, k, similarity)
+    roots = written(components(star(roots).unionByName(rest)), "roots")
     pairs = written(small_pairs(shared, roots, similarity), "pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     shingles = sets_of(base, classes, ends, k)
     left, right = (shingles.select(F.col("node").alias(c), F.col("set").alias(f"s{c}")) for c in "ab")
     common, both = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
     near = pairs.join(left, "a").join(right, "b").where(common >= similarity * (both - common)).select("a", "b")
-    return components(links.unionByName(near))
+    return components(star(roots).unionByName(near))

@@ -99,3 +99,27 @@ def test_appended_truncated_and_block_edited_copies(spark):
     want = kept_by_brute_force(rows)
     assert 45 < len(want) < 90
     assert kept(spark, rows) == want
+
+
+def test_what_is_joined_goes_on_as_a_star(spark, monkeypatch):
+    from docloom.llm import common, minhash, setjoin
+
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(3000)}" for _ in range(400)]
+    rows = []
+    for i in range(40):  # a chain of copies, each an edit away from the one before
+        words[rng.randrange(400)] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    tables = []
+    monkeypatch.setattr(common, "written", lambda df, name, write=common.written: tables.append(name) or write(df, name))
+    monkeypatch.setattr(setjoin, "components", lambda edges, find=common.components: tables.append("begin") or find(edges))
+    base = S.F.sha1("text").alias("h")
+    base = spark.createDataFrame(rows, "id long, text string").select("id", base, "text")
+    classes = setjoin.numbered(common.written(minhash.banded(base), "sets"))
+    chain = spark.createDataFrame([(i + 1, i) for i in range(30)], "at long, before long")
+    ends = classes.select("node", S.F.col("k.id").alias("id"))
+    known = chain.join(ends.toDF("a", "at"), "at").join(ends.toDF("b", "before"), "before").select(S.F.greatest("a", "b").alias("a"), S.F.least("a", "b").alias("b"))
+    joined = setjoin.joined_nodes(base, classes, minhash.SHINGLE, 0.8, known).collect()
+    assert len(joined) == 39 and len({r.root for r in joined}) == 1
+    rounds = [x.split().count("edges") for x in " ".join(tables).split("begin")[1:]]
+    assert len(rounds) == 3 and rounds[2] == 2, rounds  # nothing new to join: the stars, and a round that leaves them as they are
