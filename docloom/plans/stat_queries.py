@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.functions import text
 from docloom.operators import joins, stats
 from docloom.plans.text_queries import read
 
@@ -102,8 +103,9 @@ def bootstrap_interval(spark, sf):
 
 
 def correlation_tests(spark, sf):
-    """Correlations with p values by language: length against the share of spaces."""
-    d = read(spark, sf, "documents").select("lang", "n_chars", (F.regexp_count("text", F.lit(" ")) / F.length("text")).alias("spaces"))
+    """Correlations with p values by language: length against the share of spaces, which is 0 for an empty text and null for none."""
+    spaces = F.when(F.col("text").isNotNull(), text.share_of(F.col("text"), " "))
+    d = read(spark, sf, "documents").select("lang", "n_chars", spaces.alias("spaces"))
     return rounded(stats.correlations(d, "n_chars", "spaces", ["lang"], tests=True), "pearson", "spearman", "p_pearson", "p_spearman")
 
 
