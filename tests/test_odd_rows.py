@@ -46,3 +46,9 @@ TEXTS = ["", " ", "\n", " \t\n a", "a\n", "a\r\n", "a\n\n조회수 5\nb", "목
 
 def test_lines_of_texts_are_no_boilerplate(differences):
     assert differences("boilerplate_lines", "documents", [(i, t, "en", "src1", len(t or "")) for i, t in enumerate(TEXTS)] + [(99, "a", "en", None, 1)], DOCUMENTS) == ""
+
+
+def test_vectors_show_halves_as_the_even_digit(differences):
+    counts = [(31, 7, 3, 2, 1), (5, 30, 9, 3, 3), (29, 13, 3, 2, 1), (3, 4, 0, 0, 0)]  # the first three have the length 32
+    texts = ["".join(c * n for c, n in zip("aeiou", k)) + "xyz" for k in counts] + ["", None, "AEIOU aé"]
+    assert differences("index_maintenance", "documents", [(30 * i + j, t, "en", "src1", len(t or "")) for i, t in enumerate(texts) for j in range(30)], DOCUMENTS) == ""
