@@ -52,3 +52,8 @@ def test_vectors_show_halves_as_the_even_digit(differences):
     counts = [(31, 7, 3, 2, 1), (5, 30, 9, 3, 3), (29, 13, 3, 2, 1), (3, 4, 0, 0, 0)]  # the first three have the length 32
     texts = ["".join(c * n for c, n in zip("aeiou", k)) + "xyz" for k in counts] + ["", None, "AEIOU aé"]
     assert differences("index_maintenance", "documents", [(30 * i + j, t, "en", "src1", len(t or "")) for i, t in enumerate(texts) for j in range(30)], DOCUMENTS) == ""
+
+
+def test_references_that_are_cut_off_stay_in_reviews_but_amp(differences):
+    rows = [(i, f"https://h/{i}", f"<div><p>{t}</p>\n{t}<br/>{t}</div>") for i, t in enumerate(CUT)] + [(90, None, None), (91, "", "")]
+    assert differences("review_text", "pages", rows, PAGES) == ""
