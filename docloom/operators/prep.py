@@ -57,17 +57,19 @@ def field_flags(fields: dict[str, Column], identified: Column) -> Column:
     return F.array_compact(F.array(*flags, F.when(~identified, "content_based_identity")))
 
 
-def fan_out(notices: DataFrame, post: str = "post_id") -> DataFrame:
+def fan_out(notices: DataFrame, post: str = "post_id", blank: bool = False) -> DataFrame:
     """A row for the body, the OCR text and each attachment of a notice that has text: (post_id, source_key, source_type, name, text).
 
-    Attachments are numbered by reference within their notice: attachment:{ref}:{n}.
+    Attachments are numbered by reference within their notice: attachment:{ref}:{n}. With `blank` bodies and attachments
+    without text have rows and numbers too; an OCR text without text never has.
     """
     kind = "struct<source_type:string,ref:string,name:string,text:string>"
     none = F.lit(None).cast("string")
     part = lambda t, ref, name, text: F.struct(F.lit(t).alias("source_type"), ref.alias("ref"), name.alias("name"), text.alias("text")).cast(kind)
     attached = F.transform(F.coalesce("attachments", F.array().cast("array<struct<url:string,name:string,text:string>>")), lambda a: part("attachment", F.coalesce(F.nullif(a["url"], F.lit("")), a["name"]), a["name"], a["text"]))
     parts = F.concat(F.array(part("body", none, none, F.col("content")), part("image_ocr", none, none, F.col("ocr_text"))), attached)
-    rows = notices.select(post, F.posexplode(parts).alias("pos", "p")).select(post, "pos", "p.*").where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    said = F.trim(F.coalesce("text", F.lit(""))) != ""
+    rows = notices.select(post, F.posexplode(parts).alias("pos", "p")).select(post, "pos", "p.*").where(said | (F.col("source_type") != "image_ocr") if blank else said)
     n = F.row_number().over(Window.partitionBy(post, "source_type", "ref").orderBy("pos"))
     key = F.when(F.col("source_type") == "attachment", F.concat_ws(":", F.lit("attachment"), F.coalesce("ref", F.lit("")), n)).otherwise(F.col("source_type"))
     return rows.select(post, key.alias("source_key"), "source_type", "name", "text")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from compare import compare
 
+from docloom.operators import prep
 from docloom.plans import catalog
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -57,3 +58,14 @@ def test_vectors_show_halves_as_the_even_digit(differences):
 def test_references_that_are_cut_off_stay_in_reviews_but_amp(differences):
     rows = [(i, f"https://h/{i}", f"<div><p>{t}</p>\n{t}<br/>{t}</div>") for i, t in enumerate(CUT)] + [(90, None, None), (91, "", "")]
     assert differences("review_text", "pages", rows, PAGES) == ""
+
+
+def test_empty_texts_are_fanned_out_and_numbered(differences):
+    said = ["", "a", " ", "b", "", "", None, "c", None, "\n", " ", "", None, None, None]
+    assert differences("notice_fan_out", "documents", [(i, t, "en", "src1" if i % 4 else "src2", len(t or "")) for i, t in enumerate(said)], DOCUMENTS) == ""
+
+
+def test_notices_without_text_have_no_rows_unless_asked(spark):
+    notices = spark.createDataFrame([(1, "", " ", [("u", "n", ""), ("u", "n", "a")])], "post_id int, content string, ocr_text string, attachments array<struct<url:string,name:string,text:string>>")
+    keys = lambda blank: sorted(r.source_key for r in prep.fan_out(notices, blank=blank).collect())
+    assert keys(False) == ["attachment:u:1"] and keys(True) == ["attachment:u:1", "attachment:u:2", "body"]
